@@ -30,6 +30,7 @@ def local_session(cores: str = "8", shuffle_partitions: int = 8) -> SparkSession
         .appName("sievebase")
         .config("spark.ui.enabled", "false")
         .config("spark.ui.showConsoleProgress", "false")
+        .config("spark.python.sql.dataFrameDebugging.enabled", "false")
         .config("spark.driver.memory", "12g")
         .config("spark.sql.shuffle.partitions", str(shuffle_partitions))
     )

@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from sievebase.functions.text import extension, file_name, split_lines
+from sievebase.functions.text import constant_map, extension, file_name, split_lines
 from sievebase.rules import vocabulary as vocab
 
 
@@ -55,8 +55,7 @@ def kept_files(corpus: DataFrame) -> DataFrame:
 
 
 def _lookup(table: dict[str, list[str]], key: Column) -> Column:
-    pairs = [F.lit(v) for lang, keys in table.items() for k in keys for v in (k, lang)]
-    return F.try_element_at(F.create_map(*pairs), key)
+    return F.try_element_at(constant_map({k: lang for lang, keys in table.items() for k in keys}), key)
 
 
 def language(path: Column) -> Column:

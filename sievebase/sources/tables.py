@@ -11,6 +11,8 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from sievebase.functions.text import constant_table
+
 SNIPPET_PERIOD = 64
 
 # Injected code, "~" stands for a newline. The same text is used
@@ -63,51 +65,50 @@ def read(spark: SparkSession, sf_dir: str, table: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{table}.parquet")
 
 
-def _snippet_path() -> F.Column:
-    doc = F.col("doc_id").cast("string")
-    lang = F.col("lang")
-    fixed = {
-        9: F.concat(lang, F.lit("/d"), doc, F.lit("/package.json")),
-        10: F.concat(lang, F.lit("/d"), doc, F.lit("/requirements.txt")),
-        18: F.concat(F.lit(".github/workflows/w"), doc, F.lit(".yml")),
-        20: F.concat(F.lit("r"), doc, F.lit("/.git/config")),
-        21: F.concat(F.lit("r"), doc, F.lit("/.gitmodules")),
-        22: F.concat(F.lit("r"), doc, F.lit("/.git/hooks/on-login")),
-        23: F.concat(F.lit("r"), doc, F.lit("/.env")),
-        24: F.concat(F.lit("r"), doc, F.lit("/.gitignore")),
-        25: F.concat(F.lit("r"), doc, F.lit("/.gitignore")),
-        26: F.concat(F.lit("r"), doc, F.lit("/logs/run.log")),
-        29: F.concat(F.lit("r"), doc, F.lit("/Gemfile")),
-        30: F.concat(F.lit("r"), doc, F.lit("/go.mod")),
-        31: F.concat(F.lit("r"), doc, F.lit("/pom.xml")),
-        35: F.concat(F.lit("src/Ring.Alpha"), doc, F.lit(".cs")),
-        36: F.concat(F.lit("src/Ring.Beta"), doc, F.lit(".cs")),
-        38: F.concat(F.lit("a/b/c/d/e/f"), doc, F.lit("/page.js")),
-        39: F.concat(F.lit("test/t"), doc, F.lit(".cs")),
-    }
-    path = F.concat(lang, F.lit("/f"), doc, F.coalesce(F.col("ext"), F.lit(".md")))
-    for snip, value in fixed.items():
-        path = F.when(F.col("snip_id") == snip, value).otherwise(path)
-    return path
+# Where an injected snippet lives; "#" stands for the document id
+# and "^" for its language. Other files are "^/f#" plus the snippet's extension.
+SNIPPET_PATHS = {
+    9: "^/d#/package.json", 10: "^/d#/requirements.txt", 18: ".github/workflows/w#.yml",
+    20: "r#/.git/config", 21: "r#/.gitmodules", 22: "r#/.git/hooks/on-login", 23: "r#/.env",
+    24: "r#/.gitignore", 25: "r#/.gitignore", 26: "r#/logs/run.log", 29: "r#/Gemfile",
+    30: "r#/go.mod", 31: "r#/pom.xml", 35: "src/Ring.Alpha#.cs", 36: "src/Ring.Beta#.cs",
+    38: "a/b/c/d/e/f#/page.js", 39: "test/t#.cs",
+}
+
+
+def widen(df: DataFrame, key: str) -> DataFrame:
+    """Spread a scan that has fewer partitions than the cluster has cores.
+
+    Text work costs far more than reading; a small table stored as one row group
+    would otherwise run in one task. Large tables already have enough partitions
+    and are left as they are, without a shuffle.
+    """
+    cores = df.sparkSession.sparkContext.defaultParallelism
+    return df.repartition(cores, key) if df.rdd.getNumPartitions() < cores else df
 
 
 def code_corpus(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Files of many repositories: doc_id, repo, file_path, content."""
     # The snippet list is a literal of fixed size, looked up by position.
-    snippets = F.array(
-        *[F.struct(F.lit(i).alias("snip_id"), F.lit(e).alias("ext"), F.lit(b).alias("body")) for i, e, b in SNIPPETS]
+    snippets = constant_table(
+        [(i, SNIPPET_PATHS.get(i, "^/f#" + ext), body.replace("~", "\n")) for i, ext, body in SNIPPETS],
+        ["snip_id", "path", "body"],
     )
-    joined = read(spark, sf_dir, "documents").select(
+    docs = widen(read(spark, sf_dir, "documents").select("doc_id", "text", "lang", "source"), "doc_id")
+    joined = docs.select(
         "doc_id", "text", "lang", F.col("source").alias("repo"),
-        F.get(snippets, (F.col("doc_id") % SNIPPET_PERIOD).cast("int")).alias("snip"),
-    ).select("doc_id", "text", "lang", "repo", "snip.*")
-    body = F.replace(F.col("body"), F.lit("~"), F.lit("\n"))
+        F.get(snippets, (F.col("doc_id") % SNIPPET_PERIOD).cast("int")).alias("s"),
+    )
+    path = F.replace(
+        F.replace(F.coalesce("s.path", F.lit("^/f#.md")), F.lit("#"), F.col("doc_id").cast("string")),
+        F.lit("^"), F.col("lang"),
+    )
     content = (
-        F.when(F.col("body").isNull(), F.col("text"))
-        .when(F.col("snip_id") == 28, F.concat(body, F.lit("\n"), F.col("text")))
-        .otherwise(F.concat(F.col("text"), F.lit("\n"), body))
+        F.when(F.col("s").isNull(), F.col("text"))
+        .when(F.col("s.snip_id") == 28, F.concat("s.body", F.lit("\n"), "text"))
+        .otherwise(F.concat("text", F.lit("\n"), "s.body"))
     )
-    return joined.select("doc_id", "repo", _snippet_path().alias("file_path"), content.alias("content"))
+    return joined.select("doc_id", "repo", path.alias("file_path"), content.alias("content"))
 
 
 def file_listing(spark: SparkSession, sf_dir: str) -> DataFrame:
