@@ -4,9 +4,9 @@ from __future__ import annotations
 
 
 def all_statements() -> dict[str, str]:
-    from oracle import corpus
+    from oracle import corpus, dependencies, hygiene, performance, quality
 
     out: dict[str, str] = {}
-    for part in (corpus,):
+    for part in (corpus, quality, performance, dependencies, hygiene):
         out.update(part.statements())
     return out

@@ -48,7 +48,7 @@ SELECT d.doc_id, d.source AS repo,
   CASE WHEN body IS NULL THEN d.text
        WHEN snip_id = 28 THEN replace(body, '~', chr(10)) || chr(10) || d.text
        ELSE d.text || chr(10) || replace(body, '~', chr(10)) END AS content
-FROM documents d LEFT JOIN snippets s ON d.doc_id % {SNIPPET_PERIOD} = s.snip_id""",
+FROM documents d LEFT JOIN snippets s ON (d.doc_id + d.doc_id // 20) % {SNIPPET_PERIOD} = s.snip_id""",
     "file_listing": """
 SELECT repo, CASE doc_id % 11 WHEN 0 THEN 'node_modules/' || file_path WHEN 1 THEN 'a/Build/' || file_path
    WHEN 2 THEN file_path || '.min.js' WHEN 3 THEN file_path || '.PNG'

@@ -9,7 +9,8 @@ from pyspark.sql import functions as F
 
 from sievebase.functions import findings as fi
 from sievebase.functions.text import explode_lines
-from sievebase.operators import line_rules
+from sievebase.functions.versions import compare
+from sievebase.operators import api_surface, dependencies, hygiene, line_rules, performance, quality
 from sievebase.sources import corpus, tables
 
 Query = Callable[[SparkSession, str], DataFrame]
@@ -46,8 +47,75 @@ def corpus_queries() -> dict[str, Query]:
     }
 
 
+def local(*analyzers) -> Query:
+    """File-local analyzers over the kept files, one pass."""
+    return on_files(lambda files: quality.emit(files, *analyzers))
+
+
+def quality_queries() -> dict[str, Query]:
+    out = {a.__name__: local(a) for a in quality.FILE_LOCAL}
+    out["method_metrics"] = on_files(
+        quality.method_metrics, "repo", "file_path", "name", "line_number", "length", "complexity"
+    )
+    out["duplicate_blocks"] = on_files(quality.duplicate_blocks, *fi.CORE, "file_count", "description")
+    out["circular_imports"] = on_files(quality.circular_imports, *fi.CORE, "description")
+    return out
+
+
+def performance_queries() -> dict[str, Query]:
+    out = {a.__name__: local(a) for a in performance.FILE_LOCAL}
+    out["large_allocation"] = on_files(
+        lambda f: quality.emit(f, performance.large_allocation), *fi.CORE, "description"
+    )
+    out["loop_context"] = on_files(
+        performance.loop_context, "repo", "file_path", "line_number", "in_loop", "in_loop_after"
+    )
+    return out
+
+
+def version_pairs(spark: SparkSession, sf: str) -> DataFrame:
+    """Version texts derived from the line items, with their comparison."""
+    li, flag = tables.read(spark, sf, "lineitem"), F.col("l_returnflag")
+
+    def text(*parts) -> F.Column:
+        return F.concat(*[F.lit(p) if isinstance(p, str) else p.cast("string") for p in parts])
+
+    a = F.concat(
+        text(F.col("l_linenumber"), ".", F.col("l_partkey") % 12, ".", F.col("l_suppkey") % 4),
+        F.when(flag == "R", "-rc.1").otherwise(""),
+    )
+    b = F.concat(
+        text(F.col("l_linenumber") % 5, ".", F.col("l_quantity").cast("int") % 12),
+        F.when(flag == "A", ".0").when(flag == "N", ".x.2").otherwise(""),
+    )
+    return li.select(a.alias("a"), b.alias("b")).distinct().withColumn("cmp", compare(F.col("a"), F.col("b")))
+
+
+def dependency_queries() -> dict[str, Query]:
+    out = {op.__name__: on_files(op) for op in dependencies.FILE_OPS}
+    out["duplicate_json_keys"] = on_files(dependencies.duplicate_json_keys, *fi.CORE, "description")
+    out["advisory_staleness"] = lambda s, d: dependencies.advisory_staleness(kept(s, d), "2025-06-01")
+    out["semver_compare"] = version_pairs
+    return out
+
+
+def hygiene_queries() -> dict[str, Query]:
+    out = {a.__name__: local(a) for a in hygiene.FILE_LOCAL}
+    out.update({op.__name__: on_files(op) for op in hygiene.FILE_OPS})
+    out["oversize_and_binary"] = lambda s, d: hygiene.oversize_and_binary(tables.file_listing(s, d)).select(*fi.CORE)
+    endpoint = ["repo", "file_path", "line_number", "framework", "method", "route"]
+    out["api_endpoints"] = on_files(api_surface.api_endpoints, *endpoint)
+    out["endpoint_protection"] = on_files(
+        api_surface.endpoint_protection, *endpoint, "has_auth", "has_validation", "has_rate_limit"
+    )
+    for op in (api_surface.unprotected_endpoints, api_surface.unvalidated_endpoints, api_surface.unlimited_mutations):
+        out[op.__name__] = on_files(op)
+    out["api_surface_summary"] = lambda s, d: api_surface.api_surface_summary(api_surface.endpoint_findings(kept(s, d)))
+    return out
+
+
 def all_queries() -> dict[str, Query]:
     out: dict[str, Query] = {}
-    for group in (corpus_queries,):
+    for group in (corpus_queries, quality_queries, performance_queries, dependency_queries, hygiene_queries):
         out.update(group())
     return out

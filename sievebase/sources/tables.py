@@ -8,7 +8,7 @@ scan events and exported git facts. Code is injected into most documents by
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from sievebase.functions.text import constant_table
@@ -76,6 +76,11 @@ SNIPPET_PATHS = {
 }
 
 
+def snippet_slot(doc: Column) -> Column:
+    """Which snippet a document gets: every repository (``doc_id % 20``) meets all."""
+    return ((doc + F.floor(doc / 20)) % SNIPPET_PERIOD).cast("int")
+
+
 def widen(df: DataFrame, key: str) -> DataFrame:
     """Spread a scan that has fewer partitions than the cluster has cores.
 
@@ -97,7 +102,7 @@ def code_corpus(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = widen(read(spark, sf_dir, "documents").select("doc_id", "text", "lang", "source"), "doc_id")
     joined = docs.select(
         "doc_id", "text", "lang", F.col("source").alias("repo"),
-        F.get(snippets, (F.col("doc_id") % SNIPPET_PERIOD).cast("int")).alias("s"),
+        F.get(snippets, snippet_slot(F.col("doc_id"))).alias("s"),
     )
     path = F.replace(
         F.replace(F.coalesce("s.path", F.lit("^/f#.md")), F.lit("#"), F.col("doc_id").cast("string")),
@@ -217,7 +222,7 @@ def users(spark: SparkSession, sf_dir: str) -> DataFrame:
 STATUS_OF_EVENT = {"signup": "CLONING", "view": "ANALYSIS", "click": "AI_REVIEW", "purchase": "COMPLETED"}
 
 
-def event_status(event_type: F.Column) -> F.Column:
+def event_status(event_type: Column) -> Column:
     status = F.lit("FAILED")
     for event, value in STATUS_OF_EVENT.items():
         status = F.when(event_type == event, value).otherwise(status)
