@@ -10,7 +10,7 @@ from pyspark.sql import functions as F
 from sievebase.functions import findings as fi
 from sievebase.functions.text import explode_lines
 from sievebase.functions.versions import compare
-from sievebase.operators import api_surface, dependencies, hygiene, line_rules, performance, quality
+from sievebase.operators import api_surface, dataflow, dependencies, forensics, hygiene, line_rules, performance, quality
 from sievebase.sources import corpus, tables
 
 Query = Callable[[SparkSession, str], DataFrame]
@@ -114,8 +114,45 @@ def hygiene_queries() -> dict[str, Query]:
     return out
 
 
+def dataflow_queries() -> dict[str, Query]:
+    hit = ["repo", "file_path", "line_number"]
+    flow = [*fi.CORE, "data_flow_trace", "sink_line"]
+    return {
+        "taint_sources": on_files(dataflow.taint_sources, *hit, "rule", "expr", "label", "var"),
+        "taint_sinks": on_files(dataflow.taint_sinks, *hit, "rule", "kind", "weakness"),
+        "sanitizer_lines": on_files(dataflow.sanitizer_lines, *hit),
+        "function_index": on_files(dataflow.function_index, *hit, "name"),
+        "intra_file_flows": on_files(dataflow.intra_file_flows, *flow, "via_call"),
+        "flows_via_local_call": on_files(dataflow.flows_via_local_call, *flow, "via_call"),
+        "cross_file_flows": on_files(dataflow.cross_file_flows, *flow, "target_file", "function_name"),
+        "property_taint": on_files(dataflow.property_taint, *flow, "property"),
+    }
+
+
+def on_table(op: Callable[[DataFrame], DataFrame], table: Query, *extra: str) -> Query:
+    return lambda spark, sf: op(table(spark, sf)).select(*fi.CORE, *extra)
+
+
+def forensics_queries() -> dict[str, Query]:
+    objects, corpus_ = tables.git_objects, tables.code_corpus
+    return {
+        "dangling_blob_secrets": on_table(forensics.dangling_blob_secrets, objects, "commit_hash"),
+        "unreachable_sensitive_commits": on_table(forensics.unreachable_sensitive_commits, objects),
+        "reflog_sensitive_messages": on_table(
+            forensics.reflog_sensitive_messages, tables.reflog, "commit_hash", "commit_date"
+        ),
+        "stash_secrets": on_table(forensics.stash_secrets, tables.stashes, "commit_hash"),
+        "git_config_exposure": on_table(forensics.git_config_exposure, corpus_, "description"),
+        "hook_forensics": on_table(forensics.hook_forensics, corpus_),
+        "submodule_risks": on_table(forensics.submodule_risks, corpus_),
+        "high_entropy_tokens": on_files(forensics.high_entropy_tokens, *fi.CORE, "token", "bits"),
+        "history_secret_scan": on_table(forensics.history_secret_scan, objects, "commit_hash", "uses"),
+        "large_pack_objects": on_table(forensics.large_pack_objects, objects, "description"),
+    }
+
+
 def all_queries() -> dict[str, Query]:
     out: dict[str, Query] = {}
-    for group in (corpus_queries, quality_queries, performance_queries, dependency_queries, hygiene_queries):
+    for group in (corpus_queries, quality_queries, performance_queries, dependency_queries, hygiene_queries, dataflow_queries, forensics_queries):
         out.update(group())
     return out

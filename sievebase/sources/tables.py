@@ -55,7 +55,7 @@ SNIPPETS: list[tuple[int, str, str]] = [
     (34, ".py", "value = compute(1)~" * 505),
     (35, "ringa", "using Ring.Beta;~class Alpha {}"),
     (36, "ringb", "using Ring.Alpha;~#include <Ring.Alpha>~class Beta {}"),
-    (37, ".py", '[HttpGet("items")]~[HttpPost]~@app.route("/x", methods=["POST", "PUT"])~@app.post("/y")~path("z/", view)~def handler(x):~  q = request.args["id"]~  cursor.execute(q)'),
+    (37, ".py", '[HttpGet("items")]~[HttpPost]~@app.route("/x", methods=["POST", "PUT"])~@app.post("/y")~path("z/", view)~def handler(x):~  q = request.args["id"]~  handler(args)~  cursor.execute(q)'),
     (38, "deep", "fetch(url + q)~xpath(a + b)~ldap_search(x)~{{{ raw }}}~public void Many(" + "int parameter_name_long, " * 9 + "int last) {~}"),
     (39, "test", 'Console.WriteLine("t");~var z = new byte[99];~const h = request.headers; // trim~eval(h)'),
 ]
