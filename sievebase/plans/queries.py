@@ -10,7 +10,8 @@ from pyspark.sql import functions as F
 from sievebase.functions import findings as fi
 from sievebase.functions.text import explode_lines
 from sievebase.functions.versions import compare
-from sievebase.operators import api_surface, dataflow, dependencies, forensics, hygiene, line_rules, performance, quality
+from sievebase.operators import api_surface, dataflow, dependencies, forensics, hygiene, line_rules, performance, quality, scoring
+from sievebase.plans import scan
 from sievebase.sources import corpus, tables
 
 Query = Callable[[SparkSession, str], DataFrame]
@@ -151,8 +152,62 @@ def forensics_queries() -> dict[str, Query]:
     }
 
 
+def git_facts(spark: SparkSession, sf: str) -> scan.GitFacts:
+    return scan.GitFacts(tables.git_objects(spark, sf), tables.reflog(spark, sf), tables.stashes(spark, sf))
+
+
+def merged(spark: SparkSession, sf: str) -> DataFrame:
+    return scan.merge_analyzers(tables.code_corpus(spark, sf), git_facts(spark, sf))
+
+
+def structure_and_rules(spark: SparkSession, sf: str) -> DataFrame:
+    """Line rule hits with the structure and hygiene findings."""
+    files = kept(spark, sf)
+    parts = [line_rules.security_rule_scan(files), quality.emit(files, *hygiene.FILE_LOCAL)]
+    parts += [op(files) for op in hygiene.FILE_OPS]
+    return scan.union(parts)
+
+
+def _chain_input(spark: SparkSession, sf: str) -> DataFrame:
+    files = kept(spark, sf)
+    return scan.union(
+        [line_rules.security_rule_scan(files), api_surface.endpoint_findings(files), dataflow.flow_findings(files)]
+    )
+
+
+def _confidence(spark: SparkSession, sf: str) -> DataFrame:
+    findings = scan.materialize(merged(spark, sf), "findings")
+    return scoring.confidence_score(findings, kept(spark, sf)).select(*fi.CORE)
+
+
+def _with_double(df: DataFrame, *cols: str) -> DataFrame:
+    for c in cols:
+        df = df.withColumn(c, F.col(c).cast("double"))
+    return df
+
+
+def scoring_queries() -> dict[str, Query]:
+    facts = structure_and_rules
+    attribution = [*fi.CORE, "commit_hash", "author", "author_email", "commit_message", "commit_date", "introduced_by"]
+    return {
+        "merge_analyzers": lambda s, d: merged(s, d).select(*fi.CORE, "reachability_status"),
+        "confidence_score": _confidence,
+        "blame_attribution": lambda s, d: scoring.blame_attribution(facts(s, d), tables.line_blame(s, d)).select(*attribution),
+        "attack_chains": lambda s, d: scoring.attack_chains(_chain_input(s, d)).select(*fi.CORE, "reachability_status"),
+        "health_score": lambda s, d: scoring.health_score(facts(s, d)),
+        "tech_debt": lambda s, d: _with_double(scoring.tech_debt(tables.issues(s, d), "scan_id"), "dollars"),
+        "file_risk": lambda s, d: scoring.file_risk(facts(s, d)),
+        "distinct_critical_titles": lambda s, d: scoring.distinct_critical_titles(facts(s, d)),
+        "action_plan": lambda s, d: _with_double(scoring.action_plan(tables.issues(s, d), "scan_id"), "dollar_cost"),
+        "confidence_bands": lambda s, d: scoring.confidence_bands(tables.issues(s, d)),
+        "analysis_summary": lambda s, d: scoring.analysis_summary(
+            scan.materialize(merged(s, d), "findings"), kept(s, d)
+        ),
+    }
+
+
 def all_queries() -> dict[str, Query]:
     out: dict[str, Query] = {}
-    for group in (corpus_queries, quality_queries, performance_queries, dependency_queries, hygiene_queries, dataflow_queries, forensics_queries):
+    for group in (corpus_queries, quality_queries, performance_queries, dependency_queries, hygiene_queries, dataflow_queries, forensics_queries, scoring_queries):
         out.update(group())
     return out
