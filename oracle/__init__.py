@@ -4,9 +4,9 @@ from __future__ import annotations
 
 
 def all_statements() -> dict[str, str]:
-    from oracle import corpus, dataflow, dependencies, forensics, hygiene, performance, quality, scoring
+    from oracle import corpus, dataflow, dependencies, forensics, history, hygiene, performance, quality, scoring, streams
 
     out: dict[str, str] = {}
-    for part in (corpus, quality, performance, dependencies, hygiene, dataflow, forensics, scoring):
+    for part in (corpus, quality, performance, dependencies, hygiene, dataflow, forensics, scoring, history, streams):
         out.update(part.statements())
     return out

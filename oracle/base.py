@@ -76,9 +76,10 @@ SELECT page_id, CASE page_id % 12
   WHEN 9 THEN 'https://dev.azure.com/org/proj/blob/x' || rest ELSE url END AS url
 FROM (SELECT page_id, url, regexp_replace(url, '^https?://[^/]+', '') AS rest FROM pages)""",
     "scans": """
-SELECT o_orderkey AS scan_id, o_custkey AS user_id, 'repo_' || (o_custkey % 97) AS repository_name,
+SELECT o_orderkey AS scan_id, o_custkey AS user_id,
+  CASE WHEN o_orderkey % 50 = 0 THEN '' ELSE 'repo_' || (o_custkey % 97) END AS repository_name,
   CASE o_orderstatus WHEN 'F' THEN 'COMPLETED' WHEN 'O' THEN 'ANALYSIS' ELSE 'FAILED' END AS status,
-  o_orderdate AS created_at, CAST(o_orderkey % 96 + 5 AS INT) AS health_score
+  o_orderdate AS created_at, CASE WHEN o_orderkey % 41 <> 0 THEN CAST(o_orderkey % 96 + 5 AS INT) END AS health_score
 FROM orders""",
     "issues": """
 SELECT l_orderkey AS scan_id,
@@ -97,6 +98,13 @@ SELECT c_custkey AS user_id, c_name || '@x.io' AS email, c_name AS display_name,
   c_nationkey AS team_id,
   make_timestamp((1700000000 + c_custkey * 7919 % 8640000) * 1000000) AS last_login
 FROM customer""",
+    "api_keys": """
+SELECT o_orderkey AS key_id, o_custkey AS user_id, o_orderpriority AS name, o_orderdate AS created_at,
+  CASE WHEN o_orderstatus = 'F' THEN o_orderdate END AS last_used FROM orders WHERE o_orderpriority IN ('1-URGENT', '5-LOW')""",
+    "logins": """
+SELECT CASE WHEN c_custkey % 3 = 0 THEN c_custkey ELSE c_custkey + 10000000 END AS user_id,
+  c_name || CASE WHEN c_custkey % 3 = 1 THEN '@x.io' ELSE '@new.io' END AS email FROM customer""",
+    "teams": "SELECT n_nationkey AS team_id, n_name AS team_name, CAST(n_nationkey AS BIGINT) AS owner_id FROM nation",
     "scan_events": """
 SELECT event_id, user_id AS scan_id, ts,
   CASE event_type WHEN 'signup' THEN 'CLONING' WHEN 'view' THEN 'ANALYSIS' WHEN 'click' THEN 'AI_REVIEW'

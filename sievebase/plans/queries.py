@@ -10,9 +10,10 @@ from pyspark.sql import functions as F
 from sievebase.functions import findings as fi
 from sievebase.functions.text import explode_lines
 from sievebase.functions.versions import compare
-from sievebase.operators import api_surface, dataflow, dependencies, forensics, hygiene, line_rules, performance, quality, scoring
+from sievebase.operators import api_surface, dataflow, dependencies, forensics, history, hygiene, line_rules, performance, quality, scoring
 from sievebase.plans import scan
 from sievebase.sources import corpus, tables
+from sievebase.streaming import runner, scan_events
 
 Query = Callable[[SparkSession, str], DataFrame]
 
@@ -206,8 +207,123 @@ def scoring_queries() -> dict[str, Query]:
     }
 
 
+def history_queries() -> dict[str, Query]:
+    sc, iss, us = tables.scans, tables.issues, tables.users
+
+    def on_scans(op, *args) -> Query:
+        return lambda s, d: op(sc(s, d), *args)
+
+    def on_issues(op, *args) -> Query:
+        return lambda s, d: op(iss(s, d), *args)
+
+    def both(op, *args) -> Query:
+        return lambda s, d: op(sc(s, d), iss(s, d), *args)
+
+    def pairs(s: SparkSession, d: str) -> DataFrame:
+        return history.latest_two_scans(sc(s, d))
+
+    def owned(s: SparkSession, d: str) -> DataFrame:
+        owner = F.when(F.col("scan_id") % 37 == 0, None).when(F.col("scan_id") % 41 == 0, "").otherwise(
+            F.col("user_id").cast("string")
+        )
+        return sc(s, d).withColumn("owner", owner)
+
+    def jobs(s: SparkSession, d: str) -> DataFrame:
+        price, key = F.col("o_totalprice"), F.col("o_orderkey")
+        return tables.read(s, d, "orders").select(
+            key.alias("scan_id"), F.floor(price * 7).alias("size_kb"), F.floor(price * (key % 3)).alias("duration_ms"),
+            F.col("o_orderdate").alias("created_at"),
+        )
+
+    local_store = lambda s, d: sc(s, d).filter(F.col("scan_id") % 3 != 0)
+    remote_store = lambda s, d: sc(s, d).withColumn("health_score", F.lit(1))
+    return {
+        "scan_state_json": on_issues(history.scan_state_json),
+        "findings_csv_export": on_issues(history.findings_csv_export),
+        "user_export": on_scans(history.user_export),
+        "recent_completed": lambda s, d: history.recent_completed(local_store(s, d), remote_store(s, d)),
+        "scan_history": on_scans(history.scan_history),
+        "repo_cards": both(history.repo_cards),
+        "user_scan_stats": lambda s, d: _with_double(history.user_scan_stats(sc(s, d), iss(s, d)), "debt_dollars"),
+        "admin_stats": lambda s, d: history.admin_stats(sc(s, d), iss(s, d), us(s, d), tables.api_keys(s, d)),
+        "admin_users": lambda s, d: history.admin_users(us(s, d), sc(s, d), "Customer#0"),
+        "admin_scans_page": both(history.admin_scans_page, "repo_1", "completed", 3, 50, "score", False),
+        "activity_feed": lambda s, d: history.activity_feed(sc(s, d), us(s, d)),
+        "notifications": on_scans(history.notifications, "1998-01-01 00:00:00", "2001-01-01 00:00:00"),
+        "repo_search_sort": lambda s, d: history.repo_search_sort(
+            history.repo_cards(sc(s, d), iss(s, d)), "repo_2", "Name", True
+        ),
+        "latest_two_scans": pairs,
+        "scan_diff": lambda s, d: history.scan_diff(pairs(s, d), iss(s, d)),
+        "scan_diff_summary": lambda s, d: history.scan_diff_summary(pairs(s, d), sc(s, d), iss(s, d)),
+        "score_trend": on_scans(history.score_trend),
+        "top_affected_files": on_issues(history.top_affected_files),
+        "severity_category_matrix": on_issues(history.severity_category_matrix),
+        "report_sections": on_issues(history.report_sections),
+        "plan_quota": lambda s, d: history.plan_quota(sc(s, d), us(s, d)),
+        "quota_rejections": lambda s, d: history.quota_rejections(sc(s, d), us(s, d)),
+        "cascade_delete": lambda s, d: history.cascade_delete(sc(s, d), us(s, d).filter(F.col("plan_type") == "TEAM")),
+        "user_upsert": lambda s, d: history.user_upsert(us(s, d), tables.logins(s, d), "2025-06-01 00:00:00"),
+        "owner_filter": lambda s, d: history.owner_filter(owned(s, d), "7"),
+        "api_key_listing": lambda s, d: history.api_key_listing(tables.api_keys(s, d)),
+        "fix_progress": lambda s, d: history.fix_progress(iss(s, d), iss(s, d).filter(F.col("severity") == "Info")),
+        "size_eta_labels": lambda s, d: history.size_eta_labels(jobs(s, d), "1998-08-02 12:00:30"),
+        "team_members": lambda s, d: history.team_members(tables.teams(s, d), us(s, d)),
+    }
+
+
+def stream_queries() -> dict[str, Query]:
+    """Streams drained to the end of their input; times are given in microseconds."""
+    def events(s: SparkSession, d: str) -> DataFrame:
+        return tables.scan_events(runner.read_table(s, d, "events"))
+
+    def us(df: DataFrame, **cols: str) -> DataFrame:
+        for new, old in cols.items():
+            df = df.withColumn(new, F.unix_micros(old)).drop(old)
+        return df
+
+    def latest(s: SparkSession, d: str) -> DataFrame:
+        changes = runner.drain_update(scan_events.latest_status(events(s, d)), "latest")
+        return us(runner.latest_rows(changes, "scan_id"), ts_us="ts")
+
+    def throttle(s: SparkSession, d: str) -> DataFrame:
+        rows = runner.drain_append(scan_events.progress_throttle(events(s, d), 86400.0), "throttle")
+        return us(rows, ts_us="ts").select("event_id", "scan_id", "status", "ts_us")
+
+    def rule_scan(s: SparkSession, d: str) -> DataFrame:
+        files = corpus.kept_files(tables.corpus_from(runner.read_table(s, d, "documents")))
+        return runner.drain_append(line_rules.security_rule_scan(files), "rules").select(*fi.CORE)
+
+    def windows(slide: str | None) -> Query:
+        def run(s: SparkSession, d: str) -> DataFrame:
+            stream = scan_events.status_windows(events(s, d), "1 day", slide)
+            rows = runner.latest_rows(runner.drain_update(stream, "windows"), "window_start", "window_end", "status")
+            return us(rows, window_start_us="window_start", window_end_us="window_end")
+
+        return run
+
+    def sessions(s: SparkSession, d: str) -> DataFrame:
+        return us(runner.drain_append(scan_events.scan_sessions(events(s, d)), "sessions"), start_us="session_start", end_us="session_end")
+
+    def intervals(s: SparkSession, d: str) -> DataFrame:
+        start, end = scan_events.interval_bounds(F.col("ts"), F.col("value"))
+        return tables.read(s, d, "events").select("event_id", F.col("user_id").alias("client"), start.alias("start_us"), end.alias("end_us"))
+
+    return {
+        "stream_latest_status": latest,
+        "stream_progress_throttle": throttle,
+        "stream_orphan_scans": lambda s, d: runner.drain_append(scan_events.orphan_scans(events(s, d), 21600), "orphans"),
+        "stream_rule_scan": rule_scan,
+        "stream_status_windows": windows(None),
+        "stream_status_sliding": windows("6 hours"),
+        "stream_scan_sessions": sessions,
+        "stream_dedup": lambda s, d: runner.drain_append(scan_events.dedup(events(s, d), "scan_id", "status"), "dedup"),
+        "concurrent_scans": lambda s, d: scan_events.concurrent_scans(intervals(s, d)),
+    }
+
+
 def all_queries() -> dict[str, Query]:
     out: dict[str, Query] = {}
-    for group in (corpus_queries, quality_queries, performance_queries, dependency_queries, hygiene_queries, dataflow_queries, forensics_queries, scoring_queries):
+    for group in (corpus_queries, quality_queries, performance_queries, dependency_queries, hygiene_queries, dataflow_queries, forensics_queries, scoring_queries, history_queries, stream_queries):
         out.update(group())
     return out

@@ -94,12 +94,17 @@ def widen(df: DataFrame, key: str) -> DataFrame:
 
 def code_corpus(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Files of many repositories: doc_id, repo, file_path, content."""
+    docs = read(spark, sf_dir, "documents").select("doc_id", "text", "lang", "source")
+    return corpus_from(widen(docs, "doc_id"))
+
+
+def corpus_from(docs: DataFrame) -> DataFrame:
+    """The file view of documents, batch or streaming."""
     # The snippet list is a literal of fixed size, looked up by position.
     snippets = constant_table(
         [(i, SNIPPET_PATHS.get(i, "^/f#" + ext), body.replace("~", "\n")) for i, ext, body in SNIPPETS],
         ["snip_id", "path", "body"],
     )
-    docs = widen(read(spark, sf_dir, "documents").select("doc_id", "text", "lang", "source"), "doc_id")
     joined = docs.select(
         "doc_id", "text", "lang", F.col("source").alias("repo"),
         F.get(snippets, snippet_slot(F.col("doc_id"))).alias("s"),
@@ -167,10 +172,12 @@ def scans(spark: SparkSession, sf_dir: str) -> DataFrame:
     return read(spark, sf_dir, "orders").select(
         F.col("o_orderkey").alias("scan_id"),
         F.col("o_custkey").alias("user_id"),
-        F.concat(F.lit("repo_"), (F.col("o_custkey") % 97).cast("string")).alias("repository_name"),
+        F.when(F.col("o_orderkey") % 50 == 0, "").otherwise(
+            F.concat(F.lit("repo_"), (F.col("o_custkey") % 97).cast("string"))
+        ).alias("repository_name"),
         status.alias("status"),
         F.col("o_orderdate").alias("created_at"),
-        (F.col("o_orderkey") % 96 + 5).cast("int").alias("health_score"),
+        F.when(F.col("o_orderkey") % 41 != 0, (F.col("o_orderkey") % 96 + 5).cast("int")).alias("health_score"),
     )
 
 
@@ -219,6 +226,32 @@ def users(spark: SparkSession, sf_dir: str) -> DataFrame:
     )
 
 
+def api_keys(spark: SparkSession, sf_dir: str) -> DataFrame:
+    orders = read(spark, sf_dir, "orders").filter(F.col("o_orderpriority").isin("1-URGENT", "5-LOW"))
+    return orders.select(
+        F.col("o_orderkey").alias("key_id"), F.col("o_custkey").alias("user_id"), F.col("o_orderpriority").alias("name"),
+        F.md5(F.col("o_orderkey").cast("string")).alias("key_value"), F.col("o_orderdate").alias("created_at"),
+        F.when(F.col("o_orderstatus") == "F", F.col("o_orderdate")).alias("last_used"),
+    )
+
+
+def logins(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Sign-ins to be merged into the users: same id, same e-mail, or new."""
+    known = read(spark, sf_dir, "customer")
+    slot, key = F.col("c_custkey") % 3, F.col("c_custkey")
+    return known.select(
+        F.when(slot == 0, key).otherwise(key + 10_000_000).alias("user_id"),
+        F.when(slot == 1, F.concat("c_name", F.lit("@x.io"))).otherwise(F.concat("c_name", F.lit("@new.io"))).alias("email"),
+    )
+
+
+def teams(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return read(spark, sf_dir, "nation").select(
+        F.col("n_nationkey").alias("team_id"), F.col("n_name").alias("team_name"),
+        F.col("n_nationkey").cast("bigint").alias("owner_id"),
+    )
+
+
 STATUS_OF_EVENT = {"signup": "CLONING", "view": "ANALYSIS", "click": "AI_REVIEW", "purchase": "COMPLETED"}
 
 
