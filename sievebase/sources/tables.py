@@ -279,7 +279,7 @@ def git_objects(spark: SparkSession, sf_dir: str) -> DataFrame:
         F.concat(F.md5(doc.cast("string")), F.substring(F.md5(F.concat(F.lit("x"), doc.cast("string"))), 1, 8)).alias("hash"),
         F.when(kind == 0, "blob").when(kind == 1, "commit").otherwise("tree").alias("obj_type"),
         F.when(reach == 0, "unreachable").when(reach == 1, "dangling").otherwise("reachable").alias("reach"),
-        (F.length("content") * 40000).cast("bigint").alias("size_bytes"),
+        (F.length("content").cast("bigint") * 40000).alias("size_bytes"),
         F.col("file_path").alias("touched_paths"),
         "content",
         (F.lit(1600000000) + doc * 3600).cast("bigint").alias("commit_time"),
