@@ -10,6 +10,8 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
+from sievebase.functions.text import split_lines
+
 FINDING = T.StructType(
     [
         T.StructField("line_number", T.IntegerType()),
@@ -77,9 +79,14 @@ def when_all(*pairs: tuple[Column, Column]) -> Column:
     return F.array_compact(F.array(*[F.when(cond, item) for cond, item in pairs]))
 
 
-def inline_findings(df: DataFrame, found: Column, *extra: str) -> DataFrame:
-    """Turn an ``array<finding>`` column into findings rows."""
-    return df.select(*KEYS, *extra, F.inline(found))
+def with_lines(files: DataFrame) -> DataFrame:
+    """Files with their lines as the array column ``ls``."""
+    return files.withColumn("ls", split_lines(F.col("content")))
+
+
+def emit(files: DataFrame, *analyzers) -> DataFrame:
+    """Findings of any number of file-local analyzers in one pass over the files."""
+    return with_lines(files).select(*KEYS, F.inline(F.concat(*[a() for a in analyzers])))
 
 
 def as_rows(df: DataFrame, item: Column) -> DataFrame:

@@ -5,9 +5,8 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from sievebase.functions.findings import finding
-from sievebase.functions.text import first_lines
-from sievebase.operators.quality import with_lines
+from sievebase.functions.findings import emit, finding, with_lines
+from sievebase.functions.text import first_lines, let
 
 # Route patterns by framework and the words that show a protection.
 EXPRESS = r"""(?i)(?:app|router)\.(get|post|put|delete|patch)\s*\(\s*['"]([^'"]+)['"]"""
@@ -62,83 +61,97 @@ def _route_hits(l: Column, n: Column) -> Column:
     )
 
 
-def api_endpoints(files: DataFrame) -> DataFrame:
-    """One row per route rule hit; one line may hit two rules."""
-    return endpoint_protection(files).select("repo", "file_path", "line_number", "framework", "method", "route")
-
-
-def endpoint_protection(files: DataFrame) -> DataFrame:
-    """Endpoints with the protections seen around them.
+def _protected_routes() -> Column:
+    """The endpoints of a file with the protections seen around them.
 
     Protections are looked up among the line numbers of the file itself: within
     29 lines before and 40 after, in the whole file for rate limits, and for
     access checks in the whole file too if it registers middleware.
     """
-    content = F.col("content")
-    with_routes = with_lines(files.filter(content.rlike(ROUTE_HINT)))
-    marked = with_routes.select(
-        "repo", "file_path",
-        F.flatten(F.transform("ls", lambda l, i: _route_hits(l, i + 1))).alias("routes"),
-        first_lines(F.transform("ls", lambda l: l.rlike(AUTH))).alias("auth"),
-        first_lines(F.transform("ls", lambda l: l.rlike(VALIDATION))).alias("validation"),
-        content.rlike(RATE_LIMIT).alias("has_rate_limit"),
-        F.lower("content").contains("app.use(").alias("global_use"),
-    ).filter(F.size("routes") > 0)
-    e = marked.select("repo", "file_path", "auth", "validation", "has_rate_limit", "global_use", F.inline("routes"))
-
-    def around(lines: str) -> Column:
-        n = F.col("line_number")
-        return F.exists(lines, lambda k: (k >= n - LINES_BEFORE) & (k <= n + LINES_AFTER))
-
-    return e.select(
-        "repo", "file_path", "line_number", "framework", "method", "route",
-        (around("auth") | (F.col("global_use") & (F.size("auth") > 0))).alias("has_auth"),
-        around("validation").alias("has_validation"), "has_rate_limit",
+    content, lines = F.col("content"), F.col("ls")
+    routes = F.flatten(F.transform(lines, lambda l, i: _route_hits(l, i + 1)))
+    seen = F.struct(
+        first_lines(F.transform(lines, lambda l: l.rlike(AUTH))).alias("auth"),
+        first_lines(F.transform(lines, lambda l: l.rlike(VALIDATION))).alias("validation"),
+        content.rlike(RATE_LIMIT).alias("rate_limit"),
+        F.lower(content).contains("app.use(").alias("global_use"),
+    )
+
+    def around(at: Column, n: Column) -> Column:
+        return F.exists(at, lambda k: (k >= n - LINES_BEFORE) & (k <= n + LINES_AFTER))
+
+    def judge(r: Column, s: Column) -> Column:
+        n = r["line_number"]
+        return F.struct(
+            *[r[c].alias(c) for c in ("line_number", "framework", "method", "route")],
+            (around(s["auth"], n) | (s["global_use"] & (F.size(s["auth"]) > 0))).alias("has_auth"),
+            around(s["validation"], n).alias("has_validation"), s["rate_limit"].alias("has_rate_limit"),
+        )
+
+    kind = (
+        "array<struct<line_number:int,framework:string,method:string,route:string,"
+        "has_auth:boolean,has_validation:boolean,has_rate_limit:boolean>>"
+    )
+    none = F.array().cast(kind)
+    judged = let(
+        routes,
+        lambda rs: F.when(F.size(rs) > 0, let(seen, lambda s: F.transform(rs, lambda r: judge(r, s)))).otherwise(none),
     )
+    return F.when(content.rlike(ROUTE_HINT), judged).otherwise(none)
 
 
-def _endpoint() -> Column:
-    return F.concat(F.lit("Endpoint "), "method", F.lit(" "), "route")
+def endpoint_protection(files: DataFrame) -> DataFrame:
+    return with_lines(files).select("repo", "file_path", F.inline(_protected_routes()))
+
+
+def api_endpoints(files: DataFrame) -> DataFrame:
+    """One row per route rule hit; one line may hit two rules."""
+    return endpoint_protection(files).select("repo", "file_path", "line_number", "framework", "method", "route")
 
 
-def _api(severity: str, title: str, why: str, advice: str, effort: str, score: int) -> Column:
-    return finding(F.col("line_number"), severity, "ApiSurface", title, F.concat(_endpoint(), F.lit(why)), advice, effort, score)
+def _api(e, severity: str, title: str, why: str, advice: str, effort: str, score: int) -> Column:
+    described = F.concat(F.lit("Endpoint "), e("method"), F.lit(" "), e("route"), F.lit(why))
+    return finding(e("line_number"), severity, "ApiSurface", title, described, advice, effort, score)
 
 
-def _unprotected() -> Column:
-    return F.when(~F.col("has_auth"), _api(
-        "Warning", "Unprotected API Endpoint", " checks no caller.", "Check the caller before the handler.", "Medium", 75))
+def _unprotected(e) -> Column:
+    return F.when(~e("has_auth"), _api(
+        e, "Warning", "Unprotected API Endpoint", " checks no caller.", "Check the caller before the handler.", "Medium", 75))
 
 
-def _unvalidated() -> Column:
-    return F.when(~F.col("has_validation"), _api(
-        "Info", "No Input Validation on Endpoint", " checks no input.", "Check the input before use.", "Easy", 50))
+def _unvalidated(e) -> Column:
+    return F.when(~e("has_validation"), _api(
+        e, "Info", "No Input Validation on Endpoint", " checks no input.", "Check the input before use.", "Easy", 50))
 
 
-def _unlimited() -> Column:
-    return F.when(~F.col("has_rate_limit") & F.col("method").isin(MUTATIONS), _api(
-        "Info", "No Rate Limiting on Mutating Endpoint", " may be called without limit.", "Limit the call rate.", "Easy", 45))
+def _unlimited(e) -> Column:
+    return F.when(~e("has_rate_limit") & e("method").isin(MUTATIONS), _api(
+        e, "Info", "No Rate Limiting on Mutating Endpoint", " may be called without limit.", "Limit the call rate.", "Easy", 45))
 
 
-def _endpoint_rows(files: DataFrame, *found: Column) -> DataFrame:
-    return endpoint_protection(files).select("repo", "file_path", F.inline(F.array_compact(F.array(*found))))
+def _of(*checks):
+    """An analyzer giving the findings of these checks for every endpoint of a file."""
+    def analyzer() -> Column:
+        return F.flatten(
+            F.transform(_protected_routes(), lambda r: F.array_compact(F.array(*[c(lambda name: r[name]) for c in checks])))
+        )
+
+    return analyzer
+
+
+endpoint_findings = _of(_unprotected, _unvalidated, _unlimited)
 
 
 def unprotected_endpoints(files: DataFrame) -> DataFrame:
-    return _endpoint_rows(files, _unprotected())
+    return emit(files, _of(_unprotected))
 
 
 def unvalidated_endpoints(files: DataFrame) -> DataFrame:
-    return _endpoint_rows(files, _unvalidated())
+    return emit(files, _of(_unvalidated))
 
 
 def unlimited_mutations(files: DataFrame) -> DataFrame:
-    return _endpoint_rows(files, _unlimited())
-
-
-def endpoint_findings(files: DataFrame) -> DataFrame:
-    """All three kinds of endpoint findings from one pass over the files."""
-    return _endpoint_rows(files, _unprotected(), _unvalidated(), _unlimited())
+    return emit(files, _of(_unlimited))
 
 
 def api_surface_summary(findings: DataFrame) -> DataFrame:

@@ -10,10 +10,9 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from sievebase.functions.findings import finding
+from sievebase.functions.findings import COLUMNS, finding, with_lines
 from sievebase.functions.substrings import key, pieces
 from sievebase.functions.text import first_lines, let
-from sievebase.operators.quality import with_lines
 from sievebase.rules import taint
 
 NAME_KEY = 16
@@ -141,15 +140,26 @@ def function_index(files: DataFrame) -> DataFrame:
     )
 
 
-def _source_rows(files: DataFrame, mode: str, one_per_line: bool, *extra: Column) -> DataFrame:
+def flow_facts(files: DataFrame, mode: str = "compat") -> DataFrame:
+    """Files with input sources: lines, sources, sinks, checks and function names."""
+    held = with_lines(files.filter(F.col("content").rlike(taint.SOURCE_HINT))).select(
+        "repo", "file_path", "ls", _sources(F.col("ls"), mode).alias("sources")
+    )
+    found = F.size("sources") > 0
+    names = F.array_distinct(F.transform(_definitions(F.col("ls")), lambda d: d["name"]))
+    # Files without sources leave when their sources are exploded; until then
+    # nothing else is computed for them.
+    return held.select(
+        "repo", "file_path", "sources", F.when(found, F.col("ls")).alias("ls"),
+        F.when(found, _sinks(F.col("ls"))).alias("sinks"), F.when(found, _checks(F.col("ls"))).alias("checks"),
+        F.when(found, names).alias("names"),
+    )
+
+
+def _source_rows(facts: DataFrame, one_per_line: bool) -> DataFrame:
     """One row per source with its file's lines, sinks and checks."""
-    held = with_lines(files.filter(F.col("content").rlike(taint.SOURCE_HINT)))
-    facts = held.select(
-        "repo", "file_path", "ls", _sources(F.col("ls"), mode).alias("sources"),
-        _sinks(F.col("ls")).alias("sinks"), _checks(F.col("ls")).alias("checks"), *extra,
-    ).filter(F.size("sources") > 0)
     chosen = _first_per_line(F.col("sources")) if one_per_line else F.col("sources")
-    return facts.select(*[c for c in facts.columns if c != "sources"], F.explode(chosen).alias("s"))
+    return facts.select("repo", "file_path", "ls", "sinks", "checks", "names", F.explode(chosen).alias("s"))
 
 
 def _where(file: str | Column, line: Column) -> Column:
@@ -157,12 +167,16 @@ def _where(file: str | Column, line: Column) -> Column:
 
 
 def intra_file_flows(files: DataFrame, mode: str = "compat") -> DataFrame:
+    return _intra_file(flow_facts(files, mode))
+
+
+def _intra_file(facts: DataFrame) -> DataFrame:
     """Source and later sink in one file with no sanitizer line from the source on.
 
     A flow that passes a call of a function of the same file before its sink is
     titled and scored as such. One flow is kept per source and sink line.
     """
-    rows = _source_rows(files, mode, True, F.array_distinct(F.transform(_definitions(F.col("ls")), lambda d: d["name"])).alias("names"))
+    rows = _source_rows(facts, True)
     stop = _next_check(F.col("checks"), F.col("s.line"))
     near = rows.withColumn("sinks", _first_per_line(F.col("sinks"))).withColumn("stop", stop)
     reached = near.withColumn(
@@ -209,6 +223,10 @@ def flows_via_local_call(files: DataFrame, mode: str = "compat") -> DataFrame:
 
 
 def cross_file_flows(files: DataFrame, mode: str = "compat") -> DataFrame:
+    return _cross_file(flow_facts(files, mode), files)
+
+
+def _cross_file(facts: DataFrame, files: DataFrame) -> DataFrame:
     """A call near a source of a function defined in another file that reaches a sink.
 
     Function names may stand anywhere inside an identifier of the call line.
@@ -216,7 +234,7 @@ def cross_file_flows(files: DataFrame, mode: str = "compat") -> DataFrame:
     gives the pieces of its identifiers, the function index keeps only functions
     with a sink in reach. Longer names are then checked on the line itself.
     """
-    sources = _source_rows(files, mode, False)
+    sources = _source_rows(facts, False)
     window = F.slice("ls", F.col("s.line") + 1, taint.CALL_WINDOW)
     calls = sources.select("repo", "file_path", "s", F.posexplode(window).alias("i", "line")).filter(
         F.col("line").rlike(r"\S") & F.contains("line", F.col("s.var"))
@@ -225,10 +243,13 @@ def cross_file_flows(files: DataFrame, mode: str = "compat") -> DataFrame:
     parts = F.array_distinct(F.flatten(F.transform(words, lambda w: pieces(w, NAME_KEY))))
     asked = calls.select("repo", F.col("file_path").alias("src_file"), "s", "call_line", "line", F.explode(parts).alias("key"))
 
-    held = with_lines(files).select(
-        "repo", "file_path", _definitions(F.col("ls")).alias("defs"), _sinks(F.col("ls")).alias("sinks"), _checks(F.col("ls")).alias("checks")
-    ).filter((F.size("defs") > 0) & (F.size("sinks") > 0))
-    defs = held.select("repo", "file_path", "sinks", "checks", F.explode("defs").alias("d")).withColumn(
+    held = with_lines(files).select("repo", "file_path", "ls", _sinks(F.col("ls")).alias("sinks"))
+    harmful = F.size("sinks") > 0
+    defs = held.select(
+        "repo", "file_path", "sinks", F.when(harmful, _definitions(F.col("ls"))).alias("defs"),
+        F.when(harmful, _checks(F.col("ls"))).alias("checks"),
+    )
+    defs = defs.select("repo", "file_path", "sinks", "checks", F.explode("defs").alias("d")).withColumn(
         "stop", _next_check(F.col("checks"), F.col("d.line"))
     )
     reach = defs.select(
@@ -263,8 +284,12 @@ def cross_file_flows(files: DataFrame, mode: str = "compat") -> DataFrame:
 
 
 def property_taint(files: DataFrame, mode: str = "compat") -> DataFrame:
+    return _property(flow_facts(files, mode))
+
+
+def _property(facts: DataFrame) -> DataFrame:
     """Input stored in a property soon after its source and used in a sink."""
-    rows = _source_rows(files, mode, False).filter(F.size("sinks") > 0)
+    rows = _source_rows(facts, False)
     window = F.slice("ls", F.col("s.line") + 1, taint.PROPERTY_WINDOW)
     pattern = F.concat(F.lit(r"(\w+\.\w+)\s*=\s*\Q"), F.col("s.var"), F.lit(r"\E"))
     stored = rows.select(
@@ -302,8 +327,8 @@ def property_taint(files: DataFrame, mode: str = "compat") -> DataFrame:
     ).select("repo", "file_path", "f.*", "property", "sink_line")
 
 
-def flow_findings(files: DataFrame, mode: str = "compat") -> DataFrame:
-    """All flows as findings."""
-    parts = [op(files, mode) for op in (intra_file_flows, cross_file_flows, property_taint)]
-    cols = [c for c in parts[0].columns if c not in ("sink_line", "via_call")]
-    return parts[0].select(*cols).unionByName(parts[1].select(*cols)).unionByName(parts[2].select(*cols))
+def flow_findings(files: DataFrame, facts: DataFrame | None = None) -> DataFrame:
+    """All flows as findings; ``facts`` may be given when they are stored already."""
+    facts = flow_facts(files) if facts is None else facts
+    parts = [_intra_file(facts), _cross_file(facts, files), _property(facts)]
+    return parts[0].select(*COLUMNS).unionByName(parts[1].select(*COLUMNS)).unionByName(parts[2].select(*COLUMNS))

@@ -165,7 +165,7 @@ def advisory_staleness(files: DataFrame, as_of: str) -> DataFrame:
     )
 
 
-FILE_OPS = (
-    missing_lockfile, duplicate_json_keys, wildcard_versions, vulnerable_npm, vulnerable_python,
-    vulnerable_dotnet, unpinned_other,
+MANIFEST_OPS = (
+    duplicate_json_keys, wildcard_versions, vulnerable_npm, vulnerable_python, vulnerable_dotnet, unpinned_other,
 )
+FILE_OPS = (missing_lockfile, *MANIFEST_OPS)

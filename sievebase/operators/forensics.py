@@ -9,7 +9,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from sievebase.functions.findings import as_rows, finding
+from sievebase.functions.findings import as_rows, finding, with_lines
 from sievebase.functions.text import explode_lines, file_name, let, split_lines
 from sievebase.rules import git_facts as facts
 
@@ -179,22 +179,36 @@ def entropy(token: Column) -> Column:
     return let(token, bits)
 
 
+def _tokens() -> Column:
+    """Long tokens of a file with line and bits, from ``content`` and ``ls``."""
+    def on_line(l: Column, i: Column) -> Column:
+        found = F.array_distinct(F.regexp_extract_all(l, F.lit(facts.TOKEN), F.lit(0)))
+        return F.transform(
+            F.filter(found, lambda t: F.length(t) <= facts.TOKEN_MAX_LENGTH),
+            lambda t: F.struct((i + 1).alias("line"), t.alias("token"), F.round(entropy(t), 6).alias("bits")),
+        )
+
+    kind = "array<struct<line:int,token:string,bits:double>>"
+    tokens = F.flatten(F.transform("ls", on_line))
+    return F.when(
+        F.col("content").rlike(facts.TOKEN), F.filter(tokens, lambda t: t["bits"] >= facts.TOKEN_MIN_BITS)
+    ).otherwise(F.array().cast(kind))
+
+
+def _token_finding(t: Column) -> Column:
+    why = F.concat(F.lit("A token carries "), F.format_number(t["bits"], 2), F.lit(" bits per character."))
+    return finding(t["line"], "Warning", "Security", "High Entropy Token", why, "Check whether it is a key.", "Medium")
+
+
+def entropy_findings() -> Column:
+    return F.transform(_tokens(), _token_finding)
+
+
 def high_entropy_tokens(files: DataFrame) -> DataFrame:
     """Long tokens whose characters are spread like those of random keys."""
-    lines = files.filter(F.col("content").rlike(facts.TOKEN)).select(
-        "repo", "file_path", F.posexplode(split_lines(F.col("content"))).alias("pos", "line")
-    )
-    tokens = lines.filter(F.length("line") >= 20).select(
-        "repo", "file_path", (F.col("pos") + 1).alias("line_number"),
-        F.explode(F.array_distinct(F.regexp_extract_all("line", F.lit(facts.TOKEN), F.lit(0)))).alias("token"),
-    ).filter(F.length("token") <= facts.TOKEN_MAX_LENGTH).withColumn("bits", F.round(entropy(F.col("token")), 6))
-    hits = tokens.filter(F.col("bits") >= facts.TOKEN_MIN_BITS)
-    why = F.concat(F.lit("A token carries "), F.format_number("bits", 2), F.lit(" bits per character."))
-    return hits.select(
-        "repo", "file_path",
-        finding(F.col("line_number"), "Warning", "Security", "High Entropy Token", why, "Check whether it is a key.", "Medium").alias("f"),
-        "token", "bits",
-    ).select("repo", "file_path", "f.*", "token", "bits")
+    hits = with_lines(files).select("repo", "file_path", F.explode(_tokens()).alias("t"))
+    rows = hits.select("repo", "file_path", _token_finding(F.col("t")).alias("f"), "t.token", "t.bits")
+    return rows.select("repo", "file_path", "f.*", "token", "bits")
 
 
 def history_secret_scan(objects: DataFrame) -> DataFrame:

@@ -104,8 +104,12 @@ def merge_markers() -> Column:
     )
 
 
-def ineffective_gitignore(files: DataFrame) -> DataFrame:
-    """The first ignore pattern of a repository that still matches a tracked path."""
+def ineffective_gitignore(files: DataFrame, paths: DataFrame | None = None) -> DataFrame:
+    """The first ignore pattern of a repository that still matches a tracked path.
+
+    ``paths`` lists the tracked files if ``files`` holds ignore files only.
+    """
+    paths = files if paths is None else paths
     first = (
         files.filter(_path().endswith(".gitignore"))
         .groupBy("repo")
@@ -118,7 +122,7 @@ def ineffective_gitignore(files: DataFrame) -> DataFrame:
         .filter((F.col("pattern") != "") & ~F.col("pattern").startswith("#"))
         .withColumn("target", F.regexp_replace("pattern", r"^/+|[*/]+$", ""))
     )
-    held = first_path_holding(patterns.filter(F.col("target") != ""), files)
+    held = first_path_holding(patterns.filter(F.col("target") != ""), paths)
     # An empty target is part of every path.
     hits = (
         patterns.join(held, ["repo", "target"], "left")

@@ -5,10 +5,10 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from sievebase.functions.findings import finding, when_all
+from sievebase.functions.findings import finding, when_all, with_lines
 from sievebase.functions.text import first_lines, let
 from sievebase.operators.blocks import blocks
-from sievebase.operators.quality import BLOCKING, SLEEP, with_lines
+from sievebase.operators.quality import BLOCKING, SLEEP
 
 # Patterns of the performance smells.
 LOOP = r"\b(for|foreach|while)\b"

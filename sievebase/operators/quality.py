@@ -9,9 +9,9 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from sievebase.functions.findings import as_rows, finding, when_all
+from sievebase.functions.findings import as_rows, finding, when_all, with_lines
 from sievebase.functions.substrings import first_path_holding
-from sievebase.functions.text import file_name, first_lines, let, match_lines, split_lines
+from sievebase.functions.text import file_name, first_lines, let, match_lines
 from sievebase.operators.blocks import blocks
 from sievebase.sources.corpus import language
 
@@ -33,15 +33,6 @@ SLEEP = r"Thread\.Sleep\("
 IMPORT = r"""#include\s*[<"]([^\s>"]+)|using\s+([\w\.]+)\b"""
 
 
-def with_lines(files: DataFrame) -> DataFrame:
-    return files.withColumn("ls", split_lines(F.col("content")))
-
-
-def emit(files: DataFrame, *analyzers) -> DataFrame:
-    """Findings of any number of file-local analyzers in one pass over the files."""
-    return with_lines(files).select("repo", "file_path", F.inline(F.concat(*[a() for a in analyzers])))
-
-
 def _quality(line, severity, title, why, advice, effort="Easy"):
     return finding(line, severity, "Quality", title, why, advice, effort)
 

@@ -51,7 +51,7 @@ def corpus_queries() -> dict[str, Query]:
 
 def local(*analyzers) -> Query:
     """File-local analyzers over the kept files, one pass."""
-    return on_files(lambda files: quality.emit(files, *analyzers))
+    return on_files(lambda files: fi.emit(files, *analyzers))
 
 
 def quality_queries() -> dict[str, Query]:
@@ -67,7 +67,7 @@ def quality_queries() -> dict[str, Query]:
 def performance_queries() -> dict[str, Query]:
     out = {a.__name__: local(a) for a in performance.FILE_LOCAL}
     out["large_allocation"] = on_files(
-        lambda f: quality.emit(f, performance.large_allocation), *fi.CORE, "description"
+        lambda f: fi.emit(f, performance.large_allocation), *fi.CORE, "description"
     )
     out["loop_context"] = on_files(
         performance.loop_context, "repo", "file_path", "line_number", "in_loop", "in_loop_after"
@@ -112,7 +112,9 @@ def hygiene_queries() -> dict[str, Query]:
     )
     for op in (api_surface.unprotected_endpoints, api_surface.unvalidated_endpoints, api_surface.unlimited_mutations):
         out[op.__name__] = on_files(op)
-    out["api_surface_summary"] = lambda s, d: api_surface.api_surface_summary(api_surface.endpoint_findings(kept(s, d)))
+    out["api_surface_summary"] = lambda s, d: api_surface.api_surface_summary(
+        fi.emit(kept(s, d), api_surface.endpoint_findings)
+    )
     return out
 
 
@@ -164,15 +166,14 @@ def merged(spark: SparkSession, sf: str) -> DataFrame:
 def structure_and_rules(spark: SparkSession, sf: str) -> DataFrame:
     """Line rule hits with the structure and hygiene findings."""
     files = kept(spark, sf)
-    parts = [line_rules.security_rule_scan(files), quality.emit(files, *hygiene.FILE_LOCAL)]
-    parts += [op(files) for op in hygiene.FILE_OPS]
+    parts = [fi.emit(files, line_rules.rule_findings, *hygiene.FILE_LOCAL), *[op(files) for op in hygiene.FILE_OPS]]
     return scan.union(parts)
 
 
 def _chain_input(spark: SparkSession, sf: str) -> DataFrame:
     files = kept(spark, sf)
     return scan.union(
-        [line_rules.security_rule_scan(files), api_surface.endpoint_findings(files), dataflow.flow_findings(files)]
+        [fi.emit(files, line_rules.rule_findings, api_surface.endpoint_findings), dataflow.flow_findings(files)]
     )
 
 

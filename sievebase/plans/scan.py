@@ -8,7 +8,7 @@ from typing import NamedTuple
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from sievebase.functions.findings import COLUMNS
+from sievebase.functions.findings import COLUMNS, emit
 from sievebase.operators import (
     api_surface, dataflow, dependencies, forensics, hygiene, line_rules, performance, quality, scoring,
 )
@@ -40,25 +40,39 @@ def union(parts: list[DataFrame]) -> DataFrame:
     return reduce(DataFrame.unionByName, [p.select(*COLUMNS) for p in parts])
 
 
+FILE_LOCAL = (
+    line_rules.rule_findings, *quality.FILE_LOCAL, *performance.FILE_LOCAL, *hygiene.FILE_LOCAL,
+    api_surface.endpoint_findings, forensics.entropy_findings,
+)
+# Files some checks read by name: manifests, ignore files and git's own files.
+SPECIAL = (
+    r"(?i)(^|/)(package\.json|requirements\.txt|pipfile|pyproject\.toml|gemfile|go\.mod|pom\.xml|\.gitmodules)$"
+    r"|\.csproj$|\.gitignore$|(^|/)\.env[^/]*$|(^|/)\.git/(config|hooks/[^/]+)$"
+)
+
+
 def merge_analyzers(corpus: DataFrame, git: GitFacts | None = None) -> DataFrame:
     """Findings of all analyzers.
 
-    Analyzers that need one file only share one pass over the files; a file rule
-    set, the line rules, joins across files and repository-wide checks follow.
+    The text is read a few times, whatever the number of rules: once for all
+    analyzers that need one file only, once to set the files aside that are read
+    by name, once for duplicate blocks, imports, sources and definitions each.
+    Checks of whole repositories read paths only.
     """
     files = kept_files(corpus)
-    listing = corpus.select("repo", "file_path", F.octet_length("content").alias("size_bytes"))
+    paths = corpus.select("repo", "file_path", F.octet_length("content").alias("size_bytes"))
+    special = materialize(corpus.filter(F.col("file_path").rlike(SPECIAL)).select("repo", "file_path", "content"), "special")
+    named = kept_files(special)
+    sources = materialize(dataflow.flow_facts(files).filter(F.size("sources") > 0), "sources")
     parts = [
-        line_rules.security_rule_scan(files),
-        quality.emit(files, *quality.FILE_LOCAL, *performance.FILE_LOCAL, *hygiene.FILE_LOCAL),
+        emit(files, *FILE_LOCAL),
         quality.duplicate_blocks(files), quality.circular_imports(files),
-        *[op(files) for op in dependencies.FILE_OPS],
-        *[op(files) for op in hygiene.FILE_OPS],
-        hygiene.oversize_and_binary(listing),
-        api_surface.endpoint_findings(files),
-        dataflow.flow_findings(files),
-        forensics.high_entropy_tokens(files),
-        forensics.git_config_exposure(corpus), forensics.hook_forensics(corpus), forensics.submodule_risks(corpus),
+        dependencies.missing_lockfile(files), *[op(named) for op in dependencies.MANIFEST_OPS],
+        hygiene.repo_presence_checks(files), hygiene.env_files(named), hygiene.deep_paths(files),
+        hygiene.ineffective_gitignore(named, files), hygiene.committed_artifacts(files),
+        hygiene.oversize_and_binary(paths),
+        dataflow.flow_findings(files, sources),
+        forensics.git_config_exposure(special), forensics.hook_forensics(special), forensics.submodule_risks(special),
     ]
     if git is not None:
         parts += [
