@@ -10,7 +10,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from sievebase.functions.text import split_lines
+from sievebase.functions.text import split_lines, sql_value
 
 FINDING = T.StructType(
     [
@@ -37,8 +37,8 @@ CORE = KEYS + [
 
 def _text(value: str | Column | None) -> Column:
     if isinstance(value, Column):
-        return value.cast("string")
-    return F.lit(value).cast("string")
+        return value
+    return F.expr("cast(null as string)") if value is None else F.lit(value)
 
 
 def finding(
@@ -74,6 +74,22 @@ def finding(
     )
 
 
+def each_line(
+    numbers: Column, severity: str, category: str, title: str, description: str, suggestion: str, effort: str = "Easy"
+) -> Column:
+    """One finding with constant texts per line number of an array.
+
+    Written as one SQL lambda: building it field by field from Python would take
+    longer than planning the query.
+    """
+    texts = {"severity": severity, "category": category, "title": title, "description": description,
+             "suggestion": suggestion, "effort_level": effort}
+    constants = ", ".join(f"'{name}', {sql_value(text)}" for name, text in texts.items())
+    nulls = ", ".join(f"'{name}', cast(null as string)" for name in FINDING.fieldNames()[8:])
+    body = f"named_struct('line_number', n, {constants}, 'confidence_score', 0, {nulls})"
+    return F.call_function("transform", numbers, F.expr(f"n -> {body}"))
+
+
 def when_all(*pairs: tuple[Column, Column]) -> Column:
     """Array of the findings whose condition holds."""
     return F.array_compact(F.array(*[F.when(cond, item) for cond, item in pairs]))

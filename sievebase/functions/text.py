@@ -19,24 +19,24 @@ def let(value: Column, body) -> Column:
     return F.element_at(F.transform(F.array(value), body), 1)
 
 
-def _sql_value(value) -> str:
+def sql_value(value) -> str:
     if isinstance(value, str):
         return "'" + value.replace("\\", "\\\\").replace("'", "\\'").replace("\n", "\\n") + "'"
     if isinstance(value, (list, tuple)):
-        return "array(" + ", ".join(_sql_value(v) for v in value) + ")"
+        return "array(" + ", ".join(sql_value(v) for v in value) + ")"
     return "null" if value is None else str(value)
 
 
 def constant_table(rows: list[tuple], names: list[str]) -> Column:
     """A small fixed table as one constant ``array<struct>`` column."""
     structs = (
-        "named_struct(" + ", ".join(f"'{n}', {_sql_value(v)}" for n, v in zip(names, row)) + ")" for row in rows
+        "named_struct(" + ", ".join(f"'{n}', {sql_value(v)}" for n, v in zip(names, row)) + ")" for row in rows
     )
     return F.expr("array(" + ", ".join(structs) + ")")
 
 
 def constant_map(pairs: dict[str, str]) -> Column:
-    return F.expr("map(" + ", ".join(f"{_sql_value(k)}, {_sql_value(v)}" for k, v in pairs.items()) + ")")
+    return F.expr("map(" + ", ".join(f"{sql_value(k)}, {sql_value(v)}" for k, v in pairs.items()) + ")")
 
 
 def split_lines(content: Column) -> Column:

@@ -142,18 +142,19 @@ def function_index(files: DataFrame) -> DataFrame:
 
 def flow_facts(files: DataFrame, mode: str = "compat") -> DataFrame:
     """Files with input sources: lines, sources, sinks, checks and function names."""
-    held = with_lines(files.filter(F.col("content").rlike(taint.SOURCE_HINT))).select(
-        "repo", "file_path", "ls", _sources(F.col("ls"), mode).alias("sources")
-    )
-    found = F.size("sources") > 0
-    names = F.array_distinct(F.transform(_definitions(F.col("ls")), lambda d: d["name"]))
-    # Files without sources leave when their sources are exploded; until then
-    # nothing else is computed for them.
-    return held.select(
-        "repo", "file_path", "sources", F.when(found, F.col("ls")).alias("ls"),
-        F.when(found, _sinks(F.col("ls"))).alias("sinks"), F.when(found, _checks(F.col("ls"))).alias("checks"),
-        F.when(found, names).alias("names"),
-    )
+    held = with_lines(files.filter(F.col("content").rlike(taint.SOURCE_HINT)))
+    lines = F.col("ls")
+
+    def facts(found: Column) -> Column:
+        names = F.array_distinct(F.transform(_definitions(lines), lambda d: d["name"]))
+        row = F.struct(
+            found.alias("sources"), lines.alias("ls"), _sinks(lines).alias("sinks"), _checks(lines).alias("checks"),
+            names.alias("names"),
+        )
+        # No row for a file without sources; a filter would compute them twice.
+        return F.when(F.size(found) > 0, F.array(row))
+
+    return held.select("repo", "file_path", F.inline(let(_sources(lines, mode), facts)))
 
 
 def _source_rows(facts: DataFrame, one_per_line: bool) -> DataFrame:
@@ -222,6 +223,27 @@ def flows_via_local_call(files: DataFrame, mode: str = "compat") -> DataFrame:
     return intra_file_flows(files, mode).filter(F.col("via_call"))
 
 
+def _harmful(lines: Column) -> Column:
+    """Functions of a file with each sink they reach without a check."""
+    def reached(d: Column, sinks: Column, checks: Column) -> Column:
+        return let(
+            F.struct(_next_check(checks, d["line"]).alias("stop")),
+            lambda s: F.transform(
+                F.filter(sinks, lambda k: (k["line"] > d["line"]) & (s["stop"].isNull() | (k["line"] <= s["stop"]))),
+                lambda k: F.struct(d["name"].alias("name"), d["line"].alias("def_line"), k.alias("k")),
+            ),
+        )
+
+    def in_file(sinks: Column) -> Column:
+        pairs = let(
+            _checks(lines),
+            lambda checks: F.flatten(F.transform(_definitions(lines), lambda d: reached(d, sinks, checks))),
+        )
+        return F.when(F.size(sinks) > 0, pairs)
+
+    return let(_sinks(lines), in_file)
+
+
 def cross_file_flows(files: DataFrame, mode: str = "compat") -> DataFrame:
     return _cross_file(flow_facts(files, mode), files)
 
@@ -241,32 +263,29 @@ def _cross_file(facts: DataFrame, files: DataFrame) -> DataFrame:
     ).withColumn("call_line", F.col("s.line") + F.col("i") + 1)
     words = F.array_distinct(F.regexp_extract_all("line", F.lit(r"\w+"), F.lit(0)))
     parts = F.array_distinct(F.flatten(F.transform(words, lambda w: pieces(w, NAME_KEY))))
-    asked = calls.select("repo", F.col("file_path").alias("src_file"), "s", "call_line", "line", F.explode(parts).alias("key"))
-
-    held = with_lines(files).select("repo", "file_path", "ls", _sinks(F.col("ls")).alias("sinks"))
-    harmful = F.size("sinks") > 0
-    defs = held.select(
-        "repo", "file_path", "sinks", F.when(harmful, _definitions(F.col("ls"))).alias("defs"),
-        F.when(harmful, _checks(F.col("ls"))).alias("checks"),
+    source = ["repo", F.col("file_path").alias("src_file"), F.col("s.line").alias("src_line"), "call_line"]
+    asked = calls.select(
+        *source, F.col("s.rule").alias("src_rule"), F.col("s.expr").alias("expr"), F.explode(parts).alias("key")
     )
-    defs = defs.select("repo", "file_path", "sinks", "checks", F.explode("defs").alias("d")).withColumn(
-        "stop", _next_check(F.col("checks"), F.col("d.line"))
+    call_text = calls.select(*source, "line").dropDuplicates(["repo", "src_file", "src_line", "call_line"])
+
+    reach = with_lines(files).select("repo", F.col("file_path").alias("def_file"), F.inline(_harmful(F.col("ls"))))
+    reach = reach.withColumn("key", key(F.col("name"), NAME_KEY))
+    met = asked.join(reach, ["repo", "key"]).filter(F.col("src_file") != F.col("def_file"))
+    # The key is the whole name up to its width; longer names are checked on the line.
+    sure = met.filter(F.length("name") <= NAME_KEY)
+    long = (
+        met.filter(F.length("name") > NAME_KEY)
+        .join(call_text, ["repo", "src_file", "src_line", "call_line"])
+        .filter(F.contains("line", F.col("name")))
     )
-    reach = defs.select(
-        "repo", F.col("file_path").alias("def_file"), "d.name", F.col("d.line").alias("def_line"),
-        F.explode(
-            F.filter("sinks", lambda k: (k["line"] > F.col("d.line")) & (F.col("stop").isNull() | (k["line"] <= F.col("stop"))))
-        ).alias("k"),
-    ).withColumn("key", key(F.col("name"), NAME_KEY))
-
     choice = F.struct(
-        F.col("s.rule").alias("rule"), "call_line", "name", "def_line", F.col("k.rule").alias("sink_rule"),
-        F.col("s.expr").alias("expr"), F.col("k.kind").alias("kind"), F.col("k.weakness").alias("weakness"),
+        "src_rule", "call_line", "name", "def_line", F.col("k.rule").alias("sink_rule"), "expr",
+        F.col("k.kind").alias("kind"), F.col("k.weakness").alias("weakness"),
     )
     flows = (
-        asked.join(reach, ["repo", "key"])
-        .filter((F.col("src_file") != F.col("def_file")) & F.contains("line", F.col("name")))
-        .groupBy("repo", F.col("src_file").alias("file_path"), F.col("s.line").alias("src_line"), "def_file", F.col("k.line").alias("sink_line"))
+        sure.unionByName(long.select(*sure.columns))
+        .groupBy("repo", F.col("src_file").alias("file_path"), "src_line", "def_file", F.col("k.line").alias("sink_line"))
         .agg(F.min(choice).alias("c"))
     )
     trace = F.concat(

@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from sievebase.functions.findings import finding, when_all, with_lines
+from sievebase.functions.findings import each_line, finding, when_all, with_lines
 from sievebase.functions.text import first_lines, let
 from sievebase.operators.blocks import blocks
 from sievebase.operators.quality import BLOCKING, SLEEP
@@ -34,7 +34,7 @@ def _perf(line, severity, title, why, advice, effort="Easy"):
 
 
 def _each(numbers: Column, severity: str, title: str, why: str, advice: str, effort: str = "Easy") -> Column:
-    return F.transform(numbers, lambda n: _perf(n, severity, title, why, advice, effort))
+    return each_line(numbers, severity, "Performance", title, why, advice, effort)
 
 
 def _none() -> Column:

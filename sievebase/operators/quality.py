@@ -9,7 +9,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from sievebase.functions.findings import as_rows, finding, when_all, with_lines
+from sievebase.functions.findings import as_rows, each_line, finding, when_all, with_lines
 from sievebase.functions.substrings import first_path_holding
 from sievebase.functions.text import file_name, first_lines, let, match_lines
 from sievebase.operators.blocks import blocks
@@ -38,7 +38,7 @@ def _quality(line, severity, title, why, advice, effort="Easy"):
 
 
 def _each(numbers: Column, severity: str, title: str, why: str, advice: str, effort: str = "Easy") -> Column:
-    return F.transform(numbers, lambda n: _quality(n, severity, title, why, advice, effort))
+    return each_line(numbers, severity, "Quality", title, why, advice, effort)
 
 
 def large_file_tiers() -> Column:

@@ -36,8 +36,14 @@ def materialize(df: DataFrame, purpose: str) -> DataFrame:
 
 
 def union(parts: list[DataFrame]) -> DataFrame:
-    """Findings of several analyzers in one table."""
-    return reduce(DataFrame.unionByName, [p.select(*COLUMNS) for p in parts])
+    """Findings of several analyzers in one table.
+
+    Joined pairwise, because every union checks the plans below it again.
+    """
+    level = [p.select(*COLUMNS) for p in parts]
+    while len(level) > 1:
+        level = [reduce(DataFrame.union, level[i : i + 2]) for i in range(0, len(level), 2)]
+    return level[0]
 
 
 FILE_LOCAL = (
@@ -63,7 +69,7 @@ def merge_analyzers(corpus: DataFrame, git: GitFacts | None = None) -> DataFrame
     paths = corpus.select("repo", "file_path", F.octet_length("content").alias("size_bytes"))
     special = materialize(corpus.filter(F.col("file_path").rlike(SPECIAL)).select("repo", "file_path", "content"), "special")
     named = kept_files(special)
-    sources = materialize(dataflow.flow_facts(files).filter(F.size("sources") > 0), "sources")
+    sources = materialize(dataflow.flow_facts(files), "sources")
     parts = [
         emit(files, *FILE_LOCAL),
         quality.duplicate_blocks(files), quality.circular_imports(files),

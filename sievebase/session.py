@@ -17,9 +17,18 @@ REQUIRED_CONF = {
 }
 
 
+# This rule filters a generator's input for emptiness, and the filter is then
+# moved below the projection that computes the array, so that costly arrays of
+# matches would be computed twice.
+EXCLUDED_RULE = "org.apache.spark.sql.catalyst.optimizer.InferFiltersFromGenerate"
+
+
 def configure(spark: SparkSession) -> SparkSession:
     for key, value in REQUIRED_CONF.items():
         spark.conf.set(key, value)
+    excluded = [r for r in (spark.conf.get("spark.sql.optimizer.excludedRules", None) or "").split(",") if r]
+    if EXCLUDED_RULE not in excluded:
+        spark.conf.set("spark.sql.optimizer.excludedRules", ",".join([*excluded, EXCLUDED_RULE]))
     return spark
 
 
