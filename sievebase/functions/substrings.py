@@ -17,8 +17,9 @@ def key(text: Column, width: int) -> Column:
     return F.substring(text, 1, width)
 
 
-def pieces(text: Column, width: int) -> Column:
-    """All distinct substrings of one to ``width`` characters."""
+def pieces(text: Column, width: int, widths: Column | None = None) -> Column:
+    """All distinct substrings of one to ``width`` characters, or of the given widths."""
+    lengths = F.sequence(F.lit(1), F.lit(width)) if widths is None else widths
     return let(
         text,
         lambda t: F.array_distinct(
@@ -26,8 +27,7 @@ def pieces(text: Column, width: int) -> Column:
                 F.transform(
                     F.sequence(F.lit(1), F.length(t)),
                     lambda p: F.transform(
-                        F.sequence(F.lit(1), F.least(F.lit(width), F.length(t) - p + 1)),
-                        lambda w: F.substring(t, p, w),
+                        F.filter(lengths, lambda w: w <= F.length(t) - p + 1), lambda w: F.substring(t, p, w)
                     ),
                 )
             )
@@ -43,7 +43,10 @@ def first_path_holding(wanted: DataFrame, paths: DataFrame, width: int = 8) -> D
     them and a key found in most paths of a repository stays one row.
     """
     asked = wanted.select("repo", "target").distinct().withColumn("piece", key(F.col("target"), width))
-    found = paths.select("repo", "file_path", F.explode(pieces(F.lower("file_path"), width)).alias("piece"))
+    # Only the key lengths that occur, at most ``width`` numbers.
+    widths = asked.groupBy("repo").agg(F.collect_set(F.length("piece")).alias("widths"))
+    sized = paths.select("repo", "file_path").join(widths, "repo")
+    found = sized.select("repo", "file_path", F.explode(pieces(F.lower("file_path"), width, F.col("widths"))).alias("piece"))
     near = found.join(asked.select("repo", "piece").distinct(), ["repo", "piece"], "left_semi")
     least = near.filter(F.length("piece") < width).groupBy("repo", "piece").agg(F.min("file_path").alias("dest"))
     short = asked.filter(F.length("target") < width).join(least, ["repo", "piece"]).select("repo", "target", "dest")

@@ -261,7 +261,7 @@ def duplicate_blocks(files: DataFrame, size: int = 8, per_repo: int = 15) -> Dat
     ).select("repo", "file_path", "f.*", "file_count")
 
 
-def _imports(files: DataFrame) -> DataFrame:
+def imports(files: DataFrame) -> DataFrame:
     """Import targets of each file, distinct ignoring case, with first position."""
     found = F.regexp_extract_all(F.col("content"), F.lit(IMPORT), F.lit(0))
     target = F.transform(found, lambda m: F.regexp_replace(m, r"""^(#include\s*[<"]|using\s+)""", ""))
@@ -274,17 +274,18 @@ def _imports(files: DataFrame) -> DataFrame:
     )
 
 
-def circular_imports(files: DataFrame) -> DataFrame:
+def circular_imports(files: DataFrame, found: DataFrame | None = None) -> DataFrame:
     """Files whose import leads to a file that imports them back.
 
-    An import points to the first path (by name) that holds its text.
+    An import points to the first path (by name) that holds its text. ``found``
+    may give the stored import table, which is read several times.
     """
-    imports = _imports(files)
-    resolved = first_path_holding(imports, files)
-    back = imports.select("repo", F.col("file_path").alias("dest"), F.col("target").alias("back"))
+    found = imports(files) if found is None else found
+    resolved = first_path_holding(found, files)
+    back = found.select("repo", F.col("file_path").alias("dest"), F.col("target").alias("back"))
     place = F.struct("pos", "dest")
     loops = (
-        imports.join(resolved, ["repo", "target"])
+        found.join(resolved, ["repo", "target"])
         .join(back, ["repo", "dest"])
         .filter(F.contains(F.lower("file_path"), F.col("back")))
         .groupBy("repo", "file_path")

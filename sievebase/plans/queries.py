@@ -60,7 +60,9 @@ def quality_queries() -> dict[str, Query]:
         quality.method_metrics, "repo", "file_path", "name", "line_number", "length", "complexity"
     )
     out["duplicate_blocks"] = on_files(quality.duplicate_blocks, *fi.CORE, "file_count", "description")
-    out["circular_imports"] = on_files(quality.circular_imports, *fi.CORE, "description")
+    out["circular_imports"] = on_files(
+        lambda f: quality.circular_imports(f, scan.materialize(quality.imports(f), "imports")), *fi.CORE, "description"
+    )
     return out
 
 

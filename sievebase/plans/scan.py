@@ -72,7 +72,8 @@ def merge_analyzers(corpus: DataFrame, git: GitFacts | None = None) -> DataFrame
     sources = materialize(dataflow.flow_facts(files), "sources")
     parts = [
         emit(files, *FILE_LOCAL),
-        quality.duplicate_blocks(files), quality.circular_imports(files),
+        quality.duplicate_blocks(files),
+        quality.circular_imports(files, materialize(quality.imports(files), "imports")),
         dependencies.missing_lockfile(files), *[op(named) for op in dependencies.MANIFEST_OPS],
         hygiene.repo_presence_checks(files), hygiene.env_files(named), hygiene.deep_paths(files),
         hygiene.ineffective_gitignore(named, files), hygiene.committed_artifacts(files),

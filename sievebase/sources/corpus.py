@@ -1,36 +1,14 @@
-"""Reading source trees and preparing the file corpus."""
+"""Preparing the file corpus."""
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame, SparkSession, Window
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from sievebase.functions.text import constant_map, extension, file_name, split_lines
 from sievebase.rules import vocabulary as vocab
 
 
-def read_tree(spark: SparkSession, root: str, repo: str) -> DataFrame:
-    """Files under ``root`` as repo, file_path, content, size_bytes.
-
-    Names, sizes and directories are tested before the content column is used,
-    so skipped files are dropped without decoding them.
-    """
-    raw = (
-        spark.read.format("binaryFile")
-        .option("recursiveFileLookup", True)
-        .load(root)
-        .select(
-            F.lit(repo).alias("repo"),
-            F.regexp_replace("path", "^.*?" + root.rstrip("/") + "/", "").alias("file_path"),
-            F.col("length").alias("size_bytes"),
-            "content",
-        )
-    )
-    return with_skip_reason(raw).filter(F.col("skip_reason").isNull()).select(
-        "repo", "file_path", "size_bytes", F.decode("content", "UTF-8").alias("content")
-    )
-
-
 def skip_reason(path: Column, size_bytes: Column) -> Column:
     """Why the walk leaves a file out; null when it is kept."""
     low = F.lower(path)
