@@ -7,6 +7,8 @@ as "is the sink at or before the next sanitizer line", one comparison per pair.
 
 from __future__ import annotations
 
+from functools import reduce
+
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
@@ -62,21 +64,37 @@ def _sources(lines: Column, mode: str) -> Column:
     )
 
 
+def _may_sink(text: Column) -> Column:
+    """Every sink pattern needs one of these literals."""
+    marks = ["(", ".innerHTML", "dangerouslySetInnerHTML", "v-html", "{{{", '"""']
+    return reduce(lambda a, b: a | b, [text.contains(m) for m in marks])
+
+
+def _may_define(text: Column) -> Column:
+    """Every definition and export needs one of these literals."""
+    marks = ["(", "function", "class", "=>", "export"]
+    return reduce(lambda a, b: a | b, [text.contains(m) for m in marks])
+
+
 def _sinks(lines: Column) -> Column:
+    kind = "array<struct<line:int,rule:int,kind:string,weakness:string>>"
+    none = F.array().cast(kind)
+
     def hits(l: Column, i: Column) -> Column:
         return F.array_compact(
             F.array(
                 *[
                     F.when(
                         l.rlike(pattern),
-                        F.struct((i + 1).alias("line"), F.lit(r).alias("rule"), F.lit(kind).alias("kind"), F.lit(weakness).alias("weakness")),
+                        F.struct((i + 1).alias("line"), F.lit(r).alias("rule"), F.lit(name).alias("kind"), F.lit(weakness).alias("weakness")),
                     )
-                    for r, (pattern, kind, weakness) in enumerate(taint.SINKS)
+                    for r, (pattern, name, weakness) in enumerate(taint.SINKS)
                 ]
             )
         )
 
-    return F.flatten(F.transform(lines, hits))
+    found = F.flatten(F.transform(lines, lambda l, i: F.when(_may_sink(l), hits(l, i)).otherwise(none)))
+    return F.when(_may_sink(F.col("content")), found).otherwise(none)
 
 
 def _checks(lines: Column) -> Column:
@@ -93,12 +111,12 @@ def _definitions(lines: Column) -> Column:
 
     defined = F.transform(
         lines,
-        lambda l, i: F.when(l.rlike(taint.FUNCTION), F.struct(name(l).alias("name"), (i + 1).alias("line"))),
+        lambda l, i: F.when(_may_define(l) & l.rlike(taint.FUNCTION), F.struct(name(l).alias("name"), (i + 1).alias("line"))),
     )
     exported = F.transform(
         lines,
         lambda l: F.when(
-            l.rlike(taint.EXPORT) & l.rlike(taint.EXPORTED_NAME),
+            l.contains("export") & l.rlike(taint.EXPORT) & l.rlike(taint.EXPORTED_NAME),
             F.struct(F.regexp_extract(l, taint.EXPORTED_NAME, 1).alias("name"), F.lit(0).alias("line")),
         ),
     )

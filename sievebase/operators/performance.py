@@ -80,34 +80,46 @@ def loop_context(files: DataFrame) -> DataFrame:
     )
 
 
-def _loop_lines(test, after: bool = False) -> Column:
-    return let(
-        loops(),
-        lambda spans: F.when(
-            F.size(spans) > 0,
-            first_lines(F.transform(F.col("ls"), lambda l, i: test(l) & _inside(spans, i + 1, after))),
-        ).otherwise(_none()),
-    )
+def _loop_lines(spans: Column, test, after: bool = False) -> Column:
+    inside = F.transform(F.col("ls"), lambda l, i: test(l) & _inside(spans, i + 1, after))
+    return F.when(F.size(spans) > 0, first_lines(inside)).otherwise(_none())
 
 
-def n_plus_one() -> Column:
-    return _each(_loop_lines(lambda l: l.rlike(DATA_ACCESS)), "Warning", "Potential N+1 Query",
+def _data_access(spans: Column) -> Column:
+    return _each(_loop_lines(spans, lambda l: l.rlike(DATA_ACCESS)), "Warning", "Potential N+1 Query",
                  "Data is fetched once per turn of a loop.", "Fetch it in one query before the loop.", "Medium")
 
 
-def concat_in_loop() -> Column:
-    return _each(_loop_lines(lambda l: l.rlike(TEXT_APPEND)), "Warning", "String Concatenation in Loop",
+def _text_append(spans: Column) -> Column:
+    return _each(_loop_lines(spans, lambda l: l.rlike(TEXT_APPEND)), "Warning", "String Concatenation in Loop",
                  "Text grows by copying on every turn.", "Collect the parts in a builder.")
 
 
-def linq_in_loop() -> Column:
+def _collection_search(spans: Column) -> Column:
     def test(l: Column) -> Column:
         return l.contains(".Where(") | l.contains(".Select(") | l.contains(".Any(")
 
-    return _each(_loop_lines(test, after=True), "Warning", "LINQ Operation Inside Loop (O(n²))",
+    return _each(_loop_lines(spans, test, after=True), "Warning", "LINQ Operation Inside Loop (O(n²))",
                  "A collection is searched on every turn.", "Search it once before the loop.", "Medium")
 
 
+def n_plus_one() -> Column:
+    return let(loops(), _data_access)
+
+
+def concat_in_loop() -> Column:
+    return let(loops(), _text_append)
+
+
+def linq_in_loop() -> Column:
+    return let(loops(), _collection_search)
+
+
+def loop_findings() -> Column:
+    """The three loop checks with the loops found once."""
+    return let(loops(), lambda s: F.concat(_data_access(s), _text_append(s), _collection_search(s)))
+
+
 def sync_blocking_perf() -> Column:
     return _each(_lines_with(BLOCKING, ";"), "Warning", "Synchronous Task Blocking",
                  "The thread waits for a task.", "Await the task.", "Medium")
@@ -189,8 +201,9 @@ def file_read_in_loop() -> Column:
     )
 
 
-FILE_LOCAL = (
-    n_plus_one, concat_in_loop, linq_in_loop, sync_blocking_perf, thread_sleep_perf, large_allocation,
-    materialize_then_filter, count_gt_zero, undisposed_resource, boxing_collections, split_without_options,
-    file_read_in_loop,
+LINE_CHECKS = (
+    sync_blocking_perf, thread_sleep_perf, large_allocation, materialize_then_filter, count_gt_zero,
+    undisposed_resource, boxing_collections, split_without_options, file_read_in_loop,
 )
+LOOP_CHECKS = (n_plus_one, concat_in_loop, linq_in_loop)
+FILE_LOCAL = (loop_findings, *LINE_CHECKS)

@@ -165,8 +165,7 @@ def commented_code_blocks() -> Column:
 
 def static_mutable_state() -> Column:
     return _each(
-        F.concat(*[match_lines(F.col("content"), STATIC_STATE.replace("private|protected|internal", m), m)
-                   for m in ("private", "protected", "internal")]),
+        match_lines(F.col("content"), STATIC_STATE, "private", "protected", "internal"),
         "Critical", "Static Mutable State Detected", "A shared collection can change under its users.",
         "Use a thread-safe collection or instance state.", "Medium",
     )
@@ -183,7 +182,7 @@ def local_time_usage() -> Column:
 
 
 def task_blocking() -> Column:
-    return _each(match_lines(F.col("content"), BLOCKING, "."), "Warning", "Synchronous Task Blocking (.Result/.Wait())",
+    return _each(match_lines(F.col("content"), BLOCKING, ".Result", ".Wait()"), "Warning", "Synchronous Task Blocking (.Result/.Wait())",
                  "The thread waits for a task.", "Await the task.", "Medium")
 
 
@@ -215,7 +214,7 @@ def duplicate_blocks(files: DataFrame, size: int = 8, per_repo: int = 15) -> Dat
 
     def window(rows: Column, i: Column) -> Column:
         return let(
-            F.regexp_replace(F.array_join(F.slice(rows, i, size), "\n"), r"^\s+|\s+$", ""),
+            F.btrim(F.array_join(F.slice(rows, i, size), "\n"), F.lit("\n")),
             lambda text: F.when(
                 F.length(text) >= 40, F.struct(i.alias("line"), F.unhex(F.md5(text)).alias("digest"))
             ),
@@ -223,13 +222,16 @@ def duplicate_blocks(files: DataFrame, size: int = 8, per_repo: int = 15) -> Dat
 
     windows = let(
         clean,
-        lambda rows: F.array_compact(
-            F.transform(F.sequence(F.lit(1), F.size(rows) - (size - 1)), lambda i: window(rows, i))
+        lambda rows: F.when(
+            F.size(rows) >= size,
+            F.array_compact(F.transform(F.sequence(F.lit(1), F.size(rows) - (size - 1)), lambda i: window(rows, i))),
         ),
     )
     seen = (
-        with_lines(files).filter(F.size("ls") >= size)
+        with_lines(files)
         .select("repo", "file_path", F.inline(windows))
+        # Stated here so that both uses below are the same plan and share one shuffle.
+        .filter(F.col("repo").isNotNull() & F.col("digest").isNotNull())
         .groupBy("repo", "digest", "file_path")
         .agg(F.min("line").alias("line"))
     )

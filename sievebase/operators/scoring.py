@@ -69,7 +69,7 @@ def confidence_score(findings: DataFrame, files: DataFrame) -> DataFrame:
         findings.groupBy("repo", F.lower("title").alias("low_title"))
         .agg((F.min("file_path") != F.max("file_path")).alias("many_files"))
     )
-    facts = line_facts(files.join(findings.filter(F.col("confidence_score") == 0).select("repo", "file_path").distinct(), ["repo", "file_path"], "left_semi"))
+    facts = line_facts(files)
     n = F.col("line_number")
     known = F.col("flags").isNotNull() & (n > 0) & (n <= F.size("flags"))
     flag = F.get("flags", n - 1)

@@ -67,7 +67,7 @@ def quality_queries() -> dict[str, Query]:
 
 
 def performance_queries() -> dict[str, Query]:
-    out = {a.__name__: local(a) for a in performance.FILE_LOCAL}
+    out = {a.__name__: local(a) for a in (*performance.LOOP_CHECKS, *performance.LINE_CHECKS)}
     out["large_allocation"] = on_files(
         lambda f: fi.emit(f, performance.large_allocation), *fi.CORE, "description"
     )

@@ -107,15 +107,18 @@ def dedup(events: DataFrame, *keys: str, delay: str = "60 days") -> DataFrame:
     return events.withWatermark("ts", delay).dropDuplicatesWithinWatermark(list(keys)).select(*keys)
 
 
-def running_scans(scans: DataFrame, by: list[str], slices: int = 64) -> DataFrame:
+def running_scans(scans: DataFrame, by: list[str], slices: int | None = None) -> DataFrame:
     """Scans running when each scan starts, overall or per group.
 
     ``scans`` has event_id, start_us and end_us. Starts count +1 and ends -1. The
     time axis is cut at quantiles of the starts, so the running sums are taken
     within slices of about equal size; the sums of earlier slices come from a
-    table with one row per group and slice.
+    table with one row per group and slice. There are as many slices as shuffle
+    partitions unless told otherwise.
     """
-    cuts = scans.approxQuantile("start_us", [i / slices for i in range(1, slices)], 0.001)
+    if slices is None:
+        slices = int(scans.sparkSession.conf.get("spark.sql.shuffle.partitions"))
+    cuts = scans.approxQuantile("start_us", [i / slices for i in range(1, slices)], 0.1 / slices)
     bounds = F.array(*[F.lit(int(c)) for c in sorted(set(cuts))])
 
     def steps(kind: int, at: str) -> DataFrame:
