@@ -12,7 +12,7 @@ from sievebase.functions.text import explode_lines
 from sievebase.functions.versions import compare
 from sievebase.operators import history, hygiene, quality, scoring
 from sievebase.plans import scan
-from sievebase.sources import trees
+from sievebase.sources import sinks, tables, trees
 from sievebase.streaming import scan_events
 
 
@@ -186,3 +186,13 @@ def test_whole_scan_runs(spark, files):
     one = [r for r in rows if r.title == "Hardcoded Password"][0]
     assert one.introduced_by == "ann in ccccccc (1970-01-01 00:00 UTC)" and one.confidence_score == 80
     assert [r.severity for r in rows if r.title == "Unprotected API Endpoint"] == ["Critical"]
+
+
+def test_sinks_write_what_was_given(spark, sf_dir, tmp_path):
+    issues, scans_ = tables.issues(spark, sf_dir), tables.scans(spark, sf_dir)
+    sinks.write_csv_reports(issues, str(tmp_path / "csv"))
+    back = spark.read.option("header", True).option("escape", '"').csv(str(tmp_path / "csv"))
+    assert back.columns == history.CSV_HEADER.split(",") and back.count() == issues.count()
+    assert back.filter(F.col("Suggestion").startswith("'=Fix rule")).count() == issues.count()
+    sinks.write_user_exports(scans_, str(tmp_path / "json"))
+    assert spark.read.json(str(tmp_path / "json")).count() == scans_.count()
