@@ -90,6 +90,10 @@ def each_line(
     return F.call_function("transform", numbers, F.expr(f"n -> {body}"))
 
 
+def no_findings() -> Column:
+    return F.array().cast(f"array<{FINDING.simpleString()}>")
+
+
 def when_all(*pairs: tuple[Column, Column]) -> Column:
     """Array of the findings whose condition holds."""
     return F.array_compact(F.array(*[F.when(cond, item) for cond, item in pairs]))

@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from sievebase.functions.findings import as_rows, finding, when_all
+from sievebase.functions.findings import as_rows, finding, no_findings, when_all
 from sievebase.functions.substrings import first_path_holding
 from sievebase.functions.text import extension, file_name, first_lines, split_lines
 
@@ -169,7 +169,7 @@ def todo_first_per_file() -> Column:
     return F.when(
         first.isNotNull(),
         F.array(_structure(first, "Info", "TODO Comment in Source", "Work is left open.", "Finish it or open a ticket.")),
-    ).otherwise(when_all((F.lit(False), _structure(0, "Info", "", "", ""))))
+    ).otherwise(no_findings())
 
 
 def workflow_checks() -> Column:

@@ -167,9 +167,10 @@ def merged(spark: SparkSession, sf: str) -> DataFrame:
 
 def structure_and_rules(spark: SparkSession, sf: str) -> DataFrame:
     """Line rule hits with the structure and hygiene findings."""
-    files = kept(spark, sf)
-    parts = [fi.emit(files, line_rules.rule_findings, *hygiene.FILE_LOCAL), *[op(files) for op in hygiene.FILE_OPS]]
-    return scan.union(parts)
+    corpus_ = tables.code_corpus(spark, sf)
+    files, named = corpus.kept_files(corpus_), corpus.kept_files(scan.special_files(corpus_))
+    local_part = fi.emit(files, line_rules.rule_findings, *hygiene.FILE_LOCAL)
+    return scan.union([local_part, *scan.structure_parts(files, named)])
 
 
 def _chain_input(spark: SparkSession, sf: str) -> DataFrame:
@@ -290,7 +291,8 @@ def stream_queries() -> dict[str, Query]:
         return us(runner.latest_rows(changes, "scan_id"), ts_us="ts")
 
     def throttle(s: SparkSession, d: str) -> DataFrame:
-        rows = runner.drain_append(scan_events.progress_throttle(events(s, d), 86400.0), "throttle")
+        stream = tables.scan_events(runner.read_table(s, d, "events", max_bytes=1 << 30))
+        rows = runner.drain_append(scan_events.progress_throttle(stream, 86400.0), "throttle")
         return us(rows, ts_us="ts").select("event_id", "scan_id", "status", "ts_us")
 
     def rule_scan(s: SparkSession, d: str) -> DataFrame:

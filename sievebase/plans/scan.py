@@ -57,6 +57,20 @@ SPECIAL = (
 )
 
 
+def special_files(corpus: DataFrame) -> DataFrame:
+    """The files checks read by name, set aside once: a tiny part of the text."""
+    named = corpus.filter(F.col("file_path").rlike(SPECIAL))
+    return materialize(named.select("repo", "file_path", "content"), "special")
+
+
+def structure_parts(files: DataFrame, named: DataFrame) -> list[DataFrame]:
+    """Structure and hygiene of repositories; ``named`` holds the files read by name."""
+    return [
+        hygiene.repo_presence_checks(files), hygiene.env_files(named), hygiene.deep_paths(files),
+        hygiene.ineffective_gitignore(named, files), hygiene.committed_artifacts(files),
+    ]
+
+
 def merge_analyzers(corpus: DataFrame, git: GitFacts | None = None) -> DataFrame:
     """Findings of all analyzers.
 
@@ -67,7 +81,7 @@ def merge_analyzers(corpus: DataFrame, git: GitFacts | None = None) -> DataFrame
     """
     files = kept_files(corpus)
     paths = corpus.select("repo", "file_path", F.octet_length("content").alias("size_bytes"))
-    special = materialize(corpus.filter(F.col("file_path").rlike(SPECIAL)).select("repo", "file_path", "content"), "special")
+    special = special_files(corpus)
     named = kept_files(special)
     sources = materialize(dataflow.flow_facts(files), "sources")
     parts = [
@@ -75,8 +89,7 @@ def merge_analyzers(corpus: DataFrame, git: GitFacts | None = None) -> DataFrame
         quality.duplicate_blocks(files),
         quality.circular_imports(files, materialize(quality.imports(files), "imports")),
         dependencies.missing_lockfile(files), *[op(named) for op in dependencies.MANIFEST_OPS],
-        hygiene.repo_presence_checks(files), hygiene.env_files(named), hygiene.deep_paths(files),
-        hygiene.ineffective_gitignore(named, files), hygiene.committed_artifacts(files),
+        *structure_parts(files, named),
         hygiene.oversize_and_binary(paths),
         dataflow.flow_findings(files, sources),
         forensics.git_config_exposure(special), forensics.hook_forensics(special), forensics.submodule_risks(special),

@@ -9,10 +9,17 @@ from pyspark.sql import types as T
 from sievebase.session import scratch_dir
 
 
-def read_table(spark: SparkSession, sf_dir: str, table: str) -> DataFrame:
-    """A table's folder as a file stream with the table's own schema."""
+def read_table(spark: SparkSession, sf_dir: str, table: str, max_bytes: int | None = None) -> DataFrame:
+    """A table's folder as a file stream with the table's own schema.
+
+    ``max_bytes`` bounds the input of a micro-batch, and with it what a task that
+    keeps the rows of one key can hold.
+    """
     schema = spark.read.parquet(f"{sf_dir}/{table}.parquet").schema
-    return spark.readStream.schema(schema).option("pathGlobFilter", f"{table}*.parquet").parquet(sf_dir)
+    reader = spark.readStream.schema(schema).option("pathGlobFilter", f"{table}*.parquet")
+    if max_bytes:
+        reader = reader.option("maxBytesPerTrigger", max_bytes)
+    return reader.parquet(sf_dir)
 
 
 def drain_append(stream: DataFrame, purpose: str) -> DataFrame:

@@ -5,7 +5,7 @@ import re
 from pyspark.sql import functions as F
 
 from sievebase.functions.findings import emit
-from sievebase.operators import api_surface, dataflow, dependencies, forensics, hygiene, line_rules, performance, quality
+from sievebase.operators import dataflow, dependencies, forensics, hygiene, line_rules, quality
 from sievebase.plans import scan
 from sievebase.rules.line_rules import SECURITY_RULES
 from sievebase.sources import tables

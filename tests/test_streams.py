@@ -2,8 +2,6 @@
 
 import datetime as dt
 
-from pyspark.sql import functions as F
-
 from sievebase.streaming import runner, scan_events
 
 SCHEMA = "event_id long, scan_id long, ts timestamp, status string, progress double"
