@@ -3,9 +3,11 @@
 import pytest
 
 import __spark_entry__ as entry
+from oracle import all_statements
+from sievebase.plans.queries import all_queries
 from tools.compare import compare, duck
 
-QUERIES, SQL = entry.queries(), entry.oracle_sql()
+QUERIES, SQL = {name: entry.queries()[name] for name in all_queries()}, all_statements()
 
 
 @pytest.fixture(scope="module")
