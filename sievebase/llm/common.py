@@ -21,6 +21,13 @@ def read(spark: SparkSession, sf_dir: str, table: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{table}.parquet")
 
 
+def vocabulary_file(name: str = "byte_bpe_50k.json") -> str:
+    """The place of a public tokenizer's vocabulary, the same on the driver and all executors."""
+    import public_tokenizers
+
+    return public_tokenizers.path(name)
+
+
 def materialize(df: DataFrame, purpose: str) -> DataFrame:
     """Write a table that later steps read more than once to the shared folder, and read it back."""
     path = scratch_dir(df.sparkSession, purpose)
@@ -125,3 +132,64 @@ def word_hashes(data: np.ndarray, offsets: np.ndarray) -> tuple[np.ndarray, np.n
 def arrow_config(spark: SparkSession) -> None:
     """Bound the batches that Python workers get by bytes as well as by rows."""
     spark.conf.set("spark.sql.execution.arrow.maxBytesPerBatch", str(32 << 20))
+
+
+# --- sums of arrays ---------------------------------------------------------------------------
+
+BLOCK_CELLS = 1 << 12
+
+
+def array_rows(key: str, values: np.ndarray) -> Iterator[tuple[str, int, bytes]]:
+    """A one-dimensional array as rows (key, block, bytes), without blocks of zeros."""
+    for block in range(0, len(values), BLOCK_CELLS):
+        part = values[block : block + BLOCK_CELLS]
+        if part.any():
+            yield key, block // BLOCK_CELLS, part.tobytes()
+
+
+ARRAY_SCHEMA = "key string, block int, cells binary"
+
+
+def sum_arrays(rows: DataFrame, dtype: str) -> dict[str, np.ndarray]:
+    """Sums of the arrays of each key. Tasks add up blocks; the driver gets one row per key and block.
+
+    Callers use keys and array lengths that don't grow with the input.
+    """
+
+    def add(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        sums: dict[tuple[str, int], np.ndarray] = {}
+        for batch in batches:
+            for key, block, cells in zip(*(batch.column(i).to_pylist() for i in range(3))):
+                values = np.frombuffer(cells, dtype)
+                if (key, block) in sums:
+                    sums[key, block] += values
+                else:
+                    sums[key, block] = values.copy()
+        if sums:
+            yield pa.RecordBatch.from_arrays(
+                [pa.array([k for k, _ in sums]), pa.array([b for _, b in sums], pa.int32()), pa.array([v.tobytes() for v in sums.values()])],
+                names=["key", "block", "cells"],
+            )
+
+    found: dict[str, dict[int, np.ndarray]] = {}
+    for row in rows.repartition("key", "block").mapInArrow(add, ARRAY_SCHEMA).collect():
+        found.setdefault(row["key"], {})[row["block"]] = np.frombuffer(row["cells"], dtype)
+    out = {}
+    for key, blocks in found.items():
+        out[key] = np.zeros(BLOCK_CELLS * (max(blocks) + 1), dtype)
+        for block, values in blocks.items():
+            out[key][block * BLOCK_CELLS : block * BLOCK_CELLS + len(values)] = values
+    return out
+
+
+def fill(values: np.ndarray | None, length: int, dtype: str) -> np.ndarray:
+    """An array of the given length; what is missing is zero."""
+    out = np.zeros(length, dtype)
+    if values is not None:
+        out[: min(length, len(values))] = values[:length]
+    return out
+
+
+def array_batch(rows: list[tuple[str, int, bytes]]) -> pa.RecordBatch:
+    keys, blocks, cells = zip(*rows)
+    return pa.RecordBatch.from_arrays([pa.array(keys), pa.array(blocks, pa.int32()), pa.array(cells, pa.binary())], names=["key", "block", "cells"])

@@ -5,9 +5,10 @@ from __future__ import annotations
 from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
 
-from sievebase.llm import hilbert_shards, mixing, quality_rules
-from sievebase.llm.common import arrow_config, read
+from sievebase.llm import hilbert_shards, lang_mixture, mixing, quality_rules, rans_tokens
+from sievebase.llm.common import arrow_config, read, vocabulary_file
 
 Query = Callable[[SparkSession, str], DataFrame]
 
@@ -26,6 +27,19 @@ def op5_hilbert_shards(spark: SparkSession, sf: str) -> DataFrame:
     return hilbert_shards.hilbert_shards(read(spark, sf, "documents"))
 
 
+def op9_rans_tokens(spark: SparkSession, sf: str) -> DataFrame:
+    return rans_tokens.token_files(read(spark, sf, "documents"), vocabulary_file())
+
+
+def op10_lang_mixture(spark: SparkSession, sf: str) -> DataFrame:
+    """Learned from four fifths of the documents, applied to all."""
+    docs = read(spark, sf, "documents")
+    out = lang_mixture.held_out(F.col("doc_id"), 5)
+    langs, tables = lang_mixture.learn(docs.filter(~out))
+    found = lang_mixture.identify(docs, langs, tables)
+    return found.select("doc_id", out.alias("held_out"), "lang_pred", "score", "langs", "shares")
+
+
 def _configured(query: Query) -> Query:
     def run(spark: SparkSession, sf: str) -> DataFrame:
         arrow_config(spark)
@@ -35,7 +49,7 @@ def _configured(query: Query) -> Query:
 
 
 def llm_queries() -> dict[str, Query]:
-    found = [op2_quality_rules, op3_source_mix, op5_hilbert_shards]
+    found = [op2_quality_rules, op3_source_mix, op5_hilbert_shards, op9_rans_tokens, op10_lang_mixture]
     return {q.__name__: _configured(q) for q in found}
 
 
