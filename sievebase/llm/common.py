@@ -150,8 +150,8 @@ def array_rows(key: str, values: np.ndarray) -> Iterator[tuple[str, int, bytes]]
 ARRAY_SCHEMA = "key string, block int, cells binary"
 
 
-def sum_arrays(rows: DataFrame, dtype: str) -> dict[str, np.ndarray]:
-    """Sums of the arrays of each key. Tasks add up blocks; the driver gets one row per key and block.
+def sum_arrays(rows: DataFrame, dtype: str, combine: np.ufunc = np.add) -> dict[str, np.ndarray]:
+    """Sums (or what else ``combine`` does) of the arrays of each key. Tasks work by blocks; the driver gets one row per key and block.
 
     Callers use keys and array lengths that don't grow with the input.
     """
@@ -162,7 +162,7 @@ def sum_arrays(rows: DataFrame, dtype: str) -> dict[str, np.ndarray]:
             for key, block, cells in zip(*(batch.column(i).to_pylist() for i in range(3))):
                 values = np.frombuffer(cells, dtype)
                 if (key, block) in sums:
-                    sums[key, block] += values
+                    combine(sums[key, block], values, out=sums[key, block])
                 else:
                     sums[key, block] = values.copy()
         if sums:
@@ -193,3 +193,37 @@ def fill(values: np.ndarray | None, length: int, dtype: str) -> np.ndarray:
 def array_batch(rows: list[tuple[str, int, bytes]]) -> pa.RecordBatch:
     keys, blocks, cells = zip(*rows)
     return pa.RecordBatch.from_arrays([pa.array(keys), pa.array(blocks, pa.int32()), pa.array(cells, pa.binary())], names=["key", "block", "cells"])
+
+
+# --- membership -------------------------------------------------------------------------------
+
+FILTER_BITS = (1 << 20, 1 << 27)
+
+
+def _filter_places(values: np.ndarray, bits: int) -> list[np.ndarray]:
+    hashed = mix(values.astype(np.int64).view(np.uint64))
+    return [((hashed >> np.uint64(shift)) & np.uint64(bits - 1)).astype(np.int64) for shift in (0, 32)]
+
+
+def key_filter(keys: DataFrame, rows: int) -> np.ndarray:
+    """A Bloom filter (packed bits) of a column of longs. Its size is bounded: with too many keys it lets more rows
+    through to the exact join that follows, and never loses one."""
+    bits = min(max(FILTER_BITS[0], 1 << (16 * max(rows, 1)).bit_length()), FILTER_BITS[1])
+
+    def mark(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        found = np.zeros(bits, bool)
+        for batch in batches:
+            for places in _filter_places(batch.column(0).to_numpy(zero_copy_only=False), bits):
+                found[places] = True
+        if found.any():
+            yield array_batch(list(array_rows("", np.packbits(found, bitorder="little"))))
+
+    return fill(sum_arrays(keys.mapInArrow(mark, ARRAY_SCHEMA), "uint8", np.bitwise_or).get(""), bits // 8, "uint8")
+
+
+def may_hold(packed: np.ndarray, values: np.ndarray) -> np.ndarray:
+    """For each long whether the filter may hold it."""
+    found = np.ones(len(values), bool)
+    for places in _filter_places(values, len(packed) * 8):
+        found &= (packed[places >> 3] >> (places & 7).astype(np.uint8)) & 1 == 1
+    return found

@@ -7,12 +7,17 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from sievebase.llm import hilbert_shards, lang_mixture, mixing, quality_rules, rans_tokens
+from sievebase.llm import edit_decontam, hilbert_shards, lang_mixture, mixing, ngram_join, quality_rules, rans_tokens
 from sievebase.llm.common import arrow_config, read, vocabulary_file
 
 Query = Callable[[SparkSession, str], DataFrame]
 
 
+def op1_ngram_jaccard(spark: SparkSession, sf: str) -> DataFrame:
+    """Four-word shingles, a likeness of 85 percent or more."""
+    return ngram_join.jaccard_components(read(spark, sf, "documents"))
+
+
 def op2_quality_rules(spark: SparkSession, sf: str) -> DataFrame:
     """Base counts, verdict and broken rules of every document."""
     out = quality_rules.quality_rules(read(spark, sf, "documents"))
@@ -27,6 +32,11 @@ def op5_hilbert_shards(spark: SparkSession, sf: str) -> DataFrame:
     return hilbert_shards.hilbert_shards(read(spark, sf, "documents"))
 
 
+def op8_edit_decontam(spark: SparkSession, sf: str) -> DataFrame:
+    """Every benchmark item that a document holds, with up to eight percent edits."""
+    return edit_decontam.find_leaks(read(spark, sf, "documents"), read(spark, sf, "benchmark"))
+
+
 def op9_rans_tokens(spark: SparkSession, sf: str) -> DataFrame:
     return rans_tokens.token_files(read(spark, sf, "documents"), vocabulary_file())
 
@@ -49,7 +59,7 @@ def _configured(query: Query) -> Query:
 
 
 def llm_queries() -> dict[str, Query]:
-    found = [op2_quality_rules, op3_source_mix, op5_hilbert_shards, op9_rans_tokens, op10_lang_mixture]
+    found = [op1_ngram_jaccard, op2_quality_rules, op3_source_mix, op5_hilbert_shards, op8_edit_decontam, op9_rans_tokens, op10_lang_mixture]
     return {q.__name__: _configured(q) for q in found}
 
 
