@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from sievebase.llm import edit_decontam, hilbert_shards, lang_mixture, mixing, ngram_join, quality_rules, rans_tokens
+from sievebase.llm import edit_decontam, hilbert_shards, lang_mixture, mixing, ngram_join, quality_rules, rans_tokens, secret_forest, site_quality
 from sievebase.llm.common import arrow_config, read, vocabulary_file
 
 Query = Callable[[SparkSession, str], DataFrame]
@@ -32,6 +32,15 @@ def op5_hilbert_shards(spark: SparkSession, sf: str) -> DataFrame:
     return hilbert_shards.hilbert_shards(read(spark, sf, "documents"))
 
 
+def op6_site_quality(spark: SparkSession, sf: str) -> DataFrame:
+    """Hosts are sources and paths the languages below them: documents carry no address."""
+    return site_quality.site_quality(read(spark, sf, "documents"), read(spark, sf, "labels"))
+
+
+def op7_secret_forest(spark: SparkSession, sf: str) -> DataFrame:
+    return secret_forest.secret_findings(read(spark, sf, "documents"))
+
+
 def op8_edit_decontam(spark: SparkSession, sf: str) -> DataFrame:
     """Every benchmark item that a document holds, with up to eight percent edits."""
     return edit_decontam.find_leaks(read(spark, sf, "documents"), read(spark, sf, "benchmark"))
@@ -59,7 +68,7 @@ def _configured(query: Query) -> Query:
 
 
 def llm_queries() -> dict[str, Query]:
-    found = [op1_ngram_jaccard, op2_quality_rules, op3_source_mix, op5_hilbert_shards, op8_edit_decontam, op9_rans_tokens, op10_lang_mixture]
+    found = [op1_ngram_jaccard, op2_quality_rules, op3_source_mix, op5_hilbert_shards, op6_site_quality, op7_secret_forest, op8_edit_decontam, op9_rans_tokens, op10_lang_mixture]
     return {q.__name__: _configured(q) for q in found}
 
 
