@@ -313,8 +313,6 @@ def jaccard_components(docs: DataFrame, like: Likeness = Likeness()) -> DataFram
 
 
 def one_of_each(docs: DataFrame, like: Likeness = Likeness()) -> DataFrame:
-    """The documents of least doc_id of their component, with their own columns; one row if that doc_id is repeated
-    with the same text. Documents without a doc_id stay."""
+    """One document of each component, that of the least doc_id, with its own columns; documents without a doc_id stay."""
     kept = jaccard_components(docs, like).filter("doc_id = component_id").select("doc_id").distinct()
-    whole = docs.filter("doc_id is null").unionAll(docs.join(kept, "doc_id", "left_semi"))
-    return whole
+    return docs.filter("doc_id is null").unionAll(docs.join(kept, "doc_id", "left_semi").dropDuplicates(["doc_id"]))

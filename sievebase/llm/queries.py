@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from sievebase.llm import edit_decontam, hilbert_shards, lang_mixture, mixing, ngram_join, quality_rules, rans_tokens, secret_forest, site_quality
+from sievebase.llm import edit_decontam, hilbert_shards, lang_mixture, maxent_lm, mixing, ngram_join, quality_rules, rans_tokens, secret_forest, site_quality
 from sievebase.llm.common import arrow_config, read, vocabulary_file
 
 Query = Callable[[SparkSession, str], DataFrame]
@@ -28,6 +28,10 @@ def op3_source_mix(spark: SparkSession, sf: str) -> DataFrame:
     return mixing.mix_sources(read(spark, sf, "documents"))
 
 
+def op4_maxent_lm(spark: SparkSession, sf: str) -> DataFrame:
+    return maxent_lm.score(read(spark, sf, "documents"), lang_mixture.held_out(F.col("doc_id"), 10))
+
+
 def op5_hilbert_shards(spark: SparkSession, sf: str) -> DataFrame:
     return hilbert_shards.hilbert_shards(read(spark, sf, "documents"))
 
@@ -68,7 +72,7 @@ def _configured(query: Query) -> Query:
 
 
 def llm_queries() -> dict[str, Query]:
-    found = [op1_ngram_jaccard, op2_quality_rules, op3_source_mix, op5_hilbert_shards, op6_site_quality, op7_secret_forest, op8_edit_decontam, op9_rans_tokens, op10_lang_mixture]
+    found = [op1_ngram_jaccard, op2_quality_rules, op3_source_mix, op4_maxent_lm, op5_hilbert_shards, op6_site_quality, op7_secret_forest, op8_edit_decontam, op9_rans_tokens, op10_lang_mixture]
     return {q.__name__: _configured(q) for q in found}
 
 
