@@ -61,8 +61,7 @@ FROM code_corpus""",
 SELECT * FROM code_corpus
 WHERE NOT regexp_matches(lower(file_path), {q(SKIP_DIR_RX)})
   AND NOT regexp_matches(lower(file_path), {q(SKIP_EXT_RX)})
-  AND NOT regexp_matches(lower(file_path), '\\.min\\.(js|css)$')
-  AND strlen(content) <= 512000""",
+  AND NOT regexp_matches(lower(file_path), '\\.min\\.(js|css)$')""",
     "lines": """
 SELECT repo, file_path, unnest(string_split(content, chr(10))) AS line,
   CAST(unnest(range(1, len(string_split(content, chr(10))) + 1)) AS INT) AS line_number
@@ -100,10 +99,14 @@ SELECT c_custkey AS user_id, c_name || '@x.io' AS email, c_name AS display_name,
 FROM customer""",
     "api_keys": """
 SELECT o_orderkey AS key_id, o_custkey AS user_id, o_orderpriority AS name, o_orderdate AS created_at,
-  CASE WHEN o_orderstatus = 'F' THEN o_orderdate END AS last_used FROM orders WHERE o_orderpriority IN ('1-URGENT', '5-LOW')""",
+  CASE WHEN o_orderstatus = 'F' THEN o_orderdate END AS last_used FROM orders""",
     "logins": """
 SELECT CASE WHEN c_custkey % 3 = 0 THEN c_custkey ELSE c_custkey + 10000000 END AS user_id,
-  c_name || CASE WHEN c_custkey % 3 = 1 THEN '@x.io' ELSE '@new.io' END AS email FROM customer""",
+  c_name || CASE WHEN c_custkey % 3 = 1 THEN '@x.io' ELSE '@new.io' END AS email, c_custkey AS login_no FROM customer
+UNION ALL SELECT CASE WHEN c_custkey % 3 = 0 THEN c_custkey ELSE c_custkey + 10000000 END,
+  CASE WHEN c_custkey % 4 = 0 THEN 'again-' || c_name || '@new.io' WHEN c_custkey % 3 = 1 THEN c_name || '@x.io' ELSE c_name || '@new.io' END,
+  c_custkey + 20000000 FROM customer WHERE c_custkey % 2 = 0
+UNION ALL SELECT c_custkey + 30000000, c_name || '@x.io', c_custkey + 40000000 FROM customer WHERE c_custkey % 7 = 0""",
     "teams": "SELECT n_nationkey AS team_id, n_name AS team_name, CAST(n_nationkey AS BIGINT) AS owner_id FROM nation",
     "scan_events": """
 SELECT event_id, user_id AS scan_id, ts,
@@ -128,11 +131,11 @@ SELECT repo, hash, 'stash@{' || substr(hash, 1, 2) || '}' AS ref_name,
   CASE WHEN substr(hash, 1, 1) < '4' THEN 'WIP: secret test' ELSE 'WIP' END AS message, content AS diff
 FROM git_objects WHERE obj_type = 'tree'""",
     "line_blame": """
-SELECT c.repo, c.file_path, CAST(e.n % 120 + 1 AS INT) AS line_number,
-  md5(c.file_path || (e.n % 5)) || '00000000' AS hash, 'dev' || (e.n % 7) AS author,
-  'dev' || (e.n % 7) || '@x.io' AS author_email, 1700000000 + e.n * 3600 AS author_time,
+SELECT repo, file_path, CAST(n + 1 AS INT) AS line_number,
+  md5(file_path || (n % 5)) || '00000000' AS hash, 'dev' || (n % 7) AS author,
+  'dev' || (n % 7) || '@x.io' AS author_email, 1700000000 + n * 3600 AS author_time,
   'commit subject' AS summary
-FROM code_corpus c, range(0, 120) e(n)""",
+FROM (SELECT repo, file_path, unnest(range(len(string_split(content, chr(10))))) AS n FROM code_corpus)""",
 }
 NEEDS = {
     "code_corpus": ["snippets"], "file_listing": ["code_corpus"], "kept": ["code_corpus"],

@@ -15,14 +15,8 @@ REASON = f"""CASE WHEN regexp_matches(lower(file_path), {q(SKIP_DIR_RX)}) THEN '
 
 
 def _language() -> str:
-    names = " ".join(
-        f"WHEN {NAME} IN ({', '.join(q(n) for n in ns)}) THEN {q(lang)}"
-        for lang, ns in vocab.LANGUAGE_NAMES.items()
-    )
-    exts = " ".join(
-        f"WHEN lower({EXT}) IN ({', '.join(q(e) for e in es.split())}) THEN {q(lang)}"
-        for lang, es in vocab.LANGUAGE_EXTENSIONS.items()
-    )
+    names = " ".join(f"WHEN {NAME} = {q(name)} THEN {q(lang)}" for name, lang in vocab.LANGUAGE_BY_NAME.items())
+    exts = " ".join(f"WHEN lower({EXT}) = {q(ext)} THEN {q(lang)}" for ext, lang in vocab.LANGUAGE_BY_EXTENSION.items())
     return f"CASE WHEN {NAME} LIKE 'dockerfile.%' THEN 'Docker' {names} {exts} ELSE 'Other' END"
 
 

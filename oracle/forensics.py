@@ -32,25 +32,22 @@ def statements() -> dict[str, str]:
     out["dangling_blob_secrets"] = sql("git_objects", f"""
 SELECT {row('min(n)', 'Critical', "'[DANGLING BLOB ' || hash || '] ' || kind", 'Hard', 'min(score)', OBJ)}, hash AS commit_hash
 FROM ({secret_hits('blobs', 'content', 'repo, hash')}) GROUP BY repo, hash, kind""",
-        blobs=f"""SELECT * FROM (SELECT *, row_number() OVER (PARTITION BY repo ORDER BY hash) AS rk FROM git_objects
-  WHERE obj_type = 'blob' AND {LOST}) WHERE rk <= 500""")
+        blobs=f"SELECT * FROM git_objects WHERE obj_type = 'blob' AND {LOST}")
     out["unreachable_sensitive_commits"] = sql("git_objects", f"""
-SELECT {row('0', 'Warning', "'Unreachable Commit Contains Sensitive Files'", 'Hard', '80', OBJ)} FROM (
-  SELECT *, row_number() OVER (PARTITION BY repo ORDER BY hash) AS rk FROM git_objects WHERE obj_type = 'commit' AND {LOST})
-WHERE rk <= 200 AND regexp_matches(touched_paths, '\\.env|config|secret|password')""")
+SELECT {row('0', 'Warning', "'Unreachable Commit Contains Sensitive Files'", 'Hard', '80', OBJ)} FROM git_objects
+WHERE obj_type = 'commit' AND {LOST} AND regexp_matches(touched_paths, '\\.env|config|secret|password')""")
     out["reflog_sensitive_messages"] = sql("reflog", f"""
 SELECT {row('0', 'Warning', "'Sensitive Keyword in Commit Message'", 'Hard', '55',
             "'.git/logs/refs/' || replace(replace(ltrim(entry, '@'), '{', ''), '}', '')")}, hash AS commit_hash,
   strftime(ts, '%Y-%m-%d %H:%M:%S') AS commit_date FROM (
-  SELECT *, row_number() OVER (PARTITION BY repo, hash ORDER BY ts DESC, entry DESC) AS r2 FROM (
-    SELECT *, row_number() OVER (PARTITION BY repo ORDER BY ts DESC, entry DESC) AS rk FROM reflog) WHERE rk <= 500)
+  SELECT *, row_number() OVER (PARTITION BY repo, hash ORDER BY ts DESC, entry DESC) AS r2 FROM reflog)
 WHERE r2 = 1 AND regexp_matches(message, '(?i)password|secret|token|key')""")
     out["stash_secrets"] = sql("stashes", f"""
 SELECT {row('n', 'Critical', "'Secret in Git Stash: [STASH ' || ref_name || '] ' || kind", 'Hard', 'score', OBJ)}, hash AS commit_hash
 FROM ({secret_hits('few', 'diff', 'repo, hash, ref_name')}) UNION ALL
 SELECT {row('0', 'Warning', "'Sensitive Git Stash Message'", 'Easy', '65', "'.git/logs/refs/stash'")}, hash AS commit_hash
 FROM few WHERE regexp_matches(message, '(?i)password|secret')""",
-        few="SELECT * FROM (SELECT *, row_number() OVER (PARTITION BY repo ORDER BY ref_name, hash) AS rk FROM stashes) WHERE rk <= 20")
+        few="SELECT * FROM stashes")
     lines_of = """SELECT repo, file_path, unnest(string_split(content, chr(10))) AS line,
   unnest(range(1, len(string_split(content, chr(10))) + 1)) AS n FROM code_corpus WHERE """
     out["git_config_exposure"] = sql("code_corpus", f"""
@@ -77,7 +74,7 @@ SELECT {core('line_number', 'Warning', 'Security', 'High Entropy Token', 'Medium
   SELECT repo, file_path, line_number, token, round(-list_sum(list_transform(list_distinct(string_split(token, '')),
     lambda c: (length(token) - length(replace(token, c, ''))) / length(token) * log2((length(token) - length(replace(token, c, ''))) / length(token)))), 6) AS bits
   FROM (SELECT repo, file_path, line_number, unnest(list_distinct(regexp_extract_all(line, {q(facts.TOKEN)}))) AS token FROM lines)
-  WHERE length(token) <= 64) WHERE bits >= 3.5""")
+  ) WHERE bits >= 3.5""")
     out["history_secret_scan"] = sql("git_objects", f"""
 SELECT {row('p.n', 'Critical', "'Secret in Git History: ' || name", 'Hard', '95', OBJ.replace('hash', 'p.hash'))}, p.hash AS commit_hash, uses FROM (
   SELECT repo, name, v, min({{'t': commit_time, 'hash': hash, 'n': n}}) AS p, count(*) AS uses FROM (
@@ -87,6 +84,5 @@ SELECT {row('p.n', 'Critical', "'Secret in Git History: ' || name", 'Hard', '95'
   unnest(range(1, len(string_split(content, chr(10))) + 1)) AS n FROM git_objects""")
     out["large_pack_objects"] = sql("git_objects", f"""
 SELECT {row('0', 'Info', "'Large Object in Pack File'", 'Hard', '40', "'.git/objects/pack/'", 'Structure')},
-  'Object ' || hash || ' takes ' || (size_bytes // 1048576) || ' MB.' AS description FROM (
-  SELECT *, row_number() OVER (PARTITION BY repo ORDER BY hash) AS rk FROM git_objects WHERE size_bytes > 10485760) WHERE rk <= 5""")
+  'Object ' || hash || ' takes ' || (size_bytes // 1048576) || ' MB.' AS description FROM git_objects WHERE size_bytes > 10485760""")
     return out

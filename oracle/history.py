@@ -58,9 +58,9 @@ SELECT (SELECT count(*) FROM users) AS total_users, (SELECT count(*) FROM scans)
 SELECT u.*, coalesce(n, 0) AS total_scans FROM users u LEFT JOIN (SELECT user_id, count(*) AS n FROM scans GROUP BY user_id) s USING (user_id)
 WHERE contains(lower(email), 'customer#0') OR contains(lower(display_name), 'customer#0')""")
     out["admin_scans_page"] = sql("scans issues", f"""
-SELECT h.scan_id, status, repository_name, user_id, created_at, {SCORE} AS score, coalesce(total_issues, 0) AS total_issues,
+SELECT CAST(position AS INT) AS position, h.scan_id, status, repository_name, user_id, created_at, {SCORE} AS score, coalesce(total_issues, 0) AS total_issues,
   coalesce(critical, 0) AS critical_issues, total FROM (
-  SELECT *, count(*) OVER () AS total FROM scans WHERE (contains(CAST(scan_id AS VARCHAR), 'repo_1') OR contains(repository_name, 'repo_1'))
+  SELECT *, count(*) OVER () AS total, row_number() OVER (ORDER BY health_score DESC NULLS LAST, scan_id) AS position FROM scans WHERE (contains(CAST(scan_id AS VARCHAR), 'repo_1') OR contains(repository_name, 'repo_1'))
     AND status = 'COMPLETED' ORDER BY health_score DESC NULLS LAST, scan_id LIMIT 50 OFFSET 100) h LEFT JOIN cnt ON cnt.scan_id = h.scan_id""", **cnt)
     out["activity_feed"] = sql("scans users", f"""
 SELECT * FROM (SELECT 'SCAN' AS type, CASE status WHEN 'COMPLETED' THEN 'check_circle' WHEN 'FAILED' THEN 'error' ELSE 'sync' END AS icon,
@@ -95,7 +95,7 @@ SELECT repository_name, scan_id, n - rank AS i, 100.0::DOUBLE / (n - 1) * (n - r
 SELECT scan_id, file_path, findings, CAST(round_even(findings / total * 100, 0) AS INT) AS percentage, rank FROM (
   SELECT *, sum(findings) OVER (PARTITION BY scan_id) AS total, row_number() OVER (PARTITION BY scan_id ORDER BY findings DESC, file_path) AS rank
   FROM (SELECT scan_id, file_path, count(*) AS findings FROM issues GROUP BY ALL)) WHERE rank <= 10""")
-    out["severity_category_matrix"] = sql("issues", """SELECT coalesce(severity, 'ALL') AS severity, coalesce(category, 'ALL') AS category, count(*) AS findings
+    out["severity_category_matrix"] = sql("issues", """SELECT CASE WHEN grouping(severity) = 1 THEN 'ALL' ELSE severity END AS severity, CASE WHEN grouping(category) = 1 THEN 'ALL' ELSE category END AS category, count(*) AS findings
 FROM issues GROUP BY CUBE (severity, category)""")
     cols = "scan_id, severity, title, file_path, line_number"
     out["report_sections"] = sql("issues", f"""
@@ -119,8 +119,17 @@ QUALIFY row_number() OVER (PARTITION BY user_id, month ORDER BY created_at, scan
 SELECT coalesce(m.user_id, u.user_id) AS user_id, coalesce(m.email, u.email) AS email, coalesce(plan_type, 'FREE') AS plan_type,
   CASE WHEN m.user_id IS NULL THEN last_login ELSE TIMESTAMP '2025-06-01 00:00:00' END AS last_login,
   CASE WHEN m.user_id IS NULL THEN 'kept' WHEN u.user_id IS NULL THEN 'inserted' ELSE 'updated' END AS action
-FROM users u FULL JOIN m ON m.old_id = u.user_id""", m="""SELECT l.*, coalesce(a.user_id, b.user_id) AS old_id FROM logins l
-  LEFT JOIN users a ON a.user_id = l.user_id LEFT JOIN users b ON b.email = l.email""")
+FROM users u FULL JOIN m ON m.old_id = u.user_id""", m="""SELECT user_id, email, old_id FROM (
+  SELECT l.user_id, l.email, coalesce(a.user_id, b.user_id) AS old_id,
+    row_number() OVER (PARTITION BY coalesce(a.user_id, b.user_id) ORDER BY a.user_id IS NOT NULL DESC, login_no DESC) AS rk
+  FROM (SELECT * FROM (SELECT * FROM logins QUALIFY row_number() OVER (PARTITION BY user_id ORDER BY login_no DESC) = 1)
+    QUALIFY row_number() OVER (PARTITION BY email ORDER BY login_no DESC) = 1) l
+  LEFT JOIN users a ON a.user_id = l.user_id LEFT JOIN users b ON b.email = l.email) WHERE rk = 1 OR old_id IS NULL""")
+    out["delete_user_keys"] = sql("api_keys users", """SELECT key_id, user_id, name, key_value, created_at, last_used FROM
+  (SELECT *, md5(CAST(key_id AS VARCHAR)) AS key_value FROM api_keys) WHERE user_id NOT IN (SELECT user_id FROM users WHERE plan_type = 'TEAM')""")
+    out["clear_user_history"] = sql("scans", "SELECT * FROM scans WHERE user_id IS DISTINCT FROM 7")
+    out["delete_scan"] = sql("scans", "SELECT * FROM scans WHERE NOT (scan_id = 33 AND (user_id IS NULL OR user_id = 7))")
+    out["parsed_results"] = sql("scans issues", """SELECT i.scan_id, s.health_score AS score, severity, title, file_path, line_number FROM issues i JOIN scans s ON s.scan_id = i.scan_id""")
     out["owner_filter"] = sql("scans", """SELECT * FROM (SELECT *, CASE WHEN scan_id % 37 = 0 THEN NULL WHEN scan_id % 41 = 0 THEN '' ELSE CAST(user_id AS VARCHAR) END AS owner
   FROM scans) WHERE coalesce(owner, '') = '' OR owner = '7'""")
     out["api_key_listing"] = sql("api_keys", "SELECT user_id, key_id, name, created_at, last_used FROM api_keys")

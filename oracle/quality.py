@@ -115,9 +115,8 @@ SELECT {core('line_number', 'Warning', 'Quality', 'Duplicate Code Block', 'Mediu
   SELECT s.repo, first.f AS file_path, first.l AS line_number, file_count,
     'The same 8 lines are at: ' || (SELECT string_agg(file_path || ':' || l, ', ' ORDER BY file_path) FROM (
        SELECT file_path, l FROM seen x WHERE x.repo = s.repo AND x.block = s.block ORDER BY file_path LIMIT 3)) AS description
-  FROM (SELECT *, row_number() OVER (PARTITION BY repo ORDER BY first) AS rk FROM (
-    SELECT repo, block, count(*) AS file_count, min({{'f': file_path, 'l': l}}) AS first
-    FROM seen GROUP BY repo, block HAVING count(*) >= 2)) s WHERE rk <= 15)""",
+  FROM (SELECT repo, block, count(*) AS file_count, min({{'f': file_path, 'l': l}}) AS first
+    FROM seen GROUP BY repo, block HAVING count(*) >= 2) s)""",
         norm="SELECT repo, file_path, line_number, lower(regexp_replace(line, '^\\s+|\\s+$', '', 'g')) AS t FROM lines",
         seen="""SELECT repo, block, file_path, min(line_number) AS l FROM (
   SELECT repo, file_path, line_number, regexp_replace(string_agg(t, chr(10)) OVER w, '^\\s+|\\s+$', '', 'g') AS block,

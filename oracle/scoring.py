@@ -52,8 +52,8 @@ def merged(*groups: str) -> str:
 EXT = r"lower(regexp_extract(file_path, '(\.[^./]+)$', 1))"
 
 
-def _inlist(types: str) -> str:
-    return "(" + ", ".join(q(t) for t in types.split()) + ")"
+def _inlist(types: list[str]) -> str:
+    return "(" + ", ".join(q(t) for t in types) + ")"
 
 
 _CONTEXT = " ".join(
@@ -93,35 +93,20 @@ FLAGS = """bool_or(title = 'No Tests Detected') AS t1, bool_or(title = 'No CI/CD
 HEAD = {"g": f"SELECT repo, {COUNTS}, {FLAGS} FROM m GROUP BY repo"}
 
 
-def statements() -> dict[str, str]:
-    out: dict[str, str] = {}
-    everything = tuple(PARTS)
-    sec = {"m": merged("security", "structure")}
-    out["merge_analyzers"] = sql("", f"SELECT {CORE}, reachability_status FROM m", m=merged(*everything))
-    out["confidence_score"] = sql("lines", f"SELECT {CORE} FROM s", m=merged(*everything), s=scored("m"))
-    out["blame_attribution"] = sql("line_blame", f"""
-SELECT m.repo, m.file_path, m.line_number, severity, category, title, effort_level, confidence_score, b.hash AS commit_hash, author,
-  author_email, summary AS commit_message, strftime(make_timestamp(author_time * 1000000), '%Y-%m-%d %H:%M UTC') AS commit_date,
-  author || ' in ' || substr(b.hash, 1, 7) || ' (' || strftime(make_timestamp(author_time * 1000000), '%Y-%m-%d %H:%M UTC') || ')' AS introduced_by
-FROM m LEFT JOIN line_blame b ON b.repo = m.repo AND b.file_path = m.file_path AND b.line_number = m.line_number
-  AND m.line_number > 0 AND m.file_path <> '' AND NOT starts_with(m.file_path, '.git/')""", **sec)
-    out["attack_chains"] = sql("", f"""
-SELECT repo, file_path, line_number, CASE WHEN up THEN 'Critical' ELSE severity END AS severity, category, title, effort_level,
-  CASE WHEN up THEN least(100, confidence_score + 15) ELSE confidence_score END AS confidence_score,
-  CASE WHEN regexp_matches(title, 'Hardcoded|Secret') THEN 'Active' END AS reachability_status
-FROM (SELECT *, title = 'Unprotected API Endpoint' AND rk = 1 AND chained AS up FROM (
+BLAME_DATE = "strftime(make_timestamp(author_time * 1000000), '%Y-%m-%d %H:%M UTC')"
+BLAMED = f"""
+SELECT m.* EXCLUDE (commit_hash, commit_date), coalesce(b.hash, m.commit_hash) AS commit_hash, author, author_email, summary AS commit_message,
+  coalesce({BLAME_DATE}, m.commit_date) AS commit_date, author || ' in ' || substr(b.hash, 1, 7) || ' (' || {BLAME_DATE} || ')' AS introduced_by
+FROM m1 m LEFT JOIN line_blame b ON b.repo = m.repo AND b.file_path = m.file_path AND b.line_number = m.line_number
+  AND m.line_number > 0 AND m.file_path <> '' AND NOT starts_with(m.file_path, '.git/')"""
+CHAINED = """
+SELECT * EXCLUDE (up, flow, chained, rk) REPLACE (CASE WHEN up OR flow THEN 'Critical' ELSE severity END AS severity,
+  least(100, confidence_score + CASE WHEN up THEN 15 WHEN flow THEN 10 ELSE 0 END) AS confidence_score,
+  CASE WHEN regexp_matches(title, 'Hardcoded|Secret') AND coalesce(reachability_status, '') = '' THEN 'Active' ELSE reachability_status END AS reachability_status)
+FROM (SELECT *, title = 'Unprotected API Endpoint' AND rk = 1 AND chained AS up, has_flow AND severity = 'Warning' AS flow FROM (
   SELECT *, bool_or(title = 'No Input Validation on Endpoint') OVER (PARTITION BY repo, file_path) AS chained,
-    row_number() OVER (PARTITION BY repo, file_path, title ORDER BY line_number) AS rk FROM m))""",
-        m=merged("security", "api", "flows"))
-    out["health_score"] = sql("", f"SELECT repo, c AS critical, w AS warning, i AS info, {HEALTH} AS health_score FROM g", **sec, **HEAD)
-    debt = "c * 4.0 + w * 1.5 + i * 0.5"
-    out["tech_debt"] = sql("issues", f"""SELECT scan_id, CAST({debt} AS DOUBLE) AS hours, CAST(({debt}) * 85 AS DOUBLE) AS dollars,
-  CAST(ceil({debt}) AS BIGINT) AS hours_saved FROM (SELECT scan_id, {COUNTS} FROM issues GROUP BY scan_id)""")
-    out["file_risk"] = sql("", f"""SELECT repo, file_path, c AS critical, w AS warning, i AS info, 10 * c + 3 * w + i AS risk_score,
-  CASE WHEN 10 * c + 3 * w + i >= 30 THEN 'CRITICAL' WHEN 10 * c + 3 * w + i >= 10 THEN 'WARNING' ELSE 'LOW' END AS risk_tier
-FROM (SELECT repo, file_path, {COUNTS} FROM m GROUP BY repo, file_path)""", **sec)
-    out["distinct_critical_titles"] = sql("", "SELECT DISTINCT repo, title FROM m WHERE category = 'Security' AND severity = 'Critical'", **sec)
-    out["action_plan"] = sql("issues", """
+    row_number() OVER (PARTITION BY repo, file_path, title ORDER BY line_number) AS rk FROM m2))"""
+PLAN = """
 SELECT scan_id, rule_name, instance_count, file_count, round_even(hours, 2) AS estimated_hours, score_impact,
   CAST(hours * 85 AS DOUBLE) AS dollar_cost, fix_confidence, rank FROM (
   SELECT *, row_number() OVER (PARTITION BY scan_id ORDER BY score_impact DESC, rule_name) AS rank FROM (
@@ -131,10 +116,34 @@ SELECT scan_id, rule_name, instance_count, file_count, round_even(hours, 2) AS e
     FROM (SELECT scan_id, title AS rule_name, count(*) AS instance_count, count(DISTINCT file_path) AS file_count,
         CAST(sum(CASE WHEN effort_level = 'Medium' THEN 2.0 WHEN severity = 'Critical' THEN 4.0 WHEN severity = 'Warning' THEN 1.5 ELSE 0.5 END) AS DOUBLE) AS hours,
         count(*) FILTER (severity = 'Critical') AS c, count(*) FILTER (severity = 'Warning') AS w, count(*) FILTER (severity = 'Info') AS i
-      FROM issues GROUP BY scan_id, title))) WHERE rank <= 5""")
+      FROM issues GROUP BY scan_id, title))) WHERE rank <= 5"""
+
+
+def statements() -> dict[str, str]:
+    out: dict[str, str] = {}
+    everything = tuple(PARTS)
+    out["merge_analyzers"] = sql("", f"SELECT {CORE}, reachability_status FROM m", m=merged(*everything))
+    out["confidence_score"] = sql("lines", f"SELECT {CORE} FROM s", m=merged(*everything), s=scored("m"))
+    full = {"m0": merged(*everything), "m1": scored("m0"), "m2": BLAMED, "m": CHAINED}
+    views = "lines line_blame"
+    out["full_scan"] = sql(views, f"SELECT {CORE}, reachability_status, commit_hash, introduced_by FROM m", **full)
+    out["blame_attribution"] = sql(views, f"""
+SELECT {CORE}, commit_hash, author, author_email, commit_message, commit_date, introduced_by FROM m""", **full)
+    out["attack_chains"] = sql(views, f"SELECT {CORE}, reachability_status FROM m", **full)
+    out["health_score"] = sql(views, f"SELECT repo, c AS critical, w AS warning, i AS info, {HEALTH} AS health_score FROM g", **full, **HEAD)
+    debt = "c * 4.0 + w * 1.5 + i * 0.5"
+    out["tech_debt"] = sql("issues", f"""SELECT scan_id, CAST({debt} AS DOUBLE) AS hours, CAST(({debt}) * 85 AS DOUBLE) AS dollars,
+  CAST(ceil({debt}) AS BIGINT) AS hours_saved FROM (SELECT scan_id, {COUNTS} FROM issues GROUP BY scan_id)""")
+    out["file_risk"] = sql(views, f"""SELECT repo, file_path, c AS critical, w AS warning, i AS info, 10 * c + 3 * w + i AS risk_score,
+  CASE WHEN 10 * c + 3 * w + i >= 30 THEN 'CRITICAL' WHEN 10 * c + 3 * w + i >= 10 THEN 'WARNING' ELSE 'LOW' END AS risk_tier
+FROM (SELECT repo, file_path, {COUNTS} FROM m GROUP BY repo, file_path)""", **full)
+    out["distinct_critical_titles"] = sql(views, "SELECT DISTINCT repo, title FROM m WHERE category = 'Security' AND severity = 'Critical'", **full)
+    out["action_plan"] = sql("issues", PLAN)
     out["confidence_bands"] = sql("issues", """SELECT CASE WHEN confidence_score >= 80 THEN 'HIGH' WHEN confidence_score >= 50 THEN 'MEDIUM'
   ELSE 'LOW' END AS band, count(*) AS findings FROM issues GROUP BY 1""")
-    out["analysis_summary"] = sql("kept", f"""
+    out["action_plan_files"] = sql("issues", """SELECT DISTINCT i.scan_id, i.title AS rule_name, i.file_path FROM issues i
+JOIN plan p ON p.scan_id = i.scan_id AND p.rule_name = i.title""", plan=PLAN)
+    out["analysis_summary"] = sql("kept lines line_blame", f"""
 SELECT g.repo, {HEALTH} AS health_score, concat_ws(' ', files || ' files with ' || format('{{:,}}', n_lines) || ' lines.',
   CASE WHEN c > 0 THEN c || ' critical, first ' || f.first.title || ' in ' || f.first.file_path || '.' END,
   CASE WHEN w > 0 THEN w || ' warnings, most in ' || worst || '.' END, CASE WHEN i > 0 THEN i || ' notes.' END,
@@ -149,5 +158,5 @@ JOIN (SELECT repo, min(CASE WHEN severity = 'Critical' THEN {{'file_path': file_
     count(*) FILTER (has_flow) AS flows, count(*) FILTER (category = 'ApiSurface') AS api, count(*) FILTER (confidence_score >= 80) AS sure,
     count(*) FILTER (coalesce(commit_hash, '') <> '') AS attributed FROM m GROUP BY repo) f USING (repo)
 LEFT JOIN (SELECT repo, arg_min(file_path, (-n, file_path)) AS worst FROM (SELECT repo, file_path, count(*) AS n FROM m
-    WHERE severity = 'Warning' GROUP BY repo, file_path) GROUP BY repo) USING (repo)""", m=merged(*everything), **HEAD)
+    WHERE severity = 'Warning' GROUP BY repo, file_path) GROUP BY repo) USING (repo)""", **full, **HEAD)
     return out

@@ -1,7 +1,7 @@
 """Secrets and risks in git facts given as tables.
 
-"First n per repository" ranks are filtered on ``row_number``, so Spark cuts
-each partition to n rows before the shuffle and a huge repository stays cheap.
+All objects are searched. A limit per repository may be given; it ranks and is
+filtered on ``row_number``, so Spark cuts each partition before the shuffle.
 """
 
 from __future__ import annotations
@@ -18,7 +18,9 @@ def _sec(line, severity, title, why, advice, effort, score, commit=None, date=No
     return finding(line, severity, category, title, why, advice, effort, score, commit=commit, commit_date=date, reach=reach)
 
 
-def _first(df: DataFrame, n: int, *order) -> DataFrame:
+def _first(df: DataFrame, n: int | None, *order) -> DataFrame:
+    if n is None:
+        return df
     rank = F.row_number().over(Window.partitionBy("repo").orderBy(*order))
     return df.withColumn("rank", rank).filter(F.col("rank") <= n).drop("rank")
 
@@ -49,7 +51,7 @@ def _secret_hits(content: Column) -> Column:
     return F.when(maybe, F.flatten(F.transform(split_lines(content), hits))).otherwise(F.array().cast(hit_type))
 
 
-def dangling_blob_secrets(objects: DataFrame, max_blobs: int = facts.MAX_BLOBS) -> DataFrame:
+def dangling_blob_secrets(objects: DataFrame, max_blobs: int | None = None) -> DataFrame:
     """Secrets in unreachable blobs, the first of each kind per blob."""
     blobs = _first(_lost(objects, "blob"), max_blobs, "hash")
     hits = blobs.select("repo", "hash", F.inline(_secret_hits(F.col("content"))))
@@ -62,7 +64,7 @@ def dangling_blob_secrets(objects: DataFrame, max_blobs: int = facts.MAX_BLOBS)
     )
 
 
-def unreachable_sensitive_commits(objects: DataFrame, max_commits: int = facts.MAX_COMMITS) -> DataFrame:
+def unreachable_sensitive_commits(objects: DataFrame, max_commits: int | None = None) -> DataFrame:
     commits = _first(_lost(objects, "commit"), max_commits, "hash")
     touched = None
     for word in facts.SENSITIVE_PATHS:
@@ -75,7 +77,7 @@ def unreachable_sensitive_commits(objects: DataFrame, max_commits: int = facts.M
     )
 
 
-def reflog_sensitive_messages(reflog: DataFrame, max_entries: int = facts.MAX_REFLOG) -> DataFrame:
+def reflog_sensitive_messages(reflog: DataFrame, max_entries: int | None = None) -> DataFrame:
     """Newest entries, the newest per commit, whose message names a secret."""
     newest = (F.desc("ts"), F.desc("entry"))
     recent = _first(reflog, max_entries, *newest)
@@ -89,7 +91,7 @@ def reflog_sensitive_messages(reflog: DataFrame, max_entries: int = facts.MAX_RE
     )
 
 
-def stash_secrets(stashes: DataFrame, max_stashes: int = facts.MAX_STASHES) -> DataFrame:
+def stash_secrets(stashes: DataFrame, max_stashes: int | None = None) -> DataFrame:
     kept = _first(stashes, max_stashes, "ref_name", "hash")
     prefix = F.concat(F.lit("Secret in Git Stash: [STASH "), "ref_name", F.lit("] "))
     contents = as_rows(
@@ -184,7 +186,7 @@ def _tokens() -> Column:
     def on_line(l: Column, i: Column) -> Column:
         found = F.array_distinct(F.regexp_extract_all(l, F.lit(facts.TOKEN), F.lit(0)))
         return F.transform(
-            F.filter(found, lambda t: F.length(t) <= facts.TOKEN_MAX_LENGTH),
+            found,
             lambda t: F.struct((i + 1).alias("line"), t.alias("token"), F.round(entropy(t), 6).alias("bits")),
         )
 
@@ -235,7 +237,7 @@ def history_secret_scan(objects: DataFrame) -> DataFrame:
     ).select("repo", "file_path", "f.*", "uses")
 
 
-def large_pack_objects(objects: DataFrame, max_objects: int = facts.MAX_PACK_OBJECTS) -> DataFrame:
+def large_pack_objects(objects: DataFrame, max_objects: int | None = None) -> DataFrame:
     big = _first(objects.filter(F.col("size_bytes") > facts.LARGE_OBJECT_BYTES), max_objects, "hash")
     mb = F.floor(F.col("size_bytes") / 1048576).cast("string")
     return as_rows(

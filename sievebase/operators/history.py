@@ -72,6 +72,16 @@ def parse_issue_documents(documents: DataFrame) -> DataFrame:
     return documents.select("scan_id", F.from_json("document", ISSUE_JSON).alias("i")).select("scan_id", "i.*")
 
 
+def result_documents(scans: DataFrame, issues: DataFrame) -> DataFrame:
+    """Scan states whose ``result`` is one nested document of the score and the findings of the scan.
+
+    A document holds the findings of one scan, as a stored state does; use
+    ``issue_documents`` where a scan may have more than a row can hold.
+    """
+    nested = issues.groupBy("scan_id").agg(F.sort_array(F.collect_list(F.struct(*ISSUE_JSON.fieldNames()))).alias("issues"))
+    return scans.join(nested, "scan_id").select("scan_id", F.to_json(F.struct(F.col("health_score").alias("score"), "issues")).alias("result"))
+
+
 def parse_results(states: DataFrame) -> DataFrame:
     """Findings of stored scan states whose ``result`` holds one nested document."""
     parsed = states.select("scan_id", F.from_json("result", RESULT_JSON).alias("r"))
@@ -222,9 +232,11 @@ def admin_scans_page(
     col = SCAN_ORDERS.get(sort_by.lower(), "created_at")
     order = F.asc(col) if ascending and sort_by else F.desc(col)
     rows = hits.orderBy(order, "scan_id").offset((page - 1) * size).limit(size)
+    # The page is small; its rows keep their place, as joins don't keep the order.
+    place = F.row_number().over(Window.orderBy(order, "scan_id")) + (page - 1) * size
     total = hits.agg(F.count("*"))
-    return with_counts(rows, issues).select(
-        "scan_id", "status", "repository_name", "user_id", "created_at", _score().alias("score"),
+    return with_counts(rows.withColumn("position", place), issues).orderBy("position").select(
+        "position", "scan_id", "status", "repository_name", "user_id", "created_at", _score().alias("score"),
         "total_issues", F.col("critical").alias("critical_issues"), total.scalar().alias("total"),
     )
 
@@ -338,9 +350,13 @@ def top_affected_files(issues: DataFrame, n: int = 10) -> DataFrame:
 
 def severity_category_matrix(issues: DataFrame) -> DataFrame:
     """Counts by severity and category with all margins, in one pass."""
-    return issues.cube("severity", "category").agg(F.count("*").alias("findings")).select(
-        F.coalesce("severity", F.lit("ALL")).alias("severity"), F.coalesce("category", F.lit("ALL")).alias("category"), "findings"
+    def shown(c: str) -> Column:
+        return F.when(F.col(f"all_{c}") == 1, "ALL").otherwise(F.col(c)).alias(c)
+
+    counts = issues.cube("severity", "category").agg(
+        F.count("*").alias("findings"), F.grouping("severity").alias("all_severity"), F.grouping("category").alias("all_category")
     )
+    return counts.select(shown("severity"), shown("category"), "findings")
 
 
 def report_sections(issues: DataFrame, suggestions: int = 10, criticals: int = 5) -> DataFrame:
@@ -402,6 +418,11 @@ def cascade_delete(owned: DataFrame, removed_users: DataFrame) -> DataFrame:
     return owned.join(removed_users.select("user_id").distinct(), "user_id", "left_anti")
 
 
+def clear_history(scans: DataFrame, user_id: int) -> DataFrame:
+    """Scans that stay when one user's history is cleared; unowned scans stay."""
+    return scans.filter(~F.coalesce(F.col("user_id") == user_id, F.lit(False)))
+
+
 def delete_scan(scans: DataFrame, scan_id: int, user_id: int) -> DataFrame:
     """Remove one scan if it is unowned or owned by the user."""
     may = (F.col("scan_id") == scan_id) & (F.col("user_id").isNull() | (F.col("user_id") == user_id))
@@ -409,14 +430,26 @@ def delete_scan(scans: DataFrame, scan_id: int, user_id: int) -> DataFrame:
 
 
 def user_upsert(users: DataFrame, logins: DataFrame, as_of: str) -> DataFrame:
-    """Merge sign-ins into the users: match on id, else on e-mail, else insert."""
+    """Merge sign-ins into the users: match on id, else on e-mail, else insert.
+
+    ``logins`` has user_id, email and an order, login_no. Of an id's sign-ins only
+    the last counts, and of an e-mail's as well. A stored user is changed once: by
+    the sign-in with its id, else by the one with its e-mail.
+    """
     now = F.lit(as_of).cast("timestamp_ntz")
-    by_id = logins.join(users.select("user_id", F.col("user_id").alias("old_id")), "user_id", "left")
+    row = F.struct("user_id", "email", "login_no")
+    last = logins.groupBy("user_id").agg(F.max_by(row, "login_no").alias("l")).select("l.*")
+    last = last.groupBy("email").agg(F.max_by(row, "login_no").alias("l")).select("l.*")
+    by_id = last.join(users.select("user_id", F.col("user_id").alias("old_id")), "user_id", "left")
     rest = by_id.filter(F.col("old_id").isNull()).drop("old_id")
-    by_mail = rest.join(users.select("email", F.col("user_id").alias("old_id")), "email", "left").select("user_id", "email", "old_id")
-    matched = by_id.filter(F.col("old_id").isNotNull()).select("user_id", "email", "old_id").unionByName(by_mail)
+    by_mail = rest.join(users.select("email", F.col("user_id").alias("old_id")), "email", "left")
+    cols = ["user_id", "email", "old_id", "login_no"]
+    matched = by_id.filter(F.col("old_id").isNotNull()).select(*cols, F.lit(1).alias("sure")).unionByName(by_mail.select(*cols, F.lit(0).alias("sure")))
+    found, inserted = matched.filter(F.col("old_id").isNotNull()), matched.filter(F.col("old_id").isNull())
+    best = F.struct("sure", "login_no")
+    one = found.groupBy("old_id").agg(F.max_by(F.struct("user_id", "email"), best).alias("l")).select("old_id", "l.*")
     merged = users.select(F.col("user_id").alias("old_id"), F.col("email").alias("old_email"), "plan_type", "last_login").join(
-        matched, "old_id", "full_outer"
+        one.unionByName(inserted.select("old_id", "user_id", "email")), "old_id", "full_outer"
     )
     touched = F.col("user_id").isNotNull()
     return merged.select(

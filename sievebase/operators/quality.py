@@ -202,13 +202,16 @@ FILE_LOCAL = (
 )
 
 
-def duplicate_blocks(files: DataFrame, size: int = 8, per_repo: int = 15) -> DataFrame:
-    """Identical line windows in two or more files of a repository.
+PLACES_NAMED = 3
+
+
+def duplicate_blocks(files: DataFrame, size: int = 8, per_repo: int | None = None) -> DataFrame:
+    """Identical line windows in two or more files of a repository; all of them unless ``per_repo`` is given.
 
     Only a 128-bit digest per window leaves the file. Windows are reduced to one
-    row per (repo, digest, file) before they are counted, and the "first n"
-    ranks are cut before their shuffle, so a block copied into most files costs
-    no more than its distinct files.
+    row per (repo, digest, file); then counts are partial sums, and the places that
+    the text names (``PLACES_NAMED``) are cut per partition before their shuffle,
+    so a block that most files share costs a few rows per task.
     """
     clean = F.transform(F.col("ls"), lambda l: F.lower(F.regexp_replace(l, r"^\s+|\s+$", "")))
 
@@ -239,19 +242,17 @@ def duplicate_blocks(files: DataFrame, size: int = 8, per_repo: int = 15) -> Dat
     shared = seen.groupBy("repo", "digest").agg(
         F.count("*").alias("file_count"), F.min(first_place).alias("first")
     ).filter(F.col("file_count") >= 2)
-    order = Window.partitionBy("repo").orderBy("first")
-    reported = shared.withColumn("rank", F.row_number().over(order)).filter(F.col("rank") <= per_repo)
+    if per_repo is not None:
+        order = Window.partitionBy("repo").orderBy("first")
+        shared = shared.withColumn("rank", F.row_number().over(order)).filter(F.col("rank") <= per_repo)
     nearest = Window.partitionBy("repo", "digest").orderBy("file_path")
-    places = (
-        reported.join(seen, ["repo", "digest"])
-        .withColumn("n", F.row_number().over(nearest))
-        .filter(F.col("n") <= 3)
+    named = (
+        seen.withColumn("n", F.row_number().over(nearest))
+        .filter(F.col("n") <= PLACES_NAMED)
         .groupBy("repo", "digest")
-        .agg(
-            F.first("first").alias("first"), F.first("file_count").alias("file_count"),
-            F.sort_array(F.collect_list(F.struct("file_path", "line"))).alias("places"),
-        )
+        .agg(F.sort_array(F.collect_list(F.struct("file_path", "line"))).alias("places"))
     )
+    places = shared.join(named, ["repo", "digest"])
     where = F.array_join(
         F.transform("places", lambda p: F.concat(p["file_path"], F.lit(":"), p["line"].cast("string"))), ", "
     )

@@ -54,8 +54,8 @@ def _context_fits(path: Column) -> Column:
     text = F.lower(F.concat_ws("\n", "title", "description"))
     fits = F.when(ext == "", True)
     for weakness, types in rules.CONTEXTS:
-        fits = fits.when(text.contains(weakness.lower()), ext.isin(types.split()))
-    return fits.when(F.col("category").isin(rules.CATEGORIES), ext.isin(rules.CODE_TYPES.split())).otherwise(True)
+        fits = fits.when(text.contains(weakness.lower()), ext.isin(types))
+    return fits.when(F.col("category").isin(rules.CATEGORIES), ext.isin(rules.CODE_TYPES)).otherwise(True)
 
 
 def confidence_score(findings: DataFrame, files: DataFrame) -> DataFrame:
@@ -122,16 +122,22 @@ def blame_attribution(findings: DataFrame, blame: DataFrame) -> DataFrame:
 
 
 def attack_chains(findings: DataFrame) -> DataFrame:
-    """Raise findings of a file that make each other worse."""
+    """Raise findings of a file that make each other worse.
+
+    Only the open endpoints of a file are ranked, and only the files with an
+    unchecked endpoint are joined to them; all other findings pass through, so a
+    path that very many findings share is no partition of its own.
+    """
     title, score = F.col("title"), F.col("confidence_score")
-    in_file = Window.partitionBy("repo", "file_path")
-    open_api = title == "Unprotected API Endpoint"
-    chained = F.bool_or(open_api).over(in_file) & F.bool_or(title == "No Input Validation on Endpoint").over(in_file)
-    order = in_file.orderBy(F.when(open_api, 0).otherwise(1), "line_number", "description")
-    lead = open_api & F.col("_chained") & (F.col("_rank") == 1)
-    flow = F.col("data_flow_trace").isNotNull() & (F.col("severity") == "Warning")
+    open_api = F.coalesce(title == "Unprotected API Endpoint", F.lit(False))
+    unchecked = findings.filter(title == "No Input Validation on Endpoint").select("repo", "file_path", F.lit(True).alias("_chained")).distinct()
+    first = F.row_number().over(Window.partitionBy("repo", "file_path").orderBy("line_number", "description"))
+    endpoints = findings.filter(open_api).withColumn("_first", first == 1).join(unchecked, ["repo", "file_path"], "left")
+    endpoints = endpoints.select(*findings.columns, (F.col("_first") & F.coalesce("_chained", F.lit(False))).alias("_lead"))
+    marked = findings.filter(~open_api).withColumn("_lead", F.lit(False)).unionByName(endpoints)
+    lead = F.col("_lead")
+    flow = F.col("data_flow_trace").isNotNull() & F.coalesce(F.col("severity") == "Warning", F.lit(False))
     secret = title.contains("Hardcoded") | title.contains("Secret")
-    marked = findings.withColumn("_chained", chained).withColumn("_rank", F.row_number().over(order))
     new = {
         "severity": F.when(lead | flow, "Critical").otherwise(F.col("severity")),
         "confidence_score": F.least(

@@ -165,19 +165,9 @@ def merged(spark: SparkSession, sf: str) -> DataFrame:
     return scan.merge_analyzers(tables.code_corpus(spark, sf), git_facts(spark, sf))
 
 
-def structure_and_rules(spark: SparkSession, sf: str) -> DataFrame:
-    """Line rule hits with the structure and hygiene findings."""
-    corpus_ = tables.code_corpus(spark, sf)
-    files, named = corpus.kept_files(corpus_), corpus.kept_files(scan.special_files(corpus_))
-    local_part = fi.emit(files, line_rules.rule_findings, *hygiene.FILE_LOCAL)
-    return scan.union([local_part, *scan.structure_parts(files, named)])
-
-
-def _chain_input(spark: SparkSession, sf: str) -> DataFrame:
-    files = kept(spark, sf)
-    return scan.union(
-        [fi.emit(files, line_rules.rule_findings, api_surface.endpoint_findings), dataflow.flow_findings(files)]
-    )
+def full_scan(spark: SparkSession, sf: str) -> DataFrame:
+    """All analyzers over all files and git facts, then confidence, blame and chains."""
+    return scan.run_scan(tables.code_corpus(spark, sf), git_facts(spark, sf), tables.line_blame(spark, sf))
 
 
 def _confidence(spark: SparkSession, sf: str) -> DataFrame:
@@ -192,22 +182,23 @@ def _with_double(df: DataFrame, *cols: str) -> DataFrame:
 
 
 def scoring_queries() -> dict[str, Query]:
-    facts = structure_and_rules
     attribution = [*fi.CORE, "commit_hash", "author", "author_email", "commit_message", "commit_date", "introduced_by"]
     return {
         "merge_analyzers": lambda s, d: merged(s, d).select(*fi.CORE, "reachability_status"),
         "confidence_score": _confidence,
-        "blame_attribution": lambda s, d: scoring.blame_attribution(facts(s, d), tables.line_blame(s, d)).select(*attribution),
-        "attack_chains": lambda s, d: scoring.attack_chains(_chain_input(s, d)).select(*fi.CORE, "reachability_status"),
-        "health_score": lambda s, d: scoring.health_score(facts(s, d)),
+        "full_scan": lambda s, d: full_scan(s, d).select(*fi.CORE, "reachability_status", "commit_hash", "introduced_by"),
+        "blame_attribution": lambda s, d: full_scan(s, d).select(*attribution),
+        "attack_chains": lambda s, d: full_scan(s, d).select(*fi.CORE, "reachability_status"),
+        "health_score": lambda s, d: scoring.health_score(full_scan(s, d)),
         "tech_debt": lambda s, d: _with_double(scoring.tech_debt(tables.issues(s, d), "scan_id"), "dollars"),
-        "file_risk": lambda s, d: scoring.file_risk(facts(s, d)),
-        "distinct_critical_titles": lambda s, d: scoring.distinct_critical_titles(facts(s, d)),
+        "file_risk": lambda s, d: scoring.file_risk(full_scan(s, d)),
+        "distinct_critical_titles": lambda s, d: scoring.distinct_critical_titles(full_scan(s, d)),
         "action_plan": lambda s, d: _with_double(scoring.action_plan(tables.issues(s, d), "scan_id"), "dollar_cost"),
         "confidence_bands": lambda s, d: scoring.confidence_bands(tables.issues(s, d)),
-        "analysis_summary": lambda s, d: scoring.analysis_summary(
-            scan.materialize(merged(s, d), "findings"), kept(s, d)
+        "action_plan_files": lambda s, d: scoring.action_plan_files(
+            tables.issues(s, d), scoring.action_plan(tables.issues(s, d), "scan_id"), "scan_id"
         ),
+        "analysis_summary": lambda s, d: scoring.analysis_summary(full_scan(s, d), kept(s, d)),
     }
 
 
@@ -243,6 +234,10 @@ def history_queries() -> dict[str, Query]:
     remote_store = lambda s, d: sc(s, d).withColumn("health_score", F.lit(1))
     return {
         "scan_state_json": on_issues(history.scan_state_json),
+        "parsed_results": lambda s, d: history.parse_results(history.result_documents(sc(s, d), iss(s, d))),
+        "delete_user_keys": lambda s, d: history.cascade_delete(tables.api_keys(s, d), us(s, d).filter(F.col("plan_type") == "TEAM")),
+        "clear_user_history": on_scans(history.clear_history, 7),
+        "delete_scan": on_scans(history.delete_scan, 33, 7),
         "findings_csv_export": on_issues(history.findings_csv_export),
         "user_export": on_scans(history.user_export),
         "recent_completed": lambda s, d: history.recent_completed(local_store(s, d), remote_store(s, d)),

@@ -104,9 +104,9 @@ def merge_analyzers(corpus: DataFrame, git: GitFacts | None = None) -> DataFrame
 
 
 def run_scan(corpus: DataFrame, git: GitFacts | None = None, blame: DataFrame | None = None) -> DataFrame:
-    """Merged findings, scored, attributed and correlated."""
+    """Merged findings, scored, attributed and correlated; written once, as the marts read them several times."""
     findings = materialize(merge_analyzers(corpus, git), "findings")
     scored = scoring.confidence_score(findings, kept_files(corpus))
     if blame is not None:
         scored = scoring.blame_attribution(scored, blame)
-    return scoring.attack_chains(scored)
+    return materialize(scoring.attack_chains(materialize(scored, "scored")), "scan")

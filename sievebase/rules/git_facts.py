@@ -1,4 +1,4 @@
-"""Fixed values of the git checks: patterns, names, words and caps."""
+"""Fixed values of the git checks: patterns, names and words."""
 
 # Secrets in raw objects (kind, pattern, score).
 OBJECT_SECRETS = [
@@ -16,8 +16,7 @@ STANDARD_HOOKS = [
     "update", "pre-auto-gc",
 ]
 HOOK_WORDS = r"curl|wget|nc |netcat|bash -i|/dev/tcp/|password|secret|token"
-# How many objects are looked at per repository.
-MAX_BLOBS, MAX_COMMITS, MAX_REFLOG, MAX_STASHES, MAX_PACK_OBJECTS = 500, 200, 500, 20, 5
+# Fixed value: objects above this size are reported.
 LARGE_OBJECT_BYTES = 10 * 1024 * 1024
 
 # Our own choice: the vendor signatures and entropy bounds are described in
@@ -30,5 +29,4 @@ HISTORY_SIGNATURES = [
     ("Secret Assignment", r"(?i)(?:password|secret_key|api_key|token)\s*=\s*\"[^\"\s]{8,}\""),
 ]
 TOKEN = r"[A-Za-z0-9+/_=\-]{20,}"
-TOKEN_MAX_LENGTH = 64
 TOKEN_MIN_BITS = 3.5

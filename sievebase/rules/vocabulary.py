@@ -8,37 +8,40 @@ SKIPPED_DIRECTORIES = [
 ]
 
 # Extensions never read (ignoring case).
-SKIPPED_EXTENSIONS = (
-    ".png .jpg .jpeg .gif .svg .ico .pdf .exe .dll .zip .tar .gz .rar .7z .lock .min.js .min.css"
-    " .map .woff .woff2 .ttf .eot .otf .bmp .webp .mp3 .mp4 .avi .mov .so .dylib .o .a .lib .pdb"
-    " .class .jar .war .ear .pyc .pyo .ds_store .suo"
-).split()
+SKIPPED_EXTENSIONS = [
+    ".png", ".jpg", ".jpeg", ".gif", ".svg", ".ico", ".pdf", ".exe", ".dll", ".zip", ".tar", ".gz", ".rar",
+    ".7z", ".lock", ".min.js", ".min.css", ".map", ".woff", ".woff2", ".ttf", ".eot", ".otf", ".bmp",
+    ".webp", ".mp3", ".mp4", ".avi", ".mov", ".so", ".dylib", ".o", ".a", ".lib", ".pdb", ".class", ".jar",
+    ".war", ".ear", ".pyc", ".pyo", ".ds_store", ".suo",
+]
 
-# Fixed value: larger files are skipped.
+# Fixed value: files above this size are skipped by the walk; analyzers take a limit of their own.
 MAX_FILE_BYTES = 500 * 1024
 
 # Language by extension (ignoring case).
-LANGUAGE_EXTENSIONS = {
-    "C#": ".cs .csx", "JavaScript": ".js .jsx .mjs", "TypeScript": ".ts .tsx", "Python": ".py .pyw",
-    "Java": ".java", "Go": ".go", "Rust": ".rs", "Ruby": ".rb", "PHP": ".php", "Swift": ".swift",
-    "Kotlin": ".kt .kts", "Scala": ".scala", "C": ".c .h", "C++": ".cpp .hpp .cc .cxx",
-    "HTML": ".html .htm", "CSS": ".css", "SCSS": ".scss", "SASS": ".sass", "LESS": ".less",
-    "JSON": ".json", "XML": ".xml", "XAML": ".xaml", "YAML": ".yaml .yml", "Markdown": ".md",
-    "SQL": ".sql", "Shell": ".sh .bash .zsh", "PowerShell": ".ps1 .psm1", "R": ".r", "Lua": ".lua",
-    "Dart": ".dart", "Vue": ".vue", "Svelte": ".svelte", "Razor": ".razor .cshtml",
-    "Terraform": ".tf", "HCL": ".hcl", "Docker": ".dockerfile", "Protocol Buffers": ".proto",
-    "GraphQL": ".graphql .gql", "TOML": ".toml", "INI": ".ini", "Config": ".cfg .conf",
-    "Environment": ".env", "MSBuild": ".csproj", "Solution": ".sln .slnx", "Gradle": ".gradle",
-    "CMake": ".cmake", "Make": ".makefile",
+LANGUAGE_BY_EXTENSION = {
+    ".cs": "C#", ".csx": "C#", ".js": "JavaScript", ".jsx": "JavaScript", ".mjs": "JavaScript",
+    ".ts": "TypeScript", ".tsx": "TypeScript", ".py": "Python", ".pyw": "Python", ".java": "Java",
+    ".go": "Go", ".rs": "Rust", ".rb": "Ruby", ".php": "PHP", ".swift": "Swift", ".kt": "Kotlin",
+    ".kts": "Kotlin", ".scala": "Scala", ".c": "C", ".h": "C", ".cpp": "C++", ".hpp": "C++", ".cc": "C++",
+    ".cxx": "C++", ".html": "HTML", ".htm": "HTML", ".css": "CSS", ".scss": "SCSS", ".sass": "SASS",
+    ".less": "LESS", ".json": "JSON", ".xml": "XML", ".xaml": "XAML", ".yaml": "YAML", ".yml": "YAML",
+    ".md": "Markdown", ".sql": "SQL", ".sh": "Shell", ".bash": "Shell", ".zsh": "Shell",
+    ".ps1": "PowerShell", ".psm1": "PowerShell", ".r": "R", ".lua": "Lua", ".dart": "Dart", ".vue": "Vue",
+    ".svelte": "Svelte", ".razor": "Razor", ".cshtml": "Razor", ".tf": "Terraform", ".hcl": "HCL",
+    ".dockerfile": "Docker", ".proto": "Protocol Buffers", ".graphql": "GraphQL", ".gql": "GraphQL",
+    ".toml": "TOML", ".ini": "INI", ".cfg": "Config", ".conf": "Config", ".env": "Environment",
+    ".csproj": "MSBuild", ".sln": "Solution", ".slnx": "Solution", ".gradle": "Gradle", ".cmake": "CMake",
+    ".makefile": "Make",
 }
 
 # Language by whole file name, tried before the extension.
-LANGUAGE_NAMES = {
-    "Docker": ["dockerfile"], "Make": ["makefile", "gnumakefile"], "Ruby": ["gemfile", "rakefile"],
-    "Groovy": ["jenkinsfile"], "Git Config": [".gitignore", ".gitattributes"],
-    "EditorConfig": [".editorconfig"], "JSON": ["package.json", "tsconfig.json"],
-    "Python": ["requirements.txt", "pipfile"], "Go": ["go.mod", "go.sum"],
-    "Rust": ["cargo.toml", "cargo.lock"],
+LANGUAGE_BY_NAME = {
+    "dockerfile": "Docker", "makefile": "Make", "gnumakefile": "Make", "gemfile": "Ruby", "rakefile": "Ruby",
+    "jenkinsfile": "Groovy", ".gitignore": "Git Config", ".gitattributes": "Git Config",
+    ".editorconfig": "EditorConfig", "package.json": "JSON", "tsconfig.json": "JSON",
+    "requirements.txt": "Python", "pipfile": "Python", "go.mod": "Go", "go.sum": "Go", "cargo.toml": "Rust",
+    "cargo.lock": "Rust",
 }
 
 # Hosts repositories may be cloned from.

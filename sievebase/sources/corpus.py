@@ -9,41 +9,40 @@ from sievebase.functions.text import constant_map, extension, file_name, split_l
 from sievebase.rules import vocabulary as vocab
 
 
-def skip_reason(path: Column, size_bytes: Column) -> Column:
+def skip_reason(path: Column, size_bytes: Column, max_bytes: int | None = vocab.MAX_FILE_BYTES) -> Column:
     """Why the walk leaves a file out; null when it is kept."""
     low = F.lower(path)
     folders = F.slice(F.split(low, "/"), 1, F.size(F.split(low, "/")) - 1)
     skipped_dirs = F.array(*[F.lit(d) for d in vocab.SKIPPED_DIRECTORIES])
-    return (
+    reason = (
         F.when(F.arrays_overlap(folders, skipped_dirs), "directory")
         .when(low.endswith(".min.js") | low.endswith(".min.css"), "minified")
         .when(extension(low).isin(vocab.SKIPPED_EXTENSIONS), "extension")
-        .when(size_bytes > vocab.MAX_FILE_BYTES, "size")
     )
+    return reason if max_bytes is None else reason.when(size_bytes > max_bytes, "size")
 
 
 def with_skip_reason(listing: DataFrame) -> DataFrame:
     return listing.withColumn("skip_reason", skip_reason(F.col("file_path"), F.col("size_bytes")))
 
 
-def kept_files(corpus: DataFrame) -> DataFrame:
-    """The files the analyzers see."""
-    reason = skip_reason(F.col("file_path"), F.octet_length("content"))
+def kept_files(corpus: DataFrame, max_bytes: int | None = None) -> DataFrame:
+    """The files the analyzers see: of any size unless ``max_bytes`` is given."""
+    reason = skip_reason(F.col("file_path"), F.octet_length("content"), max_bytes)
     return corpus.filter(reason.isNull()).select("repo", "file_path", "content")
 
 
-def _lookup(table: dict[str, list[str]], key: Column) -> Column:
-    return F.try_element_at(constant_map({k: lang for lang, keys in table.items() for k in keys}), key)
+def _lookup(table: dict[str, str], key: Column) -> Column:
+    return F.try_element_at(constant_map(table), key)
 
 
 def language(path: Column) -> Column:
     """Language by special file name, then by extension, else ``Other``."""
     name = F.lower(file_name(path))
-    by_extension = {lang: exts.split() for lang, exts in vocab.LANGUAGE_EXTENSIONS.items()}
     return F.coalesce(
         F.when(name.startswith("dockerfile."), "Docker"),
-        _lookup(vocab.LANGUAGE_NAMES, name),
-        _lookup(by_extension, F.lower(extension(path))),
+        _lookup(vocab.LANGUAGE_BY_NAME, name),
+        _lookup(vocab.LANGUAGE_BY_EXTENSION, F.lower(extension(path))),
         F.lit("Other"),
     )
 

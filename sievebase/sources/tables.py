@@ -227,8 +227,7 @@ def users(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def api_keys(spark: SparkSession, sf_dir: str) -> DataFrame:
-    orders = read(spark, sf_dir, "orders").filter(F.col("o_orderpriority").isin("1-URGENT", "5-LOW"))
-    return orders.select(
+    return read(spark, sf_dir, "orders").select(
         F.col("o_orderkey").alias("key_id"), F.col("o_custkey").alias("user_id"), F.col("o_orderpriority").alias("name"),
         F.md5(F.col("o_orderkey").cast("string")).alias("key_value"), F.col("o_orderdate").alias("created_at"),
         F.when(F.col("o_orderstatus") == "F", F.col("o_orderdate")).alias("last_used"),
@@ -236,13 +235,20 @@ def api_keys(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def logins(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Sign-ins to be merged into the users: same id, same e-mail, or new."""
+    """Sign-ins to be merged into the users: same id, same e-mail, or new; some come twice, some claim another's e-mail."""
     known = read(spark, sf_dir, "customer")
     slot, key = F.col("c_custkey") % 3, F.col("c_custkey")
-    return known.select(
+    own, new = F.concat("c_name", F.lit("@x.io")), F.concat("c_name", F.lit("@new.io"))
+    first = known.select(
+        F.when(slot == 0, key).otherwise(key + 10_000_000).alias("user_id"), F.when(slot == 1, own).otherwise(new).alias("email"), key.alias("login_no"),
+    )
+    again = known.filter(key % 2 == 0).select(
         F.when(slot == 0, key).otherwise(key + 10_000_000).alias("user_id"),
-        F.when(slot == 1, F.concat("c_name", F.lit("@x.io"))).otherwise(F.concat("c_name", F.lit("@new.io"))).alias("email"),
+        F.when(key % 4 == 0, F.concat(F.lit("again-"), "c_name", F.lit("@new.io"))).when(slot == 1, own).otherwise(new).alias("email"),
+        (key + 20_000_000).alias("login_no"),
     )
+    other = known.filter(key % 7 == 0).select((key + 30_000_000).alias("user_id"), own.alias("email"), (key + 40_000_000).alias("login_no"))
+    return first.unionByName(again).unionByName(other)
 
 
 def teams(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -314,13 +320,14 @@ def stashes(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def line_blame(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Blame facts: the first 120 lines of each file, spread over seven authors."""
-    files = code_corpus(spark, sf_dir).select("repo", "file_path")
-    n = F.col("event_id")
+    """Blame facts of every line of each file, spread over seven authors."""
+    last = F.size(F.split("content", "\n")) - 1
+    lines = code_corpus(spark, sf_dir).select("repo", "file_path", F.explode(F.sequence(F.lit(0), last)).alias("n"))
+    n = F.col("n")
     dev = F.concat(F.lit("dev"), (n % 7).cast("string"))
-    return files.select("repo", "file_path", F.explode(F.sequence(F.lit(0), F.lit(119))).alias("event_id")).select(
+    return lines.select(
         "repo", "file_path",
-        (n % 120 + 1).cast("int").alias("line_number"),
+        (n + 1).alias("line_number"),
         F.concat(F.md5(F.concat("file_path", (n % 5).cast("string"))), F.lit("00000000")).alias("hash"),
         dev.alias("author"),
         F.concat(dev, F.lit("@x.io")).alias("author_email"),
