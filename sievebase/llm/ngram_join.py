@@ -260,7 +260,7 @@ def _join_labels(labels: DataFrame | None, links: DataFrame) -> DataFrame | None
     at = lambda c: labels.select(F.col("node").alias(c), F.col("label").alias(f"l{c}"))
     ends = links.join(at("a"), "a", "left").join(at("b"), "b", "left")
     ends = ends.select(F.coalesce("la", "a").alias("a"), F.coalesce("lb", "b").alias("b")).filter("a != b").distinct()
-    merged = components(ends).withColumnsRenamed({"node": "label", "label": "to"})
+    merged = components(ends).select(F.col("node").alias("label"), F.col("label").alias("to"))
     known = labels.unionAll(merged.select(F.col("label").alias("node"), "label")).distinct()
     return materialize(known.join(merged, "label", "left").select("node", F.coalesce("to", "label").alias("label")), "labels")
 
