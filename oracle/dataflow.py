@@ -92,6 +92,8 @@ def statements() -> dict[str, str]:
     out["function_index"] = sql("lines", "SELECT * FROM fun", **CTES)
     out["intra_file_flows"] = sql("lines", "SELECT * FROM local_flows", **CTES)
     out["flows_via_local_call"] = sql("lines", "SELECT * FROM local_flows WHERE via_call", **CTES)
-    out["cross_file_flows"] = sql("lines", "SELECT * FROM cross_flows", **CTES)
+    out["cross_file_flows_substring"] = sql("lines", "SELECT * FROM cross_flows", **CTES)
+    by_name = CTES["cross_flows"].replace("contains(l.line, f.name)", "list_contains(regexp_extract_all(l.line, '\\w+'), f.name)")
+    out["cross_file_flows"] = sql("lines", "SELECT * FROM cross_flows", **{**CTES, "cross_flows": by_name})
     out["property_taint"] = sql("lines", "SELECT * FROM property_flows", **CTES)
     return out

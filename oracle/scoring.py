@@ -12,7 +12,7 @@ REACH = {
     "git_config_exposure": "Active", "hook_forensics": "Active", "submodule_risks": "Active", "large_pack_objects": "Active",
 }
 WITH_COMMIT = {"dangling_blob_secrets", "reflog_sensitive_messages", "stash_secrets", "history_secret_scan"}
-FLOWS = {"intra_file_flows", "cross_file_flows", "property_taint"}
+FLOWS = {"intra_file_flows", "cross_file_flows_substring", "property_taint"}
 CORE = "repo, file_path, line_number, severity, category, title, effort_level, confidence_score"
 PARTS = {
     "security": ["security_rule_scan"],

@@ -262,25 +262,28 @@ def _harmful(lines: Column) -> Column:
     return let(_sinks(lines), in_file)
 
 
-def cross_file_flows(files: DataFrame, mode: str = "compat") -> DataFrame:
-    return _cross_file(flow_facts(files, mode), files)
+def cross_file_flows(files: DataFrame, mode: str = "compat", calls: str = "identifier") -> DataFrame:
+    return _cross_file(flow_facts(files, mode), files, calls)
 
 
-def _cross_file(facts: DataFrame, files: DataFrame) -> DataFrame:
+def _cross_file(facts: DataFrame, files: DataFrame, calls_by: str) -> DataFrame:
     """A call near a source of a function defined in another file that reaches a sink.
 
-    Function names may stand anywhere inside an identifier of the call line.
-    Calls and definitions meet on (repo, first letters of the name): a call line
-    gives the pieces of its identifiers, the function index keeps only functions
-    with a sink in reach. Longer names are then checked on the line itself.
+    ``identifier``: the call line holds the function's name as a whole identifier;
+    calls and definitions meet on (repo, name), one row per identifier of a line.
+    ``substring``: the name may stand anywhere inside an identifier. They meet on
+    (repo, first letters of the name), a call line gives the pieces of its
+    identifiers, and longer names are then checked on the line itself.
+    The function index keeps only functions with a sink in reach.
     """
+    whole = calls_by == "identifier"
     sources = _source_rows(facts, False)
     window = F.slice("ls", F.col("s.line") + 1, taint.CALL_WINDOW)
     calls = sources.select("repo", "file_path", "s", F.posexplode(window).alias("i", "line")).filter(
         F.col("line").rlike(r"\S") & F.contains("line", F.col("s.var"))
     ).withColumn("call_line", F.col("s.line") + F.col("i") + 1)
     words = F.array_distinct(F.regexp_extract_all("line", F.lit(r"\w+"), F.lit(0)))
-    parts = F.array_distinct(F.flatten(F.transform(words, lambda w: pieces(w, NAME_KEY))))
+    parts = words if whole else F.array_distinct(F.flatten(F.transform(words, lambda w: pieces(w, NAME_KEY))))
     source = ["repo", F.col("file_path").alias("src_file"), F.col("s.line").alias("src_line"), "call_line"]
     asked = calls.select(
         *source, F.col("s.rule").alias("src_rule"), F.col("s.expr").alias("expr"), F.explode(parts).alias("key")
@@ -288,22 +291,24 @@ def _cross_file(facts: DataFrame, files: DataFrame) -> DataFrame:
     call_text = calls.select(*source, "line").dropDuplicates(["repo", "src_file", "src_line", "call_line"])
 
     reach = with_lines(files).select("repo", F.col("file_path").alias("def_file"), F.inline(_harmful(F.col("ls"))))
-    reach = reach.withColumn("key", key(F.col("name"), NAME_KEY))
+    reach = reach.withColumn("key", F.col("name") if whole else key(F.col("name"), NAME_KEY))
     met = asked.join(reach, ["repo", "key"]).filter(F.col("src_file") != F.col("def_file"))
-    # The key is the whole name up to its width; longer names are checked on the line.
-    sure = met.filter(F.length("name") <= NAME_KEY)
-    long = (
-        met.filter(F.length("name") > NAME_KEY)
-        .join(call_text, ["repo", "src_file", "src_line", "call_line"])
-        .filter(F.contains("line", F.col("name")))
-    )
+    sure = met
+    if not whole:
+        # The key is the whole name up to its width; longer names are checked on the line.
+        sure = met.filter(F.length("name") <= NAME_KEY)
+        long = (
+            met.filter(F.length("name") > NAME_KEY)
+            .join(call_text, ["repo", "src_file", "src_line", "call_line"])
+            .filter(F.contains("line", F.col("name")))
+        )
+        sure = sure.unionByName(long.select(*sure.columns))
     choice = F.struct(
         "src_rule", "call_line", "name", "def_line", F.col("k.rule").alias("sink_rule"), "expr",
         F.col("k.kind").alias("kind"), F.col("k.weakness").alias("weakness"),
     )
     flows = (
-        sure.unionByName(long.select(*sure.columns))
-        .groupBy("repo", F.col("src_file").alias("file_path"), "src_line", "def_file", F.col("k.line").alias("sink_line"))
+        sure.groupBy("repo", F.col("src_file").alias("file_path"), "src_line", "def_file", F.col("k.line").alias("sink_line"))
         .agg(F.min(choice).alias("c"))
     )
     trace = F.concat(
@@ -367,5 +372,5 @@ def _property(facts: DataFrame) -> DataFrame:
 def flow_findings(files: DataFrame, facts: DataFrame | None = None) -> DataFrame:
     """All flows as findings; ``facts`` may be given when they are stored already."""
     facts = flow_facts(files) if facts is None else facts
-    parts = [_intra_file(facts), _cross_file(facts, files), _property(facts)]
+    parts = [_intra_file(facts), _cross_file(facts, files, "substring"), _property(facts)]
     return parts[0].select(*COLUMNS).unionByName(parts[1].select(*COLUMNS)).unionByName(parts[2].select(*COLUMNS))

@@ -131,6 +131,9 @@ def dataflow_queries() -> dict[str, Query]:
         "intra_file_flows": on_files(dataflow.intra_file_flows, *flow, "via_call"),
         "flows_via_local_call": on_files(dataflow.flows_via_local_call, *flow, "via_call"),
         "cross_file_flows": on_files(dataflow.cross_file_flows, *flow, "target_file", "function_name"),
+        "cross_file_flows_substring": on_files(
+            lambda files: dataflow.cross_file_flows(files, calls="substring"), *flow, "target_file", "function_name"
+        ),
         "property_taint": on_files(dataflow.property_taint, *flow, "property"),
     }
 

@@ -94,11 +94,21 @@ def test_long_function_names_are_checked_on_the_line(files):
             "a.js": "const a = req.query.id\n" + f"{name}(query)",
             "b.js": "const a = req.query.id\n" + name[:-2] + "(query)",
             "t.js": f"function {name}(x) {{\n  db.execute(x)\n}}",
-        })
+        }),
+        calls="substring",
     )
     assert {r.file_path for r in found.collect()} == {"a.js"}
 
 
+def test_calls_by_whole_identifier(files):
+    table = files({
+        "a.js": "const a = req.query.id\nrunq(query)", "b.js": "const a = req.query.id\nprerunq(query)",
+        "t.js": "function runq(x) {\n  db.execute(x)\n}",
+    })
+    assert {r.file_path for r in dataflow.cross_file_flows(table).collect()} == {"a.js"}
+    assert {r.file_path for r in dataflow.cross_file_flows(table, calls="substring").collect()} == {"a.js", "b.js"}
+
+
 def test_assigned_mode_follows_the_variable(files):
     f = files({"a.js": "const user = req.body\nother(1)\ndb.query(user)"})
     assert titles(dataflow.taint_sources(f, "compat"), "var") == {""}
