@@ -25,6 +25,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
+from sievebase.functions.text import let
 from sievebase.llm.common import SPACE_CHARS, materialize, words_of
 
 WINDOW = 8
@@ -43,9 +44,29 @@ TWO_SIDED = ("mean_word",)
 COUNTS = ("n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words")
 
 
+def _covered_words(keys: Column) -> Column:
+    """Words inside windows whose key occurs again, from the keys of all windows in order.
+
+    Sorted by key, equal windows are neighbours; sorted by place again, each covers
+    the words up to the next one, a window's width at most. ``let`` binds the sorted
+    arrays, so that lambdas read them and never compute them.
+    """
+    placed = F.array_sort(F.transform(keys, lambda k, i: F.struct(k.alias("k"), i.alias("i"))))
+
+    def again(p: Column) -> Column:
+        same = lambda x, j: F.coalesce(F.get(p, j)["k"] == x["k"], F.lit(False))
+        return F.sort_array(F.array_compact(F.transform(p, lambda x, j: F.when(same(x, j - 1) | same(x, j + 1), x["i"]))))
+
+    def covered(at: Column) -> Column:
+        steps = F.transform(at, lambda x, j: F.least(F.lit(WINDOW), F.coalesce(F.get(at, j + 1) - x, F.lit(WINDOW))))
+        return F.aggregate(steps, F.lit(0), lambda a, x: a + x)
+
+    return let(let(placed, again), covered)
+
+
 def with_counts(docs: DataFrame, text: str = "text") -> DataFrame:
     """Documents with the counts and rates of their texts; the text is split once."""
-    added = ["_words", "_keys", "_lines", "_again", "_placed", *COUNTS, "base_failed", *FLOORS]
+    added = ["_words", "_keys", "_lines", "_covered", *COUNTS, "base_failed", *FLOORS]
     df = docs.drop(*[c for c in added if c in docs.columns])
     body = F.coalesce(F.col(text), F.lit(""))
     df = df.withColumn("_words", words_of(F.col(text)))
@@ -58,32 +79,8 @@ def with_counts(docs: DataFrame, text: str = "text") -> DataFrame:
     )
     df = df.withColumn("_lines", F.filter(F.split(body, "\n"), lambda x: F.length(F.trim(x, F.lit(SPACE_CHARS))) > 0))
     # Only texts in which a window occurs again are sorted.
-    df = df.withColumn(
-        "_placed",
-        F.when(
-            F.size(F.array_distinct("_keys")) < F.size("_keys"),
-            F.array_sort(F.transform("_keys", lambda k, i: F.struct(k.alias("k"), i.alias("i")))),
-        ),
-    )
-    df = df.withColumn(
-        "_again",
-        F.sort_array(
-            F.filter(
-                F.transform(
-                    "_placed",
-                    lambda p, j: F.when(
-                        (p["k"] == F.get(F.col("_placed"), j - 1)["k"]) | (p["k"] == F.get(F.col("_placed"), j + 1)["k"]),
-                        p["i"],
-                    ),
-                ),
-                lambda i: i.isNotNull(),
-            )
-        ),
-    )
-    covered = F.aggregate(
-        F.transform("_again", lambda p, j: F.least(F.lit(WINDOW), F.coalesce(F.get(F.col("_again"), j + 1) - p, F.lit(WINDOW)))),
-        F.lit(0), lambda a, x: a + x,
-    )
+    repeated = F.size(F.array_distinct("_keys")) < F.size("_keys")
+    df = df.withColumn("_covered", F.when(repeated, _covered_words(F.col("_keys"))).otherwise(0))
     joined = F.array_join("_words", "")
     df = df.select(
         *[c for c in df.columns if not c.startswith("_") or c in docs.columns],
@@ -91,7 +88,7 @@ def with_counts(docs: DataFrame, text: str = "text") -> DataFrame:
         F.length(joined).cast("long").alias("word_chars"),
         (F.length(body) - F.length(F.regexp_replace(body, "[#*$%&|<>]+", ""))).cast("long").alias("n_symbols"),
         (F.size("_lines") - F.size(F.array_distinct("_lines"))).cast("long").alias("n_dup_lines"),
-        F.coalesce(covered, F.lit(0)).cast("long").alias("n_repeat_words"),
+        F.col("_covered").cast("long").alias("n_repeat_words"),
         F.size("_lines").alias("_n_lines"),
         F.length(F.regexp_replace(joined, r"[\p{L}\p{M}]+", "")).alias("_n_other"),
         F.length(F.regexp_replace(body, r"[^\p{Lu}]+", "")).alias("_n_upper"),
@@ -188,5 +185,6 @@ def keep_documents(docs: DataFrame) -> DataFrame:
     fences = materialize(thresholds(sketches(counted)), "fences")
     whole = F.struct(*docs.columns).alias("_doc")
     judged = judge(with_counts(docs.select("text", "lang", "source", whole)), fences)
-    return judged.filter("kept").select("_doc.*")
+    # A filter on the verdict would be moved below and compute all counts again; this one stays above.
+    return judged.select(F.explode_outer(F.when(F.col("kept"), F.array("_doc"))).alias("_doc")).filter("_doc is not null").select("_doc.*")
 
