@@ -12,9 +12,11 @@ Exact copies (equal sets) are one node from the start. Within a list, pairs are
 not enumerated: each round tests every set against one hub of its list, joins what
 links into components, and leaves only lists with several components. Copies and
 near-copies, however many, so cost a number of tests in proportion to their
-number. What is left after the rounds, pairs of different components, is tested
+number. The first hub is the most central set of a list, later ones are taken from
+its largest component. What is left after the rounds, pairs of different components, is tested
 in full, so no link between components is lost. Every link is verified on the
-whole sets.
+whole sets; pairs that have fewer lists in common than their sizes ask for are
+not tested.
 
 The order comes from a count sketch of fixed size over all shingles; any order
 gives the same links. Filters of bounded size thin rows before exact joins.
@@ -46,7 +48,7 @@ from sievebase.llm.common import (
 SKETCH_BITS = 20
 LIST_WEIGHT = 4.0  # what an entry of an inverted list costs, in subset keys
 LARGEST_LIGHT = 1000
-HUB_ROUNDS = 2
+HUB_ROUNDS = 5
 
 
 class Likeness(NamedTuple):
@@ -157,8 +159,9 @@ def prefix_keys(values: np.ndarray, sketch: np.ndarray, heavy_from: int, like: L
     return np.concatenate(found) if found else first[:0]
 
 
-def live_lists(docs: DataFrame, facts: DataFrame, sketch: np.ndarray, like: Likeness) -> DataFrame:
-    """Entries (key, node, n) of the lists that hold two different sets."""
+def live_lists(docs: DataFrame, facts: DataFrame, sketch: np.ndarray, like: Likeness) -> tuple[DataFrame, int]:
+    """Entries (key, node, n, d) of the lists that hold two different sets, where d is in how many lists the set is;
+    and the size from which sets are in lists of single shingles."""
     capped = F.least("n", F.lit(LARGEST_LIGHT)).cast("int")
     sizes = {r["s"]: r["count"] for r in facts.filter("n > 0").groupBy(capped.alias("s")).count().collect()}
     heavy_from = boundary(sizes, like)
@@ -192,12 +195,24 @@ def live_lists(docs: DataFrame, facts: DataFrame, sketch: np.ndarray, like: Like
             of = np.repeat(np.arange(batch.num_rows), lengths)[keep]
             yield pa.RecordBatch.from_arrays([pa.array(values[keep]), batch.column(0).take(pa.array(of)), batch.column(1).take(pa.array(of))], names=["key", "node", "n"])
 
-    return materialize(emitted.mapInArrow(thin, "key long, node long, n long").join(live, "key").distinct(), "lists")
+    entries = materialize(emitted.mapInArrow(thin, "key long, node long, n long").join(live, "key").distinct(), "entries")
+    degree = entries.groupBy("node").agg(F.count("*").alias("d"))
+    return materialize(entries.join(degree, "node").select("key", "node", "n", "d"), "lists"), like.overlap(heavy_from)
 
 
-def sets_of(docs: DataFrame, facts: DataFrame, lists: DataFrame, like: Likeness) -> DataFrame:
-    """(node, n, items) of every set that is in a list, from one document each."""
-    wanted = facts.groupBy("node").agg(F.min("loc").alias("loc")).join(lists.select("node").distinct(), "node")
+class Corpus(NamedTuple):
+    """What the tests of pairs need."""
+
+    docs: DataFrame
+    facts: DataFrame
+    like: Likeness
+    listed_from: int
+
+
+def sets_of(corpus: Corpus, nodes: DataFrame) -> DataFrame:
+    """(node, n, items) of the given nodes, from one document each: only their texts are shuffled."""
+    like = corpus.like
+    wanted = corpus.facts.groupBy("node").agg(F.min("loc").alias("loc")).join(nodes, "node")
     wanted = materialize(wanted, "wanted")
     held = key_filter(wanted.select("loc"), wanted.count())
 
@@ -213,21 +228,51 @@ def sets_of(docs: DataFrame, facts: DataFrame, lists: DataFrame, like: Likeness)
                 items = pa.ListArray.from_arrays(pa.array(bounds), pa.array(np.concatenate([s for _, _, s in kept]).view(np.int64)))
                 yield pa.RecordBatch.from_arrays([pa.array([k for k, _, _ in kept], pa.int64()), pa.array([n for _, n, _ in kept], pa.int64()), items], names=["node", "n", "items"])
 
-    texts = located(docs).select("loc", "text").mapInArrow(thin, "loc long, text string").join(wanted, "loc").select("node", "text")
-    found = texts.mapInArrow(run, "node long, n long, items array<long>")
-    return materialize(found.dropDuplicates(["node"]), "items")
+    texts = located(corpus.docs).select("loc", "text").mapInArrow(thin, "loc long, text string").join(wanted, "loc")
+    # Repeated rows have one place; the join has them together already.
+    texts = texts.dropDuplicates(["loc", "node"]).select("node", "text")
+    return materialize(texts.mapInArrow(run, "node long, n long, items array<long>"), "items")
 
 
 # --- links and components ---------------------------------------------------------------------
 
 
-def verify(pairs: DataFrame, sets: DataFrame, like: Likeness) -> DataFrame:
-    """The pairs (a, b) whose whole sets are alike enough."""
+def untested(pairs: DataFrame, tested: DataFrame | None) -> DataFrame:
+    """Pairs (a, b) with a < b, each once, without those of earlier rounds; written."""
+    pairs = pairs.select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b")).distinct()
+    return materialize(pairs if tested is None else pairs.join(tested, ["a", "b"], "left_anti"), "pairs")
+
+
+def verify(pairs: DataFrame, corpus: Corpus) -> DataFrame:
+    """The written pairs (a, b) whose whole sets are alike enough."""
+    if pairs.isEmpty():
+        return pairs
+    sets = sets_of(corpus, pairs.select(F.explode(F.array("a", "b")).alias("node")).distinct())
     a = sets.select(F.col("node").alias("a"), F.col("n").alias("na"), F.col("items").alias("ia"))
     b = sets.select(F.col("node").alias("b"), F.col("n").alias("nb"), F.col("items").alias("ib"))
     shared = F.size(F.array_intersect("ia", "ib"))
-    tested = pairs.join(a, "a").join(b, "b").filter(_sizes_fit(F.col("na"), F.col("nb"), like))
-    return tested.filter(100 * shared >= like.percent * (F.col("na") + F.col("nb") - shared)).select("a", "b")
+    tested = pairs.join(a, "a").join(b, "b").filter(_sizes_fit(F.col("na"), F.col("nb"), corpus.like))
+    alike = tested.filter(100 * shared >= corpus.like.percent * (F.col("na") + F.col("nb") - shared))
+    return materialize(alike.select("a", "b").distinct(), "links")
+
+
+def _common_lists(na: Column, nb: Column, corpus: Corpus) -> Column:
+    """In how many lists two alike sets of these sizes are together at least.
+
+    Of the shorter prefix in the global order, no more are missing in the other set
+    than the likeness allows, and the rest are in the other's prefix too.
+    """
+    percent = corpus.like.percent
+    shared = F.ceil(percent * (na + nb) / (100 + percent))
+    prefix = lambda n: n - F.ceil(percent * n / 100) + 1
+    least = F.least(prefix(na) - (na - shared), prefix(nb) - (nb - shared))
+    return F.when((na < corpus.listed_from) | (nb < corpus.listed_from), 1).otherwise(F.greatest(least, F.lit(1)))
+
+
+def _may_link(corpus: Corpus) -> Column:
+    """What columns na, da and nb, db (sizes, numbers of lists) of alike sets must meet."""
+    na, nb = F.col("na"), F.col("nb")
+    return _sizes_fit(na, nb, corpus.like) & (F.least("da", "db") >= _common_lists(na, nb, corpus))
 
 
 def _sizes_fit(a: Column, b: Column, like: Likeness) -> Column:
@@ -271,39 +316,62 @@ def _labelled(lists: DataFrame, labels: DataFrame | None) -> DataFrame:
     return lists.join(labels, "node", "left").withColumn("label", F.coalesce("label", "node"))
 
 
+def _entry(name: str) -> list[Column]:
+    """The columns of an entry as those of one side of a pair."""
+    return [F.col("node").alias(name), F.col("n").alias(f"n{name}"), F.col("d").alias(f"d{name}")]
+
+
 def _mixed_lists(entries: DataFrame, round_: int) -> DataFrame:
     """Lists with several components: their largest one and one of its sets, another in each round."""
-    part = entries.groupBy("key", "label").agg(F.count("*").alias("c"), F.min_by("node", F.xxhash64("node", "key", F.lit(round_))).alias("hub"))
-    whole = part.groupBy("key").agg(F.count("*").alias("m"), F.max_by("label", "c").alias("major"), F.max_by("hub", "c").alias("hub"))
-    return whole.filter("m > 1").select("key", "major", "hub")
+    one = F.min_by(F.struct("node", "n", "d"), F.xxhash64("node", "key", F.lit(round_))).alias("hub")
+    part = entries.groupBy("key", "label").agg(F.count("*").alias("c"), one)
+    whole = part.groupBy("key").agg(F.count("*").alias("m"), F.max_by(F.struct("label", "hub"), "c").alias("of"))
+    hub = [F.col("of.hub.node").alias("b"), F.col("of.hub.n").alias("nb"), F.col("of.hub.d").alias("db")]
+    return whole.filter("m > 1").select("key", F.col("of.label").alias("major"), *hub)
+
+
+def _central_pairs(lists: DataFrame, corpus: Corpus) -> DataFrame:
+    """Each set with the most central one of its lists: the one that is in most lists, as the origin of copies is."""
+    hubs = lists.groupBy("key").agg(F.max(F.struct("d", "node", "n")).alias("h"))
+    hubs = hubs.select("key", F.col("h.node").alias("b"), F.col("h.n").alias("nb"), F.col("h.d").alias("db"))
+    met = lists.select("key", *_entry("a")).join(hubs, "key").filter((F.col("a") != F.col("b")) & _may_link(corpus))
+    times = met.groupBy("a", "b").agg(F.count("*").alias("c"))
+    return times.groupBy("a").agg(F.max(F.struct("c", "b")).alias("h")).select("a", F.col("h.b").alias("b"))
 
 
-def link_components(lists: DataFrame, sets: DataFrame, like: Likeness) -> DataFrame | None:
+def link_components(lists: DataFrame, corpus: Corpus) -> DataFrame | None:
     """(node, label) of every set with a link; None if there is none."""
-    hubs = lists.groupBy("key").agg(F.min("node").alias("b"))
-    pairs = lists.join(hubs, "key").filter("node != b").select(F.col("node").alias("a"), "b").distinct()
-    labels = _join_labels(None, materialize(verify(pairs, sets, like), "links"))
+    tested = untested(_central_pairs(lists, corpus), None)
+    labels = _join_labels(None, verify(tested, corpus))
     for round_ in range(HUB_ROUNDS):
         entries = _labelled(lists, labels)
-        entries = entries.join(_mixed_lists(entries, round_), "key")
-        lists = materialize(entries.select("key", "node", "n", "label", "major", "hub"), "lists")
-        pairs = lists.filter("label != major").select(F.col("node").alias("a"), F.col("hub").alias("b")).distinct()
-        labels = _join_labels(labels, materialize(verify(pairs, sets, like), "links"))
-        lists = lists.select("key", "node", "n")
+        entries = materialize(entries.join(_mixed_lists(entries, round_), "key"), "mixed")
+        pairs = entries.filter("label != major").select(*_entry("a"), "b", "nb", "db").filter(_may_link(corpus))
+        pairs = untested(pairs, tested)
+        lists = entries.select("key", "node", "n", "d")
+        if pairs.isEmpty():
+            break
+        tested = tested.unionAll(pairs)
+        labels = _join_labels(labels, verify(pairs, corpus))
     entries = _labelled(lists, labels)
-    entries = materialize(entries.join(_mixed_lists(entries, HUB_ROUNDS), "key"), "rest")
-    one = entries.filter("label != major").select("key", F.col("node").alias("a"), F.col("n").alias("na"), F.col("label").alias("la"))
-    two = entries.select("key", F.col("node").alias("b"), F.col("n").alias("nb"), F.col("label").alias("lb"), "major")
+    entries = materialize(entries.join(_mixed_lists(entries, HUB_ROUNDS).select("key", "major"), "key"), "rest")
+    one = entries.filter("label != major").select("key", *_entry("a"), F.col("label").alias("la"))
+    two = entries.select("key", *_entry("b"), F.col("label").alias("lb"), "major")
     apart = (F.col("la") != F.col("lb")) & ((F.col("lb") == F.col("major")) | (F.col("a") < F.col("b")))
-    rest = one.join(two, "key").filter(apart & _sizes_fit(F.col("na"), F.col("nb"), like)).select("a", "b").distinct()
-    return _join_labels(labels, materialize(verify(rest, sets, like), "links"))
+    # Two sets of different components are in mixed lists only, so their common lists are all here.
+    ordered = F.col("a") < F.col("b")
+    swap = lambda x, y: [F.when(ordered, F.col(x)).otherwise(F.col(y)).alias(x), F.when(ordered, F.col(y)).otherwise(F.col(x)).alias(y)]
+    met = one.join(two, "key").filter(apart & _may_link(corpus)).select(*swap("a", "b"), *swap("na", "nb"))
+    met = met.groupBy("a", "b", "na", "nb").agg(F.count("*").alias("c"))
+    rest = met.filter(F.col("c") >= _common_lists(F.col("na"), F.col("nb"), corpus)).select("a", "b")
+    return _join_labels(labels, verify(untested(rest, tested), corpus))
 
 
 def jaccard_components(docs: DataFrame, like: Likeness = Likeness()) -> DataFrame:
     """Per document: doc_id, n_shingles, component_id (least doc_id that links lead to)."""
     facts, sketch = describe(docs, like)
-    lists = live_lists(docs, facts, sketch, like)
-    labels = None if lists.isEmpty() else link_components(lists, sets_of(docs, facts, lists, like), like)
+    lists, listed_from = live_lists(docs, facts, sketch, like)
+    labels = None if lists.isEmpty() else link_components(lists, Corpus(docs, facts, like, listed_from))
     tagged = facts if labels is None else facts.join(labels, "node", "left")
     label = F.col("node") if labels is None else F.coalesce("label", "node")
     tagged = tagged.select("doc_id", "n", F.when(F.col("n") > 0, label).alias("label"))

@@ -151,7 +151,7 @@ def test_planted_items_are_found_and_clean_documents_are_not(spark, sf_dir, docu
         chars = list(text)
         for _ in range(edit_decontam.budget(text, edit_decontam.ERROR_RATE)):
             chars[rnd.randrange(len(chars))] = rnd.choice("xyz")
-        edited.append((k, "Some words before, " + "".join(chars).upper() + "! And after."))
+        edited.append((k, "Some words before, " + "".join(c.upper() if c.isascii() else c for c in chars) + "! And after."))
     found = edit_decontam.find_leaks(spark.createDataFrame(edited, "doc_id long, text string"), benchmark)
     assert {r.doc_id for r in found.collect()} == set(range(len(items)))
     leaking = {r.doc_id for r in got.collect()}
