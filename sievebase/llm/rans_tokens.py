@@ -52,6 +52,7 @@ LANES = 32
 SCALE_BITS = 18
 LOW_STATE = np.uint64(1 << 31)
 CACHE_PIECES = 1_000_000
+DIRECT_BITS = 20  # places of the table that finds common pieces without sorting
 
 BLOCK = T.StructType(
     [
@@ -139,6 +140,7 @@ class Encoder:
         self.place: dict[int, int] = {}
         self.ids, self.first, self.size = np.zeros(1 << 16, np.uint16), np.zeros(1 << 16, np.int64), np.zeros(1 << 16, np.int64)
         self.used = 0
+        self.direct_key, self.direct_place = np.zeros(1 << DIRECT_BITS, np.uint64), np.zeros(1 << DIRECT_BITS, np.int32)
 
     def _learn(self, keys: list[int], pieces: list[str]) -> None:
         """Encode new pieces and keep their ids at the end of the store."""
@@ -156,6 +158,27 @@ class Encoder:
         self.used = first + total
         self.place.update(zip(keys, range(n, n + len(found))))
 
+    def _places(self, hashes: np.ndarray, data: np.ndarray, cuts: np.ndarray) -> np.ndarray:
+        """The place in the store of each piece; pieces that aren't in the direct table are looked up by distinct hash."""
+        slot = (hashes >> np.uint64(64 - DIRECT_BITS)).astype(np.int64)
+        place = self.direct_place[slot].astype(np.int64)
+        other = np.flatnonzero(self.direct_key[slot] != hashes)
+        keys, where, of = np.unique(hashes[other], return_index=True, return_inverse=True)
+        names = keys.tolist()
+        new = [k for k, name in enumerate(names) if name not in self.place]
+        if new:
+            if len(self.place) + len(new) > CACHE_PIECES and self.place:
+                self.clear()
+                return self._places(hashes, data, cuts)
+            at = other[where]
+            spans = [data[cuts[at[k]] : cuts[at[k] + 1]].tobytes().decode("utf-8") for k in new]
+            self._learn([names[k] for k in new], spans)
+        found = np.fromiter(map(self.place.__getitem__, names), np.int64, len(names))
+        place[other] = found[of]
+        taken = slot[other[where]]
+        self.direct_key[taken], self.direct_place[taken] = keys, found
+        return place
+
     def encode(self, data: np.ndarray, offsets: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
         """Ids of all texts one after another, each with the end id, and the number of ids of each text."""
         rows = len(offsets) - 1
@@ -164,16 +187,7 @@ class Encoder:
         edges = np.searchsorted(begins, offsets)
         starts = np.flatnonzero(piece_starts(points, edges)[: len(points)])
         cuts = np.append(begins[starts], len(data)).astype(np.int64)
-        keys, where, of = np.unique(span_hashes(data, cuts[:-1], cuts[1:]), return_index=True, return_inverse=True)
-        names = keys.tolist()
-        new = [k for k, name in enumerate(names) if name not in self.place]
-        if new:
-            if len(self.place) + len(new) > CACHE_PIECES:
-                self.clear()
-                new = range(len(names))
-            spans = [data[cuts[where[k]] : cuts[where[k] + 1]].tobytes().decode("utf-8") for k in new]
-            self._learn([names[k] for k in new], spans)
-        place = np.fromiter(map(self.place.__getitem__, names), np.int64, len(names))[of]
+        place = self._places(span_hashes(data, cuts[:-1], cuts[1:]), data, cuts)
         size = self.size[place]
         upto = np.concatenate([[0], np.cumsum(size)])
         flat = self.ids[np.repeat(self.first[place] - upto[:-1], size) + np.arange(upto[-1])]
