@@ -1,8 +1,9 @@
 """Secret scan with a random forest that removes false positives.
 
-Candidates are runs of key characters, twelve or more, that hold a digit or are
-assigned to a name such as ``password`` or ``token``. Each gets features of its
-length and characters, of the transitions between kinds of characters, how much
+Candidates are the values assigned to a name such as ``password`` or ``token``, of
+any length and any characters up to the next quote or space, and outside of those
+the runs of twelve or more key characters that hold a digit. Each gets features of
+its length and characters, of the transitions between kinds of characters, how much
 of it words of the corpus cover, the name of the path, and the words around it. A
 random forest trained on labelled findings decides. All of it is DataFrame work.
 
@@ -36,8 +37,23 @@ SEEDS = 400
 RUN = r"[A-Za-z0-9+/_\-]{12,}={0,2}"
 NAME = r"(?i)(pass(word|wd|phrase)?|pwd|secret|token|api[_\-]?key|access[_\-]?key|auth|credential|private[_\-]?key)s?[\"']?"
 ASSIGNED_IN_WORD = NAME + r"\s*(:=|=>|=|:)[\"']?$"
+SIGN = r"(:=|=>|=|:)"
+QUOTE = "[\"'`]"
+#: An assigned value: up to the next quote (a backslash before it is not of the value) or the end of the word.
+VALUE = r"[^\"'`]+?(?=\\*[\"'`]|$)"
+OPENING = rf"{SIGN}\\*{QUOTE}?"
+#: Each name in a word with what it is assigned, also inside the value of another; and a whole assignment.
+IN_WORD = f"{NAME}(?=({OPENING}{VALUE}))"
+ASSIGNMENT = f"{NAME}{OPENING}{VALUE}"
+#: A word that follows an assignment: brackets and a quote, then the value.
+NEXT_WORD = rf"^([(\[{{]*\\*{QUOTE}?)({VALUE})"
 NAME_WORD = "^" + r"[\"'{(]?[\w.\-]*" + NAME + "$"
 EXAMPLE = r"(?i)(example|sample|dummy|placeholder|changeme|fake|test|fixture|your)"
+#: What is assigned to such names without being a secret: words, literals of languages, references.
+PLAIN_VALUES = [
+    "required", "optional", "string", "true", "false", "null", "None", "nil", "undefined", "str,", "self.password", "request.token", "the", "is", "invalid", "bearer", "basic", "this",
+    "${PASSWORD}", "$TOKEN", "{{secret}}", "<password>", "os.environ[", "getenv(", "*****", "config.secret;", "int", "yes", "no", "and", "xxxx", "|", "{", "[", "...", "1", "0", "-",
+]
 #: Forms that settle a label by themselves.
 SIGNATURES = [r"^AKIA[0-9A-Z]{16}$", r"^gh[pousr]_[A-Za-z0-9]{36,}$", r"^sk_live_[A-Za-z0-9]{20,}$", r"^xox[abpr]-[A-Za-z0-9\-]{12,}$"]
 BENIGN_WORDS = [r"^\S+@\S+\.\S+$", r"^\(?\+?[0-9][0-9() ./\-]{8,}[.,;:]?$", r"^[0-9]{4}-[0-9]{2}-[0-9]{2}", r"^(https?://|www\.)", r"^[A-Za-z]+(-[A-Za-z]+)+-?[0-9]{0,2}$"]
@@ -51,24 +67,48 @@ FEATURES = (
 def candidates(docs: DataFrame, path: str = "source") -> DataFrame:
     """doc_id, path, at, value, head (what stands before the value in its word), word, and the words around."""
     words = words_of(F.col("text"))
-    placed = F.transform(
-        F.filter(F.transform("words", lambda w, i: F.struct(w.alias("word"), i.alias("at"))), lambda s: (F.length(s["word"]) >= 12) & s["word"].rlike(RUN)),
-        lambda s: F.struct(
-            s["word"].alias("word"), s["at"].alias("at"), F.get("words", s["at"] - 1).alias("before"),
-            F.get("words", s["at"] - 2).alias("before2"), F.get("words", s["at"] + 1).alias("after"),
+    around = F.transform(
+        "words",
+        lambda w, i: F.struct(
+            w.alias("word"), i.alias("at"), F.get("words", i - 1).alias("before"), F.get("words", i - 2).alias("before2"), F.get("words", i + 1).alias("after")
         ),
     )
+    placed = F.filter(around, lambda s: s["word"].rlike(f"{RUN}|{ASSIGNMENT}") | _assigned_before(s["before"], s["before2"]))
     rows = docs.select("doc_id", F.col(path).alias("path"), words.alias("words")).select("doc_id", "path", F.explode(placed).alias("w")).select("doc_id", "path", "w.*")
-    values = rows.select("*", F.posexplode(F.regexp_extract_all("word", F.lit(f"({RUN})"), 1)).alias("part", "value"))
-    values = values.withColumn("head", F.expr("substring_index(word, value, 1)"))
-    values = values.withColumn("assigned", _assigned())
+    values = rows.select("*", F.posexplode(_values()).alias("part", "v")).select("*", "v.*").drop("v")
     return values.filter(F.col("value").rlike("[0-9]") | F.col("assigned"))
 
 
+def _values() -> Column:
+    """The candidates of a word as (value, head, assigned): what the word before assigns, assignments in the word, and runs in what is left."""
+    word = F.col("word")
+    made = lambda value, head, assigned: F.struct(value.alias("value"), head.alias("head"), F.lit(assigned).alias("assigned"))
+    first, opening = F.regexp_extract(word, NEXT_WORD, 2), F.regexp_extract(word, NEXT_WORD, 1)
+    follows = _assigned_before(F.col("before"), F.col("before2")) & (F.length(first) > 0)
+    after = F.when(follows, F.array(made(first, opening, True))).otherwise(F.array().cast("array<struct<value:string,head:string,assigned:boolean>>"))
+    names, given = (F.regexp_extract_all(word, F.lit(IN_WORD), group) for group in (0, 3))
+
+    def assignment(pair: Column) -> Column:
+        sign = F.regexp_extract(pair["given"], f"^{OPENING}", 0)
+        value = F.substring(pair["given"], F.length(sign) + 1, F.length(pair["given"]))
+        ahead = F.call_function("substring_index", word, F.concat(pair["name"], pair["given"]), F.lit(1))
+        return made(value, F.concat(ahead, pair["name"], sign), True)
+
+    inside = F.transform(F.arrays_zip(names.alias("name"), given.alias("given")), assignment)
+    left = F.regexp_replace(word, ASSIGNMENT, " ")
+    left = F.when(follows, F.regexp_replace(left, NEXT_WORD, "$1 ")).otherwise(left)
+    runs = F.transform(F.regexp_extract_all(left, F.lit(f"({RUN})"), 1), lambda v: made(v, F.call_function("substring_index", word, v, F.lit(1)), False))
+    return F.concat(after, inside, runs)
+
+
+def _assigned_before(before: Column, before2: Column) -> Column:
+    """Whether the words before assign a value to a name."""
+    near = F.coalesce(before.rlike(ASSIGNED_IN_WORD), F.lit(False))
+    return near | F.coalesce(before.rlike(f"^{SIGN}$") & before2.rlike(NAME_WORD), F.lit(False))
+
+
 def _assigned() -> Column:
-    near = F.coalesce(F.col("before").rlike(ASSIGNED_IN_WORD), F.lit(False))
-    apart = F.coalesce(F.col("before").rlike("^(:=|=>|=|:)$") & F.col("before2").rlike(NAME_WORD), F.lit(False))
-    return F.col("head").rlike(ASSIGNED_IN_WORD) | near | apart
+    return F.col("head").rlike(ASSIGNED_IN_WORD) | _assigned_before(F.col("before"), F.col("before2"))
 
 
 def dictionary(docs: DataFrame) -> list[str]:
@@ -93,7 +133,7 @@ def with_features(found: DataFrame, words: list[str]) -> DataFrame:
     number = lambda c: F.coalesce(c, F.lit(False)).cast("double")
     return found.select(
         "*", size.cast("double").alias("length"), share("0-9").alias("digit_share"), share("A-Z").alias("upper_share"),
-        share("a-z").alias("lower_share"), share(r"+/_=\-").alias("other_share"), (F.length(kinds) / size).alias("changes"),
+        share("a-z").alias("lower_share"), (1 - share("A-Za-z0-9")).alias("other_share"), (F.length(kinds) / size).alias("changes"),
         (F.size(F.array_distinct(letters)) / size).alias("distinct_share"), entropy.alias("entropy"),
         number(value.rlike("^([0-9a-f]+|[0-9A-F]+)$")).alias("hex_only"), (1 - covered / size).alias("word_share"),
         number(around.rlike(NAME)).alias("named_near"), number(F.col("head").rlike("[\"']$")).alias("quoted"),
@@ -120,9 +160,19 @@ def seed_findings(spark: SparkSession) -> DataFrame:
     rows = spark.range(SEEDS).select("id", F.sha2(F.col("id").cast("string"), 256).alias("h"), F.sha2(F.concat(F.lit("x"), "id"), 256).alias("g"))
     digits, upper = F.regexp_replace("h", "[a-f]", ""), F.upper(F.translate(F.substring("h", 1, 16), "01", "QZ"))
     mixed = F.substring(F.base64(F.unhex("g")), 1, 32)
+    letters = F.translate("g", "0123456789", "ghiklmnopr")
+    size = lambda least, kinds: least + F.pmod(F.xxhash64("h", F.lit(least)), F.lit(kinds)).cast("int")
+    short = F.concat(F.substring(letters, 1, size(3, 6)), F.substring(digits, 1, size(1, 4)))
+    signs = F.concat(
+        F.initcap(F.substring(letters, 1, size(2, 4))), F.substring(F.lit("!&@.$#%*+?"), size(1, 10), F.lit(1)), F.substring(digits, 1, size(1, 3)),
+        F.substring(letters, 10, size(2, 5)), F.substring(F.lit("$.@&!-_^~,"), size(1, 10), F.lit(1)), F.substring(digits, 4, size(0, 3)),
+    )
+    plain = F.element_at(F.array(*[F.lit(w) for w in PLAIN_VALUES]), size(1, len(PLAIN_VALUES)))
     kinds = [
         (1.0, F.substring("h", 1, 20), "password=", "the", ""), (1.0, F.substring("h", 1, 40), '"', "=", "token"), (1.0, F.concat(F.lit("AKIA"), upper), "", "the", "of"),
         (1.0, mixed, "api_key=", "with", ""), (1.0, mixed, "", "=", "secret"), (1.0, F.concat(F.lit("ghp_"), F.substring("g", 1, 36)), "", "of", ""),
+        (1.0, short, "password=", "with", ""), (1.0, short, '"', "=", "password"), (1.0, signs, "password=", "the", ""), (1.0, signs, 'pwd="', "of", ""), (1.0, signs, "", "password:", "the"),
+        (0.0, plain, "", "password:", "the"), (0.0, plain, "token=", "with", ""), (0.0, plain, '"', "=", "secret"), (0.0, plain, "", "auth:", "of"),
         (0.0, F.concat(F.lit("2024-0"), F.substring(digits, 1, 1), F.lit("-1"), F.substring(digits, 2, 1), F.lit("-log")), "", "on", "the"),
         (0.0, F.substring(digits, 1, 14), "+", "phone", "call"), (0.0, F.concat(F.lit("version-"), F.substring(digits, 1, 2), F.lit("-release")), "", "the", "in"),
         (0.0, F.concat(F.lit("your_example_key_"), F.substring(digits, 1, 2)), "token=", "set", ""), (0.0, F.concat(F.lit("chapter_"), F.substring(digits, 1, 3), F.lit("_section")), "", "see", "of"),
