@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+from collections.abc import Callable
+
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
@@ -35,6 +37,34 @@ def drain_append(stream: DataFrame, purpose: str) -> DataFrame:
     return spark.read.schema(stream.schema).parquet(f"{root}/rows")
 
 
+def drain_closed(events: DataFrame, build: Callable[[DataFrame], DataFrame], time: str, purpose: str) -> DataFrame:
+    """Append rows until the input is used up, then let the watermark pass everything that is still held.
+
+    ``build`` makes the stream from the events. A closing row, far in the future and
+    null but for its time, comes in a micro-batch of its own after all events.
+    """
+    spark = events.sparkSession
+    root = scratch_dir(spark, purpose)
+    closing = f"{root}/closing"
+    none = spark.createDataFrame([], events.schema)
+    none.write.parquet(closing)
+    stream = build(events.unionByName(spark.readStream.schema(events.schema).parquet(closing)))
+
+    def run() -> None:
+        query = (
+            stream.writeStream.format("parquet").outputMode("append")
+            .option("path", f"{root}/rows").option("checkpointLocation", f"{root}/state")
+            .trigger(availableNow=True).start()
+        )
+        query.awaitTermination()
+
+    run()
+    end = F.lit("2250-01-01 00:00:00")
+    spark.range(1).select(*[(end if f.name == time else F.lit(None)).cast(f.dataType).alias(f.name) for f in events.schema]).write.mode("append").parquet(closing)
+    run()
+    return spark.read.schema(stream.schema).parquet(f"{root}/rows")
+
+
 def drain_update(stream: DataFrame, purpose: str) -> DataFrame:
     """Changed rows of each micro-batch with their ``batch_id``.
 

@@ -23,30 +23,48 @@ def latest_status(events: DataFrame) -> DataFrame:
     return events.groupBy("scan_id").agg(last).select("scan_id", "r.ts", "r.event_id", "r.status", "r.progress")
 
 
-def progress_throttle(events: DataFrame, seconds: float = 10.0) -> DataFrame:
+def progress_throttle(events: DataFrame, seconds: float = 10.0, delay: str | None = None) -> DataFrame:
     """Events worth writing: the status changed or the last write is old enough.
 
-    The only state of a scan is its last written status and time. The rows of a
-    scan in one micro-batch are put in order first, so the trigger's input size
-    bounds what a task holds.
+    With ``delay`` events wait in the state of their scan until the watermark has
+    passed them and are then taken in order of time and id, so the result doesn't
+    depend on how the input is cut into micro-batches. Events later than ``delay``
+    are dropped; those that the watermark hasn't passed are still held (see
+    ``runner.drain_closed``). Without ``delay`` nothing waits: events are put in
+    order within a micro-batch only, which is right for input in order of time.
     """
     def keep(key: tuple, chunks: Iterator[pd.DataFrame], state: GroupState) -> Iterator[pd.DataFrame]:
-        status, written = state.get if state.exists else (None, None)
-        rows = pd.concat(list(chunks)).sort_values(["ts", "event_id"])
+        status, written, *held = state.get if state.exists else (None, None, [], [], [], [])
+        rows = [list(zip(*held))] if held[0] else [[]]
+        for chunk in chunks:
+            chunk = chunk[chunk["event_id"].notna()]  # closing rows have none
+            rows.append(list(zip(chunk["ts"].astype("int64") // 1000, chunk["event_id"], chunk["status"], chunk["progress"])))
+        rows = sorted((r for part in rows for r in part), key=lambda r: r[:2])
+        passed = len(rows)
+        if delay:
+            watermark = state.getCurrentWatermarkMs()
+            passed = sum(r[0] <= watermark * 1000 for r in rows)
         chosen = []
-        for i, (now, current) in enumerate(zip(rows["ts"].astype("int64") // 1000, rows["status"])):
-            if current != status or now - written >= seconds * 1_000_000:
-                chosen.append(i)
-                status, written = current, int(now)
-        state.update((status, written))
-        yield rows.iloc[chosen][["event_id", "scan_id", "ts", "status", "progress"]]
-
+        for row in rows[:passed]:
+            if row[2] != status or row[0] - written >= seconds * 1_000_000:
+                chosen.append(row)
+                status, written = row[2], int(row[0])
+        rest = rows[passed:]
+        state.update((status, written, *([kind(r[k]) for r in rest] for k, kind in enumerate((int, int, lambda x: x, lambda x: None if pd.isna(x) else float(x))))))
+        if rest:
+            state.setTimeoutTimestamp(max(int(rest[0][0]) // 1000, watermark + 1))
+        found = pd.DataFrame(chosen, columns=["ts", "event_id", "status", "progress"]).assign(scan_id=key[0])
+        found["ts"] = pd.to_datetime(found["ts"].astype("int64"), unit="us")
+        yield found[["event_id", "scan_id", "ts", "status", "progress"]]
+
+    events = events.withColumn("ts", F.col("ts").cast("timestamp"))
     return (
-        events.withColumn("ts", F.col("ts").cast("timestamp"))
+        (events.withWatermark("ts", delay) if delay else events)
         .groupBy("scan_id")
         .applyInPandasWithState(
             keep, "event_id long, scan_id long, ts timestamp, status string, progress double",
-            "status string, written long", "append", GroupStateTimeout.NoTimeout,
+            "status string, written long, times array<long>, ids array<long>, statuses array<string>, progress array<double>",
+            "append", GroupStateTimeout.EventTimeTimeout if delay else GroupStateTimeout.NoTimeout,
         )
     )
 
@@ -103,7 +121,13 @@ def scan_sessions(events: DataFrame, gap: str = "6 hours", delay: str = "1 hour"
 
 
 def dedup(events: DataFrame, *keys: str, delay: str = "60 days") -> DataFrame:
-    """Keys seen, each once within the watermark delay."""
+    """Keys seen, each once within the watermark delay.
+
+    A key that comes again in a later micro-batch, after the watermark has passed
+    its first event by ``delay``, is given again, and events later than the
+    watermark are dropped. So it equals a batch DISTINCT if all input is one
+    micro-batch or spans less than ``delay``.
+    """
     return events.withWatermark("ts", delay).dropDuplicatesWithinWatermark(list(keys)).select(*keys)
 
 

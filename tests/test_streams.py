@@ -34,6 +34,29 @@ def test_throttle_keeps_its_state_between_batches(spark, tmp_path):
     assert sorted(r.event_id for r in kept.collect()) == [0, 3, 4, 6]
 
 
+def test_throttle_is_the_same_in_any_micro_batches(spark, tmp_path):
+    """Late files and many micro-batches give what one batch in order gives; without closing, what the watermark passed."""
+    rows = [(scan, (k * 37 + scan) % 100, "AB"[(k * 37 + scan) % 100 // 30 % 2]) for k in range(40) for scan in (1, 2)]
+    want = set()
+    for scan in (1, 2):
+        status, written = None, None
+        for _, second, current in sorted(r for r in rows if r[0] == scan):
+            if current != status or second - written >= 10:
+                want.add((scan, second))
+                status, written = current, second
+    for name, step in (("one", 80), ("many", 16)):
+        (tmp_path / name).mkdir()
+        events = feed(spark, tmp_path / name, [rows[a : a + step] for a in range(0, 80, step)])
+        got = runner.drain_closed(events, lambda e: scan_events.progress_throttle(e, 10, "100 seconds"), "ts", "t").collect()
+        assert sorted((r.scan_id, (r.ts - T0).seconds) for r in got) == sorted(want)
+
+
+def test_throttle_gives_what_the_watermark_passed(spark, tmp_path):
+    events = feed(spark, tmp_path, [[(1, 20, "A")], [(1, 10, "B"), (1, 0, "A")], [(1, 100, "A")]])
+    kept = runner.drain_append(scan_events.progress_throttle(events, 60, "30 seconds"), "t")
+    assert sorted(r.event_id for r in kept.collect()) == [0, 1, 2]
+
+
 def test_latest_status_takes_the_last_batch(spark, tmp_path):
     events = feed(spark, tmp_path, [[(1, 0, "A"), (2, 0, "A")], [(1, 9, "B")], [(1, 5, "C")]])
     rows = runner.latest_rows(runner.drain_update(scan_events.latest_status(events), "t"), "scan_id")
