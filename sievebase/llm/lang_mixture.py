@@ -128,8 +128,6 @@ def infer(data: np.ndarray, offsets: np.ndarray, tables: np.ndarray) -> tuple[np
         value = likelihood - 0.5 * (k - 1) * np.log(words)
         better = value > best
         fitted[better], best[better] = own[better], value[better]
-        if not better.any():
-            break
     chosen[some] = fitted
     return full, chosen
 

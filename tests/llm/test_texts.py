@@ -270,6 +270,22 @@ def test_expectation_maximisation_equals_a_plain_one():
         assert math.isclose(np.log((part * own).sum(1)).sum(), total[k], rel_tol=1e-4)
 
 
+def test_sets_do_not_depend_on_neighbours(documents):
+    """Two equal languages share a text's larger part, so two are worse than one and three are better; alone as beside others."""
+    _, tables = lang_mixture.learn(documents.filter("lang in ('de', 'en')"))
+    tables = tables[[1, 1, 0]]
+    part = {r.lang: r.text.split() for r in documents.filter("lang in ('de', 'en')").dropDuplicates(["lang"]).select("lang", "text").collect()}
+    texts = [" ".join(part["en"][:80] + part["de"][:20]), " ".join(part["en"][:50] + part["de"][:50])]
+
+    def chosen(found):
+        data = [t.encode() for t in found]
+        return lang_mixture.infer(np.frombuffer(b"".join(data), np.uint8), np.cumsum([0, *map(len, data)]), tables)[1]
+
+    alone, beside = chosen(texts[:1])[0], chosen(texts)[0]
+    assert (alone > 0).all() and 0.1 < alone[2] < 0.3
+    assert np.allclose(alone, beside)
+
+
 def test_languages_of_dirty_rows(dirty, empty):
     langs, tables = lang_mixture.learn(dirty)
     rows = lang_mixture.identify(dirty, langs, tables).collect()
