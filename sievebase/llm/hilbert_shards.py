@@ -1,7 +1,8 @@
 """Shards cut from a Hilbert curve over several metadata dimensions.
 
 Language, source, text size and doc_id are each quantised to 32 levels at their
-own quantiles, the cell's index on the four-dimensional Hilbert curve is the sort
+own quantiles (a name stands for the number of rows with lesser names, so whole
+names decide), the cell's index on the four-dimensional Hilbert curve is the sort
 key, and the sorted rows are cut into runs of equal length. Neighbours on the
 curve are neighbours in every dimension, so the minimum and maximum statistics of
 a shard's files are narrow in all of them at once, and a filter on any dimension
@@ -66,22 +67,34 @@ def hilbert_index(cells: np.ndarray, bits: int) -> np.ndarray:
     return index
 
 
-def _name_code(name: Column) -> Column:
-    """The first seven bytes of a name as a number of the same order."""
-    head = F.rpad(F.hex(F.substring(F.encode(name, "UTF-8"), 1, 7)), 14, "0")
-    return F.conv(head, 16, 10).cast("long")
-
-
 def described(docs: DataFrame) -> DataFrame:
-    """doc_id, size, crc32 and the four dimensions as numbers; texts end here."""
+    """doc_id, size, crc32 and the four dimensions, two of them names; texts end here."""
     text = F.coalesce(F.col("text"), F.lit(""))
     bytes_ = F.octet_length(text).cast("long")
     return docs.select(
         F.col("doc_id"), (bytes_ + ROW_BYTES).alias("size"), F.crc32(F.encode(text, "UTF-8")).alias("text_crc32"),
-        _name_code(F.col("lang")).alias("_lang"), _name_code(F.col("source")).alias("_source"), bytes_.alias("_bytes"), F.col("doc_id").alias("_id"),
+        F.col("lang").alias("_lang"), F.col("source").alias("_source"), bytes_.alias("_bytes"), F.col("doc_id").alias("_id"),
     )
 
 
+def ranked(rows: DataFrame) -> DataFrame:
+    """Each name becomes the number of rows with lesser names; null stays null.
+
+    Distinct names are counted and cut into ranges; the rank is the total of the
+    ranges before and a running sum inside the name's range.
+    """
+    for name in ("_lang", "_source"):
+        counts = rows.filter(F.col(name).isNotNull()).groupBy(name).agg(F.count("*").alias("_c"))
+        counts = materialize(counts.repartitionByRange(name).withColumn("_part", F.spark_partition_id()), "names")
+        parts = counts.groupBy("_part").agg(F.sum("_c").alias("_all"), F.min(name).alias("_least"))
+        sums = lambda column, window: F.coalesce(F.sum(column).over(window), F.lit(0))
+        ahead = parts.select("_part", sums("_all", Window.orderBy("_least").rowsBetween(Window.unboundedPreceding, -1)).alias("_ahead"))
+        inside = sums("_c", Window.partitionBy("_part").orderBy(name).rowsBetween(Window.unboundedPreceding, -1))
+        ranks = counts.withColumn("_inside", inside).join(ahead, "_part").select(name, (F.col("_ahead") + F.col("_inside")).alias("_rank"))
+        rows = rows.join(materialize(ranks, "ranks"), name, "left").withColumn(name, F.col("_rank")).drop("_rank")
+    return rows
+
+
 def _quantiles(column: Column, n: int) -> Column:
     return F.percentile_approx(column, [k / n for k in range(1, n)], 20 * n)
 
@@ -108,7 +121,7 @@ def curve_keys(rows: DataFrame) -> DataFrame:
 
 def hilbert_shards(docs: DataFrame, n_shards: int = N_SHARDS) -> DataFrame:
     """Per document: doc_id, size, text_crc32, curve index, law, shard, slot."""
-    rows = materialize(curve_keys(materialize(described(docs), "described")).drop(*DIMENSIONS), "curve")
+    rows = materialize(curve_keys(ranked(materialize(described(docs), "described"))).drop(*DIMENSIONS), "curve")
     found = rows.agg(_quantiles(F.col("_key"), SLICES).alias("q"), F.count("*").alias("n")).first()
     cuts, total = np.unique(np.array(found["q"] or [], np.int64)), found["n"]
 

@@ -7,6 +7,7 @@ from collections import Counter, defaultdict
 
 import numpy as np
 import pytest
+from pyspark.sql import functions as F
 
 from sievebase.llm import hilbert_shards, mixing, quality_rules
 
@@ -180,3 +181,15 @@ def test_written_shards(spark, documents, tmp_path):
     hilbert_shards.write_shards(documents, shards, str(tmp_path / "s"))
     back = spark.read.parquet(str(tmp_path / "s"))
     assert back.groupBy("shard").count().count() == 4 and back.count() == documents.count()
+
+
+def test_long_names_with_one_beginning_are_told_apart(spark):
+    """Whole names decide the level of a row: sources that differ after many bytes get different cells."""
+    rows = [(i, "text", "en", f"https://www.example.org/common_crawl_{2000 + i % 8}" if i % 9 else None) for i in range(720)]
+    docs = spark.createDataFrame(rows, "doc_id long, text string, lang string, source string")
+    ranked = hilbert_shards.ranked(hilbert_shards.described(docs))
+    got = {(r._source, r._lang) for r in ranked.select("_source", "_lang").collect()}
+    assert got == {(80 * k, 0) for k in range(8)} | {(None, 0)}
+    keys = hilbert_shards.curve_keys(ranked).withColumn("cell", F.shiftright("_key", hilbert_shards.HASH_BITS))
+    assert keys.filter("doc_id between 360 and 380").select("cell").distinct().count() >= 8
+    assert hilbert_shards.hilbert_shards(docs).count() == 720
