@@ -7,7 +7,8 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from sievebase.llm import edit_decontam, hilbert_shards, lang_mixture, maxent_lm, mixing, ngram_join, quality_rules, rans_tokens, secret_forest, site_quality
+from sievebase.llm import edit_decontam, fill_middle, hilbert_shards, html_main, lang_mixture, maxent_lm, merkle_manifest, mixing, ngram_join
+from sievebase.llm import quality_rules, rans_tokens, secret_forest, site_quality, statements
 from sievebase.llm.common import arrow_config, read, vocabulary_file
 
 Query = Callable[[SparkSession, str], DataFrame]
@@ -63,6 +64,19 @@ def op10_lang_mixture(spark: SparkSession, sf: str) -> DataFrame:
     return found.select("doc_id", out.alias("held_out"), "lang_pred", "score", "langs", "shares")
 
 
+def op11_merkle_manifest(spark: SparkSession, sf: str) -> DataFrame:
+    """Digests and proofs of all rows, a part of them tampered with."""
+    return merkle_manifest.verified_rows(merkle_manifest.dataset_manifest(read(spark, sf, "documents")))
+
+
+def op12_html_main(spark: SparkSession, sf: str) -> DataFrame:
+    return html_main.extract(read(spark, sf, "pages"))
+
+
+def op13_fill_middle(spark: SparkSession, sf: str) -> DataFrame:
+    return fill_middle.fim_digests(read(spark, sf, "documents"))
+
+
 def _configured(query: Query) -> Query:
     def run(spark: SparkSession, sf: str) -> DataFrame:
         arrow_config(spark)
@@ -72,10 +86,10 @@ def _configured(query: Query) -> Query:
 
 
 def llm_queries() -> dict[str, Query]:
-    found = [op1_ngram_jaccard, op2_quality_rules, op3_source_mix, op4_maxent_lm, op5_hilbert_shards, op6_site_quality, op7_secret_forest, op8_edit_decontam, op9_rans_tokens, op10_lang_mixture]
+    found = [op1_ngram_jaccard, op2_quality_rules, op3_source_mix, op4_maxent_lm, op5_hilbert_shards, op6_site_quality, op7_secret_forest, op8_edit_decontam, op9_rans_tokens, op10_lang_mixture, op11_merkle_manifest, op12_html_main, op13_fill_middle]
     return {q.__name__: _configured(q) for q in found}
 
 
 def llm_statements() -> dict[str, str]:
     """DuckDB statements for the queries that SQL can express."""
-    return {}
+    return statements.llm_statements()
