@@ -2,11 +2,11 @@
 
 Method: nested-interval labels. Every node carries the interval of leaf ranks that
 it covers: a node of level k covers ``[lo, hi)`` with lo a multiple of 2**k. Nodes
-are built SPAN levels at a time, from groups of at most 2**SPAN nodes that lie in one
-interval. Siblings come from joins by level bucket: a unit meets, at each level, the
-nodes inside the interval of its parent (the bucket), and of those the ones outside
-its own interval are its siblings (interval difference). The paths above a bucket's
-top are attached to the units that its interval contains, from the root downward.
+are built SPAN levels at a time: a bucket holds the nodes of SPAN levels inside one
+interval, from its units (at most 2**SPAN) up to its top. Ancestors come from joins by
+containment: a node meets the one bucket of the levels above whose interval contains its
+own, from the root downward to the leaves. On each level of a bucket the parent's
+interval less the node's own is the interval of its sibling.
 
 Leaves are ranked by a range sort that is written with the place of each row; the
 places of a group's runs in the sorted parts give ranks without one task per group.
@@ -39,7 +39,7 @@ TAMPERED_ONE_IN = 7
 
 class Manifest(NamedTuple):
     """``leaves``: doc_id, lang, rank, leaf, changed (digest after tampering, or null), subroot, root and path, the siblings
-    from the leaf up (``L`` or ``R`` for the side and the digest, empty where a node has none).
+    from the leaf up (whether to the left, and the digest; null where a node has none).
     ``nodes``: (tier, grp, level, lo, hi, digest), tier 0 below the subroots and tier 1 above them."""
 
     leaves: DataFrame
@@ -56,12 +56,21 @@ def field(value: Column) -> Column:
 
 
 def leaf_digest(**changed: Column) -> Column:
-    return F.sha2(F.concat(*[field(changed.get(name, F.col(name))) for name in FIELDS]), 256)
+    return _joined(*[field(changed.get(name, F.col(name))) for name in FIELDS])
+
+
+def _hex(digest: Column) -> Column:
+    return F.lower(F.hex(digest))
+
+
+def _joined(*parts: Column) -> Column:
+    """The digest over digests, as binary."""
+    return F.unhex(F.sha2(F.concat(*parts), 256))
 
 
 def _halved(row: Column) -> Column:
     """The digests one level up: of each two neighbours, the last of one if their number is odd."""
-    pair = lambda i: F.sha2(F.concat(F.get(row, 2 * i), F.coalesce(F.get(row, 2 * i + 1), F.lit(""))), 256)
+    pair = lambda i: _joined(_hex(F.get(row, 2 * i)), F.coalesce(_hex(F.get(row, 2 * i + 1)), F.lit("")))
     return F.transform(F.sequence(F.lit(0), F.floor((F.size(row) - 1) / 2).cast("int")), pair)
 
 
@@ -71,17 +80,17 @@ def _height(n: Column) -> Column:
 
 
 def folded(leaf: Column, path: Column) -> Column:
-    """The root that a leaf and its siblings lead to."""
+    """The root (as hex) that a leaf's digest and its siblings lead to."""
 
     def up(digest: Column, sibling: Column) -> Column:
-        other = F.substring(sibling, 2, 64)
-        return F.sha2(F.when(sibling.startswith("L"), F.concat(other, digest)).otherwise(F.concat(digest, other)), 256)
+        other = F.coalesce(_hex(sibling["digest"]), F.lit(""))
+        return F.sha2(F.when(sibling["left"], F.concat(other, digest)).otherwise(F.concat(digest, other)), 256)
 
-    return F.aggregate(path, leaf, up)
+    return F.aggregate(path, _hex(leaf), up)
 
 
 def proof(path: Column) -> Column:
-    return F.sha2(F.array_join(F.transform(path, lambda s: F.substring(s, 2, 64)), ""), 256)
+    return F.sha2(F.array_join(F.transform(path, lambda s: _hex(s["digest"])), ""), 256)
 
 
 # --- ranks ------------------------------------------------------------------------------------
@@ -107,52 +116,62 @@ def ranked(rows: DataFrame, order: list[str], group: str = "grp") -> DataFrame:
 
 # --- nodes and paths --------------------------------------------------------------------------
 
+PATH = "array<struct<left: boolean, digest: binary>>"
+
 
-def _levels(units: DataFrame, base: int) -> DataFrame:
-    """The nodes of levels base + 1 to base + SPAN over units (grp, n, lo, digest) of level base."""
-    bits = base + SPAN
+def _buckets(units: DataFrame, base: int) -> DataFrame:
+    """(grp, n, top, levels) over units (grp, n, lo, digest) of level base: the digests of each level from base to
+    base + SPAN inside the interval of number ``top``, by rank."""
     one = F.struct("lo", "digest")
-    groups = units.groupBy("grp", "n", F.shiftright("lo", bits).alias("_top")).agg(F.array_sort(F.collect_list(one)).alias("_row"))
+    groups = units.groupBy("grp", "n", F.shiftright("lo", base + SPAN).alias("top")).agg(F.array_sort(F.collect_list(one)).alias("_row"))
     steps = F.least(F.lit(SPAN), _height(F.col("n")) - base)
-    rows = F.when(steps > 0, F.aggregate(
-        F.sequence(F.lit(1), F.greatest(steps, F.lit(1))),
-        F.array(F.transform("_row", lambda x: x["digest"])),
+    row = F.transform("_row", lambda x: x["digest"])
+    levels = F.aggregate(
+        F.when(steps > 0, F.sequence(F.lit(1), F.greatest(steps, F.lit(1)))).otherwise(F.array().cast("array<int>")),
+        F.array(row),
         lambda found, _: F.concat(found, F.array(_halved(F.element_at(found, -1)))),
-    ))
-    each = groups.select("grp", "n", "_top", F.posexplode(rows).alias("_k", "_digests")).filter("_k > 0")
-    each = each.select("grp", "n", "_top", (F.col("_k") + base).alias("level"), F.posexplode("_digests").alias("_i", "digest"))
-    lo = F.shiftleft("_top", bits) + F.expr("shiftleft(cast(_i as bigint), level)")
-    each = each.withColumn("lo", lo).withColumn("hi", F.least("n", F.expr("lo + shiftleft(1L, level)")))
-    return each.select("grp", "n", "level", "lo", "hi", "digest")
-
-
-def _siblings(units: DataFrame, nodes: DataFrame, base: int) -> DataFrame:
-    """Per unit (grp, lo) of level base: its path through the levels below base + SPAN."""
-    last = F.least(F.lit(base + SPAN), _height(F.col("n"))) - 1
-    asked = units.select("grp", "lo", F.explode(F.when(last >= base, F.sequence(F.lit(base), F.greatest(last, F.lit(base))))).alias("level"))
-    parent = F.expr("shiftleft(shiftright(lo, level + 1), level + 1)")
-    asked = asked.withColumn("_parent", parent)
-    inside = nodes.select("grp", "level", parent.alias("_parent"), F.col("lo").alias("_lo"), F.col("hi").alias("_hi"), "digest")
-    apart = ~((F.col("_lo") <= F.col("u.lo")) & (F.col("u.lo") < F.col("_hi")))
-    same = [F.col(f"u.{c}") == F.col(f"v.{c}") for c in ("grp", "level", "_parent")]
-    met = asked.alias("u").join(inside.alias("v"), [*same, apart], "left")
-    entry = F.coalesce(F.concat(F.when(F.col("_lo") < F.col("u.lo"), "L").otherwise("R"), F.col("digest")), F.lit(""))
-    met = met.select("u.grp", "u.lo", F.struct("u.level", entry.alias("entry")).alias("_step"))
-    return met.groupBy("grp", "lo").agg(F.transform(F.array_sort(F.collect_list("_step")), lambda x: x["entry"]).alias("path"))
+    )
+    return groups.select("grp", "n", "top", levels.alias("levels"))
+
+
+def _nodes(buckets: DataFrame, base: int) -> DataFrame:
+    """The nodes of buckets, with their intervals; their units only at level 0."""
+    each = buckets.select("grp", "n", "top", F.posexplode("levels").alias("_k", "_row"))
+    if base:
+        each = each.filter("_k > 0")
+    each = each.select("grp", "n", "top", (F.col("_k") + base).alias("level"), F.posexplode("_row").alias("_i", "digest"))
+    lo = F.shiftleft("top", base + SPAN) + F.expr("shiftleft(cast(_i as bigint), level)")
+    return each.select("grp", "n", "level", lo.alias("lo"), F.least("n", lo + F.expr("shiftleft(1L, level)")).alias("hi"), "digest")
+
+
+def _inside(lo: Column, levels: Column, top: Column, base: int) -> Column:
+    """The siblings, on each level of its bucket below the top, of the node that contains the rank ``lo``."""
+
+    def sibling(k: Column) -> Column:
+        width = F.call_function("shiftleft", F.lit(1).cast("long"), k + base)
+        own = lo - F.pmod(lo, width)
+        parent = lo - F.pmod(lo, 2 * width)
+        # The parent's interval less the node's own.
+        other = F.when(own == parent, own + width).otherwise(parent)
+        place = F.call_function("shiftright", other - F.shiftleft(top, base + SPAN), k + base).cast("int")
+        return F.struct((other < own).alias("left"), F.get(F.get(levels, k), place).alias("digest"))
+
+    last = F.size(levels) - 2
+    return F.when(last >= 0, F.transform(F.sequence(F.lit(0), F.greatest(last, F.lit(0))), sibling)).otherwise(F.array().cast(PATH))
 
 
 def forest(leaves: DataFrame) -> tuple[DataFrame, list[DataFrame]]:
-    """All nodes (grp, n, level, lo, hi, digest) over ranked leaves, written, and the units below each SPAN levels."""
-    units = leaves.select("grp", "n", F.lit(0).alias("level"), F.col("rank").alias("lo"), (F.col("rank") + 1).alias("hi"), "digest")
-    nodes, buckets, base = units, [units], 0
+    """All nodes (grp, n, level, lo, hi, digest) over ranked leaves, and the written buckets of each SPAN levels."""
+    units = leaves.select("grp", "n", F.col("rank").alias("lo"), "digest")
     height = leaves.agg(F.max(_height(F.col("n")))).first()[0] or 0
+    buckets = [materialize(_buckets(units, 0), "buckets")]
+    nodes, base = _nodes(buckets[0], 0), SPAN
     while base < height:
-        built = materialize(_levels(units, base), "nodes")
-        nodes = nodes.unionAll(built)
+        ends = buckets[-1].filter(_height(F.col("n")) > base)
+        units = ends.select("grp", "n", F.shiftleft("top", base).alias("lo"), F.element_at("levels", -1)[0].alias("digest"))
+        buckets.append(materialize(_buckets(units, base), "buckets"))
+        nodes = nodes.unionAll(_nodes(buckets[-1], base))
         base += SPAN
-        if base < height:
-            units = built.filter(F.col("level") == base).filter(_height(F.col("n")) > base)
-            buckets.append(units)
     return nodes, buckets
 
 
@@ -161,21 +180,24 @@ def tops(nodes: DataFrame) -> DataFrame:
     return nodes.filter(F.col("level") == _height(F.col("n"))).select("grp", "n", "digest")
 
 
-def paths(nodes: DataFrame, buckets: list[DataFrame], above: DataFrame) -> DataFrame:
-    """Per leaf (grp, lo): its ``path``, and the columns of ``above`` (grp, n and more), whose own path follows the leaf's."""
-    none = F.array().cast("array<string>")
+def attach(leaves: DataFrame, buckets: list[DataFrame], above: DataFrame) -> DataFrame:
+    """The ranked leaves with their ``path``, and the columns of ``above`` (grp, n and more), whose own path follows theirs."""
     carried = [c for c in above.columns if c not in ("grp", "n", "path")]
-    attached: DataFrame | None = None
+    known: DataFrame | None = None
     for j in reversed(range(len(buckets))):
-        base, top = j * SPAN, F.shiftright("lo", (j + 1) * SPAN).alias("_top")
-        units = buckets[j].select("grp", "n", "lo")
-        own = _siblings(units, nodes.filter(F.col("level").between(base, base + SPAN - 1)), base)
-        own = units.join(own.withColumnRenamed("path", "_own"), ["grp", "lo"], "left").select("grp", "lo", top, "_own")
-        # What contains a unit: a unit of the next bucket with the same leading bits, or its group as a whole.
-        ends = above.filter(_height(F.col("n")) <= base + SPAN).select("grp", F.lit(0).cast("long").alias("_top"), *carried, "path")
-        over = ends if attached is None else ends.unionAll(attached.select("grp", top, *carried, "path"))
-        attached = own.join(over, ["grp", "_top"]).select("grp", "lo", *carried, F.concat(F.coalesce("_own", none), "path").alias("path"))
-    return attached
+        base, number = j * SPAN, F.shiftright("top", SPAN)
+        # A group ends in this bucket, or the bucket's top lies in one of the next levels.
+        ends = above.filter(_height(F.col("n")) <= base + SPAN).select("grp", *carried, "path")
+        held = buckets[j].filter(_height(F.col("n")) <= base + SPAN).join(ends, "grp")
+        if known is not None:
+            over = known.select("grp", F.col("top").alias("_over"), F.col("levels").alias("_levels"), *carried, F.col("path").alias("_path"))
+            inner = buckets[j].filter(_height(F.col("n")) > base + SPAN).withColumn("_over", number).join(over, ["grp", "_over"])
+            own = _inside(F.shiftleft("top", base + SPAN), F.col("_levels"), F.col("_over"), base + SPAN)
+            held = held.unionAll(inner.select("grp", "n", "top", "levels", *carried, F.concat(own, "_path").alias("path")))
+        known = held
+    at = leaves.withColumn("top", F.shiftright("rank", SPAN)).drop("n").join(known, ["grp", "top"])
+    path = F.concat(_inside(F.col("rank"), F.col("levels"), F.col("top"), 0), "path")
+    return at.withColumn("path", path).drop("levels", "top")
 
 
 def dataset_manifest(docs: DataFrame) -> Manifest:
@@ -189,11 +211,9 @@ def dataset_manifest(docs: DataFrame) -> Manifest:
     groups = tops(nodes)
     upper = ranked(groups.select(F.lit("").alias("grp"), F.col("grp").alias("_group"), F.col("n").alias("_n"), "digest"), ["_group"])
     upper_nodes, upper_buckets = forest(upper)
-    end = tops(upper_nodes).select("grp", "n", F.col("digest").alias("root"), F.array().cast("array<string>").alias("path"))
-    upper_paths = paths(upper_nodes, upper_buckets, end).select(F.col("lo").alias("rank"), "root", "path")
-    over = upper.join(upper_paths, "rank").select(F.col("_group").alias("grp"), F.col("_n").alias("n"), F.col("digest").alias("subroot"), "root", "path")
-    found = paths(nodes, buckets, materialize(over, "groups"))
-    held = leaves.join(found.withColumnRenamed("lo", "rank"), ["grp", "rank"])
+    end = tops(upper_nodes).select("grp", "n", F.col("digest").alias("root"), F.array().cast(PATH).alias("path"))
+    over = attach(upper, upper_buckets, end).select(F.col("_group").alias("grp"), F.col("_n").alias("n"), F.col("digest").alias("subroot"), "root", "path")
+    held = attach(leaves, buckets, materialize(over, "groups"))
     lang = F.when(F.col("grp") != "", F.substr("grp", F.lit(2)))
     leaf_rows = held.select("doc_id", lang.alias("lang"), "rank", F.col("digest").alias("leaf"), "changed", "subroot", "root", "path")
     tier = lambda df, t: df.select(F.lit(t).alias("tier"), "grp", "level", "lo", "hi", "digest")
@@ -203,8 +223,8 @@ def dataset_manifest(docs: DataFrame) -> Manifest:
 def verified_rows(manifest: Manifest) -> DataFrame:
     """Per leaf: its digest, subroot, root and proof, and whether the (in part tampered) row still leads to the root."""
     up = folded(F.coalesce("changed", "leaf"), F.col("path"))
-    rows = manifest.leaves.withColumn("folded_root", up)
+    rows = manifest.leaves.withColumn("folded_root", up).withColumn("root", _hex(F.col("root")))
     return rows.select(
-        "doc_id", "leaf", "subroot", "root", proof(F.col("path")).alias("proof_sha256"), "folded_root",
-        (F.col("folded_root") == F.col("root")).alias("verified"), "rank",
+        "doc_id", _hex(F.col("leaf")).alias("leaf"), _hex(F.col("subroot")).alias("subroot"), "root", proof(F.col("path")).alias("proof_sha256"),
+        "folded_root", (F.col("folded_root") == F.col("root")).alias("verified"), "rank",
     )
