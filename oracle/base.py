@@ -120,6 +120,72 @@ SELECT repo, md5(CAST(doc_id AS VARCHAR)) || substr(md5('x' || doc_id), 1, 8) AS
   CAST(length(content) * 40000 AS BIGINT) AS size_bytes, file_path AS touched_paths, content,
   1600000000 + doc_id * 3600 AS commit_time
 FROM code_corpus""",
+    "git_history": """
+SELECT doc_id, repo, doc_id // 200 AS block, md5(CAST(doc_id AS VARCHAR)) || substr(md5('x' || doc_id), 1, 8) AS commit,
+  regexp_extract(file_path, '^[^/]*') || '/h' || (doc_id // 200) || '.txt' AS file_path, content AS raw,
+  row_number() OVER (PARTITION BY repo, doc_id // 200 ORDER BY doc_id) AS nth
+FROM code_corpus""",
+    "git_commits": """
+SELECT repo, commit, list_filter([coalesce(last, CASE WHEN nth = 1 THEN before END), other], lambda x: x IS NOT NULL) AS parents,
+  1600000000 + doc_id * 3600 - CASE WHEN doc_id % 11 = 0 THEN 500000 ELSE 0 END AS commit_time
+FROM (SELECT repo, block, doc_id, commit, nth, lag(commit) OVER w AS last, CASE WHEN doc_id % 7 = 0 THEN lag(commit, 3) OVER w END AS other
+      FROM git_history WINDOW w AS (PARTITION BY repo, block ORDER BY doc_id))
+LEFT JOIN (SELECT repo, block + 1 AS block, arg_max(commit, doc_id) AS before FROM git_history GROUP BY ALL) USING (repo, block)""",
+    "git_versions": """
+SELECT *, lag(new_blob) OVER w AS old_blob,
+  last_value(new_blob) OVER (PARTITION BY repo, block, file_path ORDER BY nth RANGE BETWEEN UNBOUNDED PRECEDING AND 3 PRECEDING) AS other_blob
+FROM (SELECT *, md5(content) AS new_blob FROM (
+  SELECT doc_id, repo, block, commit, nth, file_path, coalesce(lag(raw) OVER f || chr(10), '') || raw AS content,
+    lag(commit) OVER l AS last, CASE WHEN doc_id % 7 = 0 THEN lag(commit, 3) OVER l END AS other
+  FROM git_history WINDOW f AS (PARTITION BY repo, block, file_path ORDER BY nth), l AS (PARTITION BY repo, block ORDER BY doc_id)))
+WINDOW w AS (PARTITION BY repo, block, file_path ORDER BY nth)""",
+    "git_changes": """
+SELECT repo, commit, last AS parent, file_path, old_blob, new_blob FROM git_versions
+UNION ALL SELECT repo, commit, other, file_path, other_blob, new_blob FROM git_versions WHERE other IS NOT NULL""",
+    "git_blobs": "SELECT DISTINCT repo, new_blob AS blob, content FROM git_versions",
+    # A longest common subsequence row by row, on reversed lines that both versions have; then the walk back.
+    "lcs_pairs": """
+SELECT repo, old_blob, new_blob, string_split(n.content, chr(10)) AS lines, coalesce(string_split(o.content, chr(10)), []) AS before
+FROM (SELECT DISTINCT repo, old_blob, new_blob FROM git_changes) JOIN git_blobs n USING (repo)
+LEFT JOIN git_blobs o ON o.repo = n.repo AND o.blob = old_blob WHERE n.blob = new_blob""",
+    "lcs_common": """
+SELECT *, list_reverse(list_filter(before, lambda x: list_contains(lines, x))) AS a, list_reverse(list_transform(places, lambda k: lines[k])) AS b
+FROM (SELECT *, list_filter(range(1, len(lines) + 1), lambda k: list_contains(before, lines[k])) AS places FROM lcs_pairs)""",
+    "lcs_rows": """
+SELECT repo, old_blob, new_blob, a, b, 0 AS i, list_transform(range(0, len(b) + 1), lambda j: 0::BIGINT) AS r FROM lcs_common WHERE a <> b
+UNION ALL
+SELECT repo, old_blob, new_blob, a, b, i + 1, list_transform(range(1, len(t) + 1), lambda j: list_max(t[1:j])) FROM (
+  SELECT *, list_transform(range(1, len(r) + 1), lambda j: greatest(r[j], CASE WHEN j > 1 AND b[j - 1] = a[i + 1] THEN r[j - 1] + 1 ELSE 0 END)) AS t
+  FROM lcs_rows WHERE i < len(a))""",
+    "lcs_walk": """
+SELECT repo, old_blob, new_blob, len(a) AS i, len(b) AS j, 0 AS hit FROM lcs_common WHERE a <> b
+UNION ALL
+SELECT w.repo, w.old_blob, w.new_blob, CASE WHEN same OR NOT flat THEN w.i - 1 ELSE w.i END, CASE WHEN same OR flat THEN w.j - 1 ELSE w.j END,
+  CASE WHEN same THEN w.j ELSE 0 END
+FROM (SELECT w.*, r.a[w.i] = r.b[w.j] AS same, r.r[w.j] = r.r[w.j + 1] AS flat
+      FROM lcs_walk w JOIN lcs_rows r ON r.repo = w.repo AND r.old_blob = w.old_blob AND r.new_blob = w.new_blob AND r.i = w.i
+      WHERE w.i > 0 AND w.j > 0) w""",
+    "lcs_added": """
+SELECT c.repo, c.old_blob, c.new_blob, list_filter(range(1, len(lines) + 1), lambda k: NOT list_contains(
+  CASE WHEN a = b THEN places ELSE coalesce(kept, []) END, k)) AS added
+FROM lcs_common c LEFT JOIN (
+  SELECT w.repo, w.old_blob, w.new_blob, list(places[len(b) - hit + 1]) AS kept FROM lcs_walk w JOIN lcs_common c
+    ON c.repo = w.repo AND c.old_blob = w.old_blob AND c.new_blob = w.new_blob WHERE hit > 0 GROUP BY ALL) k
+  ON k.repo = c.repo AND k.old_blob = c.old_blob AND k.new_blob = c.new_blob""",
+    "added": """
+SELECT x.repo, x.commit, x.file_path, x.new_blob AS blob, n FROM (
+  SELECT g.repo, g.commit, g.file_path, g.new_blob, count(DISTINCT coalesce(parent, '')) AS rows_, list(d.added) AS lists
+  FROM (SELECT DISTINCT * FROM git_changes) g JOIN lcs_added d
+    ON d.repo = g.repo AND d.new_blob = g.new_blob AND d.old_blob IS NOT DISTINCT FROM g.old_blob GROUP BY ALL) x
+JOIN git_commits c ON c.repo = x.repo AND c.commit = x.commit
+CROSS JOIN LATERAL (SELECT unnest(list_reduce(lists, lambda p, q: list_intersect(p, q))) AS n)
+WHERE rows_ >= greatest(len(list_distinct(parents)), 1)""",
+    "dates": """
+SELECT repo, commit, max(v) AS date FROM commit_values GROUP BY ALL""",
+    "commit_values": """
+SELECT repo, commit, commit_time AS v FROM git_commits
+UNION SELECT c.repo, c.commit, p.v + 1 FROM commit_values p JOIN git_commits c ON c.repo = p.repo AND list_contains(c.parents, p.commit)
+WHERE p.v + 1 > c.commit_time""",
     "reflog": """
 SELECT 'src' || (user_id % 20) AS repo, md5(CAST(event_id % 4000 AS VARCHAR)) || '00000000' AS hash,
   'HEAD@{' || event_id || '}' AS entry, event_type AS action, ts,
@@ -140,10 +206,13 @@ FROM (SELECT repo, file_path, unnest(range(len(string_split(content, chr(10)))))
 NEEDS = {
     "code_corpus": ["snippets"], "file_listing": ["code_corpus"], "kept": ["code_corpus"],
     "lines": ["kept"], "git_objects": ["code_corpus"], "stashes": ["git_objects"],
-    "line_blame": ["code_corpus"],
+    "line_blame": ["code_corpus"], "git_history": ["code_corpus"], "git_commits": ["git_history"], "git_versions": ["git_history"],
+    "git_changes": ["git_versions"], "git_blobs": ["git_versions"], "lcs_pairs": ["git_changes", "git_blobs"], "lcs_common": ["lcs_pairs"],
+    "lcs_rows": ["lcs_common"], "lcs_walk": ["lcs_rows"], "lcs_added": ["lcs_walk"], "added": ["lcs_added", "git_commits"],
+    "commit_values": ["git_commits"], "dates": ["commit_values"],
 }
 # Views used more than once are computed once.
-MATERIALIZED = {"code_corpus", "kept", "lines"}
+MATERIALIZED = {"code_corpus", "kept", "lines", "git_history", "git_versions", "git_commits", "lcs_common", "lcs_rows", "lcs_added", "added"}
 
 
 def _closure(names: list[str], seen: list[str]) -> list[str]:

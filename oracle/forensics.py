@@ -75,10 +75,23 @@ SELECT {core('line_number', 'Warning', 'Security', 'High Entropy Token', 'Medium
     lambda c: (length(token) - length(replace(token, c, ''))) / length(token) * log2((length(token) - length(replace(token, c, ''))) / length(token)))), 6) AS bits
   FROM (SELECT repo, file_path, line_number, unnest(list_distinct(regexp_extract_all(line, {q(facts.TOKEN)}))) AS token FROM lines)
   ) WHERE bits >= 3.5""")
-    out["history_secret_scan"] = sql("git_objects", f"""
+    secret_kinds = lambda keys: " UNION ALL ".join(
+        f"SELECT {keys}, {q(name)} AS name, unnest(regexp_extract_all(line, {q(p)})) AS v FROM ol" for name, p in facts.HISTORY_SIGNATURES
+    )
+    out["added_lines"] = sql("added", """
+SELECT a.repo, a.commit, a.file_path, a.n AS line_number, md5(string_split(b.content, chr(10))[a.n]) AS line_md5
+FROM added a JOIN git_blobs b ON b.repo = a.repo AND b.blob = a.blob""")
+    out["commit_dates"] = sql("dates", "SELECT repo, commit, date FROM dates")
+    out["history_secret_scan"] = sql("added dates", f"""
+SELECT {row('p.n', 'Critical', "'Secret in Git History: ' || name", 'Hard', '95', 'p.path')}, p.hash AS commit_hash, uses FROM (
+  SELECT repo, name, v, min({{'t': date, 'hash': commit, 'path': file_path, 'n': n}}) AS p, count(*) AS uses
+  FROM ({secret_kinds('repo, commit, date, file_path, n')}) GROUP BY repo, name, v)""",
+        ol="""SELECT a.repo, a.commit, d.date, a.file_path, a.n, string_split(b.content, chr(10))[a.n] AS line FROM added a
+  JOIN git_blobs b ON b.repo = a.repo AND b.blob = a.blob JOIN dates d ON d.repo = a.repo AND d.commit = a.commit""")
+    out["object_secret_scan"] = sql("git_objects", f"""
 SELECT {row('p.n', 'Critical', "'Secret in Git History: ' || name", 'Hard', '95', OBJ.replace('hash', 'p.hash'))}, p.hash AS commit_hash, uses FROM (
   SELECT repo, name, v, min({{'t': commit_time, 'hash': hash, 'n': n}}) AS p, count(*) AS uses FROM (
-    {" UNION ALL ".join(f"SELECT repo, hash, commit_time, n, {q(name)} AS name, unnest(regexp_extract_all(line, {q(p)})) AS v FROM ol" for name, p in facts.HISTORY_SIGNATURES)})
+    {secret_kinds('repo, hash, commit_time, n')})
   GROUP BY repo, name, v)""",
         ol="""SELECT repo, hash, commit_time, unnest(string_split(content, chr(10))) AS line,
   unnest(range(1, len(string_split(content, chr(10))) + 1)) AS n FROM git_objects""")

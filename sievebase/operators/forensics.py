@@ -11,6 +11,7 @@ from pyspark.sql import functions as F
 
 from sievebase.functions.findings import as_rows, finding, with_lines
 from sievebase.functions.text import explode_lines, file_name, let, split_lines
+from sievebase.operators import line_history
 from sievebase.rules import git_facts as facts
 
 
@@ -213,8 +214,8 @@ def high_entropy_tokens(files: DataFrame) -> DataFrame:
     return rows.select("repo", "file_path", "f.*", "token", "bits")
 
 
-def history_secret_scan(objects: DataFrame) -> DataFrame:
-    """Vendor keys anywhere in history, each value once with its first object."""
+def signature_hits(content: Column) -> Column:
+    """Vendor keys of a text: array of struct(line, name, value), the value as a hash."""
     def of_kind(l: Column, i: Column, name: str, pattern: str) -> Column:
         return F.transform(
             F.regexp_extract_all(l, F.lit(pattern), F.lit(0)),
@@ -224,8 +225,14 @@ def history_secret_scan(objects: DataFrame) -> DataFrame:
     def hits(l: Column, i: Column) -> Column:
         return F.concat(*[of_kind(l, i, *entry) for entry in facts.HISTORY_SIGNATURES])
 
-    held = objects.filter(F.col("content").rlike(r"AKIA|gh[pousr]_|xox|sk-|(?i:password|secret_key|api_key|token)"))
-    found = held.select("repo", "hash", "commit_time", F.inline(F.flatten(F.transform(split_lines(F.col("content")), hits))))
+    maybe = content.rlike(r"AKIA|gh[pousr]_|xox|sk-|(?i:password|secret_key|api_key|token)")
+    kind = "array<struct<line:int,name:string,value:string>>"
+    return F.when(maybe, F.flatten(F.transform(split_lines(content), hits))).otherwise(F.array().cast(kind))
+
+
+def object_secret_scan(objects: DataFrame) -> DataFrame:
+    """Vendor keys anywhere in the objects, each value once with its first object: also objects of no commit."""
+    found = objects.select("repo", "hash", "commit_time", F.inline(signature_hits(F.col("content"))))
     place = F.struct("commit_time", "hash", "line")
     once = found.groupBy("repo", "name", "value").agg(F.min(place).alias("p"), F.count("*").alias("uses"))
     rows = once.withColumn("file_path", _object_path(F.col("p.hash")))
@@ -237,6 +244,11 @@ def history_secret_scan(objects: DataFrame) -> DataFrame:
     ).select("repo", "file_path", "f.*", "uses")
 
 
+def history_secret_scan(commits: DataFrame, changes: DataFrame, blobs: DataFrame, store: line_history.Store) -> DataFrame:
+    """Vendor keys in the lines that commits added, each value once at its first commit by ancestry."""
+    return line_history.history_secrets(commits, changes, blobs, signature_hits, store)
+
+
 def large_pack_objects(objects: DataFrame, max_objects: int | None = None) -> DataFrame:
     big = _first(objects.filter(F.col("size_bytes") > facts.LARGE_OBJECT_BYTES), max_objects, "hash")
     mb = F.floor(F.col("size_bytes") / 1048576).cast("string")

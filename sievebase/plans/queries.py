@@ -10,7 +10,8 @@ from pyspark.sql import functions as F
 from sievebase.functions import findings as fi
 from sievebase.functions.text import explode_lines
 from sievebase.functions.versions import compare
-from sievebase.operators import api_surface, dataflow, dependencies, forensics, history, hygiene, line_rules, performance, quality, scoring
+from sievebase.operators import api_surface, dataflow, dependencies, forensics, history, hygiene, line_history, line_rules, performance
+from sievebase.operators import quality, scoring
 from sievebase.plans import scan
 from sievebase.sources import corpus, tables
 from sievebase.streaming import runner, scan_events
@@ -155,13 +156,30 @@ def forensics_queries() -> dict[str, Query]:
         "hook_forensics": on_table(forensics.hook_forensics, corpus_),
         "submodule_risks": on_table(forensics.submodule_risks, corpus_),
         "high_entropy_tokens": on_files(forensics.high_entropy_tokens, *fi.CORE, "token", "bits"),
-        "history_secret_scan": on_table(forensics.history_secret_scan, objects, "commit_hash", "uses"),
+        "object_secret_scan": on_table(forensics.object_secret_scan, objects, "commit_hash", "uses"),
+        "history_secret_scan": lambda s, d: forensics.history_secret_scan(*git_history(s, d), scan.materialize).select(*fi.CORE, "commit_hash", "uses"),
+        "added_lines": added_lines,
+        "commit_dates": lambda s, d: line_history.commit_dates(tables.git_commits(s, d), scan.materialize),
         "large_pack_objects": on_table(forensics.large_pack_objects, objects, "description"),
     }
 
 
+def git_history(spark: SparkSession, sf: str) -> scan.GitHistory:
+    """Commits, changes and blobs; the versions behind the last two are stored, as both are read more than once."""
+    versions = scan.materialize(tables.git_versions(spark, sf), "versions")
+    return scan.GitHistory(tables.git_commits(spark, sf), tables.git_changes(versions), tables.git_blobs(versions))
+
+
+def added_lines(spark: SparkSession, sf: str) -> DataFrame:
+    """All lines that commits added, with a hash of each."""
+    history = git_history(spark, sf)
+    added = line_history.added_lines(*history).select("repo", "commit", "file_path", F.col("new_blob").alias("blob"), F.explode("added").alias("n"))
+    lines = history.blobs.dropDuplicates(["repo", "blob"]).select("repo", "blob", F.posexplode(F.split("content", "\n", -1)).alias("n", "line"))
+    return added.join(lines, ["repo", "blob", "n"]).select("repo", "commit", "file_path", (F.col("n") + 1).alias("line_number"), F.md5("line").alias("line_md5"))
+
+
 def git_facts(spark: SparkSession, sf: str) -> scan.GitFacts:
-    return scan.GitFacts(tables.git_objects(spark, sf), tables.reflog(spark, sf), tables.stashes(spark, sf))
+    return scan.GitFacts(tables.git_objects(spark, sf), tables.reflog(spark, sf), tables.stashes(spark, sf), git_history(spark, sf))
 
 
 def merged(spark: SparkSession, sf: str) -> DataFrame:

@@ -16,12 +16,21 @@ from sievebase.session import scratch_dir
 from sievebase.sources.corpus import kept_files
 
 
+class GitHistory(NamedTuple):
+    """Commits, what they change and the texts (columns: ``operators/line_history.py``)."""
+
+    commits: DataFrame
+    changes: DataFrame
+    blobs: DataFrame
+
+
 class GitFacts(NamedTuple):
-    """Exported facts about the repositories' git databases."""
+    """Exported facts about the repositories' git databases. Without ``history`` whole objects are searched for keys."""
 
     objects: DataFrame
     reflog: DataFrame
     stashes: DataFrame
+    history: GitHistory | None = None
 
 
 def materialize(df: DataFrame, purpose: str) -> DataFrame:
@@ -97,7 +106,8 @@ def merge_analyzers(corpus: DataFrame, git: GitFacts | None = None) -> DataFrame
     if git is not None:
         parts += [
             forensics.dangling_blob_secrets(git.objects), forensics.unreachable_sensitive_commits(git.objects),
-            forensics.history_secret_scan(git.objects), forensics.large_pack_objects(git.objects),
+            forensics.large_pack_objects(git.objects),
+            forensics.object_secret_scan(git.objects) if git.history is None else forensics.history_secret_scan(*git.history, materialize),
             forensics.reflog_sensitive_messages(git.reflog), forensics.stash_secrets(git.stashes),
         ]
     return union(parts)

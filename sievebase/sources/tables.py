@@ -10,6 +10,7 @@ from __future__ import annotations
 
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
+from pyspark.sql.window import Window
 
 from sievebase.functions.text import constant_table
 
@@ -292,6 +293,57 @@ def git_objects(spark: SparkSession, sf_dir: str) -> DataFrame:
     )
 
 
+HISTORY_BLOCK = 200  # documents whose versions and commits follow each other
+
+
+def _history(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Documents as commits: doc_id, repo, block, commit, nth commit of its block, file_path, raw (what the commit writes)."""
+    doc = F.col("doc_id")
+    block = F.floor(doc / HISTORY_BLOCK).cast("long")
+    lang = F.regexp_extract("file_path", "^[^/]*", 0)
+    nth = F.row_number().over(Window.partitionBy("repo", "block").orderBy("doc_id"))
+    return code_corpus(spark, sf_dir).select(
+        "doc_id", "repo", block.alias("block"),
+        F.concat(F.md5(doc.cast("string")), F.substring(F.md5(F.concat(F.lit("x"), doc.cast("string"))), 1, 8)).alias("commit"),
+        F.concat(lang, F.lit("/h"), block.cast("string"), F.lit(".txt")).alias("file_path"), F.col("content").alias("raw"),
+    ).withColumn("nth", nth)
+
+
+def git_commits(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """repo, commit, parents, commit_time: a line per block of documents with merges, blocks one after another; some clocks are wrong."""
+    doc = F.col("doc_id")
+    line = Window.partitionBy("repo", "block").orderBy("doc_id")
+    placed = _history(spark, sf_dir).select("doc_id", "repo", "block", "commit", "nth")
+    ends = placed.groupBy("repo", "block").agg(F.max_by("commit", "doc_id").alias("before")).withColumn("block", F.col("block") + 1)
+    merged = F.when(doc % 7 == 0, F.lag("commit", 3).over(line))
+    each = placed.select("*", F.lag("commit", 1).over(line).alias("last"), merged.alias("other")).join(ends, ["repo", "block"], "left")
+    first = F.coalesce("last", F.when(F.col("nth") == 1, F.col("before")))
+    time = F.lit(1600000000) + doc * 3600 - F.when(doc % 11 == 0, 500000).otherwise(0)
+    return each.select("repo", "commit", F.array_compact(F.array(first, "other")).alias("parents"), time.cast("bigint").alias("commit_time"))
+
+
+def git_versions(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """repo, commit, parent, second parent, file_path, content and the versions before it: a file holds what the last two commits wrote."""
+    line = Window.partitionBy("repo", "block").orderBy("doc_id")
+    file = Window.partitionBy("repo", "block", "file_path").orderBy("nth")
+    written = _history(spark, sf_dir).withColumn("last", F.lag("commit", 1).over(line)).withColumn("other", F.when(F.col("doc_id") % 7 == 0, F.lag("commit", 3).over(line)))
+    text = F.concat(F.coalesce(F.concat(F.lag("raw", 1).over(file), F.lit("\n")), F.lit("")), "raw")
+    versions = written.withColumn("content", text).drop("raw").withColumn("new_blob", F.md5("content"))
+    earlier = F.last("new_blob").over(file.rangeBetween(Window.unboundedPreceding, -3))
+    return versions.withColumn("old_blob", F.lag("new_blob", 1).over(file)).withColumn("other_blob", earlier)
+
+
+def git_changes(versions: DataFrame) -> DataFrame:
+    """A row per parent of a commit for which the file differs."""
+    first = versions.select("repo", "commit", F.col("last").alias("parent"), "file_path", "old_blob", "new_blob")
+    second = versions.filter("other is not null").select("repo", "commit", F.col("other").alias("parent"), "file_path", F.col("other_blob").alias("old_blob"), "new_blob")
+    return first.unionAll(second)
+
+
+def git_blobs(versions: DataFrame) -> DataFrame:
+    return versions.select("repo", F.col("new_blob").alias("blob"), "content")
+
+
 def reflog(spark: SparkSession, sf_dir: str) -> DataFrame:
     message = (
         F.when(F.col("event_type") == "error", "Remove Password from config")

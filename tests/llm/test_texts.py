@@ -76,6 +76,50 @@ def test_join_equals_all_pairs(spark, width, percent):
     assert Counter(map(tuple, got)) == components_of(rows, width, percent)
 
 
+def large_group(seed, n, shape):
+    """Near-copies of one text: a star around it, or a chain of copies of copies."""
+    rnd = random.Random(seed)
+    base = [f"w{rnd.randrange(5000)}" for _ in range(120)]
+    rows, text = [], base
+    for k in range(n):
+        rows.append((k, " ".join(text)))
+        text = list(base if shape == "star" else text)
+        for _ in range(rnd.choice([1, 2, 3, 4, 5, 6, 8]) if shape == "star" else 2):
+            text[rnd.randrange(len(text))] = f"x{rnd.randrange(10**6)}"
+    return rows
+
+
+@pytest.mark.parametrize("shape", ["star", "chain"])
+def test_join_of_a_large_group(spark, shape):
+    rows = large_group(3, 1000, shape)
+    docs = spark.createDataFrame(rows, "doc_id long, text string").repartition(4)
+    got = Counter(map(tuple, ngram_join.jaccard_components(docs).collect()))
+    assert got == components_of(rows)
+    assert len({c for _, _, c in got}) > 1
+
+
+def test_pairs_of_a_large_group_stay_few(spark, monkeypatch):
+    """Sets that do not link with their hub are tested against few others, not against the group."""
+    tested = []
+    verify = ngram_join.verify
+    monkeypatch.setattr(ngram_join, "verify", lambda pairs, corpus: tested.append(pairs.count()) or verify(pairs, corpus))
+    docs = spark.createDataFrame(large_group(4, 2000, "star"), "doc_id long, text string").repartition(4)
+    ngram_join.jaccard_components(docs).count()
+    assert sum(tested) < 4 * 2000
+
+
+def test_one_doc_id_with_several_texts(spark):
+    """Each text links for itself; one row of each component stays, also among rows without an id."""
+    rnd = random.Random(8)
+    texts = [" ".join(f"w{rnd.randrange(10**6)}" for _ in range(60)) for _ in range(20)]
+    rows = [(k, t) for k, t in enumerate(texts)] + [((k + 1) % 20, t + " end") for k, t in enumerate(texts)]
+    rows += [(None, texts[0] + " tail"), (None, "own words of a row without any id at all"), (None, "own words of a row without any id at all")]
+    docs = spark.createDataFrame(rows, "doc_id long, text string").repartition(3)
+    assert Counter(map(tuple, ngram_join.jaccard_components(docs).collect())) == components_of(rows)
+    kept = ngram_join.one_of_each(docs).collect()
+    assert len(kept) == 21 and sum(r.doc_id is None for r in kept) == 1
+
+
 def test_join_of_dirty_rows(dirty, empty):
     rows = [tuple(r) for r in dirty.select("doc_id", "text").collect()]
     assert Counter(map(tuple, ngram_join.jaccard_components(dirty).collect())) == components_of(rows)
