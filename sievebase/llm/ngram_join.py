@@ -8,15 +8,18 @@ two-element subsets of its prefix, and two light sets meet on an equal subset; a
 shingles, which also hold the light sets large enough to be its partners. The
 boundary is the size with the least estimated cost over the sizes that occur.
 
-Exact copies (equal sets) are one node from the start. Within a list, pairs are
-not enumerated: each round tests every set against one hub of its list, joins what
-links into components, and leaves only lists with several components. Copies and
-near-copies, however many, so cost a number of tests in proportion to their
-number. The first hub is the most central set of a list, later ones are taken from
-its largest component. What is left after the rounds, pairs of different components, is tested
-in full, so no link between components is lost. Every link is verified on the
-whole sets; pairs that have fewer lists in common than their sizes ask for are
-not tested.
+Exact copies (equal sets) are one node from the start. Within a list, pairs are not
+enumerated. First every set is tested against the most central set of its lists, which
+joins most copies and near-copies into components. Lists that still hold several
+components are cut by size, as alike sets have like sizes. In parts of at most
+SMALL_PART sets pairs meet directly, a bounded number for each set. In larger parts all
+sets are described by what they lack of the part's hub and what they have beyond it. Two sets of which one does not link with the hub can only link if these
+*deltas* have a number of shingles in common that their sizes give, at least one; so
+they meet on the prefixes of their deltas, rare shingles first, and where the places of
+the common one leave room for that number. In a group of near-copies the deltas are
+small and mostly each copy's own, and work grows with the group and not its square.
+Every link is verified on the whole sets, and none is lost: pairs of sets of one part
+are either both linked with its hub, or one of them meets the other by its delta.
 
 The order comes from a count sketch of fixed size over all shingles; any order
 gives the same links. Filters of bounded size thin rows before exact joins.
@@ -26,14 +29,16 @@ Shingles and sets are 64-bit hashes; a set of equal hash and size is equal.
 Defined cases: a text without words, or null, has an empty set and links with
 nothing, also not with another empty one; with fewer than ``width`` words the
 whole sequence is its one shingle; a null doc_id is nobody's component_id unless
-no other is there; repeated rows are copies; empty tables give empty results;
-other columns are ignored by the join and kept by ``one_of_each``.
+no other is there; repeated rows are copies; one doc_id with several texts is several
+documents, which its doc_id does not link; empty tables give empty results; other
+columns are ignored by the join and kept by ``one_of_each``, which takes rows with
+equal doc_id and text, whatever else differs, as repeated rows.
 """
 
 from __future__ import annotations
 
 from collections.abc import Iterator
-from math import comb
+from math import comb, log
 from typing import NamedTuple
 
 import numpy as np
@@ -48,7 +53,8 @@ from sievebase.llm.common import (
 SKETCH_BITS = 20
 LIST_WEIGHT = 4.0  # what an entry of an inverted list costs, in subset keys
 LARGEST_LIGHT = 1000
-HUB_ROUNDS = 5
+SALTS = 32
+SMALL_PART = 16
 
 
 class Likeness(NamedTuple):
@@ -120,8 +126,12 @@ def describe(docs: DataFrame, like: Likeness) -> tuple[DataFrame, np.ndarray]:
 
 
 def located(docs: DataFrame) -> DataFrame:
-    ident = F.col("doc_id").cast("long")
-    return docs.select(ident.alias("doc_id"), F.coalesce(ident, F.xxhash64("text")).alias("loc"), "text")
+    return docs.select(F.col("doc_id").cast("long").alias("doc_id"), place().alias("loc"), "text")
+
+
+def place() -> Column:
+    """What tells documents apart: repeated rows have one place."""
+    return F.xxhash64(F.col("doc_id").cast("long"), F.col("text"))
 
 
 # --- candidate lists --------------------------------------------------------------------------
@@ -207,6 +217,7 @@ class Corpus(NamedTuple):
     facts: DataFrame
     like: Likeness
     listed_from: int
+    sketch: np.ndarray
 
 
 def sets_of(corpus: Corpus, nodes: DataFrame) -> DataFrame:
@@ -237,10 +248,9 @@ def sets_of(corpus: Corpus, nodes: DataFrame) -> DataFrame:
 # --- links and components ---------------------------------------------------------------------
 
 
-def untested(pairs: DataFrame, tested: DataFrame | None) -> DataFrame:
-    """Pairs (a, b) with a < b, each once, without those of earlier rounds; written."""
-    pairs = pairs.select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b")).distinct()
-    return materialize(pairs if tested is None else pairs.join(tested, ["a", "b"], "left_anti"), "pairs")
+def once(pairs: DataFrame) -> DataFrame:
+    """Pairs (a, b) with a < b, each once; written."""
+    return materialize(pairs.select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b")).distinct(), "pairs")
 
 
 def verify(pairs: DataFrame, corpus: Corpus) -> DataFrame:
@@ -307,7 +317,10 @@ def _join_labels(labels: DataFrame | None, links: DataFrame) -> DataFrame | None
     ends = ends.select(F.coalesce("la", "a").alias("a"), F.coalesce("lb", "b").alias("b")).filter("a != b").distinct()
     merged = components(ends).select(F.col("node").alias("label"), F.col("label").alias("to"))
     known = labels.unionAll(merged.select(F.col("label").alias("node"), "label")).distinct()
-    return materialize(known.join(merged, "label", "left").select("node", F.coalesce("to", "label").alias("label")), "labels")
+    # A large component is one label: its nodes are spread.
+    known = known.withColumn("salt", F.pmod("node", F.lit(SALTS)).cast("int"))
+    merged = merged.withColumn("salt", F.explode(F.array(*[F.lit(k) for k in range(SALTS)])))
+    return materialize(known.join(merged, ["label", "salt"], "left").select("node", F.coalesce("to", "label").alias("label")), "labels")
 
 
 def _labelled(lists: DataFrame, labels: DataFrame | None) -> DataFrame:
@@ -321,13 +334,36 @@ def _entry(name: str) -> list[Column]:
     return [F.col("node").alias(name), F.col("n").alias(f"n{name}"), F.col("d").alias(f"d{name}")]
 
 
-def _mixed_lists(entries: DataFrame, round_: int) -> DataFrame:
-    """Lists with several components: their largest one and one of its sets, another in each round."""
-    one = F.min_by(F.struct("node", "n", "d"), F.xxhash64("node", "key", F.lit(round_))).alias("hub")
-    part = entries.groupBy("key", "label").agg(F.count("*").alias("c"), one)
-    whole = part.groupBy("key").agg(F.count("*").alias("m"), F.max_by(F.struct("label", "hub"), "c").alias("of"))
-    hub = [F.col("of.hub.node").alias("b"), F.col("of.hub.n").alias("nb"), F.col("of.hub.d").alias("db")]
-    return whole.filter("m > 1").select("key", F.col("of.label").alias("major"), *hub)
+def size_class(n: Column, like: Likeness) -> Column:
+    """Sizes of alike sets lie in the same class or in neighbouring ones; the small excess keeps rounding out."""
+    return F.floor(F.log(n.cast("double")) / (log(100 / like.percent) * 1.0001)).cast("int")
+
+
+def _mixed_lists(lists: DataFrame, labels: DataFrame | None, like: Likeness) -> DataFrame:
+    """Entries of lists cut by size, where these hold several components: (key, low, size, hub, node, n, d, class, label).
+
+    A part ``low`` of a list has the sets of two neighbouring size classes. ``hub`` is the most central set of the
+    part's largest component, ``members`` the number of its sets.
+    """
+    entries = _labelled(lists, labels).withColumn("class", size_class(F.col("n"), like))
+    parts = entries.withColumn("low", F.explode(F.array(F.col("class") - 1, F.col("class"))))
+    one = parts.groupBy("key", "low", "label").agg(F.count("*").alias("c"), F.max(F.struct("d", "node")).alias("hub"))
+    whole = one.groupBy("key", "low").agg(F.count("*").alias("m"), F.sum("c").alias("members"), F.max(F.struct("c", "hub")).alias("of"))
+    mixed = whole.filter("m > 1").select("key", "low", "members", F.col("of.hub.node").alias("hub"))
+    return materialize(parts.join(mixed, ["key", "low"]), "mixed")
+
+
+def _pairs_of_small(mixed: DataFrame, corpus: Corpus) -> DataFrame:
+    """Pairs of different components in small parts, as often together as their sizes ask for.
+
+    Pairs that are together in a large part as well may be counted too low here; these meet by their deltas.
+    """
+    small = mixed.filter(F.col("members") <= SMALL_PART)
+    side = lambda x: small.select("key", "low", *_entry(x), F.col("class").alias(f"class_{x}"), F.col("label").alias(f"l{x}"))
+    once_each = (F.col("a") < F.col("b")) & (F.col("low") == F.least("class_a", "class_b"))
+    met = side("a").join(side("b"), ["key", "low"]).filter(once_each & (F.col("la") != F.col("lb")) & _may_link(corpus))
+    times = met.groupBy("a", "b", "na", "nb").agg(F.count("*").alias("c"))
+    return times.filter(F.col("c") >= _common_lists(F.col("na"), F.col("nb"), corpus)).select("a", "b")
 
 
 def _central_pairs(lists: DataFrame, corpus: Corpus) -> DataFrame:
@@ -339,48 +375,120 @@ def _central_pairs(lists: DataFrame, corpus: Corpus) -> DataFrame:
     return times.groupBy("a").agg(F.max(F.struct("c", "b")).alias("h")).select("a", F.col("h.b").alias("b"))
 
 
-def link_components(lists: DataFrame, corpus: Corpus) -> DataFrame | None:
-    """(node, label) of every set with a link; None if there is none."""
-    tested = untested(_central_pairs(lists, corpus), None)
-    labels = _join_labels(None, verify(tested, corpus))
-    for round_ in range(HUB_ROUNDS):
-        entries = _labelled(lists, labels)
-        entries = materialize(entries.join(_mixed_lists(entries, round_), "key"), "mixed")
-        pairs = entries.filter("label != major").select(*_entry("a"), "b", "nb", "db").filter(_may_link(corpus))
-        pairs = untested(pairs, tested)
-        lists = entries.select("key", "node", "n", "d")
-        if pairs.isEmpty():
-            break
-        tested = tested.unionAll(pairs)
-        labels = _join_labels(labels, verify(pairs, corpus))
-    entries = _labelled(lists, labels)
-    entries = materialize(entries.join(_mixed_lists(entries, HUB_ROUNDS).select("key", "major"), "key"), "rest")
-    one = entries.filter("label != major").select("key", *_entry("a"), F.col("label").alias("la"))
-    two = entries.select("key", *_entry("b"), F.col("label").alias("lb"), "major")
-    apart = (F.col("la") != F.col("lb")) & ((F.col("lb") == F.col("major")) | (F.col("a") < F.col("b")))
-    # Two sets of different components are in mixed lists only, so their common lists are all here.
-    ordered = F.col("a") < F.col("b")
-    swap = lambda x, y: [F.when(ordered, F.col(x)).otherwise(F.col(y)).alias(x), F.when(ordered, F.col(y)).otherwise(F.col(x)).alias(y)]
-    met = one.join(two, "key").filter(apart & _may_link(corpus)).select(*swap("a", "b"), *swap("na", "nb"))
-    met = met.groupBy("a", "b", "na", "nb").agg(F.count("*").alias("c"))
-    rest = met.filter(F.col("c") >= _common_lists(F.col("na"), F.col("nb"), corpus)).select("a", "b")
-    return _join_labels(labels, verify(untested(rest, tested), corpus))
+# --- deltas -----------------------------------------------------------------------------------
 
 
-def jaccard_components(docs: DataFrame, like: Likeness = Likeness()) -> DataFrame:
-    """Per document: doc_id, n_shingles, component_id (least doc_id that links lead to)."""
+def _deltas(met: DataFrame, corpus: Corpus) -> DataFrame:
+    """For pairs (node, hub): what the set has beyond the hub's (``added``) and lacks of it (``lacking``), written.
+
+    Two sets of sizes na, nb that lack la, lb of a hub of size nh share nh - la - lb and what their deltas share. They
+    link if that is at least p (na + nb) / (100 + p). So their deltas share the sum of their ``dues``, over 2 (100 + p),
+    or more. ``out``: the set itself does not link with the hub.
+    """
+    p = corpus.like.percent
+    nodes = met.select(F.explode(F.array("node", "hub")).alias("node")).distinct()
+    sets = sets_of(corpus, nodes)
+    hubs = sets.select(F.col("node").alias("hub"), F.col("n").alias("nh"), F.col("items").alias("hub_items"))
+    both = met.join(sets, "node").join(hubs, "hub")
+    both = both.select("hub", "node", "n", "nh", F.array_except("items", "hub_items").alias("added"), F.array_except("hub_items", "items").alias("lacking"))
+    lacks = F.size("lacking")
+    shared = F.col("nh") - lacks
+    due = 2 * p * F.col("n") + (100 + p) * (2 * lacks - F.col("nh"))
+    out = 100 * shared < p * (F.col("n") + F.col("nh") - shared)
+    return materialize(both.select("hub", "node", "n", "added", "lacking", due.alias("due"), out.alias("out")), "deltas")
+
+
+def _due(a: Column, b: Column, like: Likeness) -> Column:
+    """How many shingles the deltas of two linked sets share at least, one of which is not linked with the hub."""
+    return F.greatest(F.ceil((a + b) / (2 * (100 + like.percent))), F.lit(1))
+
+
+def _delta_prefixes(deltas: DataFrame, corpus: Corpus) -> DataFrame:
+    """(hub, token, at, node, n, size, due, out): the first shingles of each delta, as many as any partner asks for.
+
+    What sets have beyond the hub comes first, rare ones of the corpus ahead; then what they lack, by how few lack it.
+    """
+    least = deltas.groupBy("hub").agg(F.min("due").alias("any"), F.min(F.when(F.col("out"), F.col("due"))).alias("outer")).filter("outer is not null")
+    size = F.size("added") + F.size("lacking")
+    # A set that links with the hub only needs partners that do not.
+    asked = _due(F.col("due"), F.when(F.col("out"), F.col("any")).otherwise(F.col("outer")), corpus.like)
+    held = deltas.join(least, "hub").withColumn("size", size).withColumn("keep", size - asked + 1).filter("keep > 0").drop("any", "outer")
+    lacked = held.select("hub", F.explode("lacking").alias("token")).groupBy("hub", "token").agg(F.count("*").alias("c"))
+    order = lacked.groupBy("hub").agg(F.transform(F.array_sort(F.collect_list(F.struct("c", "token"))), lambda x: x["token"]).alias("order"))
+    sketch = corpus.sketch
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            tokens, places, counts = [], [], []
+            for added, lacking, order, keep in zip(*(batch.column(k) for k in range(4))):
+                own = np.asarray(added.values.to_numpy(zero_copy_only=False), np.int64).view(np.uint64)
+                own = own[np.lexsort((own, sketch[_buckets(own)]))].view(np.int64)[: keep.as_py()]
+                rest = keep.as_py() - len(own)
+                if rest > 0 and order.is_valid:
+                    ranked = order.values.to_numpy(zero_copy_only=False)
+                    own = np.concatenate([own, ranked[np.isin(ranked, lacking.values.to_numpy(zero_copy_only=False))][:rest]])
+                tokens.append(own)
+                places.append(np.arange(len(own), dtype=np.int32))
+                counts.append(len(own))
+            of = pa.array(np.repeat(np.arange(batch.num_rows), counts))
+            rest = [batch.column(k).take(of) for k in range(4, batch.num_columns)]
+            yield pa.RecordBatch.from_arrays(
+                [pa.array(np.concatenate([*tokens, np.zeros(0, np.int64)]).astype(np.int64)), pa.array(np.concatenate([*places, np.zeros(0, np.int32)]).astype(np.int32)), *rest],
+                names=["token", "at", "hub", "node", "n", "size", "due", "out"],
+            )
+
+    held = held.join(order, "hub", "left").select("added", "lacking", "order", "keep", "hub", "node", "n", "size", "due", "out")
+    return materialize(held.mapInArrow(run, "token long, at int, hub long, node long, n long, size int, due long, out boolean"), "prefixes")
+
+
+def _delta_pairs(prefixes: DataFrame, labels: DataFrame | None, corpus: Corpus) -> DataFrame:
+    """Pairs (a, b) of different components, a without a link to the hub, that may link by what their deltas share."""
+    held = _labelled(prefixes, labels)
+    side = lambda x: held.select("hub", "token", *[F.col(c).alias(f"{c}_{x}") for c in ("node", "n", "size", "due", "out", "at", "label")])
+    room = F.least(F.col("size_a") - F.col("at_a"), F.col("size_b") - F.col("at_b"))
+    fits = _sizes_fit(F.col("n_a"), F.col("n_b"), corpus.like) & (room >= _due(F.col("due_a"), F.col("due_b"), corpus.like))
+    apart = (F.col("label_a") != F.col("label_b")) & (~F.col("out_b") | (F.col("node_a") < F.col("node_b")))
+    met = side("a").filter("out_a").join(side("b"), ["hub", "token"]).filter(apart & fits)
+    return met.select(F.col("node_a").alias("a"), F.col("node_b").alias("b"))
+
+
+def link_components(lists: DataFrame, corpus: Corpus) -> DataFrame | None:
+    """(node, label) of every set with a link; None if there is none."""
+    labels = _join_labels(None, verify(once(_central_pairs(lists, corpus)), corpus))
+    mixed = _mixed_lists(lists, labels, corpus.like)
+    pairs = _pairs_of_small(mixed, corpus)
+    large = materialize(mixed.filter((F.col("members") > SMALL_PART) & (F.col("node") != F.col("hub"))).select("node", "hub").distinct(), "large")
+    if not large.isEmpty():
+        deltas = _deltas(large, corpus)
+        labels = _join_labels(labels, deltas.filter("not out").select(F.col("node").alias("a"), F.col("hub").alias("b")))
+        pairs = pairs.unionAll(_delta_pairs(_delta_prefixes(deltas, corpus), labels, corpus))
+    return _join_labels(labels, verify(once(pairs), corpus))
+
+
+def labelled_documents(docs: DataFrame, like: Likeness) -> DataFrame:
+    """Per document: doc_id, loc, n (size of its set) and the label of its component, null without words."""
     facts, sketch = describe(docs, like)
     lists, listed_from = live_lists(docs, facts, sketch, like)
-    labels = None if lists.isEmpty() else link_components(lists, Corpus(docs, facts, like, listed_from))
+    labels = None if lists.isEmpty() else link_components(lists, Corpus(docs, facts, like, listed_from, sketch))
     tagged = facts if labels is None else facts.join(labels, "node", "left")
     label = F.col("node") if labels is None else F.coalesce("label", "node")
-    tagged = tagged.select("doc_id", "n", F.when(F.col("n") > 0, label).alias("label"))
+    return tagged.select("doc_id", "loc", "n", F.when(F.col("n") > 0, label).alias("label"))
+
+
+def jaccard_components(docs: DataFrame, like: Likeness = Likeness()) -> DataFrame:
+    """Per document: doc_id, n_shingles, component_id (least doc_id that links lead to)."""
+    tagged = labelled_documents(docs, like)
     least = tagged.filter("label is not null").groupBy("label").agg(F.min("doc_id").alias("least"))
     joined = tagged.join(least, "label", "left")
     return joined.select("doc_id", F.col("n").alias("n_shingles"), F.coalesce("least", "doc_id").alias("component_id"))
 
 
 def one_of_each(docs: DataFrame, like: Likeness = Likeness()) -> DataFrame:
-    """One document of each component, that of the least doc_id, with its own columns; documents without a doc_id stay."""
-    kept = jaccard_components(docs, like).filter("doc_id = component_id").select("doc_id").distinct()
-    return docs.filter("doc_id is null").unionAll(docs.join(kept, "doc_id", "left_semi").dropDuplicates(["doc_id"]))
+    """One document of each component, that of the least doc_id, with its own columns; rows without words all stay."""
+    tagged = labelled_documents(docs, like)
+    first = F.min(F.struct(F.col("doc_id").isNull(), "doc_id", "loc"))
+    kept = tagged.filter("label is not null").groupBy("label").agg(first.alias("first")).select(F.col("first.loc").alias("_sieve_loc"))
+    rows = docs.withColumn("_sieve_loc", place())
+    one = rows.join(kept, "_sieve_loc", "left_semi").dropDuplicates(["_sieve_loc"])
+    empty = rows.join(tagged.filter("label is null").select(F.col("loc").alias("_sieve_loc")).distinct(), "_sieve_loc", "left_semi")
+    return one.unionAll(empty).drop("_sieve_loc")
