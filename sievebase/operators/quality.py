@@ -86,6 +86,11 @@ def method_findings() -> Column:
     return F.flatten(F.transform(methods(), judge))
 
 
+def deep_nesting(deepest: Column, at: Column) -> Column:
+    why = F.concat(F.lit("Braces nest "), deepest.cast("string"), F.lit(" levels deep."))
+    return _quality(at, "Warning", "Deep Nesting Detected", why, "Return early or extract the inner part.", "Medium")
+
+
 def nesting_depth() -> Column:
     """Deepest brace level and the line where it is first reached."""
     state = "struct<depth:int,line:int,deepest:int,at:int>"
@@ -108,11 +113,7 @@ def nesting_depth() -> Column:
         lambda d: when_all(
             (
                 d["deepest"] >= 5,
-                _quality(
-                    d["at"], "Warning", "Deep Nesting Detected",
-                    F.concat(F.lit("Braces nest "), d["deepest"].cast("string"), F.lit(" levels deep.")),
-                    "Return early or extract the inner part.", "Medium",
-                ),
+                deep_nesting(d["deepest"], d["at"]),
             )
         ),
     )

@@ -11,9 +11,9 @@ from sievebase.functions import findings as fi
 from sievebase.functions.text import explode_lines
 from sievebase.functions.versions import compare
 from sievebase.operators import api_surface, dataflow, dependencies, forensics, history, hygiene, line_history, line_rules, performance
-from sievebase.operators import quality, scoring
+from sievebase.operators import quality, scoring, sliced
 from sievebase.plans import scan
-from sievebase.sources import corpus, tables
+from sievebase.sources import corpus, slices, tables
 from sievebase.streaming import runner, scan_events
 
 Query = Callable[[SparkSession, str], DataFrame]
@@ -67,6 +67,25 @@ def quality_queries() -> dict[str, Query]:
     return out
 
 
+SLICE_LINES = 40  # short, so that most files of the tables are cut
+
+
+def sliced_queries() -> dict[str, Query]:
+    """Walks over files that are cut into slices; the rows are those of the whole files."""
+    def on_slices(op: Callable[[DataFrame], DataFrame], *cols: str) -> Query:
+        return lambda s, d: op(scan.materialize(slices.slices_of(kept(s, d), SLICE_LINES), "slices")).select(*cols)
+
+    return {
+        "method_metrics_sliced": on_slices(
+            lambda x: sliced.method_metrics(x, scan.materialize), "repo", "file_path", "name", "line_number", "length", "complexity"
+        ),
+        "loop_context_sliced": on_slices(
+            lambda x: sliced.loop_context(x, scan.materialize), "repo", "file_path", "line_number", "in_loop", "in_loop_after"
+        ),
+        "nesting_depth_sliced": on_slices(sliced.nesting_depth, *fi.CORE),
+    }
+
+
 def performance_queries() -> dict[str, Query]:
     out = {a.__name__: local(a) for a in (*performance.LOOP_CHECKS, *performance.LINE_CHECKS)}
     out["large_allocation"] = on_files(
@@ -348,6 +367,6 @@ def stream_queries() -> dict[str, Query]:
 
 def all_queries() -> dict[str, Query]:
     out: dict[str, Query] = {}
-    for group in (corpus_queries, quality_queries, performance_queries, dependency_queries, hygiene_queries, dataflow_queries, forensics_queries, scoring_queries, history_queries, stream_queries):
+    for group in (corpus_queries, quality_queries, sliced_queries, performance_queries, dependency_queries, hygiene_queries, dataflow_queries, forensics_queries, scoring_queries, history_queries, stream_queries):
         out.update(group())
     return out
