@@ -1,8 +1,10 @@
 """Tainted data flows from input sources to dangerous sinks.
 
-Everything inside one file is computed in that file's row from arrays of hit
-lines; only calls into other files need a join. "No sanitizer between" is asked
-as "is the sink at or before the next sanitizer line", one comparison per pair.
+One pass over the text finds sources, sinks, checks, definitions and mentions; all
+that follows works on line numbers and names. "No sanitizer between" becomes an
+equal number of checks before both lines, a running count, so that sources and sinks
+meet on (file, segment between two checks) and only true pairs are made. Windows of
+some lines after a source meet on ranges of that length.
 """
 
 from __future__ import annotations
@@ -11,11 +13,13 @@ from functools import reduce
 
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql.window import Window
 
 from sievebase.functions.findings import COLUMNS, finding, with_lines
 from sievebase.functions.substrings import key, pieces
 from sievebase.functions.text import first_lines, let
 from sievebase.rules import taint
+from sievebase.session import materialize
 
 NAME_KEY = 16
 
@@ -123,17 +127,6 @@ def _definitions(lines: Column) -> Column:
     return F.array_distinct(F.array_compact(F.concat(defined, exported)))
 
 
-def _first_per_line(hits: Column) -> Column:
-    """Hits are in line and rule order; keep the first rule of each line."""
-    return let(
-        hits, lambda hs: F.filter(hs, lambda h, i: (i == 0) | (F.get(hs, i - 1)["line"] != h["line"]))
-    )
-
-
-def _next_check(checks: Column, line: Column) -> Column:
-    return F.array_min(F.filter(checks, lambda c: c >= line))
-
-
 def taint_sources(files: DataFrame, mode: str = "compat") -> DataFrame:
     held = with_lines(files.filter(F.col("content").rlike(taint.SOURCE_HINT)))
     return held.select("repo", "file_path", F.inline(_sources(F.col("ls"), mode))).select(
@@ -158,66 +151,158 @@ def function_index(files: DataFrame) -> DataFrame:
     )
 
 
+# --- facts ------------------------------------------------------------------------------------
+
+FILE = ["repo", "file_path"]
+RANGE = 4096  # lines of a file that one key holds at most
+SOURCE = "array<struct<line:int,rule:int,expr:string,label:string,var:string>>"
+
+
+def _mentions(lines: Column, sources: Column, names: Column) -> Column:
+    """Lines that hold the variable of a source: the variables, the least function name and, near a source, the identifiers."""
+
+    def on_line(l: Column, i: Column, variables: Column) -> Column:
+        near = F.exists(sources, lambda s: (s["line"] <= i) & (i < s["line"] + taint.CALL_WINDOW))
+        return let(
+            F.filter(variables, lambda v: F.contains(l, v)),
+            lambda held: F.when(
+                (F.size(held) > 0) & l.rlike(r"\S"),
+                F.struct(
+                    (i + 1).alias("line"), F.array_min(F.filter(names, lambda n: F.contains(l, n))).alias("name"), held.alias("vars"),
+                    F.when(near, F.array_distinct(F.regexp_extract_all(l, F.lit(r"\w+"), F.lit(0)))).alias("words"),
+                ),
+            ),
+        )
+
+    return let(_variables(sources), lambda variables: F.array_compact(F.transform(lines, lambda l, i: on_line(l, i, variables))))
+
+
+def _variables(sources: Column) -> Column:
+    return F.array_distinct(F.transform(sources, lambda s: s["var"]))
+
+
+def _stores(lines: Column, sources: Column) -> Column:
+    """Lines that store the variable of a source in a property."""
+
+    def on_line(l: Column, i: Column, variables: Column) -> Column:
+        pattern = lambda v: F.concat(F.lit(r"(\w+\.\w+)\s*=\s*\Q"), v, F.lit(r"\E"))
+        held = F.transform(variables, lambda v: F.struct((i + 1).alias("line"), v.alias("var"), F.call_function("regexp_extract", l, pattern(v), F.lit(1)).alias("property")))
+        return F.when(l.rlike(r"\w\.\w+\s*="), F.filter(held, lambda x: x["property"] != "")).otherwise(F.array().cast("array<struct<line:int,var:string,property:string>>"))
+
+    return let(_variables(sources), lambda variables: F.flatten(F.transform(lines, lambda l, i: on_line(l, i, variables))))
+
+
 def flow_facts(files: DataFrame, mode: str = "compat") -> DataFrame:
-    """Files with input sources: lines, sources, sinks, checks and function names."""
-    held = with_lines(files.filter(F.col("content").rlike(taint.SOURCE_HINT)))
-    lines = F.col("ls")
+    """What flows are made of, as arrays of line numbers and names per file: the only pass over the text.
 
-    def facts(found: Column) -> Column:
-        names = F.array_distinct(F.transform(_definitions(lines), lambda d: d["name"]))
-        row = F.struct(
-            found.alias("sources"), lines.alias("ls"), _sinks(lines).alias("sinks"), _checks(lines).alias("checks"),
-            names.alias("names"),
+    sources, sinks, checks, definitions; mentions of sources' variables; stores of them in properties; and per sink line the
+    properties it holds.
+    """
+    lines, content = F.col("ls"), F.col("content")
+
+    def facts(x: Column) -> Column:
+        names = F.array_distinct(F.transform(x["definitions"], lambda d: d["name"]))
+        stores = F.when(F.size(x["sources"]) > 0, _stores(lines, x["sources"]))
+        mentions = F.when(F.size(x["sources"]) > 0, let(names, lambda n: _mentions(lines, x["sources"], n)))
+        return let(
+            F.struct(stores.alias("stores"), mentions.alias("mentions")),
+            lambda y: F.struct(
+                x["sources"].alias("sources"), x["sinks"].alias("sinks"), x["checks"].alias("checks"), x["definitions"].alias("definitions"),
+                y["mentions"].alias("mentions"), y["stores"].alias("stores"), _uses(lines, x["sinks"], y["stores"]).alias("uses"),
+            ),
         )
-        # No row for a file without sources; a filter would compute them twice.
-        return F.when(F.size(found) > 0, F.array(row))
 
-    return held.select("repo", "file_path", F.inline(let(_sources(lines, mode), facts)))
+    found = F.when(content.rlike(taint.SOURCE_HINT), _sources(lines, mode)).otherwise(F.array().cast(SOURCE))
+    row = F.struct(found.alias("sources"), _sinks(lines).alias("sinks"), _checks(lines).alias("checks"), _definitions(lines).alias("definitions"))
+    return with_lines(files).select(*FILE, let(row, facts).alias("f")).select(*FILE, "f.*")
+
+
+def _uses(lines: Column, sinks: Column, stores: Column) -> Column:
+    """Sinks whose line holds a property that a source is stored in."""
+    found = lambda properties: F.transform(
+        sinks, lambda k: F.struct(k.alias("k"), F.filter(properties, lambda p: F.contains(F.get(lines, k["line"] - 1), p)).alias("properties"))
+    )
+    return F.when(F.size(stores) > 0, let(F.array_distinct(F.transform(stores, lambda s: s["property"])), lambda p: F.filter(found(p), lambda u: F.size(u["properties"]) > 0)))
+
+
+def _table(facts: DataFrame, column: str) -> DataFrame:
+    return facts.select(*FILE, F.inline(column))
+
+
+def _first_of_line(hits: DataFrame) -> DataFrame:
+    """The hit of the first rule on each line."""
+    others = [c for c in hits.columns if c not in FILE]
+    least = F.min(F.struct("line", "rule", *[c for c in others if c not in ("line", "rule")])).alias("h")
+    return hits.groupBy(*FILE, "line").agg(least).select(*FILE, "h.*")
 
 
-def _source_rows(facts: DataFrame, one_per_line: bool) -> DataFrame:
-    """One row per source with its file's lines, sinks and checks."""
-    chosen = _first_per_line(F.col("sources")) if one_per_line else F.col("sources")
-    return facts.select("repo", "file_path", "ls", "sinks", "checks", "names", F.explode(chosen).alias("s"))
+# --- ranges -----------------------------------------------------------------------------------
+
+
+def with_segments(rows: DataFrame, checks: DataFrame) -> DataFrame:
+    """Add ``seg``, the number of check lines before a row's ``line``: no check stands between two rows of one segment.
+
+    Sums of ranges of RANGE lines come first, so a file of any length is many keys.
+    """
+    part = F.floor(F.col("line") / RANGE)
+    marked = rows.withColumn("_check", F.lit(0)).unionByName(checks.select(*FILE, F.col("line_number").alias("line"), F.lit(1).alias("_check")), allowMissingColumns=True)
+    marked = marked.withColumn("_part", part)
+    before = Window.partitionBy(*FILE).orderBy("_part").rowsBetween(Window.unboundedPreceding, -1)
+    ahead = marked.groupBy(*FILE, "_part").agg(F.sum("_check").alias("_n")).withColumn("_ahead", F.coalesce(F.sum("_n").over(before), F.lit(0))).drop("_n")
+    inside = Window.partitionBy(*FILE, "_part").orderBy("line").rangeBetween(Window.unboundedPreceding, -1)
+    summed = marked.withColumn("_inside", F.coalesce(F.sum("_check").over(inside), F.lit(0))).filter("_check = 0")
+    return summed.join(ahead, [*FILE, "_part"]).withColumn("seg", F.col("_ahead") + F.col("_inside")).drop("_check", "_part", "_ahead", "_inside")
+
+
+def with_next(rows: DataFrame, marks: DataFrame, keys: list[str], value: Column, name: str) -> DataFrame:
+    """Add the ``value`` of the first mark after a row's line with the same keys; null if there is none."""
+    part = F.floor(F.col("line") / RANGE)
+    # A mark is the least of its line, as its value begins with the line.
+    once = marks.select(*keys, "line", value.alias("_mark")).groupBy(*keys, "line").agg(F.min("_mark").alias("_mark"))
+    marked = rows.withColumn("_row", F.lit(1)).unionByName(once, allowMissingColumns=True).withColumn("_part", part)
+    after = Window.partitionBy(*keys).orderBy("_part").rowsBetween(1, Window.unboundedFollowing)
+    later = marked.groupBy(*keys, "_part").agg(F.min("_mark").alias("_m")).withColumn("_later", F.min("_m").over(after)).drop("_m")
+    inside = Window.partitionBy(*keys, "_part").orderBy("line").rangeBetween(1, Window.unboundedFollowing)
+    found = marked.withColumn("_inside", F.min("_mark").over(inside)).filter("_row = 1").drop("_row", "_mark")
+    return found.join(later, [*keys, "_part"]).withColumn(name, F.coalesce("_inside", "_later")).drop("_part", "_inside", "_later")
+
+
+def _soon_after(rows: DataFrame, points: DataFrame, window: int) -> DataFrame:
+    """Pairs of a row and a point ``at`` of the same file and variable, one to ``window`` lines after the row's line.
+
+    Lines are cut into ranges of the window's length, of which a row reaches two.
+    """
+    near = F.floor((F.col("line") + 1) / window)
+    left = rows.withColumn("_near", F.explode(F.array(near, near + 1)))
+    right = points.withColumn("_near", F.floor(F.col("at") / window))
+    return left.join(right, [*FILE, "var", "_near"]).filter((F.col("at") > F.col("line")) & (F.col("at") <= F.col("line") + window)).drop("_near")
 
 
 def _where(file: str | Column, line: Column) -> Column:
     return F.concat(F.lit(" ("), file, F.lit(":"), line.cast("string"), F.lit(")"))
 
 
+# --- flows ------------------------------------------------------------------------------------
+
+
 def intra_file_flows(files: DataFrame, mode: str = "compat") -> DataFrame:
-    return _intra_file(flow_facts(files, mode))
+    return _intra_file(materialize(flow_facts(files, mode), "facts"))
 
 
 def _intra_file(facts: DataFrame) -> DataFrame:
     """Source and later sink in one file with no sanitizer line from the source on.
 
-    A flow that passes a call of a function of the same file before its sink is
-    titled and scored as such. One flow is kept per source and sink line.
+    They meet on the segment between two checks. A flow that passes a call of a function of the same file before its sink
+    is titled and scored as such. One flow is kept per source and sink line.
     """
-    rows = _source_rows(facts, True)
-    stop = _next_check(F.col("checks"), F.col("s.line"))
-    near = rows.withColumn("sinks", _first_per_line(F.col("sinks"))).withColumn("stop", stop)
-    reached = near.withColumn(
-        "sinks",
-        F.filter("sinks", lambda k: (k["line"] > F.col("s.line")) & (F.col("stop").isNull() | (k["line"] <= F.col("stop")))),
-    ).filter(F.size("sinks") > 0)
-    after = F.slice(
-        "ls", F.col("s.line") + 1,
-        F.greatest(F.lit(0), F.array_max(F.transform("sinks", lambda k: k["line"])) - F.col("s.line")),
-    )
-
-    def calls(l: Column, i: Column) -> Column:
-        return F.when(
-            l.rlike(r"\S") & F.contains(l, F.col("s.var")),
-            let(
-                F.array_min(F.filter("names", lambda n: F.contains(l, n))),
-                lambda n: F.when(n.isNotNull(), F.struct((F.col("s.line") + i + 1).alias("line"), n.alias("name"))),
-            ),
-        )
-
-    with_call = reached.withColumn("call", F.array_min(F.array_compact(F.transform(after, calls))))
-    flows = with_call.select("repo", "file_path", "s", "call", F.explode("sinks").alias("k"))
+    held = facts.filter((F.size("sources") > 0) & (F.size("sinks") > 0))
+    checks = _checked_lines(held)
+    sources = _first_of_line(_table(held, "sources"))
+    calls = _table(held, "mentions").filter("name is not null").select(*FILE, "line", "name", F.explode("vars").alias("var"))
+    sources = with_next(with_segments(sources, checks), calls, [*FILE, "var"], F.struct("line", "name"), "call")
+    sinks = with_segments(_first_of_line(_table(held, "sinks")), checks)
+    sinks = sinks.select(*FILE, "seg", F.struct("line", "rule", "kind", "weakness").alias("k"))
+    flows = sources.select(*FILE, "seg", F.struct("line", "expr").alias("s"), "call").join(sinks, [*FILE, "seg"]).filter("k.line > s.line")
     via = F.col("call").isNotNull() & (F.col("call.line") <= F.col("k.line"))
     path = F.col("file_path")
     trace = F.concat(
@@ -237,72 +322,50 @@ def _intra_file(facts: DataFrame) -> DataFrame:
     ).select("repo", "file_path", "f.*", "sink_line", "via_call")
 
 
-def flows_via_local_call(files: DataFrame, mode: str = "compat") -> DataFrame:
-    return intra_file_flows(files, mode).filter(F.col("via_call"))
-
-
-def _harmful(lines: Column) -> Column:
-    """Functions of a file with each sink they reach without a check."""
-    def reached(d: Column, sinks: Column, checks: Column) -> Column:
-        return let(
-            F.struct(_next_check(checks, d["line"]).alias("stop")),
-            lambda s: F.transform(
-                F.filter(sinks, lambda k: (k["line"] > d["line"]) & (s["stop"].isNull() | (k["line"] <= s["stop"]))),
-                lambda k: F.struct(d["name"].alias("name"), d["line"].alias("def_line"), k.alias("k")),
-            ),
-        )
+def _checked_lines(facts: DataFrame) -> DataFrame:
+    return facts.select(*FILE, F.explode("checks").alias("line_number"))
 
-    def in_file(sinks: Column) -> Column:
-        pairs = let(
-            _checks(lines),
-            lambda checks: F.flatten(F.transform(_definitions(lines), lambda d: reached(d, sinks, checks))),
-        )
-        return F.when(F.size(sinks) > 0, pairs)
 
-    return let(_sinks(lines), in_file)
+def flows_via_local_call(files: DataFrame, mode: str = "compat") -> DataFrame:
+    return intra_file_flows(files, mode).filter(F.col("via_call"))
 
 
 def cross_file_flows(files: DataFrame, mode: str = "compat", calls: str = "identifier") -> DataFrame:
-    return _cross_file(flow_facts(files, mode), files, calls)
+    return _cross_file(materialize(flow_facts(files, mode), "facts"), calls)
 
 
-def _cross_file(facts: DataFrame, files: DataFrame, calls_by: str) -> DataFrame:
+def _cross_file(facts: DataFrame, calls_by: str) -> DataFrame:
     """A call near a source of a function defined in another file that reaches a sink.
 
     ``identifier``: the call line holds the function's name as a whole identifier;
     calls and definitions meet on (repo, name), one row per identifier of a line.
     ``substring``: the name may stand anywhere inside an identifier. They meet on
-    (repo, first letters of the name), a call line gives the pieces of its
-    identifiers, and longer names are then checked on the line itself.
-    The function index keeps only functions with a sink in reach.
+    (repo, first letters of the name), an identifier gives its pieces, and longer
+    names are then checked on it. A function reaches the sinks after it in its segment.
     """
     whole = calls_by == "identifier"
-    sources = _source_rows(facts, False)
-    window = F.slice("ls", F.col("s.line") + 1, taint.CALL_WINDOW)
-    calls = sources.select("repo", "file_path", "s", F.posexplode(window).alias("i", "line")).filter(
-        F.col("line").rlike(r"\S") & F.contains("line", F.col("s.var"))
-    ).withColumn("call_line", F.col("s.line") + F.col("i") + 1)
-    words = F.array_distinct(F.regexp_extract_all("line", F.lit(r"\w+"), F.lit(0)))
-    parts = words if whole else F.array_distinct(F.flatten(F.transform(words, lambda w: pieces(w, NAME_KEY))))
-    source = ["repo", F.col("file_path").alias("src_file"), F.col("s.line").alias("src_line"), "call_line"]
-    asked = calls.select(
-        *source, F.col("s.rule").alias("src_rule"), F.col("s.expr").alias("expr"), F.explode(parts).alias("key")
+    sources = _table(facts.filter(F.size("sources") > 0), "sources")
+    mentions = _table(facts.filter(F.size("sources") > 0), "mentions").filter("words is not null")
+    points = mentions.select(*FILE, F.col("line").alias("at"), "words", F.explode("vars").alias("var"))
+    calls = _soon_after(sources, points, taint.CALL_WINDOW).select(
+        "repo", F.col("file_path").alias("src_file"), F.col("line").alias("src_line"), F.col("at").alias("call_line"),
+        F.col("rule").alias("src_rule"), "expr", F.explode("words").alias("word"),
     )
-    call_text = calls.select(*source, "line").dropDuplicates(["repo", "src_file", "src_line", "call_line"])
-
-    reach = with_lines(files).select("repo", F.col("file_path").alias("def_file"), F.inline(_harmful(F.col("ls"))))
+    asked = calls.withColumn("key", F.col("word") if whole else F.explode(pieces(F.col("word"), NAME_KEY)))
+
+    able = facts.filter((F.size("definitions") > 0) & (F.size("sinks") > 0))
+    checks = _checked_lines(able)
+    defined = with_segments(_table(able, "definitions"), checks).select("repo", F.col("file_path").alias("def_file"), "name", F.col("line").alias("def_line"), "seg")
+    # Exported names stand at line 0, and only functions with a sink after them in their segment count.
+    sinks = with_segments(_table(able, "sinks"), checks).select("repo", F.col("file_path").alias("def_file"), "seg", F.struct("line", "rule", "kind", "weakness").alias("k"))
+    last = sinks.groupBy("repo", "def_file", "seg").agg(F.max("k.line").alias("_last"))
+    reach = defined.join(last, ["repo", "def_file", "seg"]).filter(F.col("_last") > F.col("def_line")).drop("_last")
     reach = reach.withColumn("key", F.col("name") if whole else key(F.col("name"), NAME_KEY))
     met = asked.join(reach, ["repo", "key"]).filter(F.col("src_file") != F.col("def_file"))
-    sure = met
     if not whole:
-        # The key is the whole name up to its width; longer names are checked on the line.
-        sure = met.filter(F.length("name") <= NAME_KEY)
-        long = (
-            met.filter(F.length("name") > NAME_KEY)
-            .join(call_text, ["repo", "src_file", "src_line", "call_line"])
-            .filter(F.contains("line", F.col("name")))
-        )
-        sure = sure.unionByName(long.select(*sure.columns))
+        # The key is the whole name up to its width; longer names are checked on the identifier.
+        met = met.filter((F.length("name") <= NAME_KEY) | F.contains("word", F.col("name")))
+    sure = met.drop("word", "key").distinct().join(sinks, ["repo", "def_file", "seg"]).filter(F.col("k.line") > F.col("def_line"))
     choice = F.struct(
         "src_rule", "call_line", "name", "def_line", F.col("k.rule").alias("sink_rule"), "expr",
         F.col("k.kind").alias("kind"), F.col("k.weakness").alias("weakness"),
@@ -326,31 +389,24 @@ def _cross_file(facts: DataFrame, files: DataFrame, calls_by: str) -> DataFrame:
 
 
 def property_taint(files: DataFrame, mode: str = "compat") -> DataFrame:
-    return _property(flow_facts(files, mode))
+    return _property(materialize(flow_facts(files, mode), "facts"))
 
 
 def _property(facts: DataFrame) -> DataFrame:
     """Input stored in a property soon after its source and used in a sink."""
-    rows = _source_rows(facts, False)
-    window = F.slice("ls", F.col("s.line") + 1, taint.PROPERTY_WINDOW)
-    pattern = F.concat(F.lit(r"(\w+\.\w+)\s*=\s*\Q"), F.col("s.var"), F.lit(r"\E"))
-    stored = rows.select(
-        "repo", "file_path", "ls", "sinks", "checks", "s", F.posexplode(window).alias("i", "line")
-    ).filter(F.col("line").rlike(r"\w\.\w+\s*=")).withColumn("property", F.call_function("regexp_extract", F.col("line"), pattern, F.lit(1))).filter(F.col("property") != "")
-    stored = stored.withColumn("at", F.col("s.line") + F.col("i") + 1)
-    stored = stored.withColumn("stop", _next_check(F.col("checks"), F.col("at")))
-    used = F.filter(
-        "sinks",
-        lambda k: (k["line"] >= F.col("at"))
-        & (F.col("stop").isNull() | (k["line"] <= F.col("stop")))
-        & F.contains(F.get("ls", k["line"] - 1), F.col("property")),
-    )
+    held = facts.filter((F.size("uses") > 0))
+    checks = _checked_lines(held)
+    points = _table(held, "stores").withColumnRenamed("line", "at").distinct()
+    stored = _soon_after(_table(held, "sources"), points, taint.PROPERTY_WINDOW)
+    stored = stored.select(*FILE, F.col("line").alias("src_line"), F.col("rule").alias("rule"), F.col("at").alias("line"), "expr", "property")
+    used = _table(held, "uses").select(*FILE, F.col("k.line").alias("line"), "k", F.explode("properties").alias("property"))
+    used = with_segments(used, checks).select(*FILE, "seg", "property", "k")
     choice = F.struct(
-        F.col("s.line").alias("src_line"), F.col("s.rule").alias("rule"), "at", F.col("k.rule").alias("sink_rule"),
-        F.col("s.expr").alias("expr"), F.col("k.kind").alias("kind"), F.col("k.weakness").alias("weakness"),
+        "src_line", "rule", F.col("line").alias("at"), F.col("k.rule").alias("sink_rule"),
+        "expr", F.col("k.kind").alias("kind"), F.col("k.weakness").alias("weakness"),
     )
     flows = (
-        stored.select("repo", "file_path", "s", "at", "property", F.explode(used).alias("k"))
+        with_segments(stored, checks).join(used, [*FILE, "property", "seg"]).filter("k.line >= line")
         .groupBy("repo", "file_path", "property", F.col("k.line").alias("sink_line"))
         .agg(F.min(choice).alias("c"))
     )
@@ -369,8 +425,7 @@ def _property(facts: DataFrame) -> DataFrame:
     ).select("repo", "file_path", "f.*", "property", "sink_line")
 
 
-def flow_findings(files: DataFrame, facts: DataFrame | None = None) -> DataFrame:
-    """All flows as findings; ``facts`` may be given when they are stored already."""
-    facts = flow_facts(files) if facts is None else facts
-    parts = [_intra_file(facts), _cross_file(facts, files, "substring"), _property(facts)]
+def flow_findings(facts: DataFrame, calls: str = "identifier") -> DataFrame:
+    """All flows as findings, from stored facts."""
+    parts = [_intra_file(facts), _cross_file(facts, calls), _property(facts)]
     return parts[0].select(*COLUMNS).unionByName(parts[1].select(*COLUMNS)).unionByName(parts[2].select(*COLUMNS))

@@ -12,7 +12,7 @@ from sievebase.functions.findings import COLUMNS, emit
 from sievebase.operators import (
     api_surface, dataflow, dependencies, forensics, hygiene, line_rules, performance, quality, scoring,
 )
-from sievebase.session import scratch_dir
+from sievebase.session import materialize
 from sievebase.sources.corpus import kept_files
 
 
@@ -33,17 +33,6 @@ class GitFacts(NamedTuple):
     history: GitHistory | None = None
 
 
-def materialize(df: DataFrame, purpose: str) -> DataFrame:
-    """Write a result that several later steps read, and read it back.
-
-    The folder is on shared storage, so lost executors lose nothing; findings
-    are tiny next to the text they come from.
-    """
-    path = scratch_dir(df.sparkSession, purpose)
-    df.write.mode("overwrite").parquet(path)
-    return df.sparkSession.read.schema(df.schema).parquet(path)
-
-
 def union(parts: list[DataFrame]) -> DataFrame:
     """Findings of several analyzers in one table.
 
@@ -80,19 +69,20 @@ def structure_parts(files: DataFrame, named: DataFrame) -> list[DataFrame]:
     ]
 
 
-def merge_analyzers(corpus: DataFrame, git: GitFacts | None = None) -> DataFrame:
+def merge_analyzers(corpus: DataFrame, git: GitFacts | None = None, calls: str = "identifier") -> DataFrame:
     """Findings of all analyzers.
 
     The text is read a few times, whatever the number of rules: once for all
     analyzers that need one file only, once to set the files aside that are read
-    by name, once for duplicate blocks, imports, sources and definitions each.
-    Checks of whole repositories read paths only.
+    by name, once for duplicate blocks, imports and facts of flows each. Checks of
+    whole repositories read paths only. ``calls`` is how calls between files are
+    found (``dataflow.cross_file_flows``).
     """
     files = kept_files(corpus)
     paths = corpus.select("repo", "file_path", F.octet_length("content").alias("size_bytes"))
     special = special_files(corpus)
     named = kept_files(special)
-    sources = materialize(dataflow.flow_facts(files), "sources")
+    facts = materialize(dataflow.flow_facts(files), "facts")
     parts = [
         emit(files, *FILE_LOCAL),
         quality.duplicate_blocks(files),
@@ -100,7 +90,7 @@ def merge_analyzers(corpus: DataFrame, git: GitFacts | None = None) -> DataFrame
         dependencies.missing_lockfile(files), *[op(named) for op in dependencies.MANIFEST_OPS],
         *structure_parts(files, named),
         hygiene.oversize_and_binary(paths),
-        dataflow.flow_findings(files, sources),
+        dataflow.flow_findings(facts, calls),
         forensics.git_config_exposure(special), forensics.hook_forensics(special), forensics.submodule_risks(special),
     ]
     if git is not None:
@@ -113,9 +103,9 @@ def merge_analyzers(corpus: DataFrame, git: GitFacts | None = None) -> DataFrame
     return union(parts)
 
 
-def run_scan(corpus: DataFrame, git: GitFacts | None = None, blame: DataFrame | None = None) -> DataFrame:
+def run_scan(corpus: DataFrame, git: GitFacts | None = None, blame: DataFrame | None = None, calls: str = "identifier") -> DataFrame:
     """Merged findings, scored, attributed and correlated; written once, as the marts read them several times."""
-    findings = materialize(merge_analyzers(corpus, git), "findings")
+    findings = materialize(merge_analyzers(corpus, git, calls), "findings")
     scored = scoring.confidence_score(findings, kept_files(corpus))
     if blame is not None:
         scored = scoring.blame_attribution(scored, blame)

@@ -5,6 +5,7 @@ import random
 import pytest
 from pyspark.sql import functions as F
 
+from sievebase.functions import substrings
 from sievebase.functions.findings import COLUMNS, FINDING, emit
 from sievebase.functions.labels import age_label, duration_label, size_label
 from sievebase.functions.substrings import first_path_holding
@@ -93,7 +94,10 @@ def test_attack_chain_raises_the_first_endpoint_only(spark):
     assert got[("Hardcoded Secret Key", 1)][2] == "Active"
 
 
-def test_substring_lookup_equals_brute_force(spark):
+@pytest.mark.parametrize("shard, block", [(50_000, 1 << 22), (7, 20)])
+def test_substring_lookup_equals_brute_force(spark, monkeypatch, shard, block):
+    monkeypatch.setattr(substrings, "SHARD_PATHS", shard)
+    monkeypatch.setattr(substrings, "BLOCK_CHARS", block)
     rng = random.Random(3)
     word = lambda n: "".join(rng.choice("abAB./") for _ in range(n))
     paths = [(rng.choice("xy"), word(rng.randint(1, 24))) for _ in range(150)]
@@ -110,6 +114,15 @@ def test_substring_lookup_equals_brute_force(spark):
     assert {(r.repo, r.target): r.dest for r in got.collect()} == want
 
 
+def test_substring_lookup_in_one_large_repository(spark):
+    """200,000 paths of one repository in several shards; only targets that are found are rows."""
+    paths = spark.range(200_000).select(F.lit("r").alias("repo"), F.concat(F.lit("Src/Part"), F.col("id") % 1000, F.lit("/File"), "id", F.lit(".cs")).alias("file_path"))
+    wanted = [("r", "part77/file1077."), ("r", "file199999.cs"), ("r", ".cs"), ("r", "absent"), ("other", ".cs")]
+    got = first_path_holding(spark.createDataFrame(wanted, "repo string, target string"), paths)
+    least = min(f"Src/Part{k % 1000}/File{k}.cs" for k in range(200_000))
+    assert {r.target: r.dest for r in got.collect()} == {"part77/file1077.": "Src/Part77/File1077.cs", "file199999.cs": "Src/Part999/File199999.cs", ".cs": least}
+
+
 def test_gitignore_pattern_of_only_slashes_matches_anything(files):
     df = files({".gitignore": "zzz\n/*\n", "a.py": "x"})
     assert [r.title for r in hygiene.ineffective_gitignore(df).collect()] == [".gitignore Pattern Ineffective: /*"]
