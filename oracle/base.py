@@ -80,6 +80,29 @@ SELECT o_orderkey AS scan_id, o_custkey AS user_id,
   CASE o_orderstatus WHEN 'F' THEN 'COMPLETED' WHEN 'O' THEN 'ANALYSIS' ELSE 'FAILED' END AS status,
   o_orderdate AS created_at, CASE WHEN o_orderkey % 41 <> 0 THEN CAST(o_orderkey % 96 + 5 AS INT) END AS health_score
 FROM orders""",
+    "scan_requests": """
+SELECT o_orderkey AS scan_id, o_custkey - o_custkey % 4 AS user_id,
+  make_timestamp((1704067200 + o_orderkey * 7919 % 120 * 86400 + o_orderkey % 24 * 3600) * 1000000) AS created_at, o_orderkey % 6 = 0 AS is_private
+FROM orders""",
+    "quota_users": """
+SELECT c_custkey AS user_id, CASE WHEN c_mktsegment = 'BUILDING' THEN 'PRO' ELSE 'FREE' END AS plan_type,
+  CASE WHEN c_custkey % 3 <> 0 THEN make_timestamp((1704067200 + c_custkey % 40 * 86400) * 1000000) END AS reset_date,
+  CASE WHEN c_custkey % 3 <> 0 THEN c_custkey % 5 END AS scans_this_month FROM customer""",
+    # One request after the other: the count and the reset date that each finds and leaves.
+    "quota_lines": """
+SELECT r.*, u.plan_type, u.reset_date, coalesce(u.scans_this_month, 0) AS stored, row_number() OVER (PARTITION BY user_id ORDER BY created_at, scan_id) AS n
+FROM scan_requests r JOIN quota_users u USING (user_id)""",
+    "quota_walk": """
+SELECT user_id, 0::BIGINT AS n, NULL::BIGINT AS scan_id, any_value(plan_type) AS plan_type, any_value(reset_date) AS until, NULL::TIMESTAMP AS start,
+  any_value(stored)::BIGINT AS used, NULL::VARCHAR AS reason FROM quota_lines GROUP BY user_id
+UNION ALL
+SELECT user_id, n, scan_id, plan_type, until, start, found + CASE WHEN reason IS NULL THEN 1 ELSE 0 END, reason FROM (
+  SELECT *, CASE WHEN plan_type <> 'FREE' THEN NULL WHEN found >= 3 THEN 'limit reached' WHEN is_private THEN 'private repository' END AS reason FROM (
+    SELECT w.user_id, l.n, l.scan_id, l.plan_type, l.is_private,
+      CASE WHEN w.until IS NULL OR w.until <= l.created_at THEN l.created_at + INTERVAL 1 MONTH ELSE w.until END AS until,
+      CASE WHEN w.until IS NULL OR w.until <= l.created_at THEN l.created_at ELSE w.start END AS start,
+      CASE WHEN w.until IS NULL OR w.until <= l.created_at THEN 0 ELSE w.used END AS found
+    FROM quota_walk w JOIN quota_lines l ON l.user_id = w.user_id AND l.n = w.n + 1))""",
     "issues": """
 SELECT l_orderkey AS scan_id,
   CASE l_returnflag WHEN 'R' THEN 'Critical' WHEN 'A' THEN 'Warning' ELSE 'Info' END AS severity,
@@ -209,6 +232,7 @@ NEEDS = {
     "line_blame": ["code_corpus"], "git_history": ["code_corpus"], "git_commits": ["git_history"], "git_versions": ["git_history"],
     "git_changes": ["git_versions"], "git_blobs": ["git_versions"], "lcs_pairs": ["git_changes", "git_blobs"], "lcs_common": ["lcs_pairs"],
     "lcs_rows": ["lcs_common"], "lcs_walk": ["lcs_rows"], "lcs_added": ["lcs_walk"], "added": ["lcs_added", "git_commits"],
+    "quota_lines": ["scan_requests", "quota_users"], "quota_walk": ["quota_lines"],
     "commit_values": ["git_commits"], "dates": ["commit_values"],
 }
 # Views used more than once are computed once.

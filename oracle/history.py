@@ -105,12 +105,18 @@ UNION ALL SELECT {cols}, 'suggestions', rk FROM (SELECT *, row_number() OVER (PA
   FROM issues WHERE suggestion <> '') WHERE rk <= 10
 UNION ALL SELECT {cols}, 'criticals', rk FROM (SELECT *, row_number() OVER (PARTITION BY scan_id ORDER BY file_path, line_number, title, severity) AS rk
   FROM issues WHERE severity = 'Critical') WHERE rk <= 5""")
-    out["plan_quota"] = sql("scans users", """
+    out["plan_quota"] = sql("quota_walk", """
+SELECT user_id, plan_type, start AS period_start, max(used) AS used, CASE plan_type WHEN 'FREE' THEN 3 ELSE -1 END AS scan_limit,
+  CASE plan_type WHEN 'FREE' THEN greatest(0, 3 - max(used)) ELSE -1 END AS remaining,
+  count(*) FILTER (reason = 'limit reached') AS over_limit, count(*) FILTER (reason = 'private repository') AS private
+FROM quota_walk WHERE n > 0 GROUP BY user_id, plan_type, start""")
+    out["quota_rejections"] = sql("quota_walk", "SELECT user_id, start AS period_start, scan_id, reason FROM quota_walk WHERE reason IS NOT NULL")
+    out["monthly_quota"] = sql("scans users", """
 SELECT user_id, month, plan_type, used, CASE plan_type WHEN 'FREE' THEN 3 ELSE -1 END AS scan_limit,
   CASE plan_type WHEN 'FREE' THEN greatest(0, 3 - used) ELSE -1 END AS remaining,
   CASE plan_type WHEN 'FREE' THEN greatest(0, used - 3) ELSE 0 END AS rejected
 FROM (SELECT user_id, strftime(created_at, '%Y-%m') AS month, count(*) AS used FROM scans GROUP BY ALL) JOIN users USING (user_id)""")
-    out["quota_rejections"] = sql("scans users", """
+    out["monthly_rejections"] = sql("scans users", """
 SELECT user_id, month, scan_id, 'monthly limit reached' AS reason FROM (
   SELECT *, strftime(created_at, '%Y-%m') AS month FROM scans JOIN (SELECT user_id FROM users WHERE plan_type = 'FREE') USING (user_id))
 QUALIFY row_number() OVER (PARTITION BY user_id, month ORDER BY created_at, scan_id) > 3""")

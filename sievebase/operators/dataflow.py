@@ -16,6 +16,7 @@ from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
 from sievebase.functions.findings import COLUMNS, finding, with_lines
+from sievebase.functions.ranges import with_next
 from sievebase.functions.substrings import key, pieces
 from sievebase.functions.text import first_lines, let
 from sievebase.rules import taint
@@ -254,19 +255,6 @@ def with_segments(rows: DataFrame, checks: DataFrame) -> DataFrame:
     return summed.join(ahead, [*FILE, "_part"]).withColumn("seg", F.col("_ahead") + F.col("_inside")).drop("_check", "_part", "_ahead", "_inside")
 
 
-def with_next(rows: DataFrame, marks: DataFrame, keys: list[str], value: Column, name: str) -> DataFrame:
-    """Add the ``value`` of the first mark after a row's line with the same keys; null if there is none."""
-    part = F.floor(F.col("line") / RANGE)
-    # A mark is the least of its line, as its value begins with the line.
-    once = marks.select(*keys, "line", value.alias("_mark")).groupBy(*keys, "line").agg(F.min("_mark").alias("_mark"))
-    marked = rows.withColumn("_row", F.lit(1)).unionByName(once, allowMissingColumns=True).withColumn("_part", part)
-    after = Window.partitionBy(*keys).orderBy("_part").rowsBetween(1, Window.unboundedFollowing)
-    later = marked.groupBy(*keys, "_part").agg(F.min("_mark").alias("_m")).withColumn("_later", F.min("_m").over(after)).drop("_m")
-    inside = Window.partitionBy(*keys, "_part").orderBy("line").rangeBetween(1, Window.unboundedFollowing)
-    found = marked.withColumn("_inside", F.min("_mark").over(inside)).filter("_row = 1").drop("_row", "_mark")
-    return found.join(later, [*keys, "_part"]).withColumn(name, F.coalesce("_inside", "_later")).drop("_part", "_inside", "_later")
-
-
 def _soon_after(rows: DataFrame, points: DataFrame, window: int) -> DataFrame:
     """Pairs of a row and a point ``at`` of the same file and variable, one to ``window`` lines after the row's line.
 
@@ -299,7 +287,8 @@ def _intra_file(facts: DataFrame) -> DataFrame:
     checks = _checked_lines(held)
     sources = _first_of_line(_table(held, "sources"))
     calls = _table(held, "mentions").filter("name is not null").select(*FILE, "line", "name", F.explode("vars").alias("var"))
-    sources = with_next(with_segments(sources, checks), calls, [*FILE, "var"], F.struct("line", "name"), "call")
+    marks = calls.select(*FILE, "var", "line", F.struct("line", "name").alias("mark"))
+    sources = with_next(with_segments(sources, checks), marks, [*FILE, "var"], "line", F.floor(F.col("line") / RANGE), "call")
     sinks = with_segments(_first_of_line(_table(held, "sinks")), checks)
     sinks = sinks.select(*FILE, "seg", F.struct("line", "rule", "kind", "weakness").alias("k"))
     flows = sources.select(*FILE, "seg", F.struct("line", "expr").alias("s"), "call").join(sinks, [*FILE, "seg"]).filter("k.line > s.line")

@@ -386,8 +386,8 @@ def _month() -> Column:
     return F.date_format("created_at", "yyyy-MM")
 
 
-def plan_quota(scans: DataFrame, users: DataFrame) -> DataFrame:
-    """Use of the monthly quota per user and month; -1 stands for no limit."""
+def monthly_quota(scans: DataFrame, users: DataFrame) -> DataFrame:
+    """Use of a quota by calendar months per user and month; -1 stands for no limit."""
     used = scans.groupBy("user_id", _month().alias("month")).agg(F.count("*").alias("used"))
     limit = F.when(F.col("plan_type") == "FREE", FREE_SCANS).otherwise(-1)
     return used.join(users.select("user_id", "plan_type"), "user_id").select(
@@ -397,8 +397,8 @@ def plan_quota(scans: DataFrame, users: DataFrame) -> DataFrame:
     )
 
 
-def quota_rejections(scans: DataFrame, users: DataFrame) -> DataFrame:
-    """Scans of free users past the third of a month.
+def monthly_rejections(scans: DataFrame, users: DataFrame) -> DataFrame:
+    """Scans of free users past the third of a calendar month.
 
     Only the third scan of each (user, month) is ranked out; all later ones are
     found by comparing with it, so no month is sorted in one task.

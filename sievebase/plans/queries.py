@@ -11,7 +11,7 @@ from sievebase.functions import findings as fi
 from sievebase.functions.text import explode_lines
 from sievebase.functions.versions import compare
 from sievebase.operators import api_surface, dataflow, dependencies, forensics, history, hygiene, line_history, line_rules, performance
-from sievebase.operators import quality, scoring, sliced
+from sievebase.operators import quality, quota, scoring, sliced
 from sievebase.plans import scan
 from sievebase.sources import corpus, slices, tables
 from sievebase.streaming import runner, scan_events
@@ -299,8 +299,10 @@ def history_queries() -> dict[str, Query]:
         "top_affected_files": on_issues(history.top_affected_files),
         "severity_category_matrix": on_issues(history.severity_category_matrix),
         "report_sections": on_issues(history.report_sections),
-        "plan_quota": lambda s, d: history.plan_quota(sc(s, d), us(s, d)),
-        "quota_rejections": lambda s, d: history.quota_rejections(sc(s, d), us(s, d)),
+        "monthly_quota": lambda s, d: history.monthly_quota(sc(s, d), us(s, d)),
+        "monthly_rejections": lambda s, d: history.monthly_rejections(sc(s, d), us(s, d)),
+        "plan_quota": lambda s, d: quota.plan_quota(tables.scan_requests(s, d), tables.quota_users(s, d), scan.materialize),
+        "quota_rejections": lambda s, d: quota.quota_rejections(tables.scan_requests(s, d), tables.quota_users(s, d), scan.materialize),
         "cascade_delete": lambda s, d: history.cascade_delete(sc(s, d), us(s, d).filter(F.col("plan_type") == "TEAM")),
         "user_upsert": lambda s, d: history.user_upsert(us(s, d), tables.logins(s, d), "2025-06-01 00:00:00"),
         "owner_filter": lambda s, d: history.owner_filter(owned(s, d), "7"),

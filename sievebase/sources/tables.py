@@ -182,6 +182,25 @@ def scans(spark: SparkSession, sf_dir: str) -> DataFrame:
     )
 
 
+def scan_requests(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Requests for scans over four months: four customers share an account; every sixth repository is private."""
+    key = F.col("o_orderkey")
+    at = F.timestamp_seconds(F.lit(1704067200) + key * 7919 % 120 * 86400 + key % 24 * 3600).cast("timestamp_ntz")
+    return read(spark, sf_dir, "orders").select(
+        key.alias("scan_id"), (F.col("o_custkey") - F.col("o_custkey") % 4).alias("user_id"), at.alias("created_at"), (key % 6 == 0).alias("is_private")
+    )
+
+
+def quota_users(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Accounts with their plan and, for two of three, a stored reset date and count."""
+    key = F.col("c_custkey")
+    plan = F.when(F.col("c_mktsegment") == "BUILDING", "PRO").otherwise("FREE")
+    reset = F.timestamp_seconds(F.lit(1704067200) + key % 40 * 86400).cast("timestamp_ntz")
+    return read(spark, sf_dir, "customer").select(
+        key.alias("user_id"), plan.alias("plan_type"), F.when(key % 3 != 0, reset).alias("reset_date"), F.when(key % 3 != 0, key % 5).alias("scans_this_month")
+    )
+
+
 def issues(spark: SparkSession, sf_dir: str) -> DataFrame:
     severity = (
         F.when(F.col("l_returnflag") == "R", "Critical")
