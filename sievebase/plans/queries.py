@@ -211,8 +211,7 @@ def full_scan(spark: SparkSession, sf: str) -> DataFrame:
 
 
 def _confidence(spark: SparkSession, sf: str) -> DataFrame:
-    findings = scan.materialize(merged(spark, sf), "findings")
-    return scoring.confidence_score(findings, kept(spark, sf)).select(*fi.CORE)
+    return scoring.confidence_score(merged(spark, sf), kept(spark, sf)).select(*fi.CORE)
 
 
 def _with_double(df: DataFrame, *cols: str) -> DataFrame:
@@ -226,6 +225,7 @@ def scoring_queries() -> dict[str, Query]:
     return {
         "merge_analyzers": lambda s, d: merged(s, d).select(*fi.CORE, "reachability_status"),
         "confidence_score": _confidence,
+        "scan_status": lambda s, d: scan.scan_status(tables.code_corpus(s, d), git_facts(s, d)),
         "full_scan": lambda s, d: full_scan(s, d).select(*fi.CORE, "reachability_status", "commit_hash", "introduced_by"),
         "blame_attribution": lambda s, d: full_scan(s, d).select(*attribution),
         "attack_chains": lambda s, d: full_scan(s, d).select(*fi.CORE, "reachability_status"),

@@ -2,110 +2,76 @@
 
 from __future__ import annotations
 
-from functools import reduce
-from typing import NamedTuple
-
 from pyspark.sql import DataFrame
-from pyspark.sql import functions as F
 
-from sievebase.functions.findings import COLUMNS, emit
 from sievebase.operators import (
     api_surface, dataflow, dependencies, forensics, hygiene, line_rules, performance, quality, scoring,
 )
+from sievebase.plans.analyzers import Branch, GitFacts, GitHistory, Inputs, branch_of, run_branches
 from sievebase.session import materialize
 from sievebase.sources.corpus import kept_files
 
-
-class GitHistory(NamedTuple):
-    """Commits, what they change and the texts (columns: ``operators/line_history.py``)."""
-
-    commits: DataFrame
-    changes: DataFrame
-    blobs: DataFrame
-
-
-class GitFacts(NamedTuple):
-    """Exported facts about the repositories' git databases. Without ``history`` whole objects are searched for keys."""
-
-    objects: DataFrame
-    reflog: DataFrame
-    stashes: DataFrame
-    history: GitHistory | None = None
-
-
-def union(parts: list[DataFrame]) -> DataFrame:
-    """Findings of several analyzers in one table.
-
-    Joined pairwise, because every union checks the plans below it again.
-    """
-    level = [p.select(*COLUMNS) for p in parts]
-    while len(level) > 1:
-        level = [reduce(DataFrame.union, level[i : i + 2]) for i in range(0, len(level), 2)]
-    return level[0]
-
+__all__ = ["GitFacts", "GitHistory", "materialize", "merge_analyzers", "run_scan", "scan_status"]
 
 FILE_LOCAL = (
     line_rules.rule_findings, *quality.FILE_LOCAL, *performance.FILE_LOCAL, *hygiene.FILE_LOCAL,
     api_surface.endpoint_findings, forensics.entropy_findings,
 )
-# Files some checks read by name: manifests, ignore files and git's own files.
-SPECIAL = (
-    r"(?i)(^|/)(package\.json|requirements\.txt|pipfile|pyproject\.toml|gemfile|go\.mod|pom\.xml|\.gitmodules)$"
-    r"|\.csproj$|\.gitignore$|(^|/)\.env[^/]*$|(^|/)\.git/(config|hooks/[^/]+)$"
-)
 
 
-def special_files(corpus: DataFrame) -> DataFrame:
-    """The files checks read by name, set aside once: a tiny part of the text."""
-    named = corpus.filter(F.col("file_path").rlike(SPECIAL))
-    return materialize(named.select("repo", "file_path", "content"), "special")
+def branches(git: GitFacts | None) -> list[Branch]:
+    """All analyzers. The text is read for the file-local ones together, for duplicate blocks, imports and facts of flows,
+    and once to set the files aside that are read by name; checks of whole repositories read paths only."""
+    whole = {
+        "intra_file_flows": lambda x: dataflow.file_flows(x.facts),
+        "cross_file_flows": lambda x: dataflow.call_flows(x.facts, x.calls),
+        "property_taint": lambda x: dataflow.property_flows(x.facts),
+        "duplicate_blocks": lambda x: quality.duplicate_blocks(x.files),
+        "circular_imports": lambda x: quality.circular_imports(x.files, x.imports),
+        "missing_lockfile": lambda x: dependencies.missing_lockfile(x.files),
+        **{op.__name__: lambda x, op=op: op(x.named) for op in dependencies.MANIFEST_OPS},
+        "repo_presence_checks": lambda x: hygiene.repo_presence_checks(x.files),
+        "env_files": lambda x: hygiene.env_files(x.named),
+        "deep_paths": lambda x: hygiene.deep_paths(x.files),
+        "ineffective_gitignore": lambda x: hygiene.ineffective_gitignore(x.named, x.files),
+        "committed_artifacts": lambda x: hygiene.committed_artifacts(x.files),
+        "oversize_and_binary": lambda x: hygiene.oversize_and_binary(x.paths),
+        "git_config_exposure": lambda x: forensics.git_config_exposure(x.special),
+        "hook_forensics": lambda x: forensics.hook_forensics(x.special),
+        "submodule_risks": lambda x: forensics.submodule_risks(x.special),
+    }
+    if git is not None:
+        whole |= {
+            "dangling_blob_secrets": lambda x: forensics.dangling_blob_secrets(x.git.objects),
+            "unreachable_sensitive_commits": lambda x: forensics.unreachable_sensitive_commits(x.git.objects),
+            "large_pack_objects": lambda x: forensics.large_pack_objects(x.git.objects),
+            "reflog_sensitive_messages": lambda x: forensics.reflog_sensitive_messages(x.git.reflog),
+            "stash_secrets": lambda x: forensics.stash_secrets(x.git.stashes),
+        }
+        if git.history is None:
+            whole["object_secret_scan"] = lambda x: forensics.object_secret_scan(x.git.objects)
+        else:
+            whole["history_secret_scan"] = lambda x: forensics.history_secret_scan(*x.git.history, materialize)
+    return [Branch(local=tuple(map(branch_of, FILE_LOCAL))), *[Branch(whole=one) for one in whole.items()]]
 
 
-def structure_parts(files: DataFrame, named: DataFrame) -> list[DataFrame]:
-    """Structure and hygiene of repositories; ``named`` holds the files read by name."""
-    return [
-        hygiene.repo_presence_checks(files), hygiene.env_files(named), hygiene.deep_paths(files),
-        hygiene.ineffective_gitignore(named, files), hygiene.committed_artifacts(files),
-    ]
+def _analyzed(corpus: DataFrame, git: GitFacts | None, calls: str) -> tuple[DataFrame, DataFrame]:
+    return run_branches(branches(git), Inputs(corpus, git, calls))
 
 
 def merge_analyzers(corpus: DataFrame, git: GitFacts | None = None, calls: str = "identifier") -> DataFrame:
-    """Findings of all analyzers.
+    """Findings of all analyzers, stored. ``calls`` is how calls between files are found (``dataflow.cross_file_flows``)."""
+    return _analyzed(corpus, git, calls)[0]
 
-    The text is read a few times, whatever the number of rules: once for all
-    analyzers that need one file only, once to set the files aside that are read
-    by name, once for duplicate blocks, imports and facts of flows each. Checks of
-    whole repositories read paths only. ``calls`` is how calls between files are
-    found (``dataflow.cross_file_flows``).
-    """
-    files = kept_files(corpus)
-    paths = corpus.select("repo", "file_path", F.octet_length("content").alias("size_bytes"))
-    special = special_files(corpus)
-    named = kept_files(special)
-    facts = materialize(dataflow.flow_facts(files), "facts")
-    parts = [
-        emit(files, *FILE_LOCAL),
-        quality.duplicate_blocks(files),
-        quality.circular_imports(files, materialize(quality.imports(files), "imports")),
-        dependencies.missing_lockfile(files), *[op(named) for op in dependencies.MANIFEST_OPS],
-        *structure_parts(files, named),
-        hygiene.oversize_and_binary(paths),
-        dataflow.flow_findings(facts, calls),
-        forensics.git_config_exposure(special), forensics.hook_forensics(special), forensics.submodule_risks(special),
-    ]
-    if git is not None:
-        parts += [
-            forensics.dangling_blob_secrets(git.objects), forensics.unreachable_sensitive_commits(git.objects),
-            forensics.large_pack_objects(git.objects),
-            forensics.object_secret_scan(git.objects) if git.history is None else forensics.history_secret_scan(*git.history, materialize),
-            forensics.reflog_sensitive_messages(git.reflog), forensics.stash_secrets(git.stashes),
-        ]
-    return union(parts)
+
+def scan_status(corpus: DataFrame, git: GitFacts | None = None, calls: str = "identifier") -> DataFrame:
+    """What became of each analyzer: its number of findings, and a row with the error per repository where it failed."""
+    return _analyzed(corpus, git, calls)[1]
 
 
 def run_scan(corpus: DataFrame, git: GitFacts | None = None, blame: DataFrame | None = None, calls: str = "identifier") -> DataFrame:
     """Merged findings, scored, attributed and correlated; written once, as the marts read them several times."""
-    findings = materialize(merge_analyzers(corpus, git, calls), "findings")
+    findings = merge_analyzers(corpus, git, calls)
     scored = scoring.confidence_score(findings, kept_files(corpus))
     if blame is not None:
         scored = scoring.blame_attribution(scored, blame)
