@@ -87,15 +87,16 @@ def first_lines(flags: Column) -> Column:
     return F.array_compact(F.transform(flags, lambda hit, i: F.when(hit, i + 1)))
 
 
-def match_lines(content: Column, pattern: str, *needles: str) -> Column:
+def match_lines(content: Column, pattern: str, *needles: str, marked: str = MARK + "$0") -> Column:
     """Line number of the start of every match, one array entry per match.
 
     Each match is prefixed with a mark, the marked text is split into lines and
     the marks per line are counted, so the cost stays linear in the text. Texts
     without any of the ``needles``, of which every match holds one, are not searched.
+    ``marked`` is what replaces a match, if the mark belongs inside it.
     """
     clean = F.translate(content, MARK, "\u0002")
-    marked = F.split(F.regexp_replace(clean, pattern, MARK + "$0"), "\n", -1)
+    marked = F.split(F.regexp_replace(clean, pattern, marked), "\n", -1)
     per_line = F.transform(marked, lambda l, i: F.array_repeat(i + 1, occurrences(l, MARK)))
     near = reduce(lambda a, b: a | b, [content.contains(n) for n in needles])
     return F.when(near, F.flatten(per_line)).otherwise(

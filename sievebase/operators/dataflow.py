@@ -106,18 +106,52 @@ def _checks(lines: Column) -> Column:
     return first_lines(F.transform(lines, lambda l: l.rlike(taint.SANITIZER)))
 
 
+# The alternatives of taint.FUNCTION, each so that it takes time linear in the line: a run of word characters is read from
+# its start only, and a modifier is tried once, as what a later one leads to the first one leads to as well.
+_WORD = r"(?<!\w)(\w++)"
+_MODIFIER = r"(?:public|private|protected|internal|static|async|export)\s+"
+_NAMED = (
+    r"function\s+(\w+)",
+    _MODIFIER,
+    _WORD + r"\s*+(?:=|:)\s*+(?:async\s++)?\(?:\s*+(?:\w++(?:,\s*+\w++)*+)?+\s*+\)\s*+=>",
+    r"def\s+(\w++)\s*+\(",
+    r"class\s+(\w+)",
+)
+_CALLED = r"(\s?)" + _WORD + r"\s*+\("
+_LINE_END = "[\r\u0085\u2028\u2029]"
+
+
+def defined_name(line: Column) -> Column:
+    """What taint.FUNCTION captures of its first match on a line, null without a match."""
+
+    def candidate(number: int, pattern: str) -> Column:
+        at = F.regexp_instr(line, F.lit(pattern))
+        if pattern != _MODIFIER:
+            return F.when(at > 0, F.struct(at.alias("at"), F.lit(number).alias("number"), F.regexp_extract(line, pattern, 1).alias("name")))
+        # The last word before the first bracket after the modifier. A keyword that it begins with is left out, unless white
+        # space stands before the word: then the match begins there.
+        rest = F.regexp_extract(line, rf"{_MODIFIER}((?s:.*))", 1)
+        called = F.regexp_extract(rest, _CALLED, 2)
+        short = F.regexp_replace(called, r"^(?:function|const|let|var)(?=\w)", "")
+        name = F.when(F.regexp_extract(rest, _CALLED, 1) == "", short).otherwise(called)
+        return F.when((at > 0) & (called != ""), F.struct(at.alias("at"), F.lit(number).alias("number"), name.alias("name")))
+
+    first = F.array_min(F.array_compact(F.array(*[candidate(k, p) for k, p in enumerate(_NAMED)])))["name"]
+    groups = range(1, taint.FUNCTION_GROUPS + 1)
+    found = F.array_compact(F.array(*[F.nullif(F.regexp_extract(line, taint.FUNCTION, i), F.lit("")) for i in groups]))
+    # Other line ends inside a line stop the pattern's dot; such lines are rare.
+    odd = F.rtrim(line, F.lit("\r")).rlike(_LINE_END)
+    return F.when(odd, F.get(found, 0)).otherwise(first)
+
+
 def _definitions(lines: Column) -> Column:
     """Functions and classes with their line, exported names with line 0."""
-    groups = range(1, taint.FUNCTION_GROUPS + 1)
 
-    def name(l: Column) -> Column:
-        found = F.array_compact(F.array(*[F.nullif(F.regexp_extract(l, taint.FUNCTION, i), F.lit("")) for i in groups]))
-        return F.coalesce(F.get(found, 0), F.lit("anonymous"))
+    def define(l: Column, i: Column) -> Column:
+        named = let(defined_name(l), lambda name: F.when(name.isNotNull(), F.struct(name.alias("name"), (i + 1).alias("line"))))
+        return F.when(_may_define(l), named)
 
-    defined = F.transform(
-        lines,
-        lambda l, i: F.when(_may_define(l) & l.rlike(taint.FUNCTION), F.struct(name(l).alias("name"), (i + 1).alias("line"))),
-    )
+    defined = F.transform(lines, define)
     exported = F.transform(
         lines,
         lambda l: F.when(

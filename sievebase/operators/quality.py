@@ -11,7 +11,7 @@ from pyspark.sql import functions as F
 
 from sievebase.functions.findings import as_rows, each_line, finding, when_all, with_lines
 from sievebase.functions.substrings import first_path_holding
-from sievebase.functions.text import file_name, first_lines, let, match_lines
+from sievebase.functions.text import MARK, file_name, first_lines, let, match_lines
 from sievebase.operators.blocks import blocks
 from sievebase.sources.corpus import language
 
@@ -25,14 +25,29 @@ STATIC_STATE = (
     r"(List|Dictionary|Hashtable|Array|Queue|Stack|Set)\b"
 )
 SIGNATURE = r"(public|private|protected|internal)\s+\w[\w<>\[\],\s]*\s\w+\s*\("
-BOOL_FIRST = SIGNATURE + r"\s*bool\s+\w"
-LONG_PARAMETERS = SIGNATURE + r"[^)]{200,}\)"
+BOOL_FIRST = r"\s*bool\s+\w"
+LONG_PARAMETERS = r"[^)]{200,}\)"
 LOCAL_TIME = r"\bDateTime\.Now\b(?!.*Utc)"
 BLOCKING = r"\.(Result|Wait\(\))\s*;"
 SLEEP = r"Thread\.Sleep\("
 IMPORT = r"""#include\s*[<"]([^\s>"]+)|using\s+([\w\.]+)\b"""
 
 
+# What stands between two brackets of other kinds: a signature begins and ends its name in one such run.
+_RUN = r"[\w<>\[\],\s]"
+_BEGIN = r"(?:public|private|protected|internal)\s+\w"
+
+
+def signature_lines(content: Column, parameters: str, *needles: str) -> Column:
+    """Lines where SIGNATURE begins, followed by ``parameters``, in time linear in the text.
+
+    A run holds a match if and only if its first modifier begins one, as whatever follows a later modifier follows the first
+    as well. So runs are tried at their start, or where the last match ended, and only at their first modifier.
+    """
+    pattern = rf"(?:(?<!{_RUN})|\G)((?:(?!{_BEGIN}){_RUN})*+)({SIGNATURE}{parameters})"
+    return match_lines(content, pattern, *needles, marked="$1" + MARK + "$2")
+
+
 def _quality(line, severity, title, why, advice, effort="Easy"):
     return finding(line, severity, "Quality", title, why, advice, effort)
 
@@ -173,7 +188,7 @@ def static_mutable_state() -> Column:
 
 
 def bool_param_trap() -> Column:
-    return _each(match_lines(F.col("content"), BOOL_FIRST, "bool"), "Warning", "Boolean Parameter Trap",
+    return _each(signature_lines(F.col("content"), BOOL_FIRST, "bool"), "Warning", "Boolean Parameter Trap",
                  "Callers pass a bare true or false.", "Use a named value or an enumeration.")
 
 
@@ -193,7 +208,7 @@ def thread_sleep() -> Column:
 
 
 def long_param_list() -> Column:
-    return _each(match_lines(F.col("content"), LONG_PARAMETERS, "("), "Info", "Method Has Too Many Parameters",
+    return _each(signature_lines(F.col("content"), LONG_PARAMETERS, "("), "Info", "Method Has Too Many Parameters",
                  "The parameter list is very long.", "Group the parameters.")
 
 

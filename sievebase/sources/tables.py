@@ -82,15 +82,17 @@ def snippet_slot(doc: Column) -> Column:
     return ((doc + F.floor(doc / 20)) % SNIPPET_PERIOD).cast("int")
 
 
+FEW_FILES = 8
+
+
 def widen(df: DataFrame, key: str) -> DataFrame:
-    """Spread a scan that has fewer partitions than the cluster has cores.
+    """Spread a table that is stored in few files.
 
     Text work costs far more than reading; a small table stored as one row group
-    would otherwise run in one task. Large tables already have enough partitions
-    and are left as they are, without a shuffle.
+    would otherwise run in one task. Tables of many files are left as they are,
+    without a shuffle.
     """
-    cores = df.sparkSession.sparkContext.defaultParallelism
-    return df.repartition(cores, key) if df.rdd.getNumPartitions() < cores else df
+    return df.repartition(key) if len(df.inputFiles()) < FEW_FILES else df
 
 
 def code_corpus(spark: SparkSession, sf_dir: str) -> DataFrame:

@@ -73,16 +73,16 @@ def list_trees(roots: DataFrame, levels: int = 2, keep_git: bool = False) -> Dat
     return _expand(rows, True, keep_git).filter(~F.col("is_dir"))
 
 
-def read_trees(roots: DataFrame, keep_git: bool = False) -> DataFrame:
+def read_trees(roots: DataFrame, keep_git: bool = False, max_bytes: int | None = None) -> DataFrame:
     """Files as repo, file_path, size_bytes and content.
 
-    Names and sizes are tested on the listing, so skipped files are never opened.
+    Names, and sizes if ``max_bytes`` is given, are tested on the listing, so skipped files are never opened.
     With ``keep_git`` git's own files are read too; text is decoded as UTF-8 with
     replacement.
     """
     relative = F.substring(F.col("path"), F.length(F.rtrim("root", F.lit("/"))) + 2, F.length("path"))
     listed = list_trees(roots, keep_git=keep_git).select("repo", relative.alias("file_path"), "path", "size_bytes")
-    reason = skip_reason(F.col("file_path"), F.col("size_bytes"))
+    reason = skip_reason(F.col("file_path"), F.col("size_bytes"), max_bytes)
     git_file = F.lit(keep_git) & F.col("file_path").rlike(r"(^|/)\.git/(config|hooks/[^/]+)$")
     wanted = listed.filter(reason.isNull() | git_file)
 
