@@ -20,17 +20,18 @@ at once, and a document is found from ``doc_sizes`` and ``first``.
 
 Texts are cut to pieces by the vocabulary's own pattern, on whole arrays of code
 points, and the tokenizers library encodes each distinct piece once per worker:
-pieces never share a token, so the ids equal those of the whole text. Strings of
-special tokens in a text are ordinary text.
+pieces never share a token, so the ids equal those of the whole text. Added tokens of
+the vocabulary are cut out first and keep their own ids, as the library has it.
 
 Defined cases: a null or empty text has the end id alone; a null doc_id comes
-first; equal doc_ids are ordered by text; equal rows stay; an empty table gives
-empty files and an empty result; other columns are ignored.
+first; equal doc_ids are ordered by a hash of their text; equal rows stay; an empty
+table gives empty files and an empty result; other columns are ignored.
 """
 
 from __future__ import annotations
 
 import os
+import re
 import zlib
 from collections.abc import Iterator
 
@@ -51,8 +52,10 @@ BLOCK_IDS = 1 << 16
 LANES = 32
 SCALE_BITS = 18
 LOW_STATE = np.uint64(1 << 31)
-CACHE_PIECES = 1_000_000
-DIRECT_BITS = 20  # places of the table that finds common pieces without sorting
+CACHE_PIECES = 3_000_000
+PART_PIECES = 1_000_000
+SLOT_BITS = 22  # places of the table that finds pieces by hash
+JOINED = 2000  # new pieces in one text for the library
 
 BLOCK = T.StructType(
     [
@@ -133,50 +136,103 @@ class Encoder:
         from tokenizers import Tokenizer
 
         self.tokenizer = Tokenizer.from_file(vocabulary)
-        self.tokenizer.encode_special_tokens = True
+        added = self.tokenizer.get_added_tokens_decoder().values()
+        if any(t.lstrip or t.rstrip or t.single_word for t in added):
+            raise ValueError("added tokens that take in their surroundings are not supported")
+        found = sorted((t.content.encode() for t in added), key=lambda t: (-len(t), t))
+        self.added = re.compile(b"|".join(map(re.escape, found))) if found else None
+        self.line_end = self.tokenizer.encode("\n", add_special_tokens=False).ids
         self.clear()
 
+    def _added_spans(self, data: np.ndarray, offsets: np.ndarray) -> list[tuple[int, int]]:
+        """Where added tokens stand, the longest at each place, inside single texts."""
+        whole = data.tobytes()
+        if self.added is None or not self.added.search(whole):
+            return []
+        bounds = zip(offsets.tolist(), offsets[1:].tolist())
+        return [(a + m.start(), a + m.end()) for a, b in bounds for m in self.added.finditer(whole[a:b])]
+
     def clear(self) -> None:
-        self.place: dict[int, int] = {}
-        self.ids, self.first, self.size = np.zeros(1 << 16, np.uint16), np.zeros(1 << 16, np.int64), np.zeros(1 << 16, np.int64)
-        self.used = 0
-        self.direct_key, self.direct_place = np.zeros(1 << DIRECT_BITS, np.uint64), np.zeros(1 << DIRECT_BITS, np.int32)
-
-    def _learn(self, keys: list[int], pieces: list[str]) -> None:
-        """Encode new pieces and keep their ids at the end of the store."""
-        n, first = len(self.place), self.used
-        found = [e.ids for e in self.tokenizer.encode_batch(pieces, add_special_tokens=False)]
-        size = np.fromiter(map(len, found), np.int64, len(found))
-        total = int(size.sum())
-        while n + len(found) > len(self.first):
+        self.slot_key, self.slot_place = np.zeros(1 << SLOT_BITS, np.uint64), np.full(1 << SLOT_BITS, -1, np.int32)
+        self.ids, self.first, self.size = np.zeros(1 << 16, np.uint16), np.zeros(1 << 14, np.int64), np.zeros(1 << 14, np.int32)
+        self.used = self.pieces = 0
+
+    def _found(self, hashes: np.ndarray) -> np.ndarray:
+        """The place in the store of each piece by its hash, -1 for those that are not there: a table with linear probing."""
+        slot = (hashes >> np.uint64(64 - SLOT_BITS)).astype(np.int64)
+        place, todo = np.full(len(hashes), -1, np.int32), np.arange(len(hashes))
+        while len(todo):
+            at = slot[todo]
+            there = self.slot_place[at]
+            same = (there >= 0) & (self.slot_key[at] == hashes[todo])
+            place[todo[same]] = there[same]
+            todo = todo[(there >= 0) & ~same]
+            slot[todo] = (slot[todo] + 1) & ((1 << SLOT_BITS) - 1)
+        return place
+
+    def _keep(self, keys: np.ndarray) -> None:
+        """Take distinct new hashes into the table, with the next places."""
+        slot = (keys >> np.uint64(64 - SLOT_BITS)).astype(np.int64)
+        todo = np.arange(len(keys))
+        while len(todo):
+            free = todo[self.slot_place[slot[todo]] < 0]
+            at, one = np.unique(slot[free], return_index=True)
+            self.slot_key[at], self.slot_place[at] = keys[free[one]], self.pieces + free[one]
+            done = np.zeros(len(keys), bool)
+            done[free[one]] = True
+            todo = todo[~done[todo]]
+            slot[todo] = (slot[todo] + 1) & ((1 << SLOT_BITS) - 1)
+        self.pieces += len(keys)
+
+    def _learn(self, keys: np.ndarray, data: np.ndarray, begin: np.ndarray, end: np.ndarray, white: np.ndarray) -> None:
+        """Encode new pieces and keep their ids at the end of the store.
+
+        Pieces that are no white space go to the library as lines of longer texts, which cost it less than texts of their own.
+        """
+        lengths = end - begin + 1
+        lines = np.flatnonzero(~white) if len(self.line_end) == 1 else np.zeros(0, int)
+        upto = np.concatenate([[0], np.cumsum(lengths[lines])])
+        spread = np.repeat(begin[lines] - upto[:-1], lengths[lines]) + np.arange(upto[-1])
+        text = data[np.minimum(spread, len(data) - 1)]
+        text[upto[1:] - 1] = 10
+        cuts = upto[np.append(np.arange(0, len(lines), JOINED), len(lines))].tolist() if len(lines) else []
+        texts = [text[x:y].tobytes().decode("utf-8") for x, y in zip(cuts, cuts[1:])]
+        flat = [np.array(done.ids, np.uint16) for done in self.tokenizer.encode_batch_fast(texts, add_special_tokens=False)]
+        flat = np.concatenate(flat) if flat else np.zeros(0, np.uint16)
+        ends = np.flatnonzero(flat == self.line_end[0])
+        if len(ends) != len(lines):
+            lines, flat, ends = lines[:0], flat[:0], ends[:0]
+        sizes = np.diff(np.concatenate([[-1], ends])) - 1
+        flat = flat[flat != self.line_end[0]] if len(lines) else flat
+        alone = np.setdiff1d(np.arange(len(keys)), lines)
+        rest = [data[begin[k] : end[k]].tobytes().decode("utf-8") for k in alone.tolist()]
+        rest = [done.ids for done in self.tokenizer.encode_batch_fast(rest, add_special_tokens=False)]
+        order = np.concatenate([lines, alone])
+        sizes = np.concatenate([sizes, np.fromiter(map(len, rest), np.int64, len(rest))])
+        flat = np.concatenate([flat, np.fromiter((i for ids in rest for i in ids), np.uint16)])
+        n, first, total = self.pieces, self.used, len(flat)
+        while n + len(keys) > len(self.first):
             self.first, self.size = np.concatenate([self.first, self.first]), np.concatenate([self.size, self.size])
         while first + total > len(self.ids):
             self.ids = np.concatenate([self.ids, self.ids])
-        self.ids[first : first + total] = np.fromiter((i for ids in found for i in ids), np.uint16, total)
-        self.size[n : n + len(found)] = size
-        self.first[n : n + len(found)] = first + np.cumsum(size) - size
+        self.ids[first : first + total] = flat
+        self.size[n + order] = sizes
+        self.first[n + order] = first + np.cumsum(sizes) - sizes
         self.used = first + total
-        self.place.update(zip(keys, range(n, n + len(found))))
-
-    def _places(self, hashes: np.ndarray, data: np.ndarray, cuts: np.ndarray) -> np.ndarray:
-        """The place in the store of each piece; pieces that aren't in the direct table are looked up by distinct hash."""
-        slot = (hashes >> np.uint64(64 - DIRECT_BITS)).astype(np.int64)
-        place = self.direct_place[slot].astype(np.int64)
-        other = np.flatnonzero(self.direct_key[slot] != hashes)
-        keys, where, of = np.unique(hashes[other], return_index=True, return_inverse=True)
-        names = keys.tolist()
-        new = [k for k, name in enumerate(names) if name not in self.place]
-        if new:
-            if len(self.place) + len(new) > CACHE_PIECES and self.place:
+        self._keep(keys)
+
+    def _places(self, hashes: np.ndarray, data: np.ndarray, cuts: np.ndarray, white: np.ndarray) -> np.ndarray:
+        """The place in the store of each piece."""
+        place = self._found(hashes)
+        missing = np.flatnonzero(place < 0)
+        if len(missing):
+            keys, where = np.unique(hashes[missing], return_index=True)
+            if self.pieces + len(keys) > CACHE_PIECES and self.pieces:
                 self.clear()
-                return self._places(hashes, data, cuts)
-            at = other[where]
-            spans = [data[cuts[at[k]] : cuts[at[k] + 1]].tobytes().decode("utf-8") for k in new]
-            self._learn([names[k] for k in new], spans)
-        found = np.fromiter(map(self.place.__getitem__, names), np.int64, len(names))
-        place[other] = found[of]
-        taken = slot[other[where]]
-        self.direct_key[taken], self.direct_place[taken] = keys, found
+                return self._places(hashes, data, cuts, white)
+            at = missing[where]
+            self._learn(keys, data, cuts[at], cuts[at + 1], white[at])
+            place[missing] = self._found(hashes[missing])
         return place
 
     def encode(self, data: np.ndarray, offsets: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
@@ -185,12 +241,23 @@ class Encoder:
         begins = np.flatnonzero((data & 0xC0) != 0x80)
         points = np.frombuffer(data.tobytes().decode("utf-8").encode("utf-32-le"), np.uint32)
         edges = np.searchsorted(begins, offsets)
-        starts = np.flatnonzero(piece_starts(points, edges)[: len(points)])
+        spans = np.searchsorted(begins, np.array(self._added_spans(data, offsets), np.int64).reshape(-1, 2))
+        flags = piece_starts(points, np.concatenate([edges, spans.reshape(-1)]))
+        for a, b in spans.tolist():
+            flags[a + 1 : b] = False
+        starts = np.flatnonzero(flags[: len(points)])
         cuts = np.append(begins[starts], len(data)).astype(np.int64)
-        place = self._places(span_hashes(data, cuts[:-1], cuts[1:]), data, cuts)
-        size = self.size[place]
-        upto = np.concatenate([[0], np.cumsum(size)])
-        flat = self.ids[np.repeat(self.first[place] - upto[:-1], size) + np.arange(upto[-1])]
+        white = classes()[points[np.append(starts[1:], len(points)) - 1]] <= BLANK if len(starts) else np.zeros(0, bool)
+        hashes = span_hashes(data, cuts[:-1], cuts[1:])
+        size, flat = np.zeros(len(hashes), np.int64), [np.zeros(0, np.uint16)]
+        # A part has fewer pieces than the store holds.
+        for k in range(0, len(hashes), PART_PIECES):
+            part = slice(k, min(k + PART_PIECES, len(hashes)))
+            place = self._places(hashes[part], data, cuts[k : part.stop + 1], white[part])
+            size[part] = self.size[place]
+            upto = np.concatenate([[0], np.cumsum(size[part])])
+            flat.append(self.ids[np.repeat(self.first[place] - upto[:-1], size[part]) + np.arange(upto[-1])])
+        flat, upto = np.concatenate(flat), np.concatenate([[0], np.cumsum(size)])
         ends = upto[np.searchsorted(starts, edges[1:])]
         sizes = np.diff(np.concatenate([[0], ends])) + 1
         out = np.full(len(flat) + rows, END_ID, np.uint16)
@@ -294,6 +361,14 @@ def decode_blocks(blocks: list[dict], symbols: np.ndarray, frequencies: np.ndarr
 _encoders: dict[str, Encoder] = {}
 
 
+def encoder_of(vocabulary: str) -> Encoder:
+    """The encoder that a worker process keeps from task to task. Tasks reach it by this function's name: a dictionary that
+    they refer to themselves would be sent along, empty, with each of them."""
+    if vocabulary not in _encoders:
+        _encoders[vocabulary] = Encoder(vocabulary)
+    return _encoders[vocabulary]
+
+
 def _segment(number: int, ids: np.ndarray, doc_ids: list[int | None], sizes: np.ndarray) -> dict:
     counts = np.bincount(ids, minlength=END_ID + 1)
     counts[END_ID] = max(counts[END_ID], 1)
@@ -317,7 +392,7 @@ def write_token_files(docs: DataFrame, path: str, vocabulary: str) -> None:
     """Write the ids of all texts in ascending doc_id order; ``vocabulary`` is a tokenizer file that all executors have."""
 
     def encode(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        encoder = _encoders.get(vocabulary) or _encoders.setdefault(vocabulary, Encoder(vocabulary))
+        encoder = encoder_of(vocabulary)
         number, schema = TaskContext.get().partitionId() << 24, _arrow_schema(SEGMENT)
         ids, doc_ids, sizes, held = [], [], [], 0
 
@@ -338,8 +413,11 @@ def write_token_files(docs: DataFrame, path: str, vocabulary: str) -> None:
         if held:
             yield emit()
 
-    ordered = docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text").repartitionByRange("doc_id").sortWithinPartitions("doc_id", "text")
-    ordered.mapInArrow(encode, SEGMENT).write.parquet(path)
+    # Many rows may have one doc_id, or none.
+    keys = ["doc_id", "_hash", "_tie"]
+    placed = docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text", F.xxhash64("text").alias("_hash"), F.monotonically_increasing_id().alias("_tie"))
+    ordered = placed.repartitionByRange(*keys).sortWithinPartitions(*keys)
+    ordered.select("doc_id", "text").mapInArrow(encode, SEGMENT).write.parquet(path)
 
 
 def read_token_files(df: DataFrame) -> DataFrame:

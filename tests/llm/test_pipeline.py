@@ -68,7 +68,6 @@ def test_stages(spark, sf_dir, documents):
     assert total - max(words.values()) <= sum(words[d] * n for d, n in taken.items()) <= total
 
     tokenizer = Tokenizer.from_file(vocabulary_file())
-    tokenizer.encode_special_tokens = True
     want, start = [], 0
     for r in mixed.orderBy("doc_id").collect():
         ids = [*tokenizer.encode(r.text, add_special_tokens=False).ids, 2]

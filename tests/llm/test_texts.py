@@ -283,6 +283,20 @@ def test_added_tokens_have_their_own_ids(spark, tokenizer):
     assert 50256 in want[0] and got == [(len(ids), zlib.crc32(np.array(ids, "<u4").tobytes())) for ids in want]
 
 
+def test_a_small_store_gives_the_same_ids(monkeypatch):
+    rnd = random.Random(5)
+    texts = [" ".join(f"w{rnd.randrange(3000)}\n" if rnd.random() < 0.1 else f"{rnd.randrange(900)}é" for _ in range(200)) for _ in range(60)]
+    data = [t.encode() for t in texts]
+    offsets, whole = np.concatenate([[0], np.cumsum([len(d) for d in data])]), np.frombuffer(b"".join(data), np.uint8)
+    want = rans_tokens.Encoder(vocabulary_file()).encode(whole, offsets)
+    monkeypatch.setattr(rans_tokens, "PART_PIECES", 300)
+    monkeypatch.setattr(rans_tokens, "CACHE_PIECES", 700)
+    monkeypatch.setattr(rans_tokens, "SLOT_BITS", 10)
+    monkeypatch.setattr(rans_tokens, "JOINED", 7)
+    got = rans_tokens.Encoder(vocabulary_file()).encode(whole, offsets)
+    assert (got[0] == want[0]).all() and (got[1] == want[1]).all()
+
+
 def test_rows_without_an_id_are_spread(spark):
     docs = spark.range(4000).select(F.lit(None).cast("long").alias("doc_id"), F.concat(F.lit("text "), "id").alias("text")).repartition(4)
     got = rans_tokens.token_files(docs, vocabulary_file())
