@@ -12,7 +12,8 @@ from collections.abc import Iterator
 import pandas as pd
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
-from pyspark.sql.streaming.state import GroupState, GroupStateTimeout
+from pyspark.sql.streaming import StatefulProcessor, StatefulProcessorHandle
+from pyspark.sql.streaming.stateful_processor import ExpiredTimerInfo, TimerValues
 
 TERMINAL = ("COMPLETED", "FAILED")
 
@@ -23,6 +24,60 @@ def latest_status(events: DataFrame) -> DataFrame:
     return events.groupBy("scan_id").agg(last).select("scan_id", "r.ts", "r.event_id", "r.status", "r.progress")
 
 
+class _Throttle(StatefulProcessor):
+    """Held events are a list state that grows by appending; what was written last is a value state."""
+
+    def __init__(self, seconds: float, waits: bool):
+        self.seconds, self.waits = seconds, waits
+
+    def init(self, handle: StatefulProcessorHandle) -> None:
+        self.handle = handle
+        self.held = handle.getListState("held", "ts long, event_id long, status string, progress double")
+        self.last = handle.getValueState("last", "status string, written long")
+
+    def handleInputRows(self, key: tuple, rows: Iterator[pd.DataFrame], timerValues: TimerValues) -> Iterator[pd.DataFrame]:  # noqa: N802, N803
+        found = []
+        for chunk in rows:
+            chunk = chunk[chunk["event_id"].notna()]  # closing rows have none
+            progress = [None if pd.isna(p) else float(p) for p in chunk["progress"]]
+            found += zip((chunk["ts"].astype("int64") // 1000).tolist(), chunk["event_id"].astype("int64").tolist(), chunk["status"].tolist(), progress)
+        if not self.waits:
+            yield self.chosen(key, found)
+        elif found:
+            self.held.appendList(found)
+            self.wake(min(r[0] for r in found), timerValues)
+
+    def handleExpiredTimer(self, key: tuple, timerValues: TimerValues, expiredTimerInfo: ExpiredTimerInfo) -> Iterator[pd.DataFrame]:  # noqa: N802, N803
+        passed = timerValues.getCurrentWatermarkInMs() * 1000
+        ready, rest = [], []
+        for row in self.held.get():
+            (ready if row[0] <= passed else rest).append(tuple(row))
+        if not ready:
+            return
+        if rest:
+            self.held.put(rest)
+            self.wake(min(r[0] for r in rest), timerValues)
+        else:
+            self.held.clear()
+        yield self.chosen(key, ready)
+
+    def wake(self, ts: int, timers: TimerValues) -> None:
+        self.handle.registerTimer(max(-(-ts // 1000), timers.getCurrentWatermarkInMs() + 1))
+
+    def chosen(self, key: tuple, rows: list[tuple]) -> pd.DataFrame:
+        status, written = self.last.get() if self.last.exists() else (None, None)
+        found = []
+        for row in sorted(rows, key=lambda r: r[:2]):
+            if row[2] != status or row[0] - written >= self.seconds * 1_000_000:
+                found.append(row)
+                status, written = row[2], row[0]
+        if found:
+            self.last.update((status, written))
+        out = pd.DataFrame(found, columns=["ts", "event_id", "status", "progress"]).assign(scan_id=key[0])
+        out["ts"] = pd.to_datetime(out["ts"].astype("int64"), unit="us")
+        return out[["event_id", "scan_id", "ts", "status", "progress"]]
+
+
 def progress_throttle(events: DataFrame, seconds: float = 10.0, delay: str | None = None) -> DataFrame:
     """Events worth writing: the status changed or the last write is old enough.
 
@@ -32,72 +87,61 @@ def progress_throttle(events: DataFrame, seconds: float = 10.0, delay: str | Non
     are dropped; those that the watermark hasn't passed are still held (see
     ``runner.drain_closed``). Without ``delay`` nothing waits: events are put in
     order within a micro-batch only, which is right for input in order of time.
+    The state needs RocksDB (``session.configure``).
     """
-    def keep(key: tuple, chunks: Iterator[pd.DataFrame], state: GroupState) -> Iterator[pd.DataFrame]:
-        status, written, *held = state.get if state.exists else (None, None, [], [], [], [])
-        rows = [list(zip(*held))] if held[0] else [[]]
-        for chunk in chunks:
-            chunk = chunk[chunk["event_id"].notna()]  # closing rows have none
-            rows.append(list(zip(chunk["ts"].astype("int64") // 1000, chunk["event_id"], chunk["status"], chunk["progress"])))
-        rows = sorted((r for part in rows for r in part), key=lambda r: r[:2])
-        passed = len(rows)
-        if delay:
-            watermark = state.getCurrentWatermarkMs()
-            passed = sum(r[0] <= watermark * 1000 for r in rows)
-        chosen = []
-        for row in rows[:passed]:
-            if row[2] != status or row[0] - written >= seconds * 1_000_000:
-                chosen.append(row)
-                status, written = row[2], int(row[0])
-        rest = rows[passed:]
-        state.update((status, written, *([kind(r[k]) for r in rest] for k, kind in enumerate((int, int, lambda x: x, lambda x: None if pd.isna(x) else float(x))))))
-        if rest:
-            state.setTimeoutTimestamp(max(int(rest[0][0]) // 1000, watermark + 1))
-        found = pd.DataFrame(chosen, columns=["ts", "event_id", "status", "progress"]).assign(scan_id=key[0])
-        found["ts"] = pd.to_datetime(found["ts"].astype("int64"), unit="us")
-        yield found[["event_id", "scan_id", "ts", "status", "progress"]]
-
     events = events.withColumn("ts", F.col("ts").cast("timestamp"))
     return (
         (events.withWatermark("ts", delay) if delay else events)
         .groupBy("scan_id")
-        .applyInPandasWithState(
-            keep, "event_id long, scan_id long, ts timestamp, status string, progress double",
-            "status string, written long, times array<long>, ids array<long>, statuses array<string>, progress array<double>",
-            "append", GroupStateTimeout.EventTimeTimeout if delay else GroupStateTimeout.NoTimeout,
+        .transformWithStateInPandas(
+            _Throttle(seconds, bool(delay)), "event_id long, scan_id long, ts timestamp, status string, progress double",
+            "append", "EventTime" if delay else "None",
         )
     )
 
 
+class _Watch(StatefulProcessor):
+    """The last event of a scan, and one timer that fires if nothing follows it in time."""
+
+    def __init__(self, idle_seconds: int):
+        self.idle_ms = idle_seconds * 1000
+
+    def init(self, handle: StatefulProcessorHandle) -> None:
+        self.handle = handle
+        self.last = handle.getValueState("last", "last_ms long, status string, timer long")
+
+    def handleInputRows(self, key: tuple, rows: Iterator[pd.DataFrame], timerValues: TimerValues) -> Iterator[pd.DataFrame]:  # noqa: N802, N803
+        last = self.last.get() if self.last.exists() else (-1, "", None)
+        timer = last[2]
+        for chunk in rows:
+            top = chunk.assign(ms=chunk["ts"].astype("int64") // 1_000_000).sort_values(["ts", "event_id"]).iloc[-1]
+            if int(top["ms"]) >= last[0]:
+                last = (int(top["ms"]), top["status"])
+        due = max(last[0] + self.idle_ms, timerValues.getCurrentWatermarkInMs() + 1)
+        if due != timer:
+            if timer is not None:
+                self.handle.deleteTimer(timer)
+            self.handle.registerTimer(due)
+        self.last.update((last[0], last[1], due))
+        return iter(())
+
+    def handleExpiredTimer(self, key: tuple, timerValues: TimerValues, expiredTimerInfo: ExpiredTimerInfo) -> Iterator[pd.DataFrame]:  # noqa: N802, N803
+        last_ms, status, _ = self.last.get()
+        self.last.clear()
+        if status not in TERMINAL:
+            yield pd.DataFrame({"scan_id": [key[0]], "last_ms": [last_ms], "status": [status]})
+
+
 def orphan_scans(events: DataFrame, idle_seconds: int, delay: str = "1 hour") -> DataFrame:
     """Scans whose last status is a running stage and that stay silent too long.
 
     An event-time timer per scan fires when the watermark passes its last event
-    by ``idle_seconds``; a later event resets it.
+    by ``idle_seconds``; a later event moves it.
     """
-    def watch(key: tuple, chunks: Iterator[pd.DataFrame], state: GroupState) -> Iterator[pd.DataFrame]:
-        if state.hasTimedOut:
-            last_ms, status = state.get
-            state.remove()
-            if status not in TERMINAL:
-                yield pd.DataFrame({"scan_id": [key[0]], "last_ms": [last_ms], "status": [status]})
-            return
-        last = state.get if state.exists else (-1, "")
-        for rows in chunks:
-            ms = rows["ts"].astype("int64") // 1_000_000
-            top = rows.assign(ms=ms).sort_values(["ts", "event_id"]).iloc[-1]
-            if int(top["ms"]) >= last[0]:
-                last = (int(top["ms"]), top["status"])
-        state.update(last)
-        state.setTimeoutTimestamp(max(last[0] + idle_seconds * 1000, state.getCurrentWatermarkMs() + 1))
-
     return (
         events.withWatermark("ts", delay)
         .groupBy("scan_id")
-        .applyInPandasWithState(
-            watch, "scan_id long, last_ms long, status string", "last_ms long, status string", "append",
-            GroupStateTimeout.EventTimeTimeout,
-        )
+        .transformWithStateInPandas(_Watch(idle_seconds), "scan_id long, last_ms long, status string", "append", "EventTime")
     )
 
 
