@@ -22,28 +22,41 @@ LISTED = "repo string, root string, path string, is_dir boolean, size_bytes long
 READ_CHUNK_BYTES = 16 * 1024 * 1024
 
 
-def _list(repo: str, root: str, folder: str, deep: bool, keep_git: bool) -> Iterator[tuple]:
-    """Entries of a folder; whole subtrees if ``deep``. Links are not followed."""
+def walk(folder: str, deep: bool, keep_git: bool) -> tuple[str, Iterator]:
+    """The folder's path in its file system, and its entries; those of whole subtrees without their folders if ``deep``.
+    Links are not followed, skipped folders not entered."""
     from pyarrow import fs
 
     system, base = fs.FileSystem.from_uri(folder)
     local = isinstance(system, fs.LocalFileSystem)
     skipped = set(SKIPPED_DIRECTORIES) - ({".git"} if keep_git else set())
-    stack = [base]
-    while stack:
-        here = stack.pop()
-        for info in system.get_file_info(fs.FileSelector(here, allow_not_found=True)):
-            if local and os.path.islink(info.path):
-                continue
-            is_dir = info.type == fs.FileType.Directory
-            name = os.path.basename(info.path)
-            in_git = os.path.basename(here.rstrip("/")) == ".git"
-            if is_dir and (name.lower() in skipped or (in_git and name != "hooks")):
-                continue
-            if is_dir and deep:
-                stack.append(info.path)
-                continue
-            yield repo, root, folder[: len(folder) - len(base)] + info.path, is_dir, 0 if is_dir else info.size
+
+    def entries() -> Iterator:
+        stack = [base]
+        while stack:
+            here = stack.pop()
+            for info in system.get_file_info(fs.FileSelector(here, allow_not_found=True)):
+                if local and os.path.islink(info.path):
+                    continue
+                is_dir = info.type == fs.FileType.Directory
+                name = os.path.basename(info.path)
+                in_git = os.path.basename(here.rstrip("/")) == ".git"
+                if is_dir and (name.lower() in skipped or (in_git and name != "hooks")):
+                    continue
+                if is_dir and deep:
+                    stack.append(info.path)
+                    continue
+                yield info
+
+    return base, entries()
+
+
+def _list(repo: str, root: str, folder: str, deep: bool, keep_git: bool) -> Iterator[tuple]:
+    """Entries of a folder as rows; whole subtrees if ``deep``."""
+    base, entries = walk(folder, deep, keep_git)
+    for info in entries:
+        is_dir = info.size is None
+        yield repo, root, folder[: len(folder) - len(base)] + info.path, is_dir, 0 if is_dir else info.size
 
 
 def _expand(rows: DataFrame, deep: bool, keep_git: bool) -> DataFrame:
