@@ -130,6 +130,13 @@ UNION ALL SELECT CASE WHEN c_custkey % 3 = 0 THEN c_custkey ELSE c_custkey + 100
   CASE WHEN c_custkey % 4 = 0 THEN 'again-' || c_name || '@new.io' WHEN c_custkey % 3 = 1 THEN c_name || '@x.io' ELSE c_name || '@new.io' END,
   c_custkey + 20000000 FROM customer WHERE c_custkey % 2 = 0
 UNION ALL SELECT c_custkey + 30000000, c_name || '@x.io', c_custkey + 40000000 FROM customer WHERE c_custkey % 7 = 0""",
+    "advisories": """
+SELECT CASE WHEN k % 12 IN (3, 4, 5) THEN 'python' WHEN k % 12 IN (6, 7) THEN 'dotnet' ELSE 'npm' END AS ecosystem,
+  CASE k % 12 WHEN 0 THEN 'lodash' WHEN 1 THEN 'Axios' WHEN 2 THEN 'left-pad' WHEN 3 THEN 'django' WHEN 4 THEN 'Requests' WHEN 5 THEN 'flask'
+    WHEN 6 THEN 'Newtonsoft.Json' WHEN 7 THEN 'log4net' ELSE 'part-' || k END AS package,
+  CASE WHEN k % 7 <> 0 THEN concat_ws('.', k % 5, k % 20, k % 4) END AS introduced, CASE WHEN k % 9 <> 0 THEN concat_ws('.', k % 5 + k % 3, k % 23) END AS fixed,
+  CASE k % 3 WHEN 0 THEN 'Critical' WHEN 1 THEN 'Warning' ELSE 'Info' END AS severity, 'SA-' || k AS advisory_id, p_name AS remark
+FROM (SELECT p_partkey AS k, p_name FROM part)""",
     "teams": "SELECT n_nationkey AS team_id, n_name AS team_name, CAST(n_nationkey AS BIGINT) AS owner_id FROM nation",
     "scan_events": """
 SELECT event_id, user_id AS scan_id, ts,

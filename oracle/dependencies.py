@@ -59,6 +59,20 @@ SELECT {c('Unpinned/Wildcard Dependency Version')} FROM {PYL} WHERE contains(lin
     out["vulnerable_dotnet"] = sql("lines", vulnerable(
         advisories.DOTNET, f"(SELECT * FROM lines WHERE {EXT} = '.csproj' AND contains(line, 'PackageReference'))",
         r'Version\s*=\s*"(\d+\.\d+[\.\d]*)"', "contains(lower(line), lower(package))"))
+    csproj = f"(SELECT * FROM lines WHERE {EXT} = '.csproj' AND contains(line, 'PackageReference'))"
+
+    def listed(kind: str, source: str, version: str, named: str) -> str:
+        return f"""SELECT repo, file_path, CAST(line_number AS INT) AS line_number, severity, 'Dependency' AS category,
+  'Vulnerable: ' || package || ' ' || version AS title, 'Easy' AS effort_level, 0 AS confidence_score, advisory_id, ecosystem,
+  remark || coalesce('; safe from ' || fixed || '.', '; no safe version.') AS description
+FROM (SELECT *, regexp_extract(line, {q(version)}, 1) AS version FROM {source}) l JOIN advisories ON ecosystem = {q(kind)} AND {named}
+WHERE version <> '' AND (introduced IS NULL OR NOT {older('version', 'introduced')}) AND (fixed IS NULL OR {older('version', 'fixed')})"""
+
+    out["vulnerable_packages"] = sql("lines advisories", " UNION ALL ".join([
+        listed("npm", npm, r'"[~^>=<]*(\d+\.\d+[\.\d]*)"', "contains(lower(line), '\"' || lower(package) || '\"')"),
+        listed("python", PYL, r"[><=~!]+\s*(\d+\.\d+[\.\d]*)", "starts_with(lower(line), lower(package))"),
+        listed("dotnet", csproj, r'Version\s*=\s*"(\d+\.\d+[\.\d]*)"', "contains(lower(line), lower(package))"),
+    ]))
     out["unpinned_other"] = sql("lines", f"""
 SELECT {c('Unpinned Ruby Gem')} FROM lines WHERE {NAME} = 'gemfile' AND contains(line, 'gem ')
   AND NOT contains(line, '~>') AND NOT contains(line, ''',')

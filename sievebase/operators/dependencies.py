@@ -106,8 +106,14 @@ def _vulnerable(lines: DataFrame, table: list[tuple], names_package, version: Co
     )
 
 
+# How each kind of manifest writes a version.
+NPM_VERSION = r'"[~^>=<]*(\d+\.\d+[\.\d]*)"'
+PYTHON_VERSION = r"[><=~!]+\s*(\d+\.\d+[\.\d]*)"
+DOTNET_VERSION = r'Version\s*=\s*"(\d+\.\d+[\.\d]*)"'
+
+
 def vulnerable_npm(files: DataFrame) -> DataFrame:
-    version = F.regexp_extract("line", r'"[~^>=<]*(\d+\.\d+[\.\d]*)"', 1)
+    version = F.regexp_extract("line", NPM_VERSION, 1)
     return _vulnerable(
         _named(files, "package.json"), advisories.NPM,
         lambda low, p: F.contains(low, F.concat(F.lit('"'), p, F.lit('"'))), version,
@@ -116,17 +122,27 @@ def vulnerable_npm(files: DataFrame) -> DataFrame:
 
 def vulnerable_python(files: DataFrame) -> DataFrame:
     """The line starts with the name, so longer names with that start count too."""
-    version = F.regexp_extract("line", r"[><=~!]+\s*(\d+\.\d+[\.\d]*)", 1)
+    version = F.regexp_extract("line", PYTHON_VERSION, 1)
     return _vulnerable(_python_lines(files), advisories.PYTHON, lambda low, p: F.startswith(low, p), version)
 
 
-def vulnerable_dotnet(files: DataFrame) -> DataFrame:
+def _project_lines(files: DataFrame) -> DataFrame:
     named = PYTHON_MANIFESTS + ("package.json",)
     projects = files.filter(
         (extension(F.col("file_path")) == ".csproj") & ~F.lower(file_name(F.col("file_path"))).isin(*named)
     )
-    lines = explode_lines(projects).filter(F.col("line").contains("PackageReference"))
-    version = F.regexp_extract("line", r'Version\s*=\s*"(\d+\.\d+[\.\d]*)"', 1)
+    return explode_lines(projects).filter(F.col("line").contains("PackageReference"))
+
+
+def manifest_lines(files: DataFrame) -> DataFrame:
+    """The lines that may name a dependency, with their ecosystem."""
+    kinds = (("npm", _named(files, "package.json")), ("python", _python_lines(files)), ("dotnet", _project_lines(files)))
+    parts = [lines.select(F.lit(kind).alias("ecosystem"), "repo", "file_path", "line_number", "line") for kind, lines in kinds]
+    return parts[0].unionByName(parts[1]).unionByName(parts[2])
+
+
+def vulnerable_dotnet(files: DataFrame) -> DataFrame:
+    lines, version = _project_lines(files), F.regexp_extract("line", DOTNET_VERSION, 1)
     return _vulnerable(lines, advisories.DOTNET, lambda low, p: F.contains(low, p), version)
 
 

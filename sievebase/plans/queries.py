@@ -10,7 +10,7 @@ from pyspark.sql import functions as F
 from sievebase.functions import findings as fi
 from sievebase.functions.text import explode_lines
 from sievebase.functions.versions import compare
-from sievebase.operators import api_surface, dataflow, dependencies, forensics, history, hygiene, line_history, line_rules, performance
+from sievebase.operators import advisories, api_surface, dataflow, dependencies, forensics, history, hygiene, line_history, line_rules, performance
 from sievebase.operators import quality, quota, scoring, sliced
 from sievebase.plans import scan
 from sievebase.sources import corpus, slices, tables
@@ -120,6 +120,7 @@ def dependency_queries() -> dict[str, Query]:
     out["duplicate_json_keys"] = on_files(dependencies.duplicate_json_keys, *fi.CORE, "description")
     out["advisory_staleness"] = lambda s, d: dependencies.advisory_staleness(kept(s, d), "2025-06-01")
     out["semver_compare"] = version_pairs
+    out["vulnerable_packages"] = lambda s, d: advisories.vulnerable_packages(kept(s, d), tables.advisories(s, d)).select(*fi.CORE, "advisory_id", "ecosystem", "description")
     return out
 
 

@@ -273,6 +273,23 @@ def logins(spark: SparkSession, sf_dir: str) -> DataFrame:
     return first.unionByName(again).unionByName(other)
 
 
+def advisories(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Advisories made from the parts: some for packages that the corpus names, the rest for others."""
+    key = F.col("p_partkey")
+    slot = (key % 12).cast("int")
+    named = [("npm", "lodash"), ("npm", "Axios"), ("npm", "left-pad"), ("python", "django"), ("python", "Requests"), ("python", "flask"), ("dotnet", "Newtonsoft.Json"), ("dotnet", "log4net")]
+    ecosystem, package = F.lit("npm"), F.concat(F.lit("part-"), key.cast("string"))
+    for i, (kind, name) in enumerate(named):
+        ecosystem, package = F.when(slot == i, kind).otherwise(ecosystem), F.when(slot == i, name).otherwise(package)
+    number = lambda a, b, c: F.concat_ws(".", *[x.cast("string") for x in (key % a, key % b, key % c)])
+    later = F.concat_ws(".", (key % 5 + key % 3).cast("string"), (key % 23).cast("string"))
+    severity = F.when(key % 3 == 0, "Critical").when(key % 3 == 1, "Warning").otherwise("Info")
+    return read(spark, sf_dir, "part").select(
+        ecosystem.alias("ecosystem"), package.alias("package"), F.when(key % 7 != 0, number(5, 20, 4)).alias("introduced"),
+        F.when(key % 9 != 0, later).alias("fixed"), severity.alias("severity"), F.concat(F.lit("SA-"), key.cast("string")).alias("advisory_id"), F.col("p_name").alias("remark"),
+    )
+
+
 def teams(spark: SparkSession, sf_dir: str) -> DataFrame:
     return read(spark, sf_dir, "nation").select(
         F.col("n_nationkey").alias("team_id"), F.col("n_name").alias("team_name"),
