@@ -155,4 +155,6 @@ FROM (SELECT o_orderkey AS scan_id, CAST(floor(o_totalprice * 7) AS BIGINT) AS k
     out["team_members"] = sql("teams users", """
 SELECT team_name, u.user_id, u.email, CASE WHEN u.user_id = owner_id THEN 'owner' ELSE 'member' END AS role, o.email AS owner_email
 FROM teams JOIN users u USING (team_id) JOIN users o ON o.user_id = owner_id""")
+    out["stored_cascade_delete"] = out["cascade_delete"]
+    out["stored_user_upsert"] = f"SELECT user_id, email, plan_type, last_login FROM ({out['user_upsert']})"
     return out

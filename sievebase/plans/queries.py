@@ -13,7 +13,8 @@ from sievebase.functions.versions import compare
 from sievebase.operators import advisories, api_surface, dataflow, dependencies, forensics, history, hygiene, line_history, line_rules, performance
 from sievebase.operators import quality, quota, scoring, sliced
 from sievebase.plans import scan
-from sievebase.sources import corpus, slices, tables
+from sievebase.session import scratch_dir
+from sievebase.sources import corpus, slices, stored_table, tables
 from sievebase.streaming import runner, scan_events
 
 Query = Callable[[SparkSession, str], DataFrame]
@@ -243,6 +244,21 @@ def scoring_queries() -> dict[str, Query]:
     }
 
 
+def stored_delete(s: SparkSession, d: str) -> DataFrame:
+    """Scans of a stored table after the users of one plan were removed from it."""
+    table = stored_table.StoredTable.create(tables.scans(s, d), scratch_dir(s, "scans"), "user_id")
+    stored_table.delete_users([table], tables.users(s, d).filter(F.col("plan_type") == "TEAM"))
+    return table.read()
+
+
+def stored_upsert(s: SparkSession, d: str) -> DataFrame:
+    """Users of a stored table after sign-ins were merged into it."""
+    users = tables.users(s, d).select("user_id", "email", "plan_type", "last_login")
+    table = stored_table.StoredTable.create(users, scratch_dir(s, "users"), "user_id")
+    stored_table.upsert_users(table, tables.logins(s, d), "2025-06-01 00:00:00")
+    return table.read()
+
+
 def history_queries() -> dict[str, Query]:
     sc, iss, us = tables.scans, tables.issues, tables.users
 
@@ -306,6 +322,8 @@ def history_queries() -> dict[str, Query]:
         "quota_rejections": lambda s, d: quota.quota_rejections(tables.scan_requests(s, d), tables.quota_users(s, d), scan.materialize),
         "cascade_delete": lambda s, d: history.cascade_delete(sc(s, d), us(s, d).filter(F.col("plan_type") == "TEAM")),
         "user_upsert": lambda s, d: history.user_upsert(us(s, d), tables.logins(s, d), "2025-06-01 00:00:00"),
+        "stored_cascade_delete": stored_delete,
+        "stored_user_upsert": stored_upsert,
         "owner_filter": lambda s, d: history.owner_filter(owned(s, d), "7"),
         "api_key_listing": lambda s, d: history.api_key_listing(tables.api_keys(s, d)),
         "fix_progress": lambda s, d: history.fix_progress(iss(s, d), iss(s, d).filter(F.col("severity") == "Info")),
