@@ -478,7 +478,8 @@ def labelled_documents(docs: DataFrame, like: Likeness) -> DataFrame:
 def jaccard_components(docs: DataFrame, like: Likeness = Likeness()) -> DataFrame:
     """Per document: doc_id, n_shingles, component_id (least doc_id that links lead to)."""
     tagged = labelled_documents(docs, like)
-    least = tagged.filter("label is not null").groupBy("label").agg(F.min("doc_id").alias("least"))
+    # Written, so that the join reads it as it is and a large component can be split there.
+    least = materialize(tagged.filter("label is not null").groupBy("label").agg(F.min("doc_id").alias("least")), "least")
     joined = tagged.join(least, "label", "left")
     return joined.select("doc_id", F.col("n").alias("n_shingles"), F.coalesce("least", "doc_id").alias("component_id"))
 

@@ -398,26 +398,81 @@ def test_model_is_a_distribution(documents):
     """Class probabilities add up to one, and so do the tokens of each class with one place for unknown words."""
     train = documents.limit(50)
     counts = maxent_lm.count_words(train)
-    weights, bias = maxent_lm.learn_weights(train, counts)
-    rows = np.random.default_rng(0).integers(0, len(weights), (40, maxent_lm.TEMPLATES))
-    assert np.allclose(np.exp(maxent_lm.class_log_probs(weights, bias, rows)).sum(1), 1, atol=1e-4)
+    model = maxent_lm.learn_weights(train, counts)
+    rows = np.random.default_rng(0).integers(0, len(model.weights), (40, maxent_lm.TEMPLATES))
+    assert np.allclose(np.exp(maxent_lm.class_log_probs(model.weights, model.bias, rows)).sum(1), 1, atol=1e-4)
     table = counts.table.toPandas()
     for k, part in table.groupby("class"):
         room = counts.tokens[k] + maxent_lm.SMOOTHING * (counts.kinds[k] + 1)
         assert math.isclose((part["c"] + maxent_lm.SMOOTHING).sum() + maxent_lm.SMOOTHING, room)
 
 
-def test_gradient_step_lowers_the_loss():
-    rnd = np.random.default_rng(0)
-    weights, seen = np.zeros((maxent_lm.TEMPLATES * maxent_lm.ROWS, maxent_lm.CLASSES), np.float32), np.zeros(maxent_lm.TEMPLATES * maxent_lm.ROWS, np.float32)
-    classes = rnd.integers(0, 8, 4000)
-    rows = np.stack([(classes * 7 + k * 3 + rnd.integers(0, 2, 4000)) % maxent_lm.ROWS + k * maxent_lm.ROWS for k in range(maxent_lm.TEMPLATES)], 1)
-    share = np.full(maxent_lm.CLASSES, 1 / maxent_lm.CLASSES, np.float32)
-    loss = lambda: -maxent_lm.class_log_probs(weights, np.log(share), rows)[np.arange(4000), classes].mean()
-    before = loss()
-    for _ in range(5):
-        maxent_lm.train_batch(weights, seen, np.log(share), share, rows, classes)
-    assert loss() < 0.5 * before
+def test_scores_do_not_depend_on_partitions(documents):
+    """The same model from 1 and from 13 partitions, up to the rounding of sums."""
+    out = lang_mixture.held_out(F.col("doc_id"), 10)
+    one, many = ({r.doc_id: r.score for r in maxent_lm.score(documents.repartition(n), out).collect()} for n in (1, 13))
+    assert all(math.isclose(one[k], many[k], rel_tol=1e-5) for k in one)
+
+
+def test_scores_equal_a_plain_model(spark):
+    """Every step in plain Python on a few texts: counts of features and classes, expected counts, the scaled weights."""
+    rnd = random.Random(2)
+    words = ["red", "blued", "greened", "sing", "ring", "Tall", "x"]
+    texts = [" ".join(rnd.choice(words[k % 3 :]) for _ in range(rnd.randrange(1, 30))) for k in range(24)]
+    docs = spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string").repartition(3)
+    out = lambda d: zlib.crc32(str(d).encode()) % 10 == 0
+    got = {r.doc_id: r.score for r in maxent_lm.score(docs, lang_mixture.held_out(F.col("doc_id"), 10)).collect()}
+    bits = maxent_lm.row_bits(len(words) + 1)
+    made = {}
+    for k, t in enumerate(texts):
+        data = np.frombuffer(t.encode(), np.uint8)
+        tokens = maxent_lm.tokens_of(data, np.array([0, len(data)]))
+        made[k] = maxent_lm.context_rows(tokens, bits).tolist(), tokens.classes.tolist(), tokens.words.tolist()
+    train = [m for k, m in made.items() if not out(k)]
+    n, kinds = Counter(c for m in train for c in m[1]), defaultdict(set)
+    count = Counter(w for m in train for w in m[2])
+    for m in train:
+        for c, w in zip(m[1], m[2]):
+            kinds[c].add(w)
+    total = sum(n.values()) + maxent_lm.SMOOTHING * maxent_lm.CLASSES
+    share = [(n[c] + maxent_lm.SMOOTHING) / total for c in range(maxent_lm.CLASSES)]
+    seen, met = Counter(), Counter()
+    for rows, classes, _ in train:
+        for features, c in zip(rows, classes):
+            for f in features:
+                seen[f, c] += 1
+                met[f] += 1
+    weight = defaultdict(float)
+    more = lambda c: maxent_lm.CAUTION * share[c]
+
+    def chances(features):
+        z = [math.log(share[c]) + sum(weight[f, c] for f in features) for c in range(maxent_lm.CLASSES)]
+        return [math.exp(x) / sum(map(math.exp, z)) for x in z]
+
+    for f in met:
+        for c in range(maxent_lm.CLASSES):
+            weight[f, c] = maxent_lm.FIRST_RATE * math.log((seen[f, c] + more(c)) / (met[f] * share[c] + more(c)))
+    for _ in range(maxent_lm.ROUNDS):
+        expected = defaultdict(float)
+        for rows, _, _ in train:
+            for features in rows:
+                for c, p in enumerate(chances(features)):
+                    for f in features:
+                        expected[f, c] += p
+        for f in met:
+            for c in range(maxent_lm.CLASSES):
+                weight[f, c] += maxent_lm.RATE * math.log((seen[f, c] + more(c)) / (expected[f, c] + more(c)))
+    for k, (rows, classes, tokens) in made.items():
+        want = 0.0
+        for features, c, w in zip(rows, classes, tokens):
+            room = n[c] + maxent_lm.SMOOTHING * (len(kinds[c]) + 1)
+            want += math.log10(chances(features)[c]) + math.log10((count[w] + maxent_lm.SMOOTHING) / room)
+        assert math.isclose(got[k], want, rel_tol=1e-4), k
+
+
+def test_rows_grow_with_the_vocabulary():
+    bits = [maxent_lm.row_bits(n) for n in (0, 10_000, 50_000, 200_000, 10**9)]
+    assert bits == sorted(bits) and bits[0] == maxent_lm.LEAST_ROW_BITS and bits[-1] == maxent_lm.MOST_ROW_BITS and len(set(bits)) == 4
 
 
 def test_scores_of_nothing(empty):
