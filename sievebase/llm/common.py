@@ -45,6 +45,16 @@ def word_count(text: Column) -> Column:
     return F.size(words_of(text)).cast("long")
 
 
+def least_hashes(rows: DataFrame, key: Column, n: int) -> DataFrame:
+    """At most ``n`` rows, those of the least hashes. A bound from their number goes ahead, so that tasks give few more than
+    ``n`` rows together, however many tasks there are."""
+    keyed = rows.withColumn("_hash", key)
+    share = 1.2 * n / max(rows.count(), 1)
+    bound = -(1 << 63) + int(share * (1 << 64)) + 1
+    few = keyed if share >= 1 else keyed.filter(F.col("_hash") <= bound)
+    return few.orderBy("_hash").limit(n).drop("_hash")
+
+
 # --- texts as byte arrays -------------------------------------------------------------------
 
 IS_SPACE = np.zeros(256, bool)

@@ -27,7 +27,7 @@ import pandas as pd
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from sievebase.llm.common import materialize
+from sievebase.llm.common import least_hashes, materialize
 from sievebase.llm.quality_rules import FLOORS, with_counts
 
 FIT_ROWS = 20_000
@@ -85,7 +85,7 @@ def site_quality(docs: DataFrame, labels: DataFrame, host: str = "source", path:
     marks = labels.filter(F.col("doc_id").isNotNull() & F.col(label).isNotNull()).groupBy("doc_id").agg(F.avg(label).alias("_label"))
     counted = with_counts(named).select("doc_id", F.col("source").alias("_host"), F.col("lang").alias("_path"), *FEATURES)
     counted = materialize(counted.join(marks, "doc_id", "left"), "shapes")
-    sample = counted.filter("_label = 0 or _label = 1").orderBy(F.xxhash64("doc_id"), "doc_id").limit(FIT_ROWS)
+    sample = least_hashes(counted.filter("_label = 0 or _label = 1"), F.xxhash64("doc_id", *FEATURES), FIT_ROWS)
     fitted = sample.select(*[F.col(c).cast("double") for c in FEATURES], "_label").toPandas()
     good = fitted["_label"].to_numpy(dtype=float)
     both = 0 < good.sum() < len(good)
