@@ -10,7 +10,9 @@ all targets at once and any prefix of it has nearly the same shares.
 Sums along a queue come from three small steps instead of one task per source:
 totals of (source, slice of the random order), their running sum, and a window
 inside each slice. The cut at the budget is found in the same way: totals of
-slices of the time axis, then the exact place inside the one slice that holds it.
+slices of the time axis, of finer ones inside the slice that holds it, and the exact
+place inside the last. The sources themselves (``targets``) are sorted in one task: there
+are as many rows as sources.
 
 Defined cases: a null or blank text has size 0 and is never taken; a null source
 is a queue of its own and comes last; equal rows are separate documents; a null
@@ -32,6 +34,8 @@ SEED = "mix-1"
 LEAST_SLICES = 256
 SLICE_ROWS = 50_000
 TIME_SLICES = 4096
+CUT_ROWS = 50_000
+LEVELS = 4  # 4096**4 times a time still is a whole number in a double's range
 ADDED = ("size", "source_size", "target", "taken", "_source", "_u", "_slice", "_sent", "_rank")
 
 
@@ -89,31 +93,50 @@ def _finish(round_: int) -> Column:
     return (F.lit(round_) * F.col("source_size") + F.col("_sent")) / F.col("target")
 
 
-def _time_slice(time: Column) -> Column:
-    return F.least(F.floor(time * TIME_SLICES), F.lit(2 * TIME_SLICES - 1))
+def _time_slice(time: Column, level: int = 1) -> Column:
+    """The slice of a time: TIME_SLICES to the unit, each cut into TIME_SLICES at the next level; times from 2 on are one."""
+    place = F.floor(time * float(TIME_SLICES**level))
+    return F.least(place, F.lit(2 * TIME_SLICES - 1)) if level == 1 else place
 
 
 def with_taken(placed: DataFrame, cap: int = CAP) -> DataFrame:
-    """Cut the merged order at the budget and add ``taken``, the words that the mix takes of each document."""
+    """Cut the merged order at the budget and add ``taken``, the words that the mix takes of each document.
+
+    The cut is looked for in ever finer slices, until the one that holds it has at most CUT_ROWS sends.
+    """
     real = (F.col("size") > 0) & (F.col("target") > 0)
     key = lambda r: F.struct(_finish(r).alias("f"), F.col("_rank").alias("k"), F.col("_u").alias("u"), F.coalesce(F.col("doc_id").cast("string"), F.lit("")).alias("d"))
-    sends = placed.filter(real).select("size", F.explode(F.array(*[key(r) for r in range(cap)])).alias("key")).withColumn("slice", _time_slice(F.col("key.f")))
-    totals = sends.groupBy("slice").agg(F.sum("size").alias("n"))
-    upto = F.sum("n").over(Window.orderBy("slice").rowsBetween(Window.unboundedPreceding, Window.currentRow))
-    budget = placed.agg(F.coalesce(F.sum("size"), F.lit(0))).first()[0]
-    edge = totals.select("slice", "n", upto.alias("upto")).filter(F.col("upto") > budget).orderBy("slice").first()
-    if edge is None:
+    sends = placed.filter(real).select("size", F.explode(F.array(*[key(r) for r in range(cap)])).alias("key"))
+    left = placed.agg(F.coalesce(F.sum("size"), F.lit(0))).first()[0]
+    edges: list[int] = []
+    while True:
+        level = len(edges) + 1
+        slice_ = _time_slice(F.col("key.f"), level)
+        totals = sends.groupBy(slice_.alias("slice")).agg(F.sum("size").alias("n"), F.count("*").alias("rows"))
+        upto = F.sum("n").over(Window.orderBy("slice").rowsBetween(Window.unboundedPreceding, Window.currentRow))
+        edge = totals.select("slice", "n", "rows", upto.alias("upto")).filter(F.col("upto") > left).orderBy("slice").first()
+        if edge is None:
+            break
+        edges.append(edge["slice"])
+        left -= edge["upto"] - edge["n"]
+        sends = sends.filter(slice_ == edge["slice"])
+        if edge["rows"] <= CUT_ROWS or level == LEVELS or edge["slice"] == 2 * TIME_SLICES - 1:
+            break
+    if not edges:
         return placed.withColumn("taken", F.lit(0).cast("long"))
     place = Window.orderBy("key").rowsBetween(Window.unboundedPreceding, Window.currentRow)
-    inside = sends.filter(F.col("slice") == edge["slice"]).select("key", F.sum("size").over(place).alias("upto"))
-    last = inside.filter(F.col("upto") <= budget - (edge["upto"] - edge["n"])).agg(F.max("key").alias("key")).first()["key"]
+    inside = sends.select("key", F.sum("size").over(place).alias("upto"))
+    last = inside.filter(F.col("upto") <= left).agg(F.max("key").alias("key")).first()["key"]
 
     def sent(r: int) -> Column:
-        slice_ = _time_slice(_finish(r))
-        if last is None:
-            return (slice_ < edge["slice"]).cast("long")
-        cut = F.struct(F.lit(last["f"]).alias("f"), F.lit(last["k"]).alias("k"), F.lit(last["u"]).alias("u"), F.lit(last["d"]).alias("d"))
-        return ((slice_ < edge["slice"]) | ((slice_ == edge["slice"]) & (key(r) <= cut))).cast("long")
+        # Before the edge of the first level at which it is not on it, or not after the last one that is taken.
+        found = F.lit(False)
+        if last is not None:
+            found = key(r) <= F.struct(F.lit(last["f"]).alias("f"), F.lit(last["k"]).alias("k"), F.lit(last["u"]).alias("u"), F.lit(last["d"]).alias("d"))
+        for level in range(len(edges), 0, -1):
+            slice_ = _time_slice(_finish(r), level)
+            found = (slice_ < edges[level - 1]) | ((slice_ == edges[level - 1]) & found)
+        return found.cast("long")
 
     times = sum((sent(r) for r in range(1, cap)), sent(0))
     return placed.withColumn("taken", F.when(real, F.col("size") * times).otherwise(F.lit(0)).cast("long"))

@@ -178,13 +178,11 @@ def quality_rules(docs: DataFrame) -> DataFrame:
 def keep_documents(docs: DataFrame) -> DataFrame:
     """The documents that the rules keep, with their own columns.
 
-    The fences are a small written table, so that Spark knows their size when it
-    plans the join, and texts are shuffled only if the fences are large.
+    Documents are written with their rates once; the fences come from the rates, and the verdict reads both. The fences are
+    a small written table, so that Spark knows their size when it plans the join.
     """
-    counted = with_counts(docs.select("text", "lang", "source")).select("lang", "source", *FLOORS)
-    fences = materialize(thresholds(sketches(counted)), "fences")
     whole = F.struct(*docs.columns).alias("_doc")
-    judged = judge(with_counts(docs.select("text", "lang", "source", whole)), fences)
-    # A filter on the verdict would be moved below and compute all counts again; this one stays above.
-    return judged.select(F.explode_outer(F.when(F.col("kept"), F.array("_doc"))).alias("_doc")).filter("_doc is not null").select("_doc.*")
-
+    counted = with_counts(docs.select("text", "lang", "source", whole)).select("lang", "source", *FLOORS, "base_failed", "_doc")
+    counted = materialize(counted, "counted")
+    fences = materialize(thresholds(sketches(counted)), "fences")
+    return judge(counted, fences).filter("kept").select("_doc.*")

@@ -22,7 +22,7 @@ def op1_ngram_jaccard(spark: SparkSession, sf: str) -> DataFrame:
 def op2_quality_rules(spark: SparkSession, sf: str) -> DataFrame:
     """Base counts, verdict and broken rules of every document."""
     out = quality_rules.quality_rules(read(spark, sf, "documents"))
-    return out.select("doc_id", *quality_rules.COUNTS, "base_failed", "kept", "broken")
+    return out.select("doc_id", *quality_rules.COUNTS, "base_failed", "kept", F.array_join("broken", ",").alias("broken"))
 
 
 def op3_source_mix(spark: SparkSession, sf: str) -> DataFrame:

@@ -1,5 +1,6 @@
 """Quality rules, source mixing and Hilbert shards against plain Python."""
 
+import hashlib
 import math
 import re
 import zlib
@@ -130,6 +131,29 @@ def test_mix(request, table):
     assert Counter(map(tuple, again)) == Counter(map(tuple, rows))
 
 
+@pytest.mark.parametrize("cut_rows", [50_000, 3, 1])
+def test_taken_is_that_of_a_plain_fair_queue(documents, monkeypatch, cut_rows):
+    """All sends of all queues in order of finish time, one after the other up to the budget, however finely the cut is looked for."""
+    monkeypatch.setattr(mixing, "CUT_ROWS", cut_rows)
+    rows = mixing.mix_sources(documents).collect()
+    place = lambda d: int(hashlib.md5(f"{mixing.SEED}{'' if d is None else d}".encode()).hexdigest()[:15], 16)
+    names = sorted({r.source for r in rows}, key=lambda s: (s is None, (s or "").encode()))
+    sends, budget = [], sum(r["size"] for r in rows)
+    for source in names:
+        queue, sent = sorted((r for r in rows if r.source == source), key=lambda r: (place(r.doc_id), r.doc_id)), 0
+        for r in queue:
+            sent += r["size"]
+            if r["size"] and r.target:
+                sends += [((t * r.source_size + sent) / r.target, names.index(source), place(r.doc_id), str(r.doc_id), r["size"]) for t in range(mixing.CAP)]
+    want, held = Counter(), 0
+    for *_, doc, size in sorted(sends):
+        held += size
+        if held > budget:
+            break
+        want[doc] += size
+    assert {str(r.doc_id): r.taken for r in rows if r.taken} == dict(want)
+
+
 def test_mixed_documents_repeat_as_taken(documents, empty):
     taken = {r.doc_id: r.taken // r["size"] for r in mixing.mix_sources(documents).collect() if r.taken}
     mixed = mixing.mixed_documents(documents)
