@@ -207,9 +207,19 @@ def merged(spark: SparkSession, sf: str) -> DataFrame:
     return scan.merge_analyzers(tables.code_corpus(spark, sf), git_facts(spark, sf))
 
 
+_scans: dict[tuple, DataFrame] = {}
+
+
 def full_scan(spark: SparkSession, sf: str) -> DataFrame:
-    """All analyzers over all files and git facts, then confidence, blame and chains."""
-    return scan.run_scan(tables.code_corpus(spark, sf), git_facts(spark, sf), tables.line_blame(spark, sf))
+    """All analyzers over all files and git facts, then confidence, blame and chains.
+
+    The scan is stored once per session and input; all marts read the stored one.
+    """
+    inputs = tuple(sorted(f for t in ("documents", "events") for f in tables.read(spark, sf, t).inputFiles()))
+    key = (spark.sparkContext.applicationId, spark.conf.get("spark.checkpoint.dir", ""), inputs)
+    if key not in _scans:
+        _scans[key] = scan.run_scan(tables.code_corpus(spark, sf), git_facts(spark, sf), tables.line_blame(spark, sf))
+    return _scans[key]
 
 
 def _confidence(spark: SparkSession, sf: str) -> DataFrame:
