@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+import atexit
+import shutil
 import tempfile
 import uuid
 
@@ -50,6 +52,18 @@ def local_session(cores: str = "8", shuffle_partitions: int = 8) -> SparkSession
     return spark
 
 
+_made: list[str] = []
+_local: list[str] = []
+
+
+def _local_base() -> str:
+    """One temporary folder for a process in local mode, removed when the process ends."""
+    if not _local:
+        _local.append(tempfile.mkdtemp(prefix="sievebase-"))
+        atexit.register(shutil.rmtree, _local[0], ignore_errors=True)
+    return _local[0]
+
+
 def scratch_dir(spark: SparkSession, purpose: str) -> str:
     """A fresh folder under the cluster's shared checkpoint folder.
 
@@ -60,8 +74,21 @@ def scratch_dir(spark: SparkSession, purpose: str) -> str:
     if not base:
         if not spark.sparkContext.master.startswith("local"):
             raise RuntimeError("spark.checkpoint.dir must name a shared folder")
-        base = tempfile.mkdtemp(prefix="sievebase-")
-    return f"{base.rstrip('/')}/{purpose}-{uuid.uuid4().hex}"
+        base = _local_base()
+    _made.append(f"{base.rstrip('/')}/{purpose}-{uuid.uuid4().hex}")
+    return _made[-1]
+
+
+def release_scratch(spark: SparkSession) -> int:
+    """Remove all folders that this process got from ``scratch_dir``; their number. Call it when no result of the session is
+    read any more: results may read from them."""
+    jvm, conf = spark.sparkContext._jvm, spark.sparkContext._jsc.hadoopConfiguration()
+    paths, _made[:] = list(_made), []
+    removed = 0
+    for name in paths:
+        path = jvm.org.apache.hadoop.fs.Path(name)
+        removed += bool(path.getFileSystem(conf).delete(path, True))
+    return removed
 
 
 def materialize(df: DataFrame, purpose: str) -> DataFrame:
