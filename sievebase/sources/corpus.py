@@ -7,6 +7,7 @@ from pyspark.sql import functions as F
 
 from sievebase.functions.text import constant_map, extension, file_name, split_lines
 from sievebase.rules import vocabulary as vocab
+from sievebase.session import materialize
 
 
 def skip_reason(path: Column, size_bytes: Column, max_bytes: int | None = vocab.MAX_FILE_BYTES) -> Column:
@@ -62,24 +63,33 @@ def classify_languages(listing: DataFrame) -> DataFrame:
 
 
 def corpus_stats(listing: DataFrame, top: int = 5) -> DataFrame:
-    """Per repository: files found, skipped and kept, lines, folders, top languages."""
+    """Per repository: files found, skipped and kept, lines, folders, top languages.
+
+    One pass over the text counts files and lines per folder and language; that small table is written, and both answers
+    come from it.
+    """
     seen = with_skip_reason(listing).filter(
         F.col("skip_reason").isNull() | (F.col("skip_reason") != "directory")
     )
-    kept = F.col("skip_reason").isNull()
-    folder = F.regexp_extract("file_path", r"^(.*)/[^/]*$", 1)
-    seen = seen.withColumn("language", language(F.col("file_path")))
-    totals = seen.groupBy("repo").agg(
-        F.count("*").alias("total_found"),
-        F.count(F.when(~kept, 1)).alias("total_skipped"),
-        F.count(F.when(kept, 1)).alias("total_files"),
-        F.sum(F.when(kept, F.size(split_lines(F.col("content"))))).alias("total_lines"),
-        F.countDistinct(F.when(kept & (folder != ""), folder)).alias("directory_count"),
+    folder = F.regexp_extract("file_path", r"^(.*)/[^/]*$", 1).alias("folder")
+    kept = F.col("skip_reason").isNull().alias("kept")
+    # A text has one line more than line ends; skipped files are not read.
+    lines = F.when(kept, F.length("content") - F.length(F.replace("content", F.lit("\n"), F.lit(""))) + 1).alias("lines")
+    counted = seen.select("repo", folder, language(F.col("file_path")).alias("language"), kept, lines)
+    counted = materialize(
+        counted.groupBy("repo", "folder", "language", "kept").agg(F.count("*").alias("n"), F.sum("lines").alias("lines")), "counted"
+    )
+    totals = counted.groupBy("repo").agg(
+        F.sum("n").alias("total_found"),
+        F.sum(F.when(~F.col("kept"), F.col("n")).otherwise(0)).alias("total_skipped"),
+        F.sum(F.when(F.col("kept"), F.col("n")).otherwise(0)).alias("total_files"),
+        F.sum("lines").alias("total_lines"),
+        F.countDistinct(F.when(F.col("kept") & (F.col("folder") != ""), F.col("folder"))).alias("directory_count"),
     )
     rank = Window.partitionBy("repo").orderBy(F.desc("n"), "language")
     best = (
-        seen.filter(kept).groupBy("repo", "language")
-        .agg(F.count("*").alias("n"))
+        counted.filter("kept").groupBy("repo", "language")
+        .agg(F.sum("n").alias("n"))
         .withColumn("rank", F.row_number().over(rank))
         .filter(F.col("rank") <= top)
         .groupBy("repo")
