@@ -61,6 +61,19 @@ def test_an_analyzer_that_cannot_be_planned(corpus):
     assert {(r.analyzer, r.repo) for r in status.filter("status = 'failed'").collect()} == {("broken", "r1"), ("broken", "r2")}
 
 
+def test_dividing_ends(corpus, monkeypatch):
+    """An analyzer that fails everywhere is not tried for every repository."""
+    monkeypatch.setattr("sievebase.plans.analyzers.TRIES", 2)
+
+    def always():
+        return when_all((F.when(F.length("content") > 0, F.raise_error(F.lit("never"))).otherwise(F.lit(True)), finding(1, "Info", "Quality", "x", "y", "z")))
+
+    found, status = run_branches([Branch(local=(branch_of(always), branch_of(quality.empty_catch)))], Inputs(corpus))
+    failed = status.filter("status = 'failed'").collect()
+    assert sorted(r.repo for r in failed) == sorted({r.repo for r in corpus.collect()}) and {r.analyzer for r in failed} == {"always"}
+    assert found.count() == 60
+
+
 def test_shared_tables_that_fail_cost_their_users_only(corpus, monkeypatch):
     def fails(files, mode="compat"):
         raise ValueError("no facts")
