@@ -11,8 +11,9 @@ The benchmark is the stated query set: it goes to the tasks in blocks of bounded
 size, each block against all texts, without a shuffle.
 
 Defined cases: a null or empty text has no findings; an item without letters and
-digits is no query; short items have k = 0 and are found as they are; items of
-equal text are found each; repeated rows are found each; a null doc_id is kept;
+digits is no query; short items have k = 0 and are found as they are, inside longer
+words as well (an item of one letter is in almost every text, so leave such items out of
+the benchmark before cleaning by it); items of equal text are found each; repeated rows are found each; a null doc_id is kept;
 whole texts are searched; an empty table on either side gives no findings; other
 columns are ignored, or kept by ``clean_documents``.
 """
