@@ -15,6 +15,7 @@ from __future__ import annotations
 
 import json
 from collections.abc import Callable, Iterator
+from functools import reduce
 from typing import NamedTuple
 
 import pandas as pd
@@ -173,36 +174,40 @@ def _summaries(features: DataFrame, early: bool) -> DataFrame:
     return features.mapInPandas(run, _LEVEL)
 
 
+def _grouped(level: DataFrame) -> DataFrame:
+    """A row for each ARITY neighbours: ``at`` of the group, and its parts' places and summaries in order."""
+    parts = F.array_sort(F.collect_list(F.struct("at", "summary")))
+    held = level.groupBy(*FILE, F.floor(F.col("at") / ARITY).alias("group")).agg(parts.alias("parts"))
+    return held.select(*FILE, F.col("group").alias("at"), F.col("parts.at").alias("places"), F.col("parts.summary").alias("summaries"))
+
+
 def _combined(level: DataFrame) -> DataFrame:
     """One summary for each ARITY neighbours."""
 
-    def run(part: pd.DataFrame) -> pd.DataFrame:
-        part = part.sort_values("at")
-        found = [Summary.of(t) for t in part["summary"]]
-        whole = found[0]
-        for one in found[1:]:
-            whole = composed(whole, one)
-        return pd.DataFrame({"repo": part["repo"].iloc[:1], "file_path": part["file_path"].iloc[:1], "at": part["at"].iloc[:1] // ARITY, "summary": [whole.text()]})
+    def run(groups: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        for group in groups:
+            texts = [reduce(composed, map(Summary.of, found)).text() if len(found) > 1 else found[0] for found in group["summaries"]]
+            yield pd.DataFrame({"repo": group["repo"], "file_path": group["file_path"], "at": group["at"], "summary": texts})
 
-    return level.groupBy(*FILE, F.floor(F.col("at") / ARITY).alias("_group")).applyInPandas(lambda part: run(part.drop(columns="_group", errors="ignore")), _LEVEL)
+    return _grouped(level).drop("places").mapInPandas(run, _LEVEL)
 
 
 def _starts(level: DataFrame, above: DataFrame) -> DataFrame:
     """What is open at the start of each part of a level, from what is open at the start of the groups above."""
 
-    def run(part: pd.DataFrame) -> pd.DataFrame:
-        part = part.sort_values("at")
-        first = part["state"].iloc[0]
-        state = Open(*json.loads(first)) if first else None
-        states = []
-        for text in part["summary"]:
-            states.append(json.dumps(state) if state else "")
-            state = after(Summary.of(text), state)
-        return pd.DataFrame({"repo": part["repo"], "file_path": part["file_path"], "at": part["at"], "state": states})
-
-    group = F.floor(F.col("at") / ARITY)
-    held = level.withColumn("_group", group).join(above.withColumnRenamed("at", "_group"), [*FILE, "_group"])
-    return held.groupBy(*FILE, "_group").applyInPandas(run, "repo string, file_path string, at long, state string")
+    def run(groups: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        for group in groups:
+            rows = []
+            for row in group.itertuples(index=False):
+                state = Open(*json.loads(row.state)) if row.state else None
+                last = len(row.places) - 1
+                for k, (at, text) in enumerate(zip(row.places, row.summaries)):
+                    rows.append((row.repo, row.file_path, at, json.dumps(state) if state else ""))
+                    if k < last:
+                        state = after(Summary.of(text), state)
+            yield pd.DataFrame(rows, columns=["repo", "file_path", "at", "state"]).astype({"at": "int64"})
+
+    return _grouped(level).join(above, [*FILE, "at"]).mapInPandas(run, "repo string, file_path string, at long, state string")
 
 
 def sliced_blocks(slices: DataFrame, kind: Kind, store: Store) -> DataFrame:

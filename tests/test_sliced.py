@@ -40,6 +40,19 @@ def test_slices_change_nothing(corpus, monkeypatch, lines, arity):
     assert rows_of(sliced.nesting_depth(cut)) == rows_of(fi.emit(corpus, quality.nesting_depth))
 
 
+def test_no_group_of_slices_is_a_frame_of_its_own(corpus, monkeypatch):
+    """A pandas call for each file takes milliseconds, whatever the file's size; groups go to Python as rows of batches."""
+    monkeypatch.setattr(sliced, "ARITY", 2)
+    plans = []
+
+    def store(df, purpose):
+        plans.append(df._jdf.queryExecution().toString())
+        return materialize(df, purpose)
+
+    sliced.loop_context(slices_of(corpus, 7), store)
+    assert len(plans) > 4 and not [p for p in plans if "FlatMapGroupsInPandas" in p]
+
+
 def test_composition_is_the_summary_of_the_whole():
     rnd = random.Random(2)
     for early in (False, True):
