@@ -50,8 +50,8 @@ ENDING = 3
 LEAST_ROW_BITS, MOST_ROW_BITS = 11, 14
 WORDS_PER_ROW = 4
 TEMPLATES = 4
-BATCH = 1 << 14
-ROUNDS = 1
+BATCH = 1 << 12
+ROUNDS = 2
 FIRST_RATE, RATE = 0.45, 0.3
 CAUTION = 30.0  # observations, spread like the classes' shares, that every feature is given
 SMOOTHING = 0.1
@@ -95,24 +95,43 @@ def context_rows(tokens: Tokens, row_bits: int) -> np.ndarray:
     return np.stack(rows, 1)
 
 
-def class_log_probs(weights: np.ndarray, bias: np.ndarray, rows: np.ndarray) -> np.ndarray:
-    """Natural log probabilities of all classes (tokens x classes)."""
-    z = weights[rows[:, 0]] + bias
+def _scores(weights: np.ndarray, bias: np.ndarray, rows: np.ndarray) -> np.ndarray:
+    """Sums of weights of all classes (tokens x classes), less the greatest of each token."""
+    z = weights.take(rows[:, 0], 0)
     for k in range(1, TEMPLATES):
-        z += weights[rows[:, k]]
+        z += weights.take(rows[:, k], 0)
+    z += bias
     z -= z.max(1, keepdims=True)
-    return z - np.log(np.exp(z).sum(1, keepdims=True))
+    return z
+
+
+def _row_sums(values: np.ndarray) -> np.ndarray:
+    return values @ np.ones(values.shape[1], values.dtype)
+
+
+def class_log_probs(weights: np.ndarray, bias: np.ndarray, rows: np.ndarray) -> np.ndarray:
+    """Natural log probabilities of all classes (tokens x classes)."""
+    z = _scores(weights, bias, rows)
+    return z - np.log(_row_sums(np.exp(z)))[:, None]
+
+
+def own_log_probs(weights: np.ndarray, bias: np.ndarray, rows: np.ndarray, classes: np.ndarray) -> np.ndarray:
+    """Natural log probability of each token's class."""
+    z = _scores(weights, bias, rows)
+    own = z[np.arange(len(z)), classes]
+    return own - np.log(_row_sums(np.exp(z, out=z)))
 
 
 def add_expected(expected: np.ndarray, weights: np.ndarray, bias: np.ndarray, rows: np.ndarray) -> None:
     """Add the probabilities of all classes to the rows of each token's features, in place."""
-    chances = np.exp(class_log_probs(weights, bias, rows))
+    chances = _scores(weights, bias, rows)
+    np.exp(chances, out=chances)
+    chances /= _row_sums(chances)[:, None]
+    # Two floats are added as one complex number, which halves the steps of the indexed sum.
+    pairs, sums = chances.view(np.complex64).ravel(), expected.reshape(-1).view(np.complex64)
+    width = expected.shape[1] // 2
     for k in range(TEMPLATES):
-        # Places within a template fit in 16 bits, which numpy sorts by counting.
-        order = np.argsort((rows[:, k] - k * (len(expected) // TEMPLATES)).astype(np.uint16), kind="stable")
-        sorted_ = rows[order, k]
-        first = np.flatnonzero(np.concatenate([[True], sorted_[1:] != sorted_[:-1]]))
-        expected[sorted_[first]] += np.add.reduceat(chances[order], first, axis=0)
+        np.add.at(sums, (rows[:, k, None].astype(np.int64) * width + np.arange(width)).ravel(), pairs)
 
 
 def scaled(weights: np.ndarray, observed: np.ndarray, expected: np.ndarray, share: np.ndarray, rate: float) -> np.ndarray:
@@ -198,31 +217,43 @@ def learn_weights(train: DataFrame, counts: Counts) -> Model:
     share = (counts.tokens + SMOOTHING) / (counts.tokens + SMOOTHING).sum()
     bias, bits = np.log(share).astype(np.float32), row_bits(counts.kinds.sum())
     shape = (TEMPLATES << bits, CLASSES)
+    first = (np.arange(TEMPLATES) << bits).astype(np.int32)
+
+    def places(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for _, data, offsets in chunks(batches):
+            tokens = tokens_of(data, offsets)
+            inside = (context_rows(tokens, bits) - first).astype(np.uint16)  # bits are 16 at most
+            cuts = range(0, len(inside), BATCH)
+            yield pa.RecordBatch.from_arrays(
+                [pa.array([inside[a : a + BATCH].tobytes() for a in cuts], pa.binary()), pa.array([tokens.classes[a : a + BATCH].astype(np.uint8).tobytes() for a in cuts], pa.binary())],
+                names=["places", "classes"],
+            )
+
+    # Every round reads the features of all tokens, so they are made once: ten bytes a token at most.
+    held = materialize(train.select("text").mapInArrow(places, "places binary, classes binary"), "features")
     # As many tasks as cores: each gives arrays of the weights' size, however long its input.
-    train = train.select("text").coalesce(train.sparkSession.sparkContext.defaultParallelism)
+    held = held.coalesce(train.sparkSession.sparkContext.defaultParallelism)
 
-    def total(add, dtype: str, batch: int) -> np.ndarray:  # noqa: ANN001
+    def total(add, dtype: str) -> np.ndarray:  # noqa: ANN001
         def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
             sums = np.zeros(shape, dtype)
-            for _, data, offsets in chunks(batches):
-                tokens = tokens_of(data, offsets)
-                rows = context_rows(tokens, bits)
-                for a in range(0, len(rows), batch):
-                    add(sums, rows[a : a + batch], tokens.classes[a : a + batch])
+            for batch in batches:
+                for inside, classes in zip(batch.column(0), batch.column(1)):
+                    rows = np.frombuffer(inside.as_buffer(), np.uint16).reshape(-1, TEMPLATES) + first
+                    add(sums, rows, np.frombuffer(classes.as_buffer(), np.uint8))
             for part in array_rows("sums", sums.ravel()):
                 yield array_batch([part])
 
-        return fill(sum_arrays(train.mapInArrow(run, ARRAY_SCHEMA), dtype).get("sums"), shape[0] * CLASSES, dtype).reshape(shape)
+        return fill(sum_arrays(held.mapInArrow(run, ARRAY_SCHEMA), dtype).get("sums"), shape[0] * CLASSES, dtype).reshape(shape)
 
     def observe(sums: np.ndarray, rows: np.ndarray, classes: np.ndarray) -> None:
-        cells = (rows.astype(np.int64) * CLASSES + classes[:, None]).ravel()
-        sums += np.bincount(cells, minlength=sums.size).astype(sums.dtype).reshape(shape)
+        np.add.at(sums.reshape(-1), (rows.astype(np.int64) * CLASSES + classes[:, None]).ravel(), sums.dtype.type(1))
 
-    observed = total(observe, "int32", 1 << 20).astype(np.float64)
+    observed = total(observe, "int32").astype(np.float64)
     weights = scaled(np.zeros(shape, np.float32), observed, observed.sum(1, keepdims=True) * share, share, FIRST_RATE)
     for _ in range(ROUNDS):
-        held = weights
-        expected = total(lambda sums, rows, _: add_expected(sums, held, bias, rows), "float32", BATCH)  # noqa: B023
+        last = weights
+        expected = total(lambda sums, rows, _: add_expected(sums, last, bias, rows), "float32")  # noqa: B023
         weights = scaled(weights, observed, expected, share, RATE)
     return Model(weights, bias, bits)
 
@@ -243,8 +274,7 @@ def score_documents(docs: DataFrame, held_out: Column, counts: Counts, model: Mo
             value = np.empty(len(of))
             for a in range(0, len(of), BATCH):
                 part = slice(a, a + BATCH)
-                logs = class_log_probs(model.weights, model.bias, features[part])
-                value[part] = logs[np.arange(len(logs)), tokens.classes[part]]
+                value[part] = own_log_probs(model.weights, model.bias, features[part], tokens.classes[part])
             words = tokens.words.view(np.int64)
             at = np.minimum(np.searchsorted(common, words), max(len(common) - 1, 0))
             found = common[at] == words if len(common) else np.zeros(len(words), bool)

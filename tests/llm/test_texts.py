@@ -477,3 +477,24 @@ def test_rows_grow_with_the_vocabulary():
 
 def test_scores_of_nothing(empty):
     assert maxent_lm.score(empty, lang_mixture.held_out(F.col("doc_id"), 10)).count() == 0
+
+
+def test_a_second_round_of_the_model_moves_its_expectations_to_what_was_seen(spark):
+    texts = ["the red cat sat on the mat", "a red dog ran to the cats", "the dog sat", "ran red"] * 12
+    docs = spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string")
+    assert maxent_lm.ROUNDS >= 2
+    counts = maxent_lm.count_words(docs)
+    data = " ".join(texts).encode()
+    tokens = maxent_lm.tokens_of(np.frombuffer(data, np.uint8), np.array([0, len(data)]))
+    bits = maxent_lm.row_bits(counts.kinds.sum())
+    rows = maxent_lm.context_rows(tokens, bits)
+    model = maxent_lm.learn_weights(docs, counts)
+    own = maxent_lm.own_log_probs(model.weights, model.bias, rows, tokens.classes)
+    logs = maxent_lm.class_log_probs(model.weights, model.bias, rows)
+    assert np.allclose(own, logs[np.arange(len(logs)), tokens.classes], atol=1e-5)
+    plain, sums = np.zeros_like(model.weights), np.zeros_like(model.weights)
+    for chances, places in zip(np.exp(logs), rows):
+        for k in places:
+            plain[k] += chances
+    maxent_lm.add_expected(sums, model.weights, model.bias, rows)
+    assert np.allclose(plain, sums, rtol=1e-3, atol=1e-4)
