@@ -108,3 +108,29 @@ def test_facts_hold_no_text(table):
     """After the first projection there are line numbers, names, matched expressions and identifiers only."""
     kinds = dict(dataflow.flow_facts(table).dtypes)
     assert "ls" not in kinds and "content" not in kinds and not any(v == "string" for k, v in kinds.items() if k not in ("repo", "file_path"))
+
+
+def test_a_name_that_all_files_share_is_dealt_over_tasks(spark):
+    from pyspark.sql import functions as F
+
+    from sievebase.functions.pairs import each_pair
+    from sievebase.session import materialize
+
+    hot = F.when(F.col("id") % 50 == 0, F.col("id")).when(F.col("id") % 70 != 0, 7).alias("name")
+    left = materialize(spark.range(400).select(hot, F.col("id").alias("a")), "left")
+    right = materialize(spark.range(300).select(hot, F.col("id").alias("b")), "right")
+    got = each_pair(left, right, ["name"], 16)
+    want = left.join(right, "name")
+    assert got.exceptAll(want).isEmpty() and want.exceptAll(got).isEmpty() and got.count() > 100_000
+    most = got.groupBy(F.spark_partition_id()).count().agg(F.max("count")).first()[0]
+    assert most < got.count() / 20
+
+
+def test_pairs_of_one_name_are_findings_without_a_shuffle(spark):
+    """What leaves the join on a name goes to the findings as it is, unless both lines could meet on a second name."""
+    rows = [("r", f"{k}.js", "const a = req.params.name\nsend(name)\nexport function send(v) {\nconn.execute(v)\n") for k in range(6)]
+    flows = dataflow.cross_file_flows(spark.createDataFrame(rows, "repo string, file_path string, content string"))
+    found = {(r.file_path, r.target_file) for r in flows.collect()}
+    assert found == {(f"{a}.js", f"{b}.js") for a in range(6) for b in range(6) if a != b}
+    plan = flows._jdf.queryExecution().optimizedPlan().toString()
+    assert "Union" in plan.split("Aggregate")[0]
