@@ -90,3 +90,27 @@ def test_nothing_to_scan(spark):
     empty = spark.createDataFrame([], "repo string, file_path string, content string")
     found, status = run_branches(scan.branches(None), Inputs(empty))
     assert found.count() == 0 and {r.status for r in status.collect()} == {"ok"}
+
+
+def test_findings_without_those_of_a_failed_analyzer_are_no_result(corpus, monkeypatch):
+    """What merges findings raises, and so does all that is built on it; the status still tells."""
+    monkeypatch.setattr(scan, "branches", lambda git: [Branch(local=(branch_of(explosive), branch_of(quality.empty_catch))), Branch(whole=("thrower", thrower))])
+    for query in (scan.merge_analyzers, scan.run_scan):
+        with pytest.raises(scan.IncompleteScan, match="explosive: .*cannot read this.*thrower: not today") as raised:
+            query(corpus)
+        assert {name for name, _ in raised.value.failed} == {"explosive", "thrower"}
+    assert {(r.analyzer, r.repo) for r in scan.scan_status(corpus.filter("repo = 'r3'")).filter("status = 'failed'").collect()} == {("explosive", "r3"), ("thrower", "r3")}
+    monkeypatch.setattr(scan, "branches", lambda git: [Branch(local=(branch_of(quality.empty_catch),))])
+    assert scan.merge_analyzers(corpus).count() == 60
+
+
+def test_no_mart_is_made_of_a_scan_that_failed(spark, sf_dir, monkeypatch):
+    from sievebase.plans import queries
+
+    monkeypatch.setattr(queries, "_scans", {})
+    monkeypatch.setattr(scan, "branches", lambda git: [Branch(whole=("thrower", thrower))])
+    marts = queries.scoring_queries()
+    for name in ("attack_chains", "analysis_summary", "confidence_score", "distinct_critical_titles", "health_score", "file_risk"):
+        with pytest.raises(scan.IncompleteScan):
+            marts[name](spark, sf_dir)
+    assert not queries._scans
