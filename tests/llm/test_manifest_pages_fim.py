@@ -131,6 +131,29 @@ def test_what_a_host_repeats_goes(spark):
     assert "All the news" in got[10].text and own[0] in got[11].text
 
 
+def test_the_array_reads_articles(spark):
+    """A passage that articles of a host share is counted as repeated, and stays in their texts."""
+    passage = " ".join(f"shared{i}" for i in range(12))
+    page = "<nav>Home {k}</nav><article><h1>Own title {k}</h1><p>{p}</p><p>Only this page {k} says these words {k} of all {k}</p></article>"
+    rows = [(k, f"https://h{k // 2}.example/a", page.format(k=k, p=passage if k < 3 else f"other{k} " * 12)) for k in range(4)]
+    rows.append((4, "https://h0.example/a", rows[0][2]))
+    got = {r.page_id: r for r in html_main.extract(spark.createDataFrame(rows, "page_id long, url string, html string").repartition(3)).collect()}
+    # Page 2 is of another host than 0 and 1; page 4 is page 0 again.
+    assert {k: r.n_repeated for k, r in got.items()} == {0: 1, 1: 1, 2: 0, 3: 0, 4: 1}
+    assert all(got[k].text == f"Own title {k}\n{passage}\nOnly this page {k} says these words {k} of all {k}" and got[k].n_blocks == 4 for k in range(3))
+
+
+def test_keys_of_many_streams():
+    rnd = np.random.default_rng(5)
+    streams = [rnd.integers(0, 1 << 60, n).astype(np.uint64) for n in (1, 3, 7, 8, 9, 30, 1)]
+    hosts = np.arange(7, dtype=np.uint64)
+    bounds = np.concatenate([[0], np.cumsum([len(x) for x in streams])])
+    row, at, keys = html_main.suffix_keys(np.concatenate(streams), bounds, hosts)
+    for k, stream in enumerate(streams):
+        want = html_main.mix(html_main.prefix_keys(stream) + hosts[k])
+        assert keys[row == k].tolist() == want.tolist() and at[row == k].tolist() == list(range(len(want)))
+
+
 @pytest.mark.parametrize("html, text", [
     (None, ""), ("", ""), ("plain  text &lt;b&gt; &amp", "plain text <b> &"), ("<p>one<br>two<p>three", "one two\nthree"),
     ("<article><header><h1>T</h1><span>by x</span></header><p>a &nbsp; b</p><footer>f</footer><p>c</p></article><p>out</p>", "T\na b\nc"),
