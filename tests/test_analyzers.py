@@ -114,3 +114,11 @@ def test_no_mart_is_made_of_a_scan_that_failed(spark, sf_dir, monkeypatch):
         with pytest.raises(scan.IncompleteScan):
             marts[name](spark, sf_dir)
     assert not queries._scans
+
+
+def test_null_paths_hold_nothing(spark):
+    from sievebase.functions.substrings import first_path_holding
+
+    wanted = spark.createDataFrame([("r", "lib/a"), ("r", None), ("q", "lib/a")], "repo string, target string")
+    paths = spark.createDataFrame([("r", None), ("r", "src/Lib/a.py"), ("q", None)], "repo string, file_path string")
+    assert [tuple(r) for r in first_path_holding(wanted, paths).collect()] == [("r", "lib/a", "src/Lib/a.py")]
